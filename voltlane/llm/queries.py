@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltlane.llm import langid, quality_rules, simhash
+from voltlane.llm import chat, decontam, langid, pii, quality_gbt, quality_rules, repair, simhash, sp_codec, token_count
 from voltlane.llm.common import in_training, table
+from voltlane.llm.pieces import MARK
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +23,39 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    back = sp_codec.decode(sp_codec.encode(docs), out="back")
+    plain = F.replace("text", F.lit(MARK), F.lit(" "))
+    return back.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), (F.col("back") == plain).alias("round_trip"))
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hard = "\\### Assistant: </turn> ok"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.format_chats(rows.unionByName(more)))
+
+
+def op5_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
+    counted = token_count.count_tokens(docs.select("doc_id", "text", n_bytes))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.token_index(table(spark, sf_dir, "documents"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     seen = quality_rules.assess(docs, table(spark, sf_dir, "labels"), "__quality")
@@ -29,10 +63,24 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select("doc_id", *[f"__quality.{c}" for c in columns], F.col("__quality.anomaly").alias("anomaly"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality_gbt.classify(docs, table(spark, sf_dir, "labels"), "__score")
+    held_out = (~in_training(F.col("doc_id"))).alias("held_out")
+    return scored.select("doc_id", held_out, F.col("__score").alias("score"), (F.col("__score") >= 0.7).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_simhash_dedup": op3_simhash_dedup,
+    "op4_chat_format": op4_chat_format,
+    "op5_token_count": op5_token_count,
+    "op6_token_files": op6_token_files,
+    "op7_decontaminate": op7_decontaminate,
+    "op8_pii": op8_pii,
     "op9_quality_rules": op9_quality_rules,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 ORACLE_SQL: dict[str, str] = {}
