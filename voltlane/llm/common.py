@@ -39,6 +39,18 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Ids that are broadcast to take rows out of a table, at most (8 MB); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, drop: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
+    """`docs` without the rows whose doc_id is in `drop` (distinct doc_ids); null doc_ids stay."""
+    ids = written(drop.select(F.col("doc_id").alias("__drop")), "drop")
+    if ids.limit(limit + 1).count() <= limit:
+        ids = F.broadcast(ids)
+    return docs.join(ids, F.col("doc_id") == F.col("__drop"), "left_anti")
+
+
 def in_training(doc_id: Column) -> Column:
     """True for the three quarters of the documents that models may learn from."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 != 2

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voltlane.llm.common import RollingHash, byte_class, mix, runs, text_blocks, utf8
+from voltlane.llm.common import RollingHash, byte_class, mix, runs, text_blocks, utf8, without
 
 #: Ones are hashed, zeros are ignored.
 SEEDS = ("111010110111", "110110101111", "111101101011")
@@ -182,5 +182,4 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """`docs` without the documents that share a passage with the benchmark; null doc_ids stay."""
-    hit = find_overlaps(docs, benchmark).select(F.col("doc_id").alias("__hit")).where("__hit is not null").distinct()
-    return docs.join(hit, F.col("doc_id") == F.col("__hit"), "left_anti")
+    return without(docs, find_overlaps(docs, benchmark).where("doc_id is not null").select("doc_id").distinct())

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voltlane.llm.common import text_blocks, written
+from voltlane.llm.common import text_blocks, without, written
 
 BITS, MAX_DISTANCE = 64, 3
 SEED = 42
@@ -206,6 +206,10 @@ def hex_fingerprint(fp):
 
 def dedup(docs: DataFrame, size: int = 3) -> DataFrame:
     """`docs` with the first document of each class alone; a row with null doc_id stays."""
-    keep = classes(docs.where("doc_id is not null"), size).where("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct()
-    kept = docs.join(keep, F.col("doc_id") == F.col("__keep")).drop("__keep").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    found = written(classes(docs.where("doc_id is not null"), size), "classes")
+    drop = found.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = without(docs, drop)
+    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
+    once = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
+    return once.unionByName(kept.where("doc_id is null"))
