@@ -19,7 +19,9 @@ rows with equal doc_id go by text. An empty table gives no shards.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +38,8 @@ END_ID = 1
 BLOCK_IDS = 2_000_000
 #: Rounds inside words and across words, pairs replaced a round, and how often a pair must occur.
 WORD_ROUNDS, STREAM_ROUNDS, PAIRS, LEAST = 10, 2, 1024, 32
-#: Words that a Python worker remembers at most.
-MEMO = 600_000
+#: Words and pre-tokens that a Python worker remembers at most.
+MEMO, PART_MEMO = 800_000, 300_000
 
 SCHEMA = (
     "part int, block int, first_doc long, n_ids long, doc_ids array<long>, n_tokens array<int>, symbol_starts array<int>, "
@@ -45,33 +47,65 @@ SCHEMA = (
 )
 
 
+# Latin-1 text without apostrophes splits into pre-tokens by these classes of the tokenizer's own pattern.
+LETTERS, NUMBERS, SPACES = "a-z\u00df-\u00f6\u00f8-\u00ff\u00aa\u00b5\u00ba", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", "\t-\r \u0085\u00a0"
+PRETOKENS = re.compile(f"[{LETTERS}]+|[{NUMBERS}]|[^{LETTERS}{NUMBERS}{SPACES}]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if printable, else the next from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 class WordCoder:
-    """Ids of words, each encoded once. Words are cut at ASCII white space, which no token crosses."""
+    """Ids of words, each encoded once. Words are cut at ASCII white space, which no token crosses.
+
+    Code c stands for the ids flat[begin[c]:begin[c + 1]]."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
         self.base = self.tokenizer.get_vocab_size()
+        self.parts: dict[str, list[int]] = {}
         self.clear()
 
     def clear(self) -> None:
         self.codes: dict[bytes, int] = {}
-        self.ids: list[np.ndarray] = []
+        self.flat, self.begin = array("i"), array("q", [0])
+
+    def word_ids(self, word: str) -> list[int]:
+        try:
+            word.encode("latin-1")
+        except UnicodeEncodeError:
+            return self.tokenizer.encode(word, add_special_tokens=False).ids
+        if "'" in word or "<|" in word:
+            return self.tokenizer.encode(word, add_special_tokens=False).ids
+        out: list[int] = []
+        for part in PRETOKENS.findall(word.lower()):
+            ids = self.parts.get(part)
+            if ids is None:
+                if len(self.parts) > PART_MEMO:
+                    self.parts.clear()
+                # the model alone is quicker than the whole tokenizer, whose other steps are done here
+                ids = self.parts[part] = [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))]
+            out += ids
+        return out
 
     def codes_of(self, text: str) -> list[int]:
         """The codes of a text's words, in order."""
-        if text.isascii() and "<|" not in text:
-            text = text.lower()  # the tokenizer does the same; fewer distinct words
         words = text.encode().split()
-        new = [w for w in dict.fromkeys(words) if w not in self.codes]
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.codes[w] = len(self.ids)
-                self.ids.append(np.array(e.ids, np.int32))
-        return list(map(self.codes.__getitem__, words))
+        codes = self.codes
+        for w in set(words).difference(codes):
+            codes[w] = len(self.begin) - 1
+            self.flat.extend(self.word_ids(w.decode()))
+            self.begin.append(len(self.flat))
+        return list(map(codes.__getitem__, words))
 
 
 def top_pairs(symbols: np.ndarray, joined: np.ndarray, weights: np.ndarray | None, most: int, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,12 +142,18 @@ def replaced(symbols: np.ndarray, at: np.ndarray, new: np.ndarray) -> tuple[np.n
     return symbols, stay
 
 
-def compress(words: list[np.ndarray], doc_codes: list[np.ndarray], base: int, rounds=(WORD_ROUNDS, STREAM_ROUNDS), most=PAIRS, least=LEAST) -> dict:
-    """Re-Pair over documents given as codes of words; words[c] are the ids of code c."""
+def compress(flat: np.ndarray, begin: np.ndarray, doc_codes: list[np.ndarray], base: int, rounds=(WORD_ROUNDS, STREAM_ROUNDS), most=PAIRS, least=LEAST) -> dict:
+    """Re-Pair over documents given as codes of words; code c stands for flat[begin[c]:begin[c + 1]]."""
     codes = np.concatenate(doc_codes) if doc_codes else np.zeros(0, np.int64)
-    used, codes, freq = np.unique(codes, return_inverse=True, return_counts=True)
-    sizes = np.array([len(words[c]) for c in used.tolist()], np.int64)
-    symbols = np.concatenate([words[c] for c in used.tolist()]).astype(np.int64) if len(used) else np.zeros(0, np.int64)
+    # the words of this shard, by first code; a table is quicker than a sort
+    freq = np.bincount(codes, minlength=len(begin) - 1)
+    used = np.flatnonzero(freq)
+    number = np.zeros(len(freq), np.int64)
+    number[used] = np.arange(len(used))
+    codes, freq = number[codes], freq[used]
+    sizes = begin[used + 1] - begin[used]
+    jump = np.cumsum(sizes) - sizes
+    symbols = flat[np.arange(int(sizes.sum())) - np.repeat(jump, sizes) + np.repeat(begin[used], sizes)].astype(np.int64)
     word = np.repeat(np.arange(len(used)), sizes)
     rules: list[np.ndarray] = []
     n = base
@@ -193,7 +233,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str | None = None,
         part, block, ids, codes, size = TaskContext.get().partitionId(), 0, [], [], 0
 
         def shard() -> pa.RecordBatch:
-            c = compress(coder.ids, codes, coder.base)
+            c = compress(np.array(coder.flat, np.int32), np.array(coder.begin, np.int64), codes, coder.base)
             wide = coder.base + len(c["rules"]) > 1 << 16
             row = {
                 "part": part, "block": block, "first_doc": ids[0], "n_ids": int(c["tokens"].sum()), "doc_ids": ids, "n_tokens": c["tokens"].tolist(), "symbol_starts": c["starts"].tolist(), "base": coder.base,
@@ -209,7 +249,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str | None = None,
                 if size >= block_ids:
                     yield shard()
                     block, ids, codes, size = block + 1, [], [], 0
-                    if len(coder.ids) > MEMO:
+                    if len(coder.codes) > MEMO:
                         coder.clear()
         if ids:
             yield shard()
