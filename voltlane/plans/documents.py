@@ -1,0 +1,222 @@
+"""Queries on documents, pages, benchmark questions, embeddings and constructed payloads."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from voltlane.functions import text as words_of
+from voltlane.functions.scalar import base_name, natural_key, trust
+from voltlane.operators import blocks, ingest, search
+from voltlane.plans.telemetry import clock_rows
+from voltlane.registry import query, table
+
+# In SQL: the words of a text, as `voltlane.functions.text.words` finds them.
+STOP = ", ".join(f"'{w}'" for w in sorted(set(words_of.STOPWORDS)))
+WORDS = lambda c: f"list_filter(list_transform(regexp_extract_all(lower({c}), '[a-z0-9][a-z0-9._+-]*'), lambda w: regexp_replace(w, '^[._+-]+|[._+-]+$', '', 'g')), lambda w: length(w) >= 2 AND w NOT IN ({STOP}))"
+STEM = lambda w: f"CASE WHEN length({w}) > 6 AND {w} LIKE '%ing' THEN left({w}, length({w}) - 3) WHEN length({w}) > 5 AND {w} LIKE '%es' THEN left({w}, length({w}) - 2) WHEN length({w}) > 5 AND {w} LIKE '%ed' THEN left({w}, length({w}) - 2) WHEN length({w}) > 4 AND {w} LIKE '%s' THEN left({w}, length({w}) - 1) ELSE {w} END"
+
+
+def docs(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def questions(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
+
+
+@query(f"SELECT doc_id, len({WORDS('text')}) AS n_words, len(list_distinct({WORDS('text')})) AS n_distinct, list_aggregate(list_transform({WORDS('text')}, lambda w: length({STEM('w')})), 'sum')::BIGINT AS stem_chars FROM documents")
+def tokenize_match(spark, sf_dir):
+    d = docs(spark, sf_dir).select("doc_id", words_of.words(F.col("text")).alias("w"))
+    n = F.aggregate(F.transform("w", lambda w: F.length(words_of.stem(w)).cast("long")), F.lit(0).cast("long"), lambda a, x: a + x)
+    return d.select("doc_id", F.size("w").cast("long").alias("n_words"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct"), F.when(F.size("w") > 0, n).alias("stem_chars"))
+
+
+@query(f"""WITH d AS (SELECT doc_id, list_transform({WORDS('text')}, lambda w: {STEM('w')}) AS s FROM documents), q AS (SELECT item_id, list_transform(list_slice({WORDS('text')}, 1, 2), lambda w: {STEM('w')}) AS s FROM benchmark)
+SELECT item_id, count(*) AS n, min(doc_id) AS first_doc FROM d, q WHERE list_has_all(d.s, q.s) GROUP BY 1""")
+def matches_filter(spark, sf_dir):
+    """Documents that hold the first two words of each question, stem for stem: the stems of the
+    questions are joined as terms, and a document matches if it has all of a question's."""
+    need = questions(spark, sf_dir).select("query_id", F.explode(F.array_distinct(F.transform(F.slice(words_of.words(F.col("q")), 1, 2), words_of.stem))).alias("s"))
+    have = docs(spark, sf_dir).select("doc_id", F.explode(F.array_distinct(words_of.stems(F.col("text")))).alias("s"))
+    total = need.groupBy("query_id").agg(F.count("*").alias("need"))
+    met = have.join(need, "s").groupBy("query_id", "doc_id").agg(F.count("*").alias("n")).join(total, "query_id").where("n = need")
+    return met.groupBy(F.col("query_id").alias("item_id")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+
+
+BM25 = f"""tok AS (SELECT doc_id, {WORDS('text')} AS w FROM documents), dl AS (SELECT doc_id, len(w)::DOUBLE AS dl FROM tok), tot AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS avgdl FROM dl),
+ asked AS (SELECT DISTINCT item_id, unnest({WORDS('text')}) AS term FROM benchmark), post AS (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM tok) WHERE term IN (SELECT term FROM asked) GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
+ kw0 AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM asked JOIN post USING (term) JOIN df USING (term) JOIN dl USING (doc_id), tot GROUP BY 1, 2),
+ kw AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM kw0)"""
+
+
+@query(f"WITH {BM25} SELECT item_id, doc_id, score, place FROM kw WHERE place <= 10")
+def bm25_topk(spark, sf_dir):
+    k = search.bm25(docs(spark, sf_dir), questions(spark, sf_dir), 10)
+    return k.select(F.col("query_id").alias("item_id"), "doc_id", "score", "place")
+
+
+VEC = "v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e, label FROM embeddings), qv AS (SELECT * FROM v WHERE vec_id % 20 = 0), sim AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, round(list_dot_product(q.e, v.e) / sqrt(list_dot_product(q.e, q.e) * list_dot_product(v.e, v.e)), 6) AS score FROM qv q, v)"
+
+
+def vectors(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"), "label")
+
+
+@query(f"WITH {VEC} SELECT query_id, vec_id AS doc_id, score, place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM sim) WHERE place <= 10")
+def vector_topk(spark, sf_dir):
+    """The query set is stated: every vector whose id is divisible by 20, against all vectors."""
+    v = vectors(spark, sf_dir)
+    q = v.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "v")
+    return search.vector_top(v, q, 10).select("query_id", "doc_id", "score", "place")
+
+
+@query(f"WITH {VEC}, t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM sim), g AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY place) AS n FROM t WHERE place <= 50) SELECT query_id, vec_id AS doc_id, label, place FROM g WHERE n <= 2")
+def vector_per_group(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    q = v.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "v")
+    top = search.vector_top(v, q, 50).join(v.select("doc_id", "label"), "doc_id")
+    return search.per_group(top, "label", 2).select("query_id", "doc_id", "label", "place")
+
+
+@query(f"""WITH {BM25}, {VEC},
+ k AS (SELECT item_id AS query_id, doc_id, score / max(score) OVER (PARTITION BY item_id) AS k FROM kw WHERE place <= 200),
+ vv AS (SELECT q.item_id AS query_id, v.vec_id AS doc_id, round(list_dot_product(a.e, v.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(v.e, v.e)), 6) AS score FROM benchmark q JOIN v a ON a.vec_id = q.item_id, v),
+ vt AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place FROM vv),
+ vs AS (SELECT query_id, doc_id, CASE WHEN max(score) OVER q > min(score) OVER q THEN (score - min(score) OVER q) / (max(score) OVER q - min(score) OVER q) ELSE 1 END AS s FROM vt WHERE place <= 50 WINDOW q AS (PARTITION BY query_id)),
+ cov AS (SELECT b.item_id AS query_id, len(list_intersect(list_distinct(list_transform({WORDS('b.text')}, lambda w: {STEM('w')})), list_transform({WORDS('d.text')}, lambda w: {STEM('w')}))) / len(list_distinct(list_transform({WORDS('b.text')}, lambda w: {STEM('w')})))::DOUBLE AS c FROM kw JOIN benchmark b ON b.item_id = kw.item_id AND place = 1 JOIN documents d ON d.doc_id = kw.doc_id),
+ f AS (SELECT query_id, doc_id, coalesce(k, 0) AS k, coalesce(s, 0) AS s FROM k FULL OUTER JOIN vs USING (query_id, doc_id)),
+ r AS (SELECT query_id, doc_id, round((0.2 + 0.8 * pow(coalesce(c, 0), 2)) * k + (1 - (0.2 + 0.8 * pow(coalesce(c, 0), 2))) * s, 6) AS score FROM f LEFT JOIN cov USING (query_id))
+SELECT query_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS place FROM r) WHERE place <= 10""")
+def hybrid_fuse(spark, sf_dir):
+    """Keyword and meaning rankings of each question as one; a question's vector is the one with its id."""
+    d, q, v = docs(spark, sf_dir), questions(spark, sf_dir), vectors(spark, sf_dir)
+    keyword = search.bm25(d, q, 200).persist()
+    asked = q.join(v.withColumnRenamed("doc_id", "query_id"), "query_id").select("query_id", "v")
+    coverage = search.coverage(keyword.where("place = 1").select("query_id", "doc_id"), q, d)
+    fused = search.top(search.fuse(keyword, search.vector_top(v, asked, 50), coverage), 10)
+    return fused.select("query_id", "doc_id", "score")
+
+
+@query()
+def ranking_factors(spark, sf_dir):
+    """Title, path, recency, administration and subteam factors of every document for one question each."""
+    now = F.lit("2026-11-01 00:00:00").cast("timestamp")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.substring_index("text", " ", 6).alias("title"), F.array("lang", "source").alias("path"), F.col("text"))
+    stems = words_of.stems(F.substring_index("text", " ", 12))
+    updated = F.date_format(F.timestamp_add("DAY", (-(F.col("doc_id") % 900)).cast("int"), now), "yyyy-MM-dd'T'HH:mm:ss")
+    return d.select("doc_id", search.title_factor(stems, F.col("title")).alias("title"), search.path_factor(stems, F.col("path")).alias("path"), F.round(search.recency_factor(updated, now), 6).alias("recency"), search.admin_factor(F.col("text"), F.col("title"), F.col("path")).alias("admin"), search.subteam_factor(F.col("text"), F.col("title"), F.col("path")).alias("subteam"))
+
+
+@query(r"SELECT doc_id, regexp_matches(text, '(?i)\b(passwords?|passwd|passcodes?|passphrases?|pwd|api[\s_-]?keys?|secrets?|credentials?|ssh[\s_-]?keys?|private[\s_-]?keys?)\b') OR (regexp_matches(text, '(?i)\b(log[\s-]?ins?|tokens?|pw|pwds?)\b') AND regexp_matches(text, '[:=]')) AS hit FROM documents")
+def mentions_credential(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", words_of.mentions_credential(F.col("text")).alias("hit"))
+
+
+@query()
+def credential_redaction(spark, sf_dir):
+    """Texts with key-shaped strings replaced (the patterns look around, which RE2 cannot)."""
+    t = words_of.redact_keys(F.col("text"))
+    return docs(spark, sf_dir).select("doc_id", t.alias("text"), (t != F.col("text")).alias("changed"))
+
+
+@query(r"""SELECT page_id, regexp_replace(lower(regexp_extract(url, '[^/]*$')), '[^a-z0-9]', '', 'g') AS norm, lower(regexp_replace(regexp_replace(trim(regexp_extract(url, '[^/]*$')), '^(copy of\s+)+', '', 'i'), '((\s*\(\d+\))+|\.(pdf|docx?|pptx?|xlsx?|txt|md))+$', '', 'i')) AS base FROM pages""")
+def file_names(spark, sf_dir):
+    from voltlane.functions.scalar import normalized
+
+    name = F.regexp_extract("url", "[^/]*$", 0)
+    return table(spark, sf_dir, "pages").select("page_id", normalized(name).alias("norm"), base_name(name).alias("base"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_acctbal < 0 OR c_custkey * 1000000.0 < 1577836800 OR c_custkey * 1000000.0 > 1700000000 + 86400 THEN 'suspect' ELSE 'ok' END AS trust, lpad(c_custkey::VARCHAR, 20, '0') AS key FROM customer")
+def clock_trust(spark, sf_dir):
+    k = F.col("c_custkey").cast("double") * 1_000_000
+    start = F.when(F.col("c_acctbal") >= 0, k)
+    return table(spark, sf_dir, "customer").select("c_custkey", trust(start, k, F.lit(1_700_000_000)).alias("trust"), natural_key(F.col("c_custkey").cast("string")).alias("key"))
+
+
+@query("SELECT d.doc_id FROM documents d LEFT JOIN labels l USING (doc_id) WHERE l.doc_id IS NULL OR l.quality = 0")
+def skip_reasons(spark, sf_dir):
+    """Documents that are not indexed: unlabelled or of low quality (an ordered rule chain)."""
+    j = docs(spark, sf_dir).join(table(spark, sf_dir, "labels").withColumn("__l", F.lit(True)), "doc_id", "left")
+    reason = F.when(F.col("__l").isNull(), "unlabelled").when(F.col("quality") == 0, "low quality")
+    return j.withColumn("reason", reason).where("reason is not null").select("doc_id")
+
+
+@query()
+def html_textify(spark, sf_dir):
+    """Blocks of every page."""
+    b = table(spark, sf_dir, "pages").select("page_id", F.posexplode(blocks.textify("html")).alias("at", "b"))
+    return b.select("page_id", "at", "b.kind", "b.text", "b.level", F.size("b.links").alias("n_links"))
+
+
+@query()
+def chunk_sections(spark, sf_dir):
+    """Chunks of every page: blocks, scrubbed, cut at headings, split and merged."""
+    return blocks.page_chunks(table(spark, sf_dir, "pages")).select("page_id", "ordinal", "heading", "text")
+
+
+@query()
+def json_leaf_paths(spark, sf_dir):
+    """Paths of all JSON leaves in the events' properties."""
+    p = table(spark, sf_dir, "events").select(F.explode(blocks.json_leaves("props")).alias("path", "value"))
+    return p.groupBy("path").agg(F.count("*").alias("n"))
+
+
+def payloads(spark, sf_dir):
+    """Events as telemetry messages: every user's stream has one of the three shapes, with some malformed and repeated rows."""
+    e = table(spark, sf_dir, "events")
+    k, u = F.col("event_id"), F.col("user_id")
+    body = F.format_string(
+        '{"seq": %d, "global_ts": %d, "_t_publish_ns": %d,%s "power": {"ts": 1, "current": 3.0, "voltage": %.2f}, "steering": {"ts": 1, "brake_pressure": 0.1, "turn_angle": NaN}, "rpm_front": {"ts": 0, "rpm_left": NaN, "rpm_right": NaN}, "rpm_back": {"ts": 1, "rpm_left": 200, "rpm_right": 201}, "gps": {"ts": 1, "lat": 42.0, "long": -76.0, "heading": 90, "speed": 5}, "motor": {"ts": 1, "rpm": 0, "%s": 0}, "filtered": {"speed": %s}}',
+        F.floor(k / 2), F.floor(k / 2) * 1000, k + 1_700_000_000_000_000_000, F.when(u % 3 == 1, ' "errcount": 0,').otherwise(""), F.floor(F.col("value")).cast("double"), F.when(u % 3 == 0, "throttle").otherwise("duty_cycle"), F.when(k % 101 == 0, '"NaN"').otherwise("5.0"),
+    )
+    return e.select(u.alias("run_id"), k.alias("seq"), F.col("event_id").cast("double").alias("ts"), F.when(k % 211 == 0, "not json").otherwise(body).alias("raw"))
+
+
+@query("SELECT user_id AS run_id, CASE WHEN count(*) FILTER (WHERE event_id % 101 = 0 OR event_id % 211 = 0) = 0 THEN CASE user_id % 3 WHEN 0 THEN 'telemetry.v1' WHEN 1 THEN 'telemetry.v2' ELSE 'telemetry.v1-dutycycle' END END AS schema, count(*) AS n_sampled, count(*) FILTER (WHERE event_id % 101 <> 0 AND event_id % 211 <> 0) AS n_fit FROM events GROUP BY 1, user_id HAVING count(*) <= 100")
+def schema_detect_strict(spark, sf_dir):
+    """Strict detection per stream (streams of up to a hundred messages, whose sample is the whole stream)."""
+    m = payloads(spark, sf_dir)
+    small = m.groupBy("run_id").agg(F.count("*").alias("n")).where("n <= 100")
+    return ingest.detect(m.join(small, "run_id", "left_semi"))
+
+
+@query("SELECT user_id AS run_id, count(*) AS seen, count(*) FILTER (WHERE event_id % 101 = 0 OR event_id % 211 = 0) AS rejected FROM events WHERE user_id % 3 = 1 GROUP BY 1")
+def ingest_counters(spark, sf_dir):
+    m = payloads(spark, sf_dir).where("run_id % 3 = 1")
+    return ingest.counters(m, "telemetry.v2").select("run_id", "seen", "rejected")
+
+
+@query("""WITH e AS (SELECT user_id AS run_id, event_id AS seq, floor(value) AS v, event_id // 2 AS s FROM events WHERE event_id % 101 <> 0 AND event_id % 211 <> 0), l AS (SELECT *, lag(v) OVER w AS v0, lag(s) OVER w AS s0 FROM e WINDOW w AS (PARTITION BY run_id ORDER BY seq))
+SELECT run_id, count(*) AS n, round(sum(v), 2) AS volts, min(s) AS first_device_seq FROM l WHERE v0 IS NULL OR v <> v0 OR s <> s0 GROUP BY 1""")
+def ingest_snapshots(spark, sf_dir):
+    s = ingest.snapshots(payloads(spark, sf_dir))
+    return s.groupBy("run_id").agg(F.count("*").alias("n"), F.round(F.sum("joulemeter.voltage"), 2).alias("volts"), F.min("device_seq").alias("first_device_seq"))
+
+
+@query()
+def live_detector(spark, sf_dir):
+    """Schema locks and switches of live streams."""
+    m = payloads(spark, sf_dir)
+    other = F.when(F.col("seq") % 5000 < 2500, F.col("run_id")).otherwise(F.col("run_id") + 1)
+    schema = F.when(F.col("seq") % 97 != 0, F.concat(F.lit("s"), (other % 3).cast("string")))
+    return ingest.live_detect(m.withColumn("schema", schema))
+
+
+@query()
+def loss_meter_adaptive(spark, sf_dir):
+    """Losses against the running median period (a state machine; SQL cannot express it)."""
+    return ingest.loss_meter(clock_rows(spark, sf_dir), outage_s=50_000.0)
+
+
+@query("SELECT conv_id, count(*) AS n_turns, string_agg(role, '>' ORDER BY turn) AS path FROM conversations GROUP BY 1")
+def ordered_strings(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("t"))
+    return c.select("conv_id", "n_turns", F.array_join(F.transform("t", lambda x: x["role"]), ">").alias("path"))
+
+
+@query("SELECT lang, source, count(*) AS n, round(sum(n_chars) * 1.0 / sum(sum(n_chars)) OVER (PARTITION BY lang), 6) AS share FROM documents GROUP BY 1, 2")
+def share_of_group(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("c"))
+    return d.select("lang", "source", "n", F.round(F.col("c") / F.sum("c").over(Window.partitionBy("lang")), 6).alias("share"))
