@@ -130,7 +130,8 @@ def path_factor(query_stems: Column, path: Column) -> Column:
 
 def recency_factor(updated: Column, now: Column) -> Column:
     """Up to 30 % more for what changed lately; 1 for dates that cannot be read."""
-    days = F.greatest(F.lit(0.0), F.timestamp_diff("SECOND", F.try_to_timestamp(updated), now) / 86400)
+    age = F.timestamp_diff("SECOND", F.try_to_timestamp(updated), now) / 86400
+    days = F.when(age > 0, age).when(age.isNotNull(), 0.0)  # greatest() would make an unreadable date new
     return F.coalesce(1 + RECENCY_BOOST * F.pow(F.lit(0.5), days / HALF_LIFE_DAYS), F.lit(1.0))
 
 
