@@ -63,18 +63,42 @@ def ratios(totals: DataFrame) -> DataFrame:
     })
 
 
+def all_steps(snapshots: DataFrame, guards: Guards = Guards()) -> DataFrame:
+    """Snapshots with step_kwh (null without power), is_fix (a new valid reading) and step_m, in one pass.
+
+    What lag would need filters for comes from the last non-null value before the row, so
+    one exchange and one sort by run serve energy and distance alike."""
+    before = by_run().rowsBetween(Window.unboundedPreceding, -1)
+    valid, key = geo.valid_fix(F.col("lat"), F.col("lon")), F.struct("fix_t", "lat", "lon")
+    s = snapshots.withColumns({
+        "__power": F.last(F.when(F.col("p").isNotNull(), F.struct("t", "p", "seq")), True).over(before),
+        "__key": F.last(F.when(valid, F.struct("fix_t", "lat", "lon", "seq")), True).over(before),
+        "has_fix": valid,
+    })
+    same = F.struct("__key.fix_t", "__key.lat", "__key.lon")
+    s = s.withColumn("is_fix", valid & (F.col("__key").isNull() | ~key.eqNullSafe(same)))
+    at = F.coalesce("fix_t", "t")
+    s = s.withColumn("__fix", F.last(F.when(F.col("is_fix"), F.struct(at.alias("at"), "lat", "lon", "seq")), True).over(before))
+    s = s.withColumn("__chord", F.when(F.col("is_fix"), geo.tangent_distance_m(F.col("__fix.lat"), F.col("__fix.lon"), F.col("lat"), F.col("lon"))))
+    kwh = power.step_kwh(F.col("__power.p"), F.col("p"), F.col("__power.t"), F.col("t"), guards.max_gap_s)
+    metres = power.step_m(F.col("__chord"), at - F.col("__fix.at"), guards.max_gap_s, guards.max_jump_m, guards.max_mps)
+    s = s.withColumn("step_kwh", F.when(F.col("p").isNotNull(), F.coalesce(kwh, F.lit(0.0)))).withColumn("step_m", F.when(F.col("is_fix"), F.coalesce(metres, F.lit(0.0))))
+    # for sums over parts of a run: the seqs of the readings before, and where a row's own fix first appeared
+    s = s.withColumns({"power_before": F.col("__power.seq"), "fix_before": F.when(F.col("is_fix"), F.col("__key.seq")), "fix_first": F.when(F.col("is_fix"), F.col("seq")).otherwise(F.col("__fix.seq"))})
+    return s.drop("__power", "__key", "__fix", "__chord")
+
+
 def run_summary(snapshots: DataFrame, guards: Guards = Guards()) -> DataFrame:
     """Energy, distance, duration, efficiency and speed of each run.
 
     Energy needs two power readings, distance two fixes, duration two snapshots. The duration
     is last minus first by seq, whatever the clock did in between."""
-    energy = power_steps(snapshots, guards).groupBy("run_id").agg(F.when(F.count("*") >= 2, F.sum("step_kwh") * 1000).alias("energy_wh"))
-    distance = distance_steps(snapshots, guards).groupBy("run_id").agg(F.when(F.count("*") >= 2, F.sum("step_m")).alias("distance_m"))
-    spans = snapshots.groupBy("run_id").agg(
+    return ratios(all_steps(snapshots, guards).groupBy("run_id").agg(
         F.count("*").alias("n_rows"),
         F.when(F.count("*") >= 2, F.max_by("t", "seq") - F.min_by("t", "seq")).alias("duration_s"),
-    )
-    return ratios(spans.join(energy, "run_id", "left").join(distance, "run_id", "left"))
+        F.when(F.count("step_kwh") >= 2, F.sum("step_kwh") * 1000).alias("energy_wh"),
+        F.when(F.count_if("is_fix") >= 2, F.sum("step_m")).alias("distance_m"),
+    ))
 
 
 def range_metrics(snapshots: DataFrame, intervals: DataFrame, guards: Guards = Guards()) -> DataFrame:
@@ -83,32 +107,16 @@ def range_metrics(snapshots: DataFrame, intervals: DataFrame, guards: Guards = G
     Steps inside an interval are those whose both ends are inside, so each side's step is
     computed once per run and summed where its earlier end is not before the interval."""
     keys = intervals.columns
-    w = by_run()
-    p = power_steps(snapshots, guards).withColumn("before", F.lag("seq").over(w)).select("run_id", "seq", F.col("before").alias("p_before_seq"), "step_kwh")
-    d = distance_steps_in(snapshots, guards)
-    rows = snapshots.select("run_id", "seq", "t").join(p, ["run_id", "seq"], "left").join(d, ["run_id", "seq"], "left")
-    inside = intervals.join(rows.withColumnRenamed("run_id", "__run"), (F.col("__run") == F.col("run_id")) & F.col("seq").between(F.col("start_seq"), F.col("end_seq")))
-    # the first valid fix of an interval counts as a fix there even if it repeats the one before the interval
-    kwh = F.sum(F.when(F.col("p_before_seq") >= F.col("start_seq"), F.col("step_kwh")).otherwise(0.0))
-    metres = F.sum(F.when(F.col("d_before_seq") >= F.col("start_seq"), F.col("step_m")).otherwise(0.0))
-    n_fixes = F.count_if(F.col("is_fix") & ((F.col("seq") == F.col("fix_first")) | (F.col("fix_first") < F.col("start_seq")))) - F.greatest(F.count_if(F.col("is_fix") & (F.col("fix_first") < F.col("start_seq"))) - 1, F.lit(0))
+    rows = all_steps(snapshots, guards).select(F.col("run_id").alias("__run"), "seq", "t", "step_kwh", "step_m", "has_fix", "is_fix", "power_before", "fix_before", "fix_first")
+    inside = intervals.join(rows, (F.col("__run") == F.col("run_id")) & F.col("seq").between(F.col("start_seq"), F.col("end_seq")))
+    kwh = F.sum(F.when(F.col("power_before") >= F.col("start_seq"), F.col("step_kwh")).otherwise(0.0))
+    metres = F.sum(F.when(F.col("fix_before") >= F.col("start_seq"), F.col("step_m")).otherwise(0.0))
+    # a reading that the interval shares with the rows before it is one fix of the interval too
+    shared = F.coalesce(F.max((F.col("has_fix") & (F.col("fix_first") < F.col("start_seq"))).cast("int")), F.lit(0))
+    n_fixes = F.count_if("is_fix") + shared
     out = inside.groupBy(*keys).agg(
         F.when(F.count("step_kwh") >= 2, kwh * 1000).alias("energy_wh"),
         F.when(n_fixes >= 2, metres).alias("distance_m"),
         F.when(F.count("*") >= 2, F.max_by("t", "seq") - F.min_by("t", "seq")).alias("duration_s"),
     )
     return ratios(out)
-
-
-def distance_steps_in(snapshots: DataFrame, guards: Guards) -> DataFrame:
-    """For every snapshot with a valid fix: the seq where its reading first appeared, and the step into it.
-
-    The step is null on repeats; d_before_seq is the last snapshot that still held the reading before."""
-    w = by_run()
-    key = F.struct("fix_t", "lat", "lon")
-    valid = snapshots.where(geo.valid_fix(F.col("lat"), F.col("lon"))).withColumn("__prev", F.lag("seq").over(w))
-    new = ~F.coalesce(key.eqNullSafe(F.lag(key).over(w)), F.lit(False))
-    marked = valid.withColumn("__new", new).withColumn("fix_first", F.last(F.when(F.col("__new"), F.col("seq")), True).over(w))
-    steps = distance_steps(snapshots, guards).select("run_id", "seq", "step_m")
-    out = marked.select("run_id", "seq", F.lit(True).alias("is_fix"), "fix_first", F.when(F.col("__new"), F.col("__prev")).alias("d_before_seq"))
-    return out.join(steps, ["run_id", "seq"], "left")
