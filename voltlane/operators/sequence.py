@@ -51,9 +51,9 @@ def even_sample(rows: DataFrame, points: int) -> DataFrame:
     return at.where((F.col("__n") <= points) | hit | (F.col("__at") == F.col("__n") - 1)).drop("__at", "__n")
 
 
-def live_window(rows: DataFrame, seconds: float, points: int) -> DataFrame:
-    """The last `seconds` of each run (1 to 600), thinned to `points` rows (1 to 300)."""
-    seconds, points = min(max(seconds, 1), 600 if seconds <= 600 else seconds), min(max(points, 1), 300)
+def live_window(rows: DataFrame, seconds: float = 30, points: int = 100, most_seconds: float = 600, most_points: int = 300) -> DataFrame:
+    """The last `seconds` of each run (1 to `most_seconds`), thinned to `points` rows (1 to `most_points`)."""
+    seconds, points = min(max(seconds, 1), most_seconds), min(max(points, 1), most_points)
     end = F.max("t").over(Window.partitionBy("run_id"))
     return even_sample(rows.withColumn("__end", end).where(F.col("t") >= F.col("__end") - seconds).drop("__end"), points)
 

@@ -15,8 +15,8 @@ from voltlane.operators.intervals import interval_of
 from voltlane.sources.recordings import cdr_string
 
 ROW_LIMIT, CELL_LIMIT, TIMEOUT_S = 200, 2000, 20.0
-#: Plan nodes that a query may not hold: anything that writes, defines or runs a command, or reads outside the views.
-_QUERY = re.compile(r"\s*(select|with|from|values|table)\b", re.I)
+# A query is one SELECT; nothing in it writes, defines, runs a command or code, or reads outside the views.
+_QUERY = re.compile(r"\s*(select|with)\b", re.I)
 _DENIED = re.compile(r"\b(insert|update|delete|merge|create|drop|alter|truncate|replace\s+table|load|cache|uncache|refresh|msck|analyze|set|reset|add\s+jar|add\s+file|grant|revoke|call|execute|declare|use|transform|java_method|reflect|read_files)\b", re.I)
 _FILE = re.compile(r"\b(parquet|csv|json|orc|text|avro|binaryfile|delta)\s*\.\s*`", re.I)
 

@@ -261,7 +261,7 @@ def latest_sample(spark, sf_dir):
 @query(f"""WITH {EV}, w AS (SELECT *, max(t) OVER (PARTITION BY run_id) AS e FROM ev), n AS (SELECT run_id, seq, row_number() OVER (PARTITION BY run_id ORDER BY seq) - 1 AS i, count(*) OVER (PARTITION BY run_id) AS c FROM w WHERE t >= e - 1000000)
 SELECT run_id, seq FROM n WHERE c <= 20 OR i = c - 1 OR i IN (SELECT unnest([k * c // 20 FOR k IN range(19)]))""")
 def live_window_downsample(spark, sf_dir):
-    return sequence.live_window(snapshots(spark, sf_dir), 1_000_000, 20).select("run_id", "seq")
+    return sequence.live_window(snapshots(spark, sf_dir), 1_000_000, 20, most_seconds=1_000_000).select("run_id", "seq")
 
 
 CLOCK = "ck AS (SELECT run_id, seq, t AS recv, CASE WHEN seq % 17 <> 0 THEN t + (seq % 5) * 0.25 + (CASE WHEN seq % 1000 > 500 THEN 3600 ELSE 0 END) END AS pub FROM ev)"
