@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from voltlane.functions.scalar import day_start, epoch_s, local_date, local_time, normalized
-from voltlane.operators import catalog, intervals
+from voltlane.operators import catalog, intervals, library
 from voltlane.registry import query, table
 
 
@@ -234,3 +234,38 @@ def status_counts(spark, sf_dir):
     known = spark.createDataFrame([(k,) for k in "FOPX"], "status string")
     n = table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
     return known.join(n, "status", "left").select("status", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+
+@query("""WITH j AS (SELECT o_orderkey AS job_id, o_orderpriority AS lane, CASE WHEN o_orderkey % 7 = 0 THEN 'scan' ELSE 'parse' END AS kind, o_custkey AS rec, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'queued' ELSE 'running' END AS status, o_orderdate AS c, o_orderkey % 3 AS att FROM orders)
+SELECT lane, arg_min(job_id, {'c': c, 'j': job_id}) AS job_id FROM j WHERE status = 'queued' AND att < 2 AND (kind = 'scan' OR NOT EXISTS (SELECT 1 FROM j s WHERE s.rec = j.rec AND s.kind = 'scan' AND s.status IN ('queued', 'running'))) GROUP BY 1""")
+def next_jobs(spark, sf_dir):
+    k = F.col("o_orderkey")
+    status = F.when(F.col("o_orderstatus") == "F", "done").when(F.col("o_orderstatus") == "O", "queued").otherwise("running")
+    jobs = table(spark, sf_dir, "orders").select(k.alias("job_id"), F.col("o_orderpriority").alias("lane"), F.when(k % 7 == 0, "scan").otherwise("parse").alias("kind"), F.col("o_custkey").alias("recording_id"), status.alias("status"), F.col("o_orderdate").alias("created_at"), (k % 3).alias("attempts"))
+    return library.next_jobs(jobs)
+
+
+@query("""WITH a AS (SELECT o_custkey AS k, max(o_orderkey) AS v FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1), b AS (SELECT o_custkey AS k, max(o_orderkey) AS v FROM orders WHERE o_orderpriority <> '1-URGENT' GROUP BY 1)
+SELECT * FROM (SELECT k, CASE WHEN b.v IS NULL THEN 'add' WHEN a.v IS NULL THEN 'delete' WHEN a.v <> b.v THEN 'update' END AS action FROM a FULL OUTER JOIN b USING (k)) WHERE action IS NOT NULL""")
+def changed_documents(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    newest = lambda c: o.where(c).groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_orderkey").alias("v"))
+    return library.changed(newest("o_orderstatus <> 'P'"), newest("o_orderpriority <> '1-URGENT'"), ["k"], ["v"])
+
+
+@query("""SELECT s_name AS author, count(*) AS commits, sum(l_quantity) AS added, sum(l_linenumber)::BIGINT AS deleted, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS repos FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1""")
+def contributions(spark, sf_dir):
+    j = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    c = j.select(F.col("s_name").alias("author"), F.col("l_returnflag").alias("repo"), F.lit(1).alias("commits"), F.col("l_quantity").alias("added"), F.col("l_linenumber").alias("deleted"))
+    return library.contributions(c).withColumn("repos", F.array_join("repos", ","))
+
+
+@query("""WITH r AS (SELECT o_orderkey, strftime(timezone('America/New_York', timezone('UTC', o_orderdate)), '%Y-%m-%d') || '-' || right(o_custkey::VARCHAR, 6) AS stem, o_orderdate FROM orders),
+ n AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY o_orderdate, o_orderkey) AS n FROM r) SELECT o_orderkey, CASE WHEN n = 1 THEN stem ELSE stem || '-' || n END AS run_id FROM n""")
+def assigned_run_ids(spark, sf_dir):
+    """Run ids of recordings; here the id that gives the six characters is the customer's, so some meet on a day."""
+    o = table(spark, sf_dir, "orders").select(F.struct(F.col("o_orderkey"), F.col("o_custkey")).alias("r"), epoch_s("o_orderdate").alias("start_s"))
+    stem = F.concat_ws("-", local_date(F.col("start_s")), F.right(F.col("r.o_custkey").cast("string"), F.lit(6)))
+    n = F.row_number().over(Window.partitionBy("stem").orderBy("start_s", "r.o_orderkey"))
+    named = o.withColumn("stem", stem).withColumn("n", n)
+    return named.select("r.o_orderkey", F.when(F.col("n") == 1, F.col("stem")).otherwise(F.concat_ws("-", "stem", F.col("n").cast("string"))).alias("run_id"))
