@@ -37,8 +37,8 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of each text, and the text that they decode to."""
-    coded = sp_codec.encode(docs.select("doc_id", "lang", "source", "text"))
-    return sp_codec.decode(coded).select("doc_id", "lang", "source", "text", F.size("ids").cast("long").alias("n_pieces"), "ids")
+    coded = sp_codec.recode(docs.select("doc_id", "lang", "source", "text"), "__coded")
+    return coded.select("doc_id", "lang", "source", "__coded.text", F.size("__coded.ids").cast("long").alias("n_pieces"), "__coded.ids")
 
 
 STAGES = [("quality rules", quality), ("near dedup", near_dedup), ("decontamination", benchmark_free), ("personal data", private), ("sentencepiece", tokens)]

@@ -36,6 +36,8 @@ def test_op2_ids_are_the_librarys_and_come_back(spark, sf, library):
         t = texts[r["doc_id"]] or ""
         assert r["ids"] == library.encode(t)
         assert r["back"] == t.replace(pieces.MARK, " ")
+    both = sp_codec.recode(frame(spark, texts)).select("doc_id", "coded.*").collect()
+    assert {r["doc_id"]: (r["ids"], r["text"]) for r in both} == {r["doc_id"]: (r["ids"], r["back"]) for r in rows}
     assert all(r["round_trip"] for r in op2_sentencepiece(spark, sf).collect())
     assert sp_codec.encode(frame(spark, [])).count() == 0
 

@@ -25,9 +25,9 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    back = sp_codec.decode(sp_codec.encode(docs), out="back")
     plain = F.replace("text", F.lit(MARK), F.lit(" "))
-    return back.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), (F.col("back") == plain).alias("round_trip"))
+    coded = sp_codec.recode(docs)
+    return coded.select("doc_id", F.size("coded.ids").cast("long").alias("n_pieces"), F.xxhash64("coded.ids").alias("ids_hash"), (F.col("coded.text") == plain).alias("round_trip"))
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voltlane.llm.common import text_blocks
-from voltlane.llm.pieces import MARK, MEMO, Vocabulary, default_model, vocabulary
+from voltlane.llm.pieces import MARK, Vocabulary, default_model, vocabulary
+
+#: Pre-tokens and pairs that a Python worker remembers at most; then it starts anew.
+MEMO, PAIR_MEMO = 400_000, 800_000
 
 
 class Encoder:
@@ -35,6 +38,7 @@ class Encoder:
 
     def __init__(self, vocab: Vocabulary, unigram: bool = False):
         self.vocab, self.unigram = vocab, unigram
+        self.tails = {p[i:] for p in vocab.ids for i in range(len(p))}
         self.apart: dict[int, bool] = {}
         self.seen: dict[str, tuple[int, ...]] = {}
 
@@ -57,7 +61,7 @@ class Encoder:
         key = a << 20 | b
         known = self.apart.get(key)
         if known is None:
-            if len(self.apart) > 4 * MEMO:
+            if len(self.apart) > PAIR_MEMO:
                 self.apart.clear()
             x, y = self.vocab.pieces[a], self.vocab.pieces[b]
             known = self.apart[key] = self.merged(x + y) == [x, y]
@@ -66,7 +70,7 @@ class Encoder:
     def stream(self, chars: Iterable[str]) -> Iterator[int]:
         """Ids of a stream of characters (marks in place of spaces), committed as early as possible."""
         vocab, longest = self.vocab, self.vocab.longest
-        get, known, scores, unigram = vocab.ids.get, self.apart.get, vocab.scores, self.unigram
+        get, known, scores, unigram, tails = vocab.ids.get, self.apart.get, vocab.scores, self.unigram, self.tails
         text = ""  # the characters behind the positions that are kept
         # of each position: where its last piece begins, that piece's id (-1: no piece, -2: bytes), the path's score
         begin, last, score = [0], [-1], [0.0]
@@ -76,8 +80,11 @@ class Encoder:
             end += 1
             at, piece, best = -1, -2, 0.0
             for start in range(end - 1, max(-1, end - longest - 1), -1):
-                k = get(text[start:end])
+                part = text[start:end]
+                k = get(part)
                 if k is None:
+                    if part not in tails:
+                        break  # no piece ends like this
                     continue
                 if unigram:
                     if at < 0 or score[start] + scores[k] > best:
@@ -169,16 +176,38 @@ def encode(docs: DataFrame, out: str = "ids", model_path: str | None = None) ->
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def to_ids(texts: pa.Array) -> pa.Array:
-        coder, parts, sizes = coders(path)[0], [], [0]
+        return id_lists([coders(path)[0].encode(t) for block in text_blocks(texts) for t in block.to_pylist()])
+
+    # the optimizer may not copy it into each use of the ids, which would encode again for every one
+    return docs.withColumn(out, to_ids.asNondeterministic()("text"))
+
+
+def id_lists(rows: list[list[int]]) -> pa.Array:
+    sizes = np.zeros(len(rows) + 1, np.int64)
+    np.cumsum([len(r) for r in rows], out=sizes[1:])
+    flat = np.fromiter((i for r in rows for i in r), np.int32, int(sizes[-1]))
+    return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat, pa.int32()))
+
+
+def recode(docs: DataFrame, out: str = "coded", model_path: str | None = None) -> DataFrame:
+    """`docs` with a struct column `out`: the ids of the whole text, and the text decoded from those ids.
+
+    The same as `encode` and then `decode`, but one Python worker does both, so ids do not
+    leave it and return, and only one worker a core remembers pre-tokens."""
+    path = model_path or default_model()
+
+    @F.arrow_udf(T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("text", T.StringType())]))
+    def both(texts: pa.Array) -> pa.Array:
+        encoder, decoder = coders(path)
+        parts, back = [], []
         for block in text_blocks(texts):
-            for text in block.to_pylist():
-                ids = np.array(coder.encode(text), np.int32)
-                parts.append(ids)
-                sizes.append(len(ids))
-        flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-        return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), pa.array(flat, pa.int32()))
-
-    return docs.withColumn(out, to_ids("text"))
+            rows = [encoder.encode(t) for t in block.to_pylist()]
+            back += map(decoder.decode, rows)
+            parts.append(id_lists(rows))
+        ids = pa.concat_arrays(parts) if parts else id_lists([])
+        return pa.StructArray.from_arrays([ids, pa.array(back, pa.string())], names=["ids", "text"])
+
+    return docs.withColumn(out, both.asNondeterministic()("text"))
 
 
 def decode(rows: DataFrame, ids: str = "ids", out: str = "text", model_path: str | None = None) -> DataFrame:
