@@ -52,8 +52,8 @@ def without(docs: DataFrame, drop: DataFrame, limit: int = BROADCAST_IDS) -> Dat
 
 
 def in_training(doc_id: Column) -> Column:
-    """True for the three quarters of the documents that models may learn from."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 4 != 2
+    """True for the three quarters of the documents that models may learn from; false for a null doc_id."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 != 2, F.lit(False))
 
 
 def text_blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[pa.Array]:
