@@ -2,6 +2,7 @@ import hashlib
 import random
 import zlib
 
+import duckdb
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from voltlane.llm import chat, pieces, repair, sp_codec, token_count
-from voltlane.llm.queries import op2_sentencepiece, op4_chat_format, op5_token_count, op6_token_files
+from voltlane.llm.queries import ORACLE_SQL, op2_sentencepiece, op4_chat_format, op5_token_count, op6_token_files
 
 DOC = "doc_id long, text string, n_tokens string"
 ODD = ["", None, " ", "  a", "a  b ", "\n", "\n\n x", "a\tb", "Hello <s> </s> <unk>", "ﬁ é x y", "a\r\nb\x00c", "<0x41>", "😀 漢字テスト kanji", "a" * 300, "." * 200, " " * 100 + "x" + " " * 33, "1234567890" * 10, "▁a b▁c", "x². y²z", "<|endoftext|> It's <|ENDOFTEXT|>", "word " * 30000]
@@ -159,3 +160,13 @@ def test_op4_query(spark, sf):
         assert tuple(got[c])[1:5] == brute_chat(t) and got[c]["round_trip"]
     plan = op4_chat_format(spark, sf)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_op4_sql_gives_the_same_rows(spark, sf):
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{sf}/conversations.parquet'")
+    cur = con.execute(ORACLE_SQL["op4_chat_format"])
+    names = [d[0] for d in cur.description]
+    df = op4_chat_format(spark, sf)
+    assert sorted(df.columns) == sorted(names)
+    assert sorted(tuple(r) for r in df.select(*names).collect()) == sorted(cur.fetchall())
