@@ -38,8 +38,8 @@ END_ID = 1
 BLOCK_IDS = 2_000_000
 #: Rounds inside words and across words, pairs replaced a round, and how often a pair must occur.
 WORD_ROUNDS, STREAM_ROUNDS, PAIRS, LEAST = 10, 2, 1024, 32
-#: Words and pre-tokens that a Python worker remembers at most.
-MEMO, PART_MEMO = 800_000, 300_000
+#: Words that a Python worker remembers at most; it starts anew between shards.
+MEMO = 800_000
 
 SCHEMA = (
     "part int, block int, first_doc long, n_ids long, doc_ids array<long>, n_tokens array<int>, symbol_starts array<int>, "
@@ -62,7 +62,8 @@ def byte_letters() -> dict[int, str]:
 class WordCoder:
     """Ids of words, each encoded once. Words are cut at ASCII white space, which no token crosses.
 
-    Code c stands for the ids flat[begin[c]:begin[c + 1]]."""
+    Code c stands for the ids flat[begin[c]:begin[c + 1]]. Words that are one pre-token share
+    its code, so spellings that differ in capitals alone are one."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -72,40 +73,61 @@ class WordCoder:
         self.model = self.tokenizer.model
         self.letters = byte_letters()
         self.base = self.tokenizer.get_vocab_size()
-        self.parts: dict[str, list[int]] = {}
         self.clear()
 
     def clear(self) -> None:
-        self.codes: dict[bytes, int] = {}
+        self.codes = _Codes(self)
+        self.parts: dict[str, int] = {}
         self.flat, self.begin = array("i"), array("q", [0])
 
-    def word_ids(self, word: str) -> list[int]:
-        try:
-            word.encode("latin-1")
-        except UnicodeEncodeError:
-            return self.tokenizer.encode(word, add_special_tokens=False).ids
+    def code(self, ids) -> int:
+        self.flat.extend(ids)
+        self.begin.append(len(self.flat))
+        return len(self.begin) - 2
+
+    def part_code(self, part: str) -> int:
+        """The code of a lower-case pre-token."""
+        k = self.parts.get(part)
+        if k is None:
+            # the model alone is quicker than the whole tokenizer, whose other steps are done here
+            letters = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.letters)
+            k = self.parts[part] = self.code([t.id for t in self.model.tokenize(letters)])
+        return k
+
+    def word_code(self, word: str) -> int:
+        if word.isascii():
+            if word.isalpha():
+                return self.part_code(word.lower())
+        else:
+            try:
+                word.encode("latin-1")
+            except UnicodeEncodeError:
+                return self.code(self.tokenizer.encode(word, add_special_tokens=False).ids)
         if "'" in word or "<|" in word:
-            return self.tokenizer.encode(word, add_special_tokens=False).ids
-        out: list[int] = []
-        for part in PRETOKENS.findall(word.lower()):
-            ids = self.parts.get(part)
-            if ids is None:
-                if len(self.parts) > PART_MEMO:
-                    self.parts.clear()
-                # the model alone is quicker than the whole tokenizer, whose other steps are done here
-                ids = self.parts[part] = [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(self.letters))]
-            out += ids
-        return out
-
-    def codes_of(self, text: str) -> list[int]:
+            return self.code(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        parts = PRETOKENS.findall(word.lower())
+        if len(parts) == 1:
+            return self.part_code(parts[0])
+        ids: list[int] = []
+        for k in map(self.part_code, parts):
+            ids += self.flat[self.begin[k] : self.begin[k + 1]]
+        return self.code(ids)
+
+    def codes_of(self, text: str) -> np.ndarray:
         """The codes of a text's words, in order."""
-        words = text.encode().split()
-        codes = self.codes
-        for w in set(words).difference(codes):
-            codes[w] = len(self.begin) - 1
-            self.flat.extend(self.word_ids(w.decode()))
-            self.begin.append(len(self.flat))
-        return list(map(codes.__getitem__, words))
+        return np.frombuffer(array("q", map(self.codes.__getitem__, text.encode().split())), np.int64)
+
+
+class _Codes(dict):
+    """Codes by word; a new word gets its code when it is asked for."""
+
+    def __init__(self, coder: WordCoder):
+        super().__init__()
+        self.coder = coder
+
+    def __missing__(self, word: bytes) -> int:
+        code = self[word] = self.coder.word_code(word.decode())
+        return code
 
 
 def top_pairs(symbols: np.ndarray, joined: np.ndarray, weights: np.ndarray | None, most: int, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -243,7 +265,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str | None = None,
 
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                codes.append(np.array(coder.codes_of(text.as_py() or ""), np.int64))
+                codes.append(coder.codes_of(text.as_py() or ""))
                 ids.append(doc_id)
                 size += 3 * len(codes[-1]) + 1
                 if size >= block_ids:
@@ -275,15 +297,15 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 grammar = Grammar(row["base"], np.array(row["rules"], np.int64), np.array(row["rule_lengths"], np.int64))
-                symbols, bounds = _symbols(row), [*row["symbol_starts"], len(row["sequence"]) // (4 if row["wide"] else 2)]
-                sizes, sums = [], []
-                for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                    ids = grammar.expand(symbols[a:b])
-                    sizes.append(len(ids))
-                    sums.append(zlib.crc32(ids.astype("<u4").tobytes()))
+                symbols = _symbols(row)
+                ids = memoryview(grammar.expand(symbols).astype("<u4").tobytes())
+                before = np.concatenate([[0], np.cumsum(grammar.length[symbols])])
+                begin = before[row["symbol_starts"]]
+                sizes = np.diff(np.append(begin, before[-1]))
+                sums = [zlib.crc32(ids[4 * a : 4 * (a + n)]) for a, n in zip(begin.tolist(), sizes.tolist(), strict=True)]
                 n = len(sizes)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["doc_ids"], pa.int64()), pa.array([row["part"]] * n, pa.int32()), pa.array([row["block"]] * n, pa.int32()), pa.array(np.cumsum(sizes) - sizes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64())],
+                    [pa.array(row["doc_ids"], pa.int64()), pa.array([row["part"]] * n, pa.int32()), pa.array([row["block"]] * n, pa.int32()), pa.array(begin, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64())],
                     names=["doc_id", "part", "block", "at", "n_tokens", "ids_crc32"],
                 )
 
