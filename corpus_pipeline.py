@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltlane.llm import decontam, pii, quality_rules, simhash, sp_codec
+from voltlane.llm import decontam, near_copies, pii, quality_rules, sp_codec
 from voltlane.llm.common import table, written
 
 
@@ -21,8 +21,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each class of linked fingerprints stays."""
-    return simhash.dedup(docs)
+    """The first document of each class stays; texts whose five-word shingles are 0.8 similar are linked."""
+    return near_copies.dedup(docs)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voltlane.llm.common import text_blocks, without, written
+from voltlane.llm.common import BROADCAST_IDS, text_blocks, without, written
 
 BITS, MAX_DISTANCE = 64, 3
 SEED = 42
@@ -204,6 +204,25 @@ def hex_fingerprint(fp):
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
+def first_rows(docs: DataFrame, found: DataFrame, print_of) -> DataFrame:
+    """`docs` with one row of each class: one with its smallest doc_id. Rows with null doc_id stay.
+
+    found: doc_id, fp and class of every row; print_of gives fp from the text. It is decided by
+    doc_id and fp together, so a repeated doc_id loses only the texts that are linked elsewhere."""
+    rows = written(found.groupBy("doc_id", "fp", "class").agg(F.count("*").alias("n")), "classes")
+    first = rows.groupBy("class").agg(F.min(F.struct("doc_id", "fp")).alias("first"))
+    drop = rows.join(first, "class").where("doc_id <> first.doc_id or fp <> first.fp").select(F.col("doc_id").alias("__drop"), F.col("fp").alias("__fp"))
+    drop = written(drop, "drop")
+    if drop.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        drop = F.broadcast(drop)
+    marked = docs.withColumn("__own", print_of("text"))
+    kept = marked.join(drop, (F.col("doc_id") == F.col("__drop")) & (F.col("__own") == F.col("__fp")), "left_anti")
+    if rows.where("n > 1").isEmpty():
+        return kept.drop("__own")
+    once = kept.where("doc_id is not null").dropDuplicates(["doc_id", "__own"])
+    return once.unionByName(kept.where("doc_id is null")).drop("__own")
+
+
 def dedup(docs: DataFrame, size: int = 3) -> DataFrame:
     """`docs` with the first document of each class alone; a row with null doc_id stays."""
     found = written(classes(docs.where("doc_id is not null"), size), "classes")
