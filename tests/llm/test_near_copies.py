@@ -60,3 +60,10 @@ def test_stage_keeps_unlinked_texts_of_a_repeated_id(spark):
     rows = [(1, one), (2, one), (2, two), (2, two), (3, three), (3, one), (None, one), (None, one)]
     kept = sorted((r["doc_id"] or 0, r["text"]) for r in near_copies.dedup(frame(spark, rows)).collect())
     assert kept == sorted([(0, one), (0, one), (1, one), (2, two), (3, three)])
+
+
+def test_simhash_dedup_keeps_unlinked_texts_of_a_repeated_id(spark):
+    one, two, three = (" ".join(f"{k}{i}" for i in range(50)) for k in "xyz")
+    rows = [(1, one), (2, one), (2, two), (2, two), (3, three), (3, one), (4, two), (4, three), (None, one)]
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in simhash.dedup(frame(spark, rows)).collect())
+    assert kept == sorted([(0, one), (1, one), (2, two), (3, three)])

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voltlane.llm.common import BROADCAST_IDS, text_blocks, without, written
+from voltlane.llm.common import BROADCAST_IDS, text_blocks, written
 
 BITS, MAX_DISTANCE = 64, 3
 SEED = 42
@@ -224,11 +224,9 @@ def first_rows(docs: DataFrame, found: DataFrame, print_of) -> DataFrame:
 
 
 def dedup(docs: DataFrame, size: int = 3) -> DataFrame:
-    """`docs` with the first document of each class alone; a row with null doc_id stays."""
-    found = written(classes(docs.where("doc_id is not null"), size), "classes")
-    drop = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = without(docs, drop)
-    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    once = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return once.unionByName(kept.where("doc_id is null"))
+    """`docs` with one row of each class of linked fingerprints, one of its smallest doc_id; a row with null doc_id stays."""
+    own = docs.where("doc_id is not null")
+    prints = written(own.select("doc_id", fingerprint_udf(size)("text").alias("fp")), "fingerprints")
+    grouped = components(links(prints.select(F.col("fp").alias("node"), "fp").distinct())).withColumnRenamed("node", "fp")
+    named = prints.join(grouped, "fp", "left").select("doc_id", "fp", F.coalesce("component", "fp").alias("class"))
+    return first_rows(docs, named, fingerprint_udf(size))
