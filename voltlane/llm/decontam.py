@@ -3,8 +3,8 @@
 A spaced seed is a mask over a span of successive words; hashed are the words at its ones,
 so a substituted word under a zero does not matter. The masks' hashes of the benchmark
 are a sorted array, those of the documents are looked up in it at every position, and
-around each hit document and item are compared word by word along the hit's diagonal.
-An overlap counts if it has at least `min_words` aligned words (the whole item, if that
+each hit's diagonal of document and item is compared word by word. An overlap counts if it
+begins and ends on equal words and has at least `min_words` aligned words (the whole item, if that
 is shorter) of which at least `min_share` are equal.
 
 Words are runs of letters and digits, lower-cased. Items shorter than a mask's span are
@@ -52,6 +52,19 @@ def spaced(h: np.ndarray, seed: str, salt: int) -> np.ndarray:
     return out
 
 
+def longest(same: np.ndarray, least: int, share: float) -> tuple[int, int]:
+    """The longest stretch of at least `least` words that begins and ends on True and is True in `share` of its words; (0, 0) if none."""
+    at = np.flatnonzero(same)
+    if not len(at):
+        return 0, 0
+    score = np.arange(len(at)) - share * at  # a stretch from at[i] to at[j] is good if its gain is 0 or more
+    bound = np.minimum.accumulate(score)
+    i = np.searchsorted(-bound, -(score + 1 - share) - 1e-9)  # the first start that is low enough
+    size = at - at[i] + 1
+    j = int(np.argmax(size))
+    return (int(at[i[j]]), int(at[j]) + 1) if size[j] >= least else (0, 0)
+
+
 class BenchmarkIndex:
     """Sorted seed hashes of one chunk of items, with the place in the items that each stands for."""
 
@@ -65,6 +78,7 @@ class BenchmarkIndex:
         item = np.repeat(np.arange(len(sizes)), sizes)
         spans = {len(s) for s in seeds}
         short = sorted({int(n) for n in sizes if 0 < n < min(spans)})
+        self.sizes = sizes
         self.seeds = [*seeds, *("1" * n for n in short)]
         self.tables = []
         for k, seed in enumerate(self.seeds):
@@ -83,7 +97,7 @@ class BenchmarkIndex:
         """(text, item position, start and end word in the text, equal words), longest per text and item."""
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        done: dict[tuple[int, int, int], int] = {}  # of a diagonal: the end of its last overlap
+        done: set[tuple[int, int, int]] = set()
         for k, seed in enumerate(self.seeds):
             known, places, bits = self.tables[k]
             if not len(known):
@@ -99,35 +113,21 @@ class BenchmarkIndex:
                 for place in places[low[i] : high[i]].tolist():
                     d, item = int(doc[at[i]]), int(np.searchsorted(self.first, place, side="right")) - 1
                     diagonal = (d, item, int(at[i]) - place)
-                    if at[i] < done.get(diagonal, -1):
-                        continue
-                    start, end, equal = self._stretch(words, first, d, item, int(at[i]), place)
-                    if end <= start:
+                    if diagonal in done:
                         continue
-                    enough = min(self.min_words, int(self.first[item + 1] - self.first[item]))
-                    if end - start >= enough and equal >= self.min_share * (end - start):
-                        done[diagonal] = max(end, done.get(diagonal, -1))
-                        key = (d, item)
-                        if key not in best or equal > best[key][2]:
-                            best[key] = (start - int(first[d]), end - int(first[d]), equal)
+                    done.add(diagonal)
+                    start, end, equal = self._stretch(words, first, d, item, int(at[i]) - place)
+                    key = (d, item)
+                    if end > start and (key not in best or equal > best[key][2]):
+                        best[key] = (start - int(first[d]), end - int(first[d]), equal)
         return [(d, item, *v) for (d, item), v in best.items()]
 
-    def _stretch(self, words, first, d, item, at, place):
-        """The overlap around a hit: it grows while no three successive words differ, and ends on equal words."""
-        left = min(at - int(first[d]), place - int(self.first[item]))
-        right = min(int(first[d + 1]) - at, int(self.first[item + 1]) - place)
-        same = words[at - left : at + right] == self.words[place - left : place + right]
-        wrong = ~same
-        broken = np.flatnonzero(wrong[:-2] & wrong[1:-1] & wrong[2:]) if len(same) > 2 else np.zeros(0, int)
-        low = broken[broken < left]
-        low = int(low[-1]) + 3 if len(low) else 0
-        high = broken[broken >= left]
-        high = int(high[0]) if len(high) else len(same)
-        good = np.flatnonzero(same[low:high])
-        if not len(good):
-            return 0, 0, 0
-        a, b = low + int(good[0]), low + int(good[-1]) + 1
-        return at - left + a, at - left + b, int(same[a:b].sum())
+    def _stretch(self, words, first, d, item, shift):
+        """The longest overlap on a diagonal: begins and ends on equal words, long enough, enough of them equal."""
+        a = max(int(first[d]), int(self.first[item]) + shift)
+        b = min(int(first[d + 1]), int(self.first[item + 1]) + shift)
+        start, end = longest(words[a:b] == self.words[a - shift : b - shift], min(self.min_words, int(self.sizes[item])), self.min_share)
+        return a + start, a + end, int((words[a + start : a + end] == self.words[a + start - shift : a + end - shift]).sum())
 
 
 SCHEMA = "doc_id long, item_id long, start_word long, end_word long, equal_words long"
