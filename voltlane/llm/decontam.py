@@ -4,11 +4,15 @@ A spaced seed is a mask over a span of successive words; hashed are the words at
 so a substituted word under a zero does not matter. The masks' hashes of the benchmark
 are a sorted array, those of the documents are looked up in it at every position, and
 each hit's diagonal of document and item is compared word by word. An overlap counts if it
-begins and ends on equal words and has at least `min_words` aligned words (the whole item, if that
-is shorter) of which at least `min_share` are equal.
+begins and ends on equal words and has at least `min_words` aligned words (the whole item,
+if that is shorter) of which at least `min_share` are equal.
 
-Words are runs of letters and digits, lower-cased. Items shorter than a mask's span are
-found as exact runs of their words. The benchmark goes to the executors in chunks of at
+No overlap of 12 words and 80 % is without a hit: with e words substituted, at least 4e
+(10 if e is 2) equal ones fall into e + 1 runs, so one run has four words, unless 15 words
+are four runs of three, which the second mask is. Items of fewer words than that are looked
+up by the run that their own length leaves.
+
+Words are runs of letters and digits, lower-cased. The benchmark goes to the executors in chunks of at
 most CHUNK_WORDS words; a larger benchmark takes several passes over the documents, so
 what is broadcast stays bounded. Null and empty texts and items match nothing; repeated
 rows match alike.
@@ -16,6 +20,8 @@ rows match alike.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -24,10 +30,12 @@ from pyspark.sql import functions as F
 from voltlane.llm.common import RollingHash, byte_class, mix, runs, text_blocks, utf8, without
 
 #: Ones are hashed, zeros are ignored.
-SEEDS = ("111010110111", "110110101111", "111101101011")
+SEEDS = ("1111", "111011101110111")
 MIN_WORDS, MIN_SHARE = 12, 0.8
 #: Words of benchmark items that one pass broadcasts, at most (one longer item is a chunk of its own).
 CHUNK_WORDS = 2_000_000
+#: Hits that are compared at a time, about.
+HITS = 500_000
 
 WORD = byte_class(bytes(range(48, 58)) + bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256)))
 
@@ -52,6 +60,17 @@ def spaced(h: np.ndarray, seed: str, salt: int) -> np.ndarray:
     return out
 
 
+def least_equal(n: int, share: float) -> int:
+    """How many of n words must be equal."""
+    return math.ceil(n * share - 1e-9)
+
+
+def least_run(n: int, share: float) -> int:
+    """The longest run of equal words is at least this long if enough of n words are equal."""
+    wrong = n - least_equal(n, share)
+    return -(-(n - wrong) // (wrong + 1))
+
+
 def longest(same: np.ndarray, least: int, share: float) -> tuple[int, int]:
     """The longest stretch of at least `least` words that begins and ends on True and is True in `share` of its words; (0, 0) if none."""
     at = np.flatnonzero(same)
@@ -76,17 +95,15 @@ class BenchmarkIndex:
         sizes = np.concatenate([np.diff(o) for _, o in blocks]) if blocks else np.zeros(0, int)
         self.first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         item = np.repeat(np.arange(len(sizes)), sizes)
-        spans = {len(s) for s in seeds}
-        short = sorted({int(n) for n in sizes if 0 < n < min(spans)})
         self.sizes = sizes
-        self.seeds = [*seeds, *("1" * n for n in short)]
+        self.short = [0] * len(seeds) + sorted({int(n) for n in sizes if 0 < n < min_words})
+        self.seeds = [*seeds, *("1" * least_run(n, min_share) for n in self.short[len(seeds) :])]
         self.tables = []
         for k, seed in enumerate(self.seeds):
             h = spaced(self.words, seed, k + 1)
             at = np.arange(len(h))
             within = item[at] == item[at + len(seed) - 1] if len(at) else np.zeros(0, bool)
-            if k >= len(seeds):
-                within &= sizes[item[at]] == len(seed)
+            within &= sizes[item[at]] == self.short[k] if self.short[k] else sizes[item[at]] >= min_words
             h, at = h[within], at[within]
             order = np.argsort(h, kind="stable")
             bits = np.zeros(1 << 20, bool)
@@ -97,31 +114,63 @@ class BenchmarkIndex:
         """(text, item position, start and end word in the text, equal words), longest per text and item."""
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        done: set[tuple[int, int, int]] = set()
-        for k, seed in enumerate(self.seeds):
-            known, places, bits = self.tables[k]
-            if not len(known):
-                continue
-            h = spaced(words, seed, k + 1)
-            if not len(h):
-                continue
-            at = np.flatnonzero(bits[(h >> np.uint64(44)).astype(np.int64)])
-            at = at[doc[at] == doc[at + len(seed) - 1]]
-            low = np.searchsorted(known, h[at], side="left")
-            high = np.searchsorted(known, h[at], side="right")
-            for i in np.flatnonzero(high > low).tolist():
-                for place in places[low[i] : high[i]].tolist():
-                    d, item = int(doc[at[i]]), int(np.searchsorted(self.first, place, side="right")) - 1
-                    diagonal = (d, item, int(at[i]) - place)
-                    if diagonal in done:
-                        continue
-                    done.add(diagonal)
-                    start, end, equal = self._stretch(words, first, d, item, int(at[i]) - place)
-                    key = (d, item)
-                    if end > start and (key not in best or equal > best[key][2]):
-                        best[key] = (start - int(first[d]), end - int(first[d]), equal)
+        found = [x for k in range(len(self.seeds)) for x in self._diagonals(k, words, first, doc)]
+        if not found:
+            return []
+        for d, item, shift in np.unique(np.concatenate(found), axis=0).tolist():
+            start, end, equal = self._stretch(words, first, d, item, shift)
+            if end > start and ((d, item) not in best or equal > best[d, item][2]):
+                best[d, item] = (start - int(first[d]), end - int(first[d]), equal)
         return [(d, item, *v) for (d, item), v in best.items()]
 
+    def _diagonals(self, k, words, first, doc):
+        """Rows (text, item, position in the text less position in the items) of the hits of one seed that may be overlaps."""
+        (known, places, bits), seed = self.tables[k], self.seeds[k]
+        h = spaced(words, seed, k + 1)
+        if not len(known) or not len(h):
+            return
+        at = np.flatnonzero(bits[(h >> np.uint64(44)).astype(np.int64)])
+        at = at[doc[at] == doc[at + len(seed) - 1]]
+        low = np.searchsorted(known, h[at], side="left")
+        n = np.searchsorted(known, h[at], side="right") - low
+        at, low, n = at[n > 0], low[n > 0], n[n > 0]
+        ends = np.cumsum(n)
+        begin = 0
+        while begin < len(at):
+            upto = max(begin + 1, int(np.searchsorted(ends, (ends[begin] - n[begin]) + HITS, side="right")))
+            m = n[begin:upto]
+            hit = np.repeat(at[begin:upto], m)
+            place = places[np.repeat(low[begin:upto], m) + np.arange(len(hit)) - np.repeat(np.cumsum(m) - m, m)]
+            item = np.searchsorted(self.first, place, side="right") - 1
+            good = self._promising(k, words, first, doc[hit], item, hit, place)
+            yield np.stack([doc[hit], item, hit - place], axis=1)[good]
+            begin = upto
+
+    def _promising(self, k, words, first, d, item, at, place):
+        """False for hits that are in no overlap; the shortest overlaps, of fewer than 2 * min_words, are in all others."""
+        if self.short[k]:
+            low, span = self.first[item] - place, self.short[k]
+            need, tries = least_equal(span, self.min_share), 1
+        else:
+            span = self.min_words
+            tries = span - len(self.seeds[k]) + 1
+            if tries < 1:
+                return np.ones(len(at), bool)
+            low = np.full(len(at), 1 - tries)
+            most = 2 * span - 1
+            need = span - (most - least_equal(most, self.min_share))
+        inside = np.zeros((tries + span - 1, len(at)), np.int16)
+        same = np.zeros((tries + span - 1, len(at)), np.int16)
+        for j in range(len(inside)):
+            x, y = at + low + j, place + low + j
+            ok = (x >= first[d]) & (x < first[d + 1]) & (y >= self.first[item]) & (y < self.first[item + 1])
+            inside[j] = ok
+            same[j] = ok & (words[np.where(ok, x, 0)] == self.words[np.where(ok, y, 0)])
+        good = np.zeros(len(at), bool)
+        for j in range(tries):
+            good |= (inside[j : j + span].sum(0) == span) & (same[j : j + span].sum(0) >= need)
+        return good
+
     def _stretch(self, words, first, d, item, shift):
         """The longest overlap on a diagonal: begins and ends on equal words, long enough, enough of them equal."""
         a = max(int(first[d]), int(self.first[item]) + shift)
