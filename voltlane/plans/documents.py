@@ -182,6 +182,12 @@ def schema_detect_strict(spark, sf_dir):
     return ingest.detect(m.join(small, "run_id", "left_semi"))
 
 
+@query()
+def schema_detect_all(spark, sf_dir):
+    """Strict detection of every stream; of one with over a hundred messages, by its first fifty and fifty spread ones."""
+    return ingest.detect(payloads(spark, sf_dir))
+
+
 @query("SELECT user_id AS run_id, count(*) AS seen, count(*) FILTER (WHERE event_id % 101 = 0 OR event_id % 211 = 0) AS rejected FROM events WHERE user_id % 3 = 1 GROUP BY 1")
 def ingest_counters(spark, sf_dir):
     m = payloads(spark, sf_dir).where("run_id % 3 = 1")
