@@ -32,16 +32,29 @@ def tokenize_match(spark, sf_dir):
     return d.select("doc_id", F.size("w").cast("long").alias("n_words"), F.size(F.array_distinct("w")).cast("long").alias("n_distinct"), F.when(F.size("w") > 0, n).alias("stem_chars"))
 
 
+def holding_all(texts, asked):
+    """Of each question (query_id, stems s): how many texts hold all its stems, and the first of them."""
+    need = asked.select("query_id", F.explode(F.array_distinct("s")).alias("s"))
+    have = texts.select("doc_id", F.explode(F.array_distinct(words_of.stems(F.col("text")))).alias("s"))
+    total = need.groupBy("query_id").agg(F.count("*").alias("need"))
+    met = have.join(need, "s").groupBy("query_id", "doc_id").agg(F.count("*").alias("n")).join(total, "query_id").where("n = need")
+    return met.groupBy(F.col("query_id").alias("item_id")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+
+
 @query(f"""WITH d AS (SELECT doc_id, list_transform({WORDS('text')}, lambda w: {STEM('w')}) AS s FROM documents), q AS (SELECT item_id, list_transform(list_slice({WORDS('text')}, 1, 2), lambda w: {STEM('w')}) AS s FROM benchmark)
 SELECT item_id, count(*) AS n, min(doc_id) AS first_doc FROM d, q WHERE list_has_all(d.s, q.s) GROUP BY 1""")
 def matches_filter(spark, sf_dir):
     """Documents that hold the first two words of each question, stem for stem: the stems of the
     questions are joined as terms, and a document matches if it has all of a question's."""
-    need = questions(spark, sf_dir).select("query_id", F.explode(F.array_distinct(F.transform(F.slice(words_of.words(F.col("q")), 1, 2), words_of.stem))).alias("s"))
-    have = docs(spark, sf_dir).select("doc_id", F.explode(F.array_distinct(words_of.stems(F.col("text")))).alias("s"))
-    total = need.groupBy("query_id").agg(F.count("*").alias("need"))
-    met = have.join(need, "s").groupBy("query_id", "doc_id").agg(F.count("*").alias("n")).join(total, "query_id").where("n = need")
-    return met.groupBy(F.col("query_id").alias("item_id")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+    need = questions(spark, sf_dir).select("query_id", F.transform(F.slice(words_of.words(F.col("q")), 1, 2), words_of.stem).alias("s"))
+    return holding_all(docs(spark, sf_dir), need)
+
+
+@query(f"""WITH d AS (SELECT doc_id, list_transform({WORDS('text')}, lambda w: {STEM('w')}) AS s FROM documents), q AS (SELECT item_id, list_transform({WORDS('text')}, lambda w: {STEM('w')}) AS s FROM benchmark)
+SELECT item_id, count(*) AS n, min(doc_id) AS first_doc FROM d, q WHERE len(q.s) > 0 AND list_has_all(d.s, q.s) GROUP BY 1""")
+def matches_filter_all(spark, sf_dir):
+    """Documents that hold all words of each question, stem for stem."""
+    return holding_all(docs(spark, sf_dir), questions(spark, sf_dir).select("query_id", words_of.stems(F.col("q")).alias("s")))
 
 
 BM25 = f"""tok AS (SELECT doc_id, {WORDS('text')} AS w FROM documents), dl AS (SELECT doc_id, len(w)::DOUBLE AS dl FROM tok), tot AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS avgdl FROM dl),
@@ -194,6 +207,12 @@ def ingest_counters(spark, sf_dir):
     return ingest.counters(m, "telemetry.v2").select("run_id", "seen", "rejected")
 
 
+@query("SELECT user_id AS run_id, count(*) AS seen, count(*) FILTER (WHERE user_id % 3 <> 1 OR event_id % 101 = 0 OR event_id % 211 = 0) AS rejected FROM events GROUP BY 1")
+def ingest_counters_all(spark, sf_dir):
+    """Every stream against v2; messages of other shapes are rejects."""
+    return ingest.counters(payloads(spark, sf_dir), "telemetry.v2").select("run_id", "seen", "rejected")
+
+
 @query("""WITH e AS (SELECT user_id AS run_id, event_id AS seq, floor(value) AS v, event_id // 2 AS s FROM events WHERE event_id % 101 <> 0 AND event_id % 211 <> 0), l AS (SELECT *, lag(v) OVER w AS v0, lag(s) OVER w AS s0 FROM e WINDOW w AS (PARTITION BY run_id ORDER BY seq))
 SELECT run_id, count(*) AS n, round(sum(v), 2) AS volts, min(s) AS first_device_seq FROM l WHERE v0 IS NULL OR v <> v0 OR s <> s0 GROUP BY 1""")
 def ingest_snapshots(spark, sf_dir):
