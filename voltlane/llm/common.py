@@ -13,22 +13,31 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass looks at. A longer text is a block of its own.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
+
+
+#: Rows and bytes of one Arrow batch, where the session sets none: texts can be long.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table below `sf_dir`; the session's Arrow batches become small, unless it sets their size itself."""
+    for key, value in BATCH.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def scratch(spark: SparkSession, what: str) -> str:
     """A new folder below the cluster's shared checkpoint folder.
 
-    The setting of the session wins; a local folder is made only where it is unset."""
+    The setting of the session wins. Where it is unset, a cluster's session uses its
+    warehouse, which all machines share; only a session without a cluster makes a local one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
+    if not base and spark.sparkContext.master.startswith("local"):
         base = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/voltlane/{what}-{uuid.uuid4().hex}"
+    return f"{(base or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/voltlane/{what}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
@@ -43,11 +52,15 @@ def written(df: DataFrame, what: str) -> DataFrame:
 BROADCAST_IDS = 1_000_000
 
 
+def small(rows: DataFrame, what: str, limit: int = BROADCAST_IDS) -> DataFrame:
+    """`rows` as a table in the shared folder, to be broadcast if they are at most `limit`."""
+    rows = written(rows, what)
+    return F.broadcast(rows) if rows.limit(limit + 1).count() <= limit else rows
+
+
 def without(docs: DataFrame, drop: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
     """`docs` without the rows whose doc_id is in `drop` (distinct doc_ids); null doc_ids stay."""
-    ids = written(drop.select(F.col("doc_id").alias("__drop")), "drop")
-    if ids.limit(limit + 1).count() <= limit:
-        ids = F.broadcast(ids)
+    ids = small(drop.select(F.col("doc_id").alias("__drop")), "drop", limit)
     return docs.join(ids, F.col("doc_id") == F.col("__drop"), "left_anti")
 
 
@@ -120,7 +133,7 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def _power(base: int, n: int) -> np.ndarray:
-    if len(_powers.get(base, ())) < n:
+    if base not in _powers or len(_powers[base]) < n:
         p = np.full(max(n, 1 << 16), base, np.uint64)
         p[0] = 1
         _powers[base] = np.cumprod(p, dtype=np.uint64)
