@@ -174,7 +174,7 @@ def components(edges: DataFrame) -> DataFrame:
             out = met.where("v > u").select(F.col("m").alias("src"), F.col("v").alias("dst"))
         else:
             out = met.where("v <> m").select(F.col("m").alias("src"), F.col("v").alias("dst")).unionAll(least.select(F.col("m").alias("src"), F.col("u").alias("dst")))
-        return out.where("src <> dst").distinct()
+        return out.where("src <> dst")
 
     def sign(e: DataFrame):
         return e.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
@@ -182,7 +182,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = written(edges.where("src <> dst").distinct(), "edges")
     seen = sign(edges)
     while seen[0]:
-        edges = written(star(star(edges, True), False), "edges")
+        edges = written(star(star(edges, True), False).distinct(), "edges")
         now = sign(edges)
         if now == seen:
             break
