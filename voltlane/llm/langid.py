@@ -5,10 +5,18 @@ look-ups and two ANDs give the set of all languages that contain an n-gram. Per
 the set bits are counted per language, corrected for the share of false positives that
 each language's fill gives, and the largest corrected count wins.
 
+N-grams are four successive bytes of the lower-cased text between spaces, and none reaches
+into a neighbouring text, so an answer depends on the text alone, whatever stands before or
+after it. Any number of languages is learned: a slot is one or more words of bits.
+
+The filter is fitted on a bounded sample of labelled rows: about DOCS_PER_LANG documents of
+each language, and their GRAMS_PER_LANG most frequent n-grams at most. Both are parameters.
+
 Null texts and texts without a letter get `und` and score 0. Texts with letters but no
-known n-gram get the most common learned language with score 0. Without training rows
-every text gets `und`. Repeated rows get equal answers; ties go to the first language
-by name.
+known n-gram get the first learned language by name with score 0. Without training rows
+every text gets `und`, an empty table gives no rows, and very long texts are read whole.
+Repeated rows get equal answers; ties go to the first language by name. Other columns are
+kept; one named like the result is replaced.
 """
 
 from __future__ import annotations
@@ -21,18 +29,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voltlane.llm.common import in_training, mix, text_blocks, totals, utf8
+from voltlane.llm.common import in_training, small, text_blocks, totals
 
-#: Training documents for each language, at most (lowest hashes of doc_id first).
+#: Training documents for each language, about: those whose hash is below the share that this makes of the language's rows.
 DOCS_PER_LANG = 3_000
-#: N-grams kept for each language, most frequent first.
+#: N-grams kept for each language at most, most frequent first; of equally frequent ones all or none.
 GRAMS_PER_LANG = 30_000
 GRAM = 4
-MAX_LANGS = 64
+#: Bits of one word of a slot.
+WORD = 64
 
 
 def padded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-cased texts between spaces, as one buffer and where each begins."""
+    """Lower-cased texts between spaces, as one buffer and where each begins; all have an n-gram of their own."""
     parts = [b" " + t.lower().encode() + b"   " for t in texts.to_pylist()]
     offsets = np.zeros(len(parts) + 1, np.int64)
     np.cumsum([len(p) for p in parts], out=offsets[1:])
@@ -46,9 +55,19 @@ def grams(buf: np.ndarray) -> np.ndarray:
     return x[:n] | x[1 : n + 1] << np.uint32(8) | x[2 : n + 2] << np.uint32(16) | x[3 : n + 3] << np.uint32(24)
 
 
+def own_grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams that lie within one text each, in order, and where each text's begin (one more at the end)."""
+    buf, offsets = padded(texts)
+    last = np.zeros(len(buf) + 1, bool)
+    for k in range(1, GRAM):
+        last[offsets[1:] - k] = True
+    g = grams(buf)
+    return g[~last[: len(g)]], offsets - (GRAM - 1) * np.arange(len(offsets))
+
+
 @dataclass
 class LanguageFilter:
-    """A bit-sliced Bloom filter: `slots[h]` has bit L set if language L has an n-gram with hash h."""
+    """A bit-sliced Bloom filter: word L // 64 of `slots[:, h]` has bit L % 64 set if language L has an n-gram with hash h."""
 
     langs: list[str]
     slots: np.ndarray
@@ -57,33 +76,33 @@ class LanguageFilter:
 
     @staticmethod
     def build(langs: list[str], grams_of: list[np.ndarray], bits: int = 20, hashes: int = 3) -> LanguageFilter:
-        width = next(w for w in (np.uint8, np.uint16, np.uint32, np.uint64) if np.dtype(w).itemsize * 8 >= len(langs))
-        slots = np.zeros(1 << bits, width)
+        width = next(w for w in (np.uint8, np.uint16, np.uint32, np.uint64) if np.dtype(w).itemsize * 8 >= min(len(langs), WORD))
+        slots = np.zeros((-(-len(langs) // WORD), 1 << bits), width)
+        fill = np.zeros(len(langs))
         for k, g in enumerate(grams_of):
+            row, bit = slots[k // WORD], width(1 << k % WORD)
             for at in positions(g.astype(np.uint32), bits, hashes):
-                np.bitwise_or.at(slots, at, width(1 << k))
-        fill = np.array([((slots >> width(k)) & width(1)).mean() for k in range(len(langs))])
+                np.bitwise_or.at(row, at, bit)
+            fill[k] = ((row & bit) != 0).mean()
         return LanguageFilter(langs, slots, hashes, fill**hashes)
 
     def masks(self, g: np.ndarray) -> np.ndarray:
-        """The set of languages that contain each n-gram, as bits."""
+        """The set of languages that contain each n-gram, as bits: one row for each word of a slot."""
         out = None
-        for at in positions(g, len(self.slots).bit_length() - 1, self.hashes):
-            found = self.slots[at]
+        for at in positions(g, self.slots.shape[1].bit_length() - 1, self.hashes):
+            found = self.slots[:, at]
             out = found if out is None else out & found
         return out
 
     def counts(self, texts: pa.Array) -> np.ndarray:
         """Corrected counts of known n-grams, one row per text and one column per language."""
-        buf, offsets = padded(texts)
-        g = grams(buf)
-        ends = np.minimum(offsets, len(g))
+        g, begin = own_grams(texts)
         masks = self.masks(g)
-        n = np.maximum(np.diff(ends), 1)
+        n = np.maximum(np.diff(begin), 1)
         out = np.empty((len(texts), len(self.langs)))
         for k, false in enumerate(self.false_share):
-            seen = totals((masks >> masks.dtype.type(k)) & masks.dtype.type(1), ends)
-            out[:, k] = np.maximum((seen - n * false) / (1 - false), 0)
+            seen = totals((masks[k // WORD] & masks.dtype.type(1 << k % WORD)) != 0, begin)
+            out[:, k] = np.maximum((seen - n * false) / (1 - false), 0) if false < 1 else 0
         return out
 
 
@@ -99,11 +118,11 @@ def lettered(text: str | None) -> bool:
 
 def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, grams_per_lang: int = GRAMS_PER_LANG) -> LanguageFilter | None:
     """The filter, from text and lang of a bounded sample of the training documents."""
-    known = docs.where(in_training(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
-    langs = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).select("lang")
-    near = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = known.join(F.broadcast(langs), "lang").withColumn("at", F.row_number().over(near)).where(F.col("at") <= docs_per_lang).select("doc_id").distinct()
-    sample = docs.select("doc_id", "text", "lang").join(F.broadcast(picked), "doc_id").where("text is not null and lang is not null")
+    known = docs.where(in_training(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", F.col("lang").cast("string").alias("lang"))
+    # the share of its rows that each language gives; equal texts of a language count once
+    shares = small(known.groupBy("lang").count().select(F.col("lang").alias("__lang"), (F.lit(float(docs_per_lang)) / F.col("count")).alias("share")), "languages")
+    place = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
+    sample = known.join(shares, F.col("lang") == F.col("__lang")).where(place < F.col("share")).select("text", "lang").dropDuplicates(["text", "lang"])
 
     def count(batches):
         for batch in batches:
@@ -111,7 +130,7 @@ def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, grams_per_lang: i
             for tag in sorted(set(tags)):
                 found: dict[int, int] = {}
                 for block in text_blocks(batch.column("text").filter(pa.array(tags == tag))):
-                    g, n = np.unique(grams(padded(block)[0]), return_counts=True)
+                    g, n = np.unique(own_grams(block)[0], return_counts=True)
                     for a, b in zip(g.tolist(), n.tolist(), strict=True):
                         found[a] = found.get(a, 0) + b
                 yield pa.RecordBatch.from_arrays([pa.array([tag] * len(found), pa.string()), pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], names=["lang", "gram", "n"])
@@ -121,8 +140,10 @@ def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, grams_per_lang: i
     total = counted.groupBy("lang").agg(F.sum("n").alias("total"))
     share = counted.join(F.broadcast(total), "lang").withColumn("share", F.col("n") / F.col("total"))
     own = share.withColumn("most", F.max("share").over(Window.partitionBy("gram"))).where((F.col("share") >= 0.5 * F.col("most")) & (F.col("n") >= 3))
-    top = own.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("at") <= grams_per_lang)
-    rows = top.select("lang", "gram").toPandas()
+    # how frequent the last n-gram is that a language keeps
+    rank = Window.partitionBy("lang").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
+    least = own.groupBy("lang", "n").agg(F.count("*").alias("grams")).withColumn("upto", F.sum("grams").over(rank)).where(F.col("upto") <= grams_per_lang).groupBy("lang").agg(F.min("n").alias("least"))
+    rows = own.join(F.broadcast(least), "lang").where("n >= least").select("lang", "gram").toPandas()
     if not len(rows):
         return None
     names = sorted(rows["lang"].unique())
