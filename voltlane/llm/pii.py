@@ -2,16 +2,22 @@
 
 Everything here is DataFrame functions. The patterns are possessive and start only where
 a run can start, so they are linear in the text; they match what their plain forms match.
-
-Beyond the patterns, corpus co-occurrence says which words reveal a protected value: over
-the distinct contexts (CONTEXT code points to either side) in which values occur, a term's
-pointwise mutual information with a value is set against the value's own information.
-A term that gives away at least `disclosure` of it, in at least `support` distinct contexts
-of the value, is sanitised too, in all documents that hold the value. Contexts that are
-equal count once, so copies of a document prove nothing.
-
-Null texts count as empty; a null doc_id gets its base spans; repeated rows get equal
-spans; a term span that touches a base span is dropped, base spans all stay.
+Positions are summed in chunks of CHUNK matches, so a text with very many matches stays
+near-linear too.
+
+Beyond the patterns, corpus co-occurrence says which terms reveal a protected entity. The
+entities of a match are its value and what the value belongs to: an address's person and
+domain, a network, a card's issuer, a phone's area. Over the corpus's distinct texts, a
+term's pointwise mutual information with an entity is set against the entity's own
+information. A term that gives away at least `disclosure` of it, and stands near it
+(CONTEXT code points to either side) in at least `support` distinct contexts, is sanitised
+too, in all texts that hold the entity. Contexts and texts that are equal count once, so
+exact copies prove nothing.
+
+Null texts count as empty and have no spans. Spans depend on the text alone, so rows with
+null doc_id and repeated rows are treated alike. Terms stand apart from base spans, and
+base spans all stay. An empty table gives no rows. Other columns are kept; `sanitise`
+changes text and n_chars only.
 """
 
 from __future__ import annotations
@@ -19,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voltlane.llm.common import written
+from voltlane.llm.common import small, written
 
 KINDS = ("email", "ip", "card", "phone", "term")
 PATTERNS = {
@@ -30,8 +36,15 @@ PATTERNS = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?+[0-9]){11,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-CONTEXT, DISCLOSURE, SUPPORT = 60, 0.8, 3
-TERM = r"[\p{L}][\p{L}\p{M}]{2,}+"
+CONTEXT, DISCLOSURE, SUPPORT = 60, 0.8, 2
+#: The least information of a protected entity, in bits: what more than an eighth of the texts hold is no secret.
+OWN_BITS = 3.0
+TERM = r"(?<![\p{L}\p{N}\p{M}])\p{L}[\p{L}\p{M}]{2,}+(?!\p{N})"
+#: Matches whose positions are summed at a time.
+CHUNK = 256
+#: Rows about disclosing terms that are broadcast, at most; more are joined by a shuffle.
+BROADCAST_ROWS = 50_000
+SPANS = "array<struct<start:bigint,rank:int,end:bigint,kind:string,value:string>>"
 
 
 def valid(kind: str, value: Column) -> Column:
@@ -47,18 +60,39 @@ def valid(kind: str, value: Column) -> Column:
     return F.length(digits).between(9, 15)
 
 
-def placed(text: Column, pattern: Column | str, matches: Column, kind: str) -> Column:
+def let(value: Column, use) -> Column:
+    """`use(value)`, with the value computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def chunks(items: Column) -> Column:
+    """An array cut into arrays of CHUNK items."""
+
+    def cut(a: Column) -> Column:
+        starts = F.when(F.size(a) > 0, F.sequence(F.lit(0), ((F.size(a) - 1) / CHUNK).cast("int"))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda k: F.slice(a, k * CHUNK + 1, F.lit(CHUNK)))
+
+    return let(items, cut)
+
+
+def placed(text: Column, pattern: str, matches: Column, kind: str) -> Column:
     """array<struct<start,rank,end,kind,value>>: where the matches of a pattern stand, in code points."""
     gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches))
-    rank = KINDS.index(kind)
-    span = lambda at, m: F.struct(at.cast("long").alias("start"), F.lit(rank).alias("rank"), (at + F.length(m)).cast("long").alias("end"), F.lit(kind).alias("kind"), m.alias("value"))
-    empty = F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string,value:string>>")
+    rank = F.lit(KINDS.index(kind))
+    empty = F.array().cast(SPANS)
+    moved = lambda s, by: F.struct((s["start"] + by).alias("start"), s["rank"].alias("rank"), (s["end"] + by).alias("end"), s["kind"].alias("kind"), s["value"].alias("value"))
+    span = lambda at, m: F.struct(at.alias("start"), rank.alias("rank"), (at + F.length(m)).alias("end"), F.lit(kind).alias("kind"), m.alias("value"))
     step = lambda acc, p: F.struct(
         (acc["at"] + F.length(p["gap"]) + F.length(p["m"])).alias("at"),
         F.concat(acc["spans"], F.array(span(acc["at"] + F.length(p["gap"]), p["m"]))).alias("spans"),
     )
     pairs = F.zip_with(gaps, matches, lambda g, m: F.struct(g.alias("gap"), m.alias("m")))
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step, lambda acc: acc["spans"])
+    start = F.lit(0).cast("long").alias("at")
+    inner = F.transform(chunks(pairs), lambda part: F.aggregate(part, F.struct(start, empty.alias("spans")), step))
+    outer = lambda acc, part: F.struct(
+        (acc["at"] + part["at"]).alias("at"), F.concat(acc["parts"], F.array(F.transform(part["spans"], lambda s: moved(s, acc["at"])))).alias("parts")
+    )
+    return F.aggregate(inner, F.struct(start, F.array().cast(f"array<{SPANS}>").alias("parts")), outer, lambda acc: F.flatten(acc["parts"]))
 
 
 HINTS = {"email": "@", "phone": "+"}
@@ -74,7 +108,7 @@ def base_spans(docs: DataFrame, out: str = "spans") -> DataFrame:
         may = text.contains(HINTS[k]) if k in HINTS else text.rlike(r"[0-9]++\.[0-9]++\.[0-9]++\." if k == "ip" else r"[0-9](?:[\x20-]?+[0-9]){11}")
         found[f"__{k}"] = F.when(may, F.regexp_extract_all(text, F.lit(PATTERNS[k]), F.lit(0))).otherwise(none)
     seen = docs.withColumns(found)
-    empty = F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string,value:string>>")
+    empty = F.array().cast(SPANS)
 
     def checked(kind: str) -> Column:
         spans = placed(text, PATTERNS[kind], F.col(f"__{kind}"), kind)
@@ -84,64 +118,89 @@ def base_spans(docs: DataFrame, out: str = "spans") -> DataFrame:
     return seen.withColumn(out, F.array_sort(F.concat(*spans))).drop(*found)
 
 
-def contexts(text: Column, span: Column) -> Column:
-    """The text around a span, without the words that the window cuts."""
-    start, end = span["start"].cast("int"), span["end"].cast("int")
-    low = F.greatest(start - F.lit(CONTEXT), F.lit(0))
-    left = F.substring(text, low + 1, start - low)
-    left = F.when(low > 0, F.regexp_replace(left, r"^\S+", "")).otherwise(left)
-    right = F.regexp_replace(F.substring(text, end + 1, F.lit(CONTEXT)), r"\S+$", "")
-    return F.concat_ws("\n", left, right)
+def contexts(text: Column, spans: Column) -> Column:
+    """The spans' entities, and the text around each without the words that the window cuts."""
+
+    def around(s: Column, low: Column, stretch: Column) -> Column:
+        start, end = s["start"], s["end"]
+        first = F.greatest(start - CONTEXT, F.lit(0))
+        cut = lambda a, b: F.substring(stretch, (a - low + 1).cast("int"), (b - a).cast("int"))
+        left = F.when(first > 0, F.regexp_replace(cut(first, start), r"^\S+", "")).otherwise(cut(first, start))
+        right = F.regexp_replace(cut(end, end + CONTEXT), r"\S+$", "")
+        return F.struct(entities(s).alias("entities"), F.concat_ws("\n", left, right).alias("context"))
 
+    # a chunk's own stretch of the text, so that no window is looked up from the text's beginning
+    low = lambda some: F.greatest(F.element_at(some, 1)["start"] - CONTEXT, F.lit(0))
+    high = lambda some: F.array_max(F.transform(some, lambda s: s["end"])) + CONTEXT
+    stretches = F.transform(chunks(spans), lambda some: F.struct(some.alias("spans"), low(some).alias("low"), F.substring(text, (low(some) + 1).cast("int"), (high(some) - low(some)).cast("int")).alias("text")))
+    return F.flatten(F.transform(stretches, lambda c: F.transform(c["spans"], lambda s: around(s, c["low"], c["text"]))))
 
-def entity(span: Column) -> Column:
-    """One name for a protected value however it is written."""
-    return F.concat(span["kind"], F.lit(":"), F.when(span["kind"].isin("card", "phone"), F.regexp_replace(span["value"], "[^0-9]", "")).otherwise(F.lower(span["value"])))
+
+def entities(span: Column) -> Column:
+    """Names of the protected value, however it is written, and of what it belongs to."""
+    kind, digits, value = span["kind"], F.regexp_replace(span["value"], "[^0-9]", ""), F.lower(span["value"])
+    person, domain = F.regexp_replace(F.substring_index(value, "@", 1), "[^a-z]", ""), F.substring_index(value, "@", -1)
+    whole = F.concat(kind, F.lit(":"), F.when(kind.isin("card", "phone"), digits).otherwise(value))
+    email = F.array(whole, F.concat(F.lit("person:"), person), F.concat(F.lit("domain:"), domain))
+    part = lambda name, of: F.array(whole, F.concat(F.lit(f"{name}:"), of))
+    return F.when(kind == "email", email).when(kind == "ip", part("network", F.substring_index(value, ".", 2))).when(kind == "card", part("issuer", F.substring(digits, 1, 6))).otherwise(part("area", F.substring(digits, 1, 4)))
+
+
+def text_keys() -> list[Column]:
+    """Two hashes that name a text."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return [F.xxhash64(text).alias("key"), F.xxhash64(F.lit(1), text).alias("key2")]
+
+
+KEYS = ["key", "key2"]
 
 
 def found_in(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, spans, around: a light row for every document, written for several uses."""
+    """doc_id, keys of the text, spans, around: a light row for every document, written for several uses."""
     text = F.coalesce(F.col("text"), F.lit(""))
     seen = base_spans(docs.select("doc_id", "text"))
-    around = F.transform("spans", lambda s: F.struct(entity(s).alias("entity"), contexts(text, s).alias("context")))
-    return written(seen.select("doc_id", F.xxhash64(text).alias("text_key"), "spans", around.alias("around")), "pii")
+    return written(seen.select("doc_id", *text_keys(), "spans", contexts(text, F.col("spans")).alias("around")), "pii")
 
 
-def disclosing(found: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """entity, term: the terms that reveal a protected value, from all contexts of the corpus."""
-    seen = found.where(F.size("around") > 0).select(F.explode("around").alias("a")).select("a.entity", F.xxhash64("a.context").alias("at"), "a.context")
-    distinct = seen.groupBy("entity", "at").agg(F.min("context").alias("context"))
-    terms = distinct.select("entity", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("context"), F.lit(TERM), F.lit(0)))).alias("term"))
+def terms_of(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
+
+
+def disclosing(docs: DataFrame, found: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
+    """entity, term: the terms that reveal a protected entity, by counts over the whole corpus."""
+    near = found.where(F.size("around") > 0).select("key", F.explode("around").alias("a")).select("key", "a.entities", F.xxhash64("a.context").alias("at"), "a.context")
+    distinct = near.select(F.explode("entities").alias("entity"), "at", "context").groupBy("entity", "at").agg(F.min("context").alias("context"))
+    both = distinct.select("entity", F.explode(terms_of(F.col("context"))).alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
     of_entity = distinct.groupBy("entity").agg(F.count("*").alias("n_entity"))
-    of_term = terms.groupBy("term").agg(F.count("*").alias("n_term"))
-    both = terms.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
-    total = distinct.agg(F.count("*").alias("n"))
-    n = F.col("n").cast("double")
-    joint = both.join(of_entity, "entity").join(of_term, "term").join(F.broadcast(total))
+    n = F.lit(float(found.select(*KEYS).distinct().count()))
     own = F.log2(n / F.col("n_entity"))
-    mutual = F.log2(n * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
-    return joint.where((own > 0) & (mutual >= F.lit(disclosure) * own)).select("entity", "term")
+    reveals = lambda n_term: (own >= OWN_BITS) & (F.log2(n * F.col("n_both") / (F.col("n_entity") * F.greatest(n_term, F.col("n_both")))) >= F.lit(disclosure) * own)
+    # a term is in at least as many texts as have it near some value; that alone rules most terms out
+    least = near.select("key", F.explode(terms_of(F.col("context"))).alias("term")).groupBy("term").agg(F.count_distinct("key").alias("n_near"))
+    likely = both.join(of_entity, "entity").join(least, "term").where(reveals(F.col("n_near"))).select("entity", "term", "n_both", "n_entity")
+    likely = small(likely, "pii-likely", BROADCAST_ROWS)
+    words = docs.select(text_keys()[0], F.explode(terms_of(F.coalesce("text", F.lit("")))).alias("term"))
+    texts = words.join(small(likely.select("term").distinct(), "pii-words", BROADCAST_ROWS), "term", "left_semi").groupBy("term").agg(F.count_distinct("key").alias("n_term"))
+    return likely.join(texts, "term").where(reveals(F.col("n_term"))).select("entity", "term")
 
 
 def term_spans(docs: DataFrame, found: DataFrame, **options) -> DataFrame:
-    """doc_id, text_key, terms (array of spans) for the documents that hold a value with disclosing terms."""
-    flagged = disclosing(found, **options)
-    holds = found.where(F.size("around") > 0).select("doc_id", "text_key", F.explode(F.array_distinct(F.transform("around", lambda a: a["entity"]))).alias("entity"))
-    wanted = holds.join(flagged, "entity").groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("term")).alias("words"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    texts = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_key"))
-    near = texts.join(wanted, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])
-    pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join("words", "|"), F.lit(r")(?![\p{L}\p{N}\p{M}])"))
-    near = near.withColumn("pattern", pattern).withColumn("matches", F.regexp_extract_all("text", F.col("pattern"), F.lit(0)))
-    return near.select("doc_id", "text_key", placed(F.col("text"), F.col("pattern"), F.col("matches"), "term").alias("terms"))
+    """key, key2, terms (array of spans) for the texts that hold an entity with disclosing terms."""
+    flagged = small(disclosing(docs, found, **options), "pii-flagged", BROADCAST_ROWS)
+    holds = found.where(F.size("around") > 0).select(*KEYS, F.explode(F.array_distinct(F.flatten(F.transform("around", lambda a: a["entities"])))).alias("entity"))
+    wanted = written(holds.join(flagged, "entity").select(*KEYS, "term").distinct(), "pii-wanted")
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"), *text_keys()).join(small(wanted.select(*KEYS).distinct(), "pii-texts", BROADCAST_ROWS), KEYS, "left_semi")
+    texts = base_spans(texts.dropDuplicates(KEYS))
+    # base spans become digits, which no term holds or touches
+    texts = texts.withColumn("open", masked(F.col("text"), F.col("spans"), lambda s, at: F.repeat(F.lit("0"), F.greatest(s["end"] - F.greatest(s["start"], at), F.lit(0)).cast("int"))))
+    texts = texts.withColumn("matches", F.regexp_extract_all("open", F.lit(TERM), F.lit(0)))
+    words = texts.select(*KEYS, F.explode(placed(F.col("open"), TERM, F.col("matches"), "term")).alias("span")).withColumn("term", F.lower("span.value"))
+    return words.join(wanted, [*KEYS, "term"]).groupBy(*KEYS).agg(F.array_sort(F.collect_list("span")).alias("terms"))
 
 
 def all_spans(found: DataFrame, terms: DataFrame) -> DataFrame:
-    """`found` with all_spans: its base spans and the term spans that touch none of them."""
-    joined = found.join(terms, ["doc_id", "text_key"], "left")
-    clear = lambda t: ~F.exists("spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
-    more = F.when(F.size("terms") > 0, F.filter("terms", clear))
-    return joined.withColumn("all_spans", F.when(F.size("terms") > 0, F.array_sort(F.concat("spans", more))).otherwise(F.col("spans")))
+    """`found` with all_spans: its base spans and its terms."""
+    return found.join(terms, KEYS, "left").withColumn("all_spans", F.when(F.size("terms") > 0, F.array_sort(F.concat("spans", "terms"))).otherwise(F.col("spans")))
 
 
 def listed(spans: Column) -> Column:
@@ -151,40 +210,43 @@ def listed(spans: Column) -> Column:
 def digests(docs: DataFrame) -> DataFrame:
     """Counts, digest and list of the spans of every document."""
     found = found_in(docs)
-    spans = all_spans(found, term_spans(docs, found))
+    spans = all_spans(found, small(term_spans(docs, found), "pii-terms", BROADCAST_ROWS))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     counts = [count(k) for k in PATTERNS]
     return spans.select("doc_id", *counts, F.sha2(listed(F.col("spans")), 256).alias("base_sha256"), listed(F.col("all_spans")).alias("spans"))
 
 
-def masked(text: Column, spans: Column) -> Column:
-    """The text with each span generalised to its kind in brackets; overlapping spans become one."""
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
+def label(s: Column, at: Column) -> Column:
+    """A span generalised to its kind in brackets; spans that overlap become one."""
+    return F.when(s["start"] >= at, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(F.lit(""))
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        added = F.concat(acc["parts"], F.array(gap, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], added).otherwise(acc["parts"]).alias("parts"))
 
-    rest = lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
-    return F.aggregate(spans, start, step, rest)
+def masked(text: Column, spans: Column, filled=label) -> Column:
+    """The text with each span replaced by `filled(span, end of the spans before it)`; spans are sorted."""
+    none = F.array().cast("array<string>")
+
+    def part(acc: Column, some: Column) -> Column:
+        # a chunk's own stretch of the text, so that no span is looked up from the text's beginning
+        stretch = F.substring(text, (acc["at"] + 1).cast("int"), F.greatest(F.element_at(some, -1)["start"] - acc["at"], F.lit(0)).cast("int"))
+        start = F.struct(acc["at"].alias("at"), acc["at"].alias("base"), stretch.alias("stretch"), acc["done"].alias("done"), none.alias("parts"))
+        return F.aggregate(some, start, step, lambda s: F.struct(s["at"].alias("at"), F.concat(s["done"], F.array(F.array_join(s["parts"], ""))).alias("done")))
 
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.substring(acc["stretch"], (acc["at"] - acc["base"] + 1).cast("int"), F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
+        parts = F.concat(acc["parts"], F.array(gap, filled(s, acc["at"])))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["base"].alias("base"), acc["stretch"].alias("stretch"), acc["done"].alias("done"), parts.alias("parts"))
 
-#: Documents with term spans that are broadcast to the texts, at most; more are joined by a shuffle.
-BROADCAST_ROWS = 20_000
+    rest = lambda acc: F.concat(F.array_join(acc["done"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
+    return F.aggregate(chunks(spans), F.struct(F.lit(0).cast("long").alias("at"), none.alias("done")), part, rest)
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """`docs` with spans in `text` replaced, and n_chars, where it exists, brought up to date."""
-    found = found_in(docs)
-    terms = written(term_spans(docs, found), "pii-terms")
-    if terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        terms = F.broadcast(terms)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = terms.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("terms").alias("__terms"))
-    joined = base_spans(docs, "__spans").join(keyed, (F.col("doc_id") == F.col("__id")) & (F.xxhash64(text) == F.col("__key")), "left")
-    clear = lambda t: ~F.exists("__spans", lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
-    both = F.when(F.size("__terms") > 0, F.array_sort(F.concat("__spans", F.filter("__terms", clear)))).otherwise(F.col("__spans"))
+    terms = small(term_spans(docs, found_in(docs)), "pii-terms", BROADCAST_ROWS)
+    own, other = text_keys()
+    keyed = terms.select(F.col("key").alias("__key"), F.col("key2").alias("__key2"), F.col("terms").alias("__terms"))
+    joined = base_spans(docs, "__spans").join(keyed, (own == F.col("__key")) & (other == F.col("__key2")), "left")
+    both = F.when(F.size("__terms") > 0, F.array_sort(F.concat("__spans", "__terms"))).otherwise(F.col("__spans"))
     done = joined.withColumn("__spans", both).withColumn("text", F.when(F.size("__spans") > 0, masked(F.col("text"), F.col("__spans"))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.when(F.size("__spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
