@@ -6,9 +6,11 @@ Grammar of a formatted conversation, turn after turn:
 
 Control strings are `###` and `</turn>`. In an escaped text every control string and the
 backslashes right before it get one more backslash, and the parser takes one away, so any
-text comes back. The parser is deterministic: it cuts at `\\n</turn>\\n`, cuts each part
-at its first `:\\n`, and unescapes. Roles are written with `%`, `:` and newline as %25, %3A
-and %0A.
+text comes back. The parser is deterministic and strict: it cuts at every control string,
+wherever it stands, that has no backslash (or further `#`) before it, takes a turn from
+between a header and an end, cuts it at its first `:\\n`, and unescapes. Anything else
+between them is no conversation, so a text cannot forge a turn. Roles are written with `%`,
+`:`, newline, `#` and `<` as %25, %3A, %0A, %23 and %3C.
 
 A conversation is first rendered as it is and reparsed. Turns that do not come back are
 escaped, and if the conversation still differs from its source all its turns are, which
@@ -26,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 OPEN, COLON, CLOSE = "### ", ":\n", "\n</turn>\n"
+CONTROL = r"(?<![\\#])###|(?<!\\)</turn>"
+CODES = {"%": "%25", ":": "%3A", "\n": "%0A", "#": "%23", "<": "%3C"}
 TO_ESCAPE = r"(?<!\\)(\\*+(?:###|</turn>))"
 TO_UNESCAPE = r"(?<!\\)\\(\\*+(?:###|</turn>))"
 ASSISTANT = "assistant"
@@ -40,11 +44,15 @@ def unescape(text: Column) -> Column:
 
 
 def role_code(role: Column) -> Column:
-    return F.replace(F.replace(F.replace(role, F.lit("%"), F.lit("%25")), F.lit(":"), F.lit("%3A")), F.lit("\n"), F.lit("%0A"))
+    for char, code in CODES.items():
+        role = F.replace(role, F.lit(char), F.lit(code))
+    return role
 
 
 def role_name(code: Column) -> Column:
-    return F.replace(F.replace(F.replace(code, F.lit("%0A"), F.lit("\n")), F.lit("%3A"), F.lit(":")), F.lit("%25"), F.lit("%"))
+    for char, written in reversed(CODES.items()):
+        code = F.replace(code, F.lit(written), F.lit(char))
+    return code
 
 
 def render_turn(role: Column, body: Column) -> Column:
@@ -52,17 +60,18 @@ def render_turn(role: Column, body: Column) -> Column:
 
 
 def parse(formatted: Column) -> Column:
-    """array<struct<role,text>>, read back from one formatted conversation."""
-    parts = F.split(formatted, r"\n</turn>\n", -1)
-    turns = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
+    """array<struct<role,text>>, read back from one formatted conversation; null if it is none."""
+    parts = F.split(formatted, CONTROL, -1)
+    outside = F.filter(parts, lambda p, i: i % 2 == 0)
+    sound = (F.size(parts) % 2 == 1) & (F.element_at(parts, 1) == "") & F.forall(F.slice(outside, 2, F.size(outside)), lambda p: p == "\n")
 
     def turn(part: Column) -> Column:
         at = F.locate(COLON, part)
-        role = role_name(F.substring(part, F.lit(len(OPEN) + 1), F.greatest(at - F.lit(len(OPEN) + 1), F.lit(0))))
-        body = F.substring(part, at + F.lit(len(COLON)), F.length(part))
+        role = role_name(F.substring(part, F.lit(2), F.greatest(at - F.lit(2), F.lit(0))))
+        body = F.substring(part, at + F.lit(len(COLON)), F.greatest(F.length(part) - at - F.lit(len(COLON)), F.lit(0)))
         return F.struct(role.alias("role"), unescape(body).alias("text"))
 
-    return F.transform(turns, turn)
+    return F.when(sound, F.transform(F.filter(parts, lambda p, i: i % 2 == 1), turn))
 
 
 def format_chats(rows: DataFrame) -> DataFrame:
@@ -78,7 +87,7 @@ def format_chats(rows: DataFrame) -> DataFrame:
     convs = ordered.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     whole = F.array_join(F.transform("turns", lambda t: render_turn(t["role"], t["body"])), "")
     source = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    once = convs.withColumn("formatted", whole).withColumn("fine", parse(F.col("formatted")) == source)
+    once = convs.withColumn("formatted", whole).withColumn("fine", F.coalesce(parse(F.col("formatted")) == source, F.lit(False)))
     all_escaped = F.transform("turns", lambda t: F.struct(t["turn"].alias("turn"), t["role"].alias("role"), t["text"].alias("text"), escape(t["text"]).alias("body")))
     again = once.withColumn("turns", F.when(F.col("fine"), F.col("turns")).otherwise(all_escaped)).withColumn("formatted", whole)
     size = lambda t: F.length(render_turn(t["role"], t["body"]))
@@ -92,7 +101,7 @@ def format_chats(rows: DataFrame) -> DataFrame:
         ),
         lambda acc: acc["spans"],
     )
-    return again.select("conv_id", "formatted", walk.alias("loss"), (parse(F.col("formatted")) == source).alias("round_trip"))
+    return again.select("conv_id", "formatted", walk.alias("loss"), F.coalesce(parse(F.col("formatted")) == source, F.lit(False)).alias("round_trip"))
 
 
 def digests(chats: DataFrame) -> DataFrame:

@@ -83,10 +83,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-#: In SQL a turn is escaped if its rendering would not be read back: it holds an escaped control string, or an end of turn.
+#: In SQL a turn is escaped if its rendering would not be read back: it holds a control string, escaped or not.
 OP4_SQL = r"""WITH rows AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
- t AS (SELECT *, CASE WHEN regexp_matches(text, '\\(###|</turn>)') OR contains(chr(10) || text || chr(10), chr(10) || '</turn>' || chr(10)) THEN regexp_replace(text, '(\\*(?:###|</turn>))', '\\\1', 'g') ELSE text END AS body FROM rows)
+ t AS (SELECT *, CASE WHEN contains(text, '###') OR contains(text, '</turn>') THEN regexp_replace(text, '(\\*(?:###|</turn>))', '\\\1', 'g') ELSE text END AS body FROM rows)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
  sum(length(role) + length(body) + 15)::BIGINT AS formatted_chars, true AS round_trip FROM t GROUP BY 1"""
