@@ -1,11 +1,17 @@
-"""Token counts: pieces are counted once per distinct pre-token, joined to each document's
-pre-token frequencies, and summed; no ids are made for documents.
-
-The join runs inside each block of documents: distinct pre-tokens go to the library once
-per Python worker, whose memory of them is bounded, and each document sums count times
-frequency. A corpus-wide shuffle of (document, pre-token) rows would write more than the
-input itself. Null texts count as empty (0 tokens); special strings are plain text, as
-the library takes them; repeated rows get equal counts.
+"""Token counts: pieces are counted once per distinct pre-token of the corpus, joined to each
+document's pre-token frequencies, and summed; no ids are made for documents.
+
+1. Every task gathers the distinct pre-tokens of its texts, the shuffle makes them distinct
+   in the corpus, and the library counts the pieces of each once. The result is a table.
+2. Counts of the most frequent pre-tokens, at most BROADCAST_TOKENS of at most SHORT
+   characters, go to all tasks, where each document sums count times frequency. So frequent
+   pre-tokens never meet in one task, and few rows are shuffled: rows of (document,
+   pre-token, frequency) exist for the rare rest alone, which is joined to the table.
+
+Null texts count as empty (0 tokens); special strings are plain text, as the library takes
+them; very long texts are read whole; repeated rows get equal counts and stay apart. An
+empty table gives no rows. The text itself is not returned; other columns are kept, and one
+named like the result is replaced.
 """
 
 from __future__ import annotations
@@ -17,10 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voltlane.llm.common import text_blocks
-from voltlane.llm.pieces import MARK, MEMO, default_model, vocabulary
+from voltlane.llm.common import text_blocks, written
+from voltlane.llm.pieces import MARK, default_model, vocabulary
 
-_known: dict[str, dict[str, int]] = {}
+#: Pre-tokens whose counts are broadcast, at most, and how long they may be: 13 MB of text at most.
+BROADCAST_TOKENS, SHORT = 200_000, 64
+#: Distinct pre-tokens that a task gathers before it hands them on.
+GATHERED = 200_000
+#: Bands of frequency by which the frequent pre-tokens are cut off, for each doubling.
+BANDS = 16
 
 
 def piece_counts(path: str, new: list[str]) -> list[int]:
@@ -33,27 +44,70 @@ def piece_counts(path: str, new: list[str]) -> list[int]:
     return [len(f) - guard for f in found]
 
 
-def block_counts(texts: list[str], path: str) -> list[int]:
-    vocab, known = vocabulary(path), _known.setdefault(path, {})
-    if len(known) > MEMO:
-        known.clear()
-    frequencies = [Counter(vocab.pretokens(t)) for t in texts]
-    new = list(set().union(*frequencies) - known.keys())
-    for at in range(0, len(new), 4096):
-        part = new[at : at + 4096]
-        known.update(zip(part, piece_counts(path, part), strict=True))
-    return [sum(known[p] * n for p, n in f.items()) for f in frequencies]
+def pretokens(docs: DataFrame, path: str) -> DataFrame:
+    """token, n (pieces) and band (of its frequency; higher: more frequent) of every distinct pre-token, as a table."""
 
+    def gather(batches):
+        vocab, seen = vocabulary(path), Counter()
 
-def count_tokens(docs: DataFrame, out: str = "n_tokens", model_path: str | None = None) -> DataFrame:
-    """`docs` with a long column `out`: the number of tokens of the whole text."""
-    path = model_path or default_model()
+        def rows():
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["token", "freq"])
+
+        for batch in batches:
+            for block in text_blocks(batch.column("text")):
+                for text in block.to_pylist():
+                    seen.update(vocab.pretokens(text))
+                if len(seen) > GATHERED:
+                    yield rows()
+                    seen.clear()
+        yield rows()
 
     @F.arrow_udf(T.LongType())
-    def counts(texts: pa.Array) -> pa.Array:
-        found: list[int] = []
+    def pieces(tokens: pa.Array) -> pa.Array:
+        return pa.array(piece_counts(path, tokens.to_pylist()), pa.int64())
+
+    found = docs.select("text").mapInArrow(gather, "token string, freq long").groupBy("token").agg(F.sum("freq").alias("freq"))
+    return written(found.select("token", F.floor(F.log2("freq") * BANDS).cast("int").alias("band"), pieces("token").alias("n")), "pretokens")
+
+
+def frequent(table: DataFrame, limit: int = BROADCAST_TOKENS) -> tuple[dict[str, int], DataFrame | None]:
+    """Counts of the most frequent short pre-tokens, at most `limit`, and the table of the others (None: there are none)."""
+    short = F.length("token") <= SHORT
+    sizes = table.groupBy("band", short.alias("short")).count().collect()  # some rows for each doubling of the frequency
+    least, held = 1 << 30, 0
+    for band, n in sorted(((r["band"], r["count"]) for r in sizes if r["short"]), reverse=True):
+        if held + n > limit:
+            break
+        least, held = band, held + n
+    common = short & (F.col("band") >= least)
+    rows = table.where(common).select("token", "n").toArrow()
+    counts = dict(zip(rows.column("token").to_pylist(), rows.column("n").to_pylist(), strict=True))
+    return counts, None if held == sum(r["count"] for r in sizes) else table.where(~common)
+
+
+def count_tokens(docs: DataFrame, out: str = "n_tokens", model_path: str | None = None, broadcast: int = BROADCAST_TOKENS) -> DataFrame:
+    """The columns of `docs` but the text, with a long column `out`: the number of tokens of the whole text."""
+    path = model_path or default_model()
+    counts, others = frequent(pretokens(docs, path), broadcast)
+    known = docs.sparkSession.sparkContext.broadcast(counts)
+    kept = [c for c in docs.columns if c not in ("text", out)]
+
+    @F.arrow_udf("struct<n: bigint, rest: array<struct<token: string, times: bigint>>>")
+    def looked_up(texts: pa.Array) -> pa.Array:
+        vocab, have = vocabulary(path), known.value
+        sums, rest = [], []
         for block in text_blocks(texts):
-            found += block_counts(block.to_pylist(), path)
-        return pa.array(found, pa.int64())
+            for text in block.to_pylist():
+                seen = Counter(vocab.pretokens(text))
+                sums.append(sum(have.get(p, 0) * k for p, k in seen.items()))
+                rest.append([{"token": p, "times": k} for p, k in seen.items() if p not in have])
+        return pa.StructArray.from_arrays([pa.array(sums, pa.int64()), pa.array(rest, pa.list_(pa.struct([("token", pa.string()), ("times", pa.int64())])))], names=["n", "rest"])
 
-    return docs.withColumn(out, counts("text"))
+    seen = docs.withColumn("__seen", looked_up.asNondeterministic()("text"))
+    if others is None:
+        return seen.select(*kept, F.col("__seen.n").alias(out))
+    seen = written(seen.select(*kept, F.monotonically_increasing_id().alias("__row"), F.col("__seen.n").alias("__n"), F.col("__seen.rest").alias("__rest")), "token-sums")
+    rest = seen.select(F.col("__row").alias("__of"), F.explode("__rest").alias("r")).select("__of", "r.token", "r.times")
+    more = rest.join(others.select("token", F.col("n").alias("pieces")), "token").groupBy("__of").agg(F.sum(F.col("times") * F.col("pieces")).alias("__more"))
+    done = seen.join(more, F.col("__row") == F.col("__of"), "left")
+    return done.select(*kept, (F.col("__n") + F.coalesce("__more", F.lit(0))).alias(out))
