@@ -12,10 +12,13 @@ No overlap of 12 words and 80 % is without a hit: with e words substituted, at l
 are four runs of three, which the second mask is. Items of fewer words than that are looked
 up by the run that their own length leaves.
 
+Items of fewer than MIN_ITEM words are no evidence, wherever they occur, and match nothing.
+
 Words are runs of letters and digits, lower-cased. The benchmark goes to the executors in chunks of at
 most CHUNK_WORDS words; a larger benchmark takes several passes over the documents, so
 what is broadcast stays bounded. Null and empty texts and items match nothing; repeated
-rows match alike.
+rows match alike; very long texts are compared whole. An empty table or benchmark gives an
+empty result. Other columns are kept.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ from voltlane.llm.common import RollingHash, byte_class, mix, runs, text_blocks,
 #: Ones are hashed, zeros are ignored.
 SEEDS = ("1111", "111011101110111")
 MIN_WORDS, MIN_SHARE = 12, 0.8
+#: Items with fewer words match nothing.
+MIN_ITEM = 5
 #: Words of benchmark items that one pass broadcasts, at most (one longer item is a chunk of its own).
 CHUNK_WORDS = 2_000_000
 #: Hits that are compared at a time, about.
@@ -96,7 +101,7 @@ class BenchmarkIndex:
         self.first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         item = np.repeat(np.arange(len(sizes)), sizes)
         self.sizes = sizes
-        self.short = [0] * len(seeds) + sorted({int(n) for n in sizes if 0 < n < min_words})
+        self.short = [0] * len(seeds) + sorted({int(n) for n in sizes if MIN_ITEM <= n < min_words})
         self.seeds = [*seeds, *("1" * least_run(n, min_share) for n in self.short[len(seeds) :])]
         self.tables = []
         for k, seed in enumerate(self.seeds):
