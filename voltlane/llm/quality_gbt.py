@@ -5,9 +5,12 @@ bounded sample of labelled rows whose statistics the executors computed; trees a
 complete binary trees flattened into arrays, and scoring walks all of a block's rows
 down one level at a time with numpy.
 
-Nulls and empty texts are scored like any text (all statistics zero). Without both
-labels in the training rows every score is the share of label 1 (0.5 without rows).
-Repeated rows get equal scores. Labels, lang, source and doc_id are never inputs.
+Nulls and empty texts are scored like any text (all statistics zero), very long texts are
+read whole. Without both labels in the training rows every score is the share of label 1
+(0.5 without rows). Repeated rows get equal scores, and so do texts whose statistics tie; a
+doc_id that is repeated among the labels has its least label, and among the documents gives
+one row to the sample. An empty table gives no rows. Other columns are kept; one named like
+the result is replaced. Labels, lang, source and doc_id are never inputs.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voltlane.llm.common import in_training
-from voltlane.llm.quality_rules import STATS, text_stats
+from voltlane.llm.quality_rules import STATS, labelled, sampled, text_stats
 
 #: Labelled training rows, at most (lowest hashes of doc_id first).
 SAMPLE_ROWS = 20_000
@@ -113,10 +116,8 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 4, rate:
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Trees:
     """Trees from at most `rows` labelled training documents."""
-    picked = labels.where(in_training(F.col("doc_id")) & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "quality", text_stats("text").alias("s")).select("doc_id", "quality", "s.*").toPandas()
-    sample = sample.sort_values(["doc_id", *STATS])
+    known = labelled(labels.where(in_training(F.col("doc_id"))))
+    sample = sampled(docs, known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
     return boost(features(sample), (sample["quality"].to_numpy() == 1).astype(float))
 
 
