@@ -8,9 +8,11 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from voltlane.llm import decontam, pii, quality_gbt, quality_rules, simhash
+from voltlane.llm import decontam, pii, quality_gbt, quality_rules
 from voltlane.llm.queries import op7_decontaminate, op8_pii, op10_quality_classifier
 
+from test_near_copies import brute_firsts
+
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -26,12 +28,13 @@ def test_op7_finds_exact_and_substituted_passages(spark, sf):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
     items = {k: [word() for _ in range(n)] for k, n in enumerate((40, 30, 25, 16, 12, 5, 3, 1))}
-    bench = spark.createDataFrame([*[(k, " ".join(w)) for k, w in items.items() if k < 7], (90, None), (91, ""), (None, "x y z")], "item_id long, text string")
+    bench = spark.createDataFrame([*[(k, " ".join(w)) for k, w in items.items()], (90, None), (91, ""), (None, "x y z")], "item_id long, text string")
     pad = lambda n: [word() for _ in range(n)]
     texts, want = [], {}
-    for k in range(7):
+    for k in range(8):
         texts.append(" ".join(pad(50) + items[k] + pad(50)))
-        want[len(texts) - 1] = {k}
+        if len(items[k]) >= decontam.MIN_ITEM:
+            want[len(texts) - 1] = {k}
     for k in (0, 1, 2):  # every seventh word replaced: over 80 % are left
         texts.append(", ".join(pad(9) + [w if i % 7 != 3 else word() for i, w in enumerate(items[k])] + pad(9)).upper())
         want[len(texts) - 1] = {k}
@@ -50,7 +53,7 @@ def test_op7_finds_exact_and_substituted_passages(spark, sf):
     assert decontam.find_overlaps(docs.limit(0), bench).count() == 0
     # a benchmark beyond the bound takes several passes and finds the same
     parts = list(decontam.chunks(bench, limit=60))
-    assert len(parts) > 2 and sorted(i for p in parts for i, _ in p) == [*range(7), 91]
+    assert len(parts) > 2 and sorted(i for p in parts for i, _ in p) == [*range(8), 91]
 
 
 def test_op7_matches_brute_force(spark, sf):
@@ -134,9 +137,9 @@ def test_op8_terms_that_disclose_a_value_are_sanitised(spark):
     assert clean[len(texts) - 1]["text"] == texts[-1]
 
 
-def brute_mask(text):
+def brute_mask(text, spans):
     at, out = 0, ""
-    for k, a, b in brute_spans(text):
+    for a, k, b in sorted(spans):
         if a >= at:
             out += text[at:a] + f"[{k.upper()}]"
         at = max(at, b)
@@ -183,24 +186,24 @@ def test_pipeline_matches_stage_by_stage(spark):
     labels = spark.read.parquet(f"{base}/labels.parquet")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     kept = {r["doc_id"] for r in quality_rules.assess(docs, labels).where("quality.kept").collect()}
-    prints = {d: simhash.fingerprint(texts[d].encode()) for d in sorted(kept)}
-    parent = {d: d for d in prints}
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    ids = sorted(prints)
-    values = np.array([prints[d] for d in ids], np.uint64)
-    for i, d in enumerate(ids):
-        for j in np.flatnonzero(np.bitwise_count(values[i + 1 :] ^ values[i]) <= 3):
-            x, y = sorted((find(d), find(ids[i + 1 + int(j)])))
-            parent[y] = x
-    kept = {d for d in ids if find(d) == d}
+    kept = brute_firsts({d: texts[d] for d in kept})
+    # every window of the benchmark's own words, with up to a fifth of them replaced, by comparing all places
+    items = [plain_words(r["text"]) for r in spark.read.parquet(f"{base}/benchmark.parquet").collect()]
+    runs = {tuple(w[i : i + 4]) for w in items for i in range(len(w) - 3)}
     hit = {r["doc_id"] for r in op7_decontaminate(spark, base).collect()}
+    for d in kept - hit:  # what stays holds no twelve words of an item
+        w = plain_words(texts[d])
+        for i in range(len(w) - 3):
+            if tuple(w[i : i + 4]) in runs:
+                for x in items:
+                    for j in range(len(x)):
+                        same = [a == b for a, b in zip(w[i : i + 12], x[j : j + 12], strict=False)]
+                        assert len(same) < 12 or sum(same) < 10
     kept -= hit
     rows = {r["doc_id"]: r for r in corpus_pipeline.run(spark, base).collect()}
     assert rows.keys() == kept
+    left = docs.where(F.col("doc_id").isin(sorted(kept)))
+    spans = {r["doc_id"]: [(int(a), k, int(b)) for k, a, b in (x.split(":") for x in r["spans"].split(",") if x)] for r in pii.digests(left).collect()}
     for d, r in rows.items():
-        assert r["text"] == brute_mask(texts[d]) and r["n_pieces"] == len(r["ids"])
+        assert {(k, a, b) for a, k, b in spans[d] if k != "term"} == set(brute_spans(texts[d]))
+        assert r["text"] == brute_mask(texts[d], spans[d]) and r["n_pieces"] == len(r["ids"])
