@@ -1,8 +1,9 @@
 """Documents as blocks: HTML and files to blocks, scrubbing, and chunks for search.
 
-A block is a heading, paragraph, table or code with its links. Parsing HTML and walking
-lines in order are sequential within one document, so they run as Arrow UDFs; what
-follows (chunks as rows, filters, ranking) is native again.
+A block is a heading, paragraph, table or code with its links. Reading HTML is a small Arrow
+UDF: it lists a page's stretches of text and folds them to blocks. What follows is columns:
+blocks are rows (page_id, at, kind, text, level, rows, header, links), scrubbing marks them
+and their lines by windows over a page, and chunks are cut and merged by running word sums.
 """
 
 from __future__ import annotations
@@ -11,29 +12,31 @@ import csv
 import io
 import json
 import re
+from functools import reduce
 from html.parser import HTMLParser
+from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voltlane.functions.text import CREDENTIAL, KEY_PATTERNS, LONG_BLOB, MAYBE_CREDENTIAL, REDACTED, URL
+from voltlane.functions.text import URL, mentions_credential, redact_keys
 
 LINK = T.StructType([T.StructField("url", T.StringType()), T.StructField("text", T.StringType())])
 BLOCK = T.StructType([
     T.StructField("kind", T.StringType()), T.StructField("text", T.StringType()), T.StructField("level", T.IntegerType()),
     T.StructField("rows", T.ArrayType(T.ArrayType(T.StringType()))), T.StructField("header", T.BooleanType()), T.StructField("links", T.ArrayType(LINK)),
 ])
-CHUNK = T.StructType([T.StructField("ordinal", T.IntegerType()), T.StructField("heading", T.StringType()), T.StructField("text", T.StringType()), T.StructField("links", T.ArrayType(LINK))])
 _LINK = pa.struct([("url", pa.string()), ("text", pa.string())])
 _BLOCKS = pa.list_(pa.struct([("kind", pa.string()), ("text", pa.string()), ("level", pa.int32()), ("rows", pa.list_(pa.list_(pa.string()))), ("header", pa.bool_()), ("links", pa.list_(_LINK))]))
-_CHUNKS = pa.list_(pa.struct([("ordinal", pa.int32()), ("heading", pa.string()), ("text", pa.string()), ("links", pa.list_(_LINK))]))
 
 # Fixed limits of the chunker.
 MAX_LEVEL, MIN_WORDS, MAX_WORDS, TARGET_WORDS = 4, 40, 600, 400
+# Fixed names: tags that end a paragraph, tags whose text is not shown, macros that hold code.
 BREAKING = {"p", "div", "li", "ul", "ol", "blockquote", "section", "article", "pre", "hr", "dl", "dt", "dd"}
 SILENT = {"script", "style", "ac:parameter", "ac:image", "ri:attachment", "ac:task-id", "ac:task-uuid", "ac:task-status"}
+CODE = {"code", "noformat"}
 
 
 def block(kind: str, text: str = "", level: int = 0, rows=None, header: bool = False, links=()) -> dict:
@@ -44,258 +47,268 @@ def squeeze(text: str) -> str:
     return " ".join(text.split())
 
 
-class PageReader(HTMLParser):
-    """Collects blocks. One open element decides where text goes: a code body, a table cell, or the running paragraph."""
+class Events(HTMLParser):
+    """The page as a flat list of (tag or None, opens, attributes or text)."""
 
-    def __init__(self):
+    def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
-        self.out: list[dict] = []
-        self.text: list[str] = []
-        self.links: list[tuple[str, str]] = []
-        self.level = self.silent = self.depth = 0
-        self.anchor: tuple[str, list[str]] | None = None
-        self.code: list[str] | None = None
-        self.macros: list[str] = []
-        self.table: dict | None = None
-        self.cell: list[str] | None = None
-        self.title: str | None = None
-        self.parameter = ""
-
-    def sink(self) -> list[str]:
-        return self.cell if self.cell is not None else self.text
-
-    def end_block(self) -> None:
-        if self.table is not None or self.code is not None:
-            return
-        text = squeeze("".join(self.text))
-        if text or self.links:
-            self.out.append(block("heading" if self.level and text else "para", text, self.level if text else 0, links=self.links))
-        self.text, self.links = [], []
-
-    def link(self, url: str, text: str) -> None:
-        (self.links if self.table is None else self.table["links"]).append((url, squeeze(text) or url))
+        self.found: list[tuple] = []
+        self.feed(html)
+        self.close()
 
     def handle_starttag(self, tag, attrs):
-        a = {k: v or "" for k, v in attrs}
-        if tag in ("ac:structured-macro", "ac:macro"):
-            self.macros.append(a.get("ac:name", "").lower())
-            if self.macros[-1] in ("code", "noformat") and self.table is None:
-                self.end_block()
-                self.code = []
-        elif tag in SILENT:
-            self.silent += 1
-            self.parameter = a.get("ac:name", "").lower() if tag == "ac:parameter" else ""
-        elif tag == "ri:url" and a.get("ri:value"):
-            self.link(a["ri:value"], a["ri:value"])
-        elif tag in ("ri:page", "ac:link"):
-            self.title = a.get("ri:content-title")
-        elif tag == "a":
-            self.anchor = (a["href"], []) if a.get("href") else None
-        elif tag == "br":
-            self.sink().append("\n" if self.code is not None else " ")
-        elif tag == "table":
-            if self.table is None:
-                self.end_block()
-                self.table = {"rows": [], "row": None, "header": False, "links": []}
-            self.depth += 1
-        elif self.table is not None:
-            if self.depth == 1 and tag == "tr":
-                self.table["row"] = []
-            elif self.depth == 1 and tag in ("td", "th"):
-                self.table["header"] |= tag == "th" and not self.table["rows"]
-                self.cell = []
-            elif tag in ("li", "p", "div"):
-                self.sink().append(" ")
-        elif re.fullmatch("h[1-6]", tag):
-            self.end_block()
-            self.level = int(tag[1])
-        elif tag in BREAKING:
-            self.end_block()
-            if tag == "li":
-                self.text.append("- ")
+        self.found.append((tag, True, {k: v or "" for k, v in attrs}))
 
     def handle_endtag(self, tag):
-        if tag in ("ac:structured-macro", "ac:macro"):
-            name = self.macros.pop() if self.macros else ""
-            if self.code is not None and name in ("code", "noformat"):
-                body, self.code = "".join(self.code).strip("\n"), None
-                if body.strip():
-                    self.out.append(block("code", body))
-        elif tag in SILENT:
-            self.silent, self.parameter = max(0, self.silent - 1), ""
-        elif tag == "ac:link":
-            if self.title and self.anchor is None:
-                self.sink().append(self.title)
-            self.title = None
-        elif tag == "a":
-            if self.anchor:
-                self.link(self.anchor[0], "".join(self.anchor[1]))
-            self.anchor = None
-        elif tag == "table" and self.table is not None:
-            self.depth -= 1
-            if not self.depth:
-                t, self.table, self.cell = self.table, None, None
-                rows = [r for r in t["rows"] if any(r)]
-                if rows:
-                    self.out.append(block("table", rows=rows, header=t["header"], links=t["links"]))
-        elif self.table is not None:
-            if self.depth == 1 and tag in ("td", "th") and self.cell is not None and self.table["row"] is not None:
-                self.table["row"].append(squeeze("".join(self.cell)))
-                self.cell = None
-            elif self.depth == 1 and tag == "tr" and self.table["row"] is not None:
-                self.table["rows"].append(self.table["row"])
-                self.table["row"] = None
-        elif re.fullmatch("h[1-6]", tag) and self.level:
-            self.end_block()
-            self.level = 0
-        elif tag in BREAKING:
-            self.end_block()
+        self.found.append((tag, False, {}))
 
     def handle_data(self, data):
-        if self.silent:
-            if self.parameter == "url" and re.match(URL, data.strip()):
-                self.link(data.strip(), data.strip())
-        elif self.code is not None:
-            self.code.append(data)
-        else:
-            if self.anchor:
-                self.anchor[1].append(data)
-            self.sink().append(data)
+        self.found.append((None, False, data))
 
     def unknown_decl(self, data):
         if data.startswith("CDATA["):
             self.handle_data(data[6:])
 
-    def read(self, html: str) -> list[dict]:
-        self.feed(html or "")
-        self.close()
-        self.end_block()
-        for b in self.out:
-            known = {x["url"] for x in b["links"]}
-            for text in [b["text"]] if b["kind"] != "table" else [c for r in b["rows"] for c in r]:
-                for url in dict.fromkeys(re.findall(URL, text)):
-                    if url not in known:
-                        known.add(url)
-                        b["links"].append({"url": url, "text": url})
-        return self.out
-
-
-def render(b: dict) -> str:
-    if b["kind"] == "code":
-        return f"```\n{b['text']}\n```"
-    if b["kind"] != "table" or not b["rows"]:
-        return b["text"] or ""
-    lines = ["| " + " | ".join(c.replace("|", "/") for c in row) + " |" for row in b["rows"]]
-    if b["header"]:
-        lines.insert(1, "|" + "---|" * len(b["rows"][0]))
-    return "\n".join(lines)
-
-
-def names_credential(text: str, header: bool = False) -> bool:
-    return bool(re.search(CREDENTIAL, text) or (re.search(MAYBE_CREDENTIAL, text) and (header or re.search("[:=]", text))))
-
-
-def redact(text: str) -> str:
-    for p in KEY_PATTERNS:
-        text = re.sub(p, REDACTED, text)
-    return re.sub(f"({URL})|{LONG_BLOB}", lambda m: m.group(1) or REDACTED, text)
-
-
-def scrub(blocks: list[dict]) -> list[dict]:
-    """Blocks without credentials: whole sections under a heading that names one, tables whose header does, rows, and
-    lines (with the next line, where the naming line is short and the value may follow)."""
-    out, closed, take_next = [], None, False
-    for b in blocks:
-        if b["kind"] == "heading":
-            closed = None if closed is not None and b["level"] <= closed else closed
-            if closed is None and names_credential(b["text"]):
-                closed = b["level"]
-            if closed is None:
-                take_next = False
-                out.append({**b, "text": redact(b["text"])})
-        elif closed is not None:
+
+#: What an element is to the reader; elements of one family close each other.
+FAMILY = {"ac:structured-macro": "macro", "ac:macro": "macro", "table": "table", "tr": "row", "td": "cell", "th": "cell", "a": "anchor", "ac:link": "named", **{f"h{k}": "heading" for k in range(1, 7)}, **dict.fromkeys(SILENT, "silent")}
+
+
+def strips(html: str) -> list[tuple]:
+    """(block, kind, place, text, url) of every stretch of text (url null) and every link, in the page's order.
+
+    Stretches of one block have one number. place is the level of a heading, or row, column and
+    whether it is a header cell for a table. Where a stretch belongs follows from the elements
+    that are open there: silent before code before table before paragraph."""
+    out: list[tuple] = []
+    opened: list[tuple[str, str, dict, int]] = []  # family, tag, attributes, stretches before it
+    number, row, column, title = 0, -1, -1, None
+
+    def within(family: str) -> list[tuple]:
+        return [o for o in opened if o[0] == family]
+
+    def in_code() -> bool:
+        return any(o[0] == "macro" and o[2].get("code") for o in opened)
+
+    def put(text: str, url: str | None = None) -> None:
+        tables, cells, heads = within("table"), within("cell"), within("heading")
+        if in_code() and url is None:
+            out.append((number, "code", 0, text, None))
+        elif tables and (cells or url is not None):
+            out.append((number, "table", (row, column, cells[:1] and cells[0][1] == "th"), text, url))
+        else:  # between cells: part of what follows the table
+            out.append((number + bool(tables), "para", int(heads[-1][1][1]) if heads else 0, text, url))
+
+    for tag, opens, more in Events(html).found:
+        family, tables = FAMILY.get(tag), within("table")
+        if tag is None:
+            hushed = within("silent")
+            if not hushed:
+                put(more)
+            elif hushed[-1][2].get("ac:name", "").lower() == "url" and re.match(URL, more.strip()):
+                put(more.strip(), more.strip())
             continue
-        elif b["kind"] == "table" and b["rows"]:
-            if b["header"] and any(names_credential(c, True) for c in b["rows"][0]):
-                out.append(block("para", "[table removed: credentials]"))
+        fresh = not tables and not in_code()  # here a block may end
+        if opens:
+            if tag == "br":
+                put("\n" if in_code() else " ")
+            elif tag == "ri:url" and more.get("ri:value"):
+                put(more["ri:value"], more["ri:value"])
+            elif tag in ("ri:page", "ac:link"):
+                title = more.get("ri:content-title")
+            elif tables and tag in ("li", "p", "div"):
+                put(" ")
+            if family == "macro":
+                more["code"] = more.get("ac:name", "").lower() in CODE and not tables
+            if fresh and (tag in BREAKING or family in ("heading", "table") or (family == "macro" and more["code"])):
+                number += 1
+            if fresh and tag == "li":
+                put("- ")
+            if family == "table" and fresh:
+                row, column = -1, -1
+            elif family == "row" and len(tables) == 1:
+                row, column = row + 1, -1
+            elif family == "cell" and len(tables) == 1 and row >= 0:
+                column += 1
+            if family in ("row", "cell") and len(tables) != 1:
+                put(" ")  # what is inside a cell's own table is that cell's text
                 continue
-            rows = [[redact(c) for c in r] for r in b["rows"] if not any(map(names_credential, r))]
-            if rows:
-                out.append({**b, "rows": rows})
-            take_next = False
-        else:
-            kept = []
-            for line in (b["text"] or "").split("\n"):
-                if take_next and line.strip():
-                    take_next = False
-                elif names_credential(line):
-                    take_next = len(line) < 80
-                else:
-                    kept.append(redact(line))
-            text = "\n".join(kept).strip()
-            if text or b["links"]:
-                out.append({**b, "text": text})
+            if family and not (family == "anchor" and not more.get("href")):
+                opened.append((family, tag, more, len(out)))
+            if family == "cell":
+                put("")
+            continue
+        mine, attrs = [k for k, o in enumerate(opened) if o[0] == family] if family else [], {}
+        if mine and not (family in ("row", "cell") and len(tables) != 1):
+            _, _, attrs, since = opened[mine[-1]]
+            if family == "anchor":
+                put("".join(s[3] for s in out[since:] if s[4] is None), attrs["href"])
+            if family == "named" and title and not within("anchor"):
+                put(title)
+            # cells and rows end with their table, other elements alone
+            del opened[mine[-1] : None if family in ("table", "row", "cell") else mine[-1] + 1]
+        if family == "named":
+            title = None
+        if not within("table") and not in_code() and (tag in BREAKING or (mine and (family in ("heading", "table") or attrs.get("code")))):
+            number += 1
     return out
 
 
-def sections(blocks: list[dict]) -> list[tuple[tuple[str, ...], list[dict]]]:
-    """Cuts at headings down to MAX_LEVEL; each section has its path of headings."""
-    out, path, body = [], [], []
-    for b in blocks:
-        if b["kind"] == "heading" and b["level"] <= MAX_LEVEL:
-            if body or path:
-                out.append((tuple(t for _, t in path), body))
-            path = [x for x in path if x[0] < b["level"]] + [(b["level"], b["text"])]
-            body = []
+def blocks_of(html: str | None) -> list[dict]:
+    """A page's blocks, in order; links are those of the page, and URLs that are written in the text."""
+    out = []
+    for _, group in groupby(sorted(strips(html or ""), key=lambda s: s[0]), key=lambda s: s[0]):
+        part = list(group)
+        said = [s for s in part if s[4] is None]
+        links = [(s[4], squeeze(s[3]) or s[4]) for s in part if s[4] is not None]
+        kind, text, level, rows, header = part[0][1], squeeze("".join(s[3] for s in said)), 0, None, False
+        if kind == "code":
+            text = "".join(s[3] for s in said).strip("\n")
+        elif kind == "table":
+            cells = {place: squeeze("".join(s[3] for s in of)) for place, of in groupby(said, key=lambda s: s[2])}
+            header = any(p[0] == 0 and p[2] for p in cells)
+            rows = [[t for _, t in of] for _, of in groupby(cells.items(), key=lambda c: c[0][0])]
+            rows, text = [r for r in rows if any(r)], ""
         else:
-            body.append(b)
-    if body:
-        out.append((tuple(t for _, t in path), body))
+            level = max(s[2] for s in part) if text else 0
+            kind = "heading" if level else "para"
+        if not (text.strip() or rows or (links and kind == "para")):
+            continue
+        known = {u for u, _ in links}
+        written = [u for t in ([text] if rows is None else [c for r in rows for c in r]) for u in re.findall(URL, t)]
+        links += [(u, u) for u in dict.fromkeys(written) if u not in known]
+        out.append(block(kind, text, level, rows, header, links))
     return out
 
 
-def chunk(blocks: list[dict]) -> list[dict]:
-    """Sections split where they are long (at block borders) and merged forward where they are short."""
-    count = lambda body: sum(len(render(b).split()) for b in body)
-    pieces = []
-    for path, body in sections(blocks):
-        parts, size = [[]], 0
-        split = count(body) > MAX_WORDS
-        for b in body:
-            n = len(render(b).split())
-            if split and parts[-1] and size + n > TARGET_WORDS:
-                parts.append([])
-                size = 0
-            parts[-1].append(b)
-            size += n
-        pieces += [(path, p) for p in parts]
-    groups, open_group = [], []
-    for piece in pieces:
-        open_group.append(piece)
-        if sum(count(p) for _, p in open_group) >= MIN_WORDS:
-            groups.append(open_group)
-            open_group = []
-    if open_group:
-        groups[-1:] = [groups[-1] + open_group] if groups else [open_group]
-    out = []
-    for g in groups:
-        shared = 0
-        while len(g) > 1 and all(len(p) > shared for p, _ in g) and len({p[shared] for p, _ in g}) == 1:
-            shared += 1
-        heading = " > ".join(g[0][0] if len(g) == 1 else g[0][0][:shared])
-        if len(g) > 1 and not shared:
-            heading = " · ".join(dict.fromkeys(p[0] for p, _ in g if p))
-        body = []
-        for path, part in g:
-            if len(g) > 1 and path[shared:]:
-                body.append(block("para", " > ".join(path[shared:])))
-            body += part
-        text = "\n\n".join(t for t in map(render, body) if t.strip())
-        links = {x["url"]: x for b in reversed(body) for x in reversed(b["links"] or [])}
-        links = [links[u] for u in dict.fromkeys(x["url"] for b in body for x in b["links"] or [])]
-        if text.strip() or links:
-            out.append({"ordinal": len(out), "heading": heading, "text": text, "links": links})
-    return out
+@F.arrow_udf(T.ArrayType(BLOCK))
+def textify(html: pa.Array) -> pa.Array:
+    return pa.array([blocks_of(h.as_py()) for h in html], _BLOCKS)
+
+
+def block_rows(pages: DataFrame, blocks: Column | str) -> DataFrame:
+    """page_id, at and the fields of each block; blocks: an array column."""
+    return pages.select("page_id", F.posexplode(blocks).alias("at", "b")).select("page_id", "at", "b.*")
+
+
+def either(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conditions)
+
+
+def last_heading(upto: int, value: Column, where: Column) -> Column:
+    """The value at the page's last heading of level `upto` or above, this row's own included."""
+    order = Window.partitionBy("page_id").orderBy("at")
+    return F.last(F.when(where & (F.col("level") <= upto), value), ignorenulls=True).over(order)
+
+
+def scrub(rows: DataFrame) -> DataFrame:
+    """Block rows without credentials: whole sections under a heading that names one, tables whose header does,
+    table rows, and lines (with the next line, where the naming line is short and the value may follow)."""
+    heading, table = F.col("kind") == "heading", F.col("kind") == "table"
+    naming = F.struct("level", mentions_credential(F.col("text")).alias("names"))
+    # a section is closed if the last heading of its level or above is of that level and names a credential
+    for level in range(1, 7):
+        rows = rows.withColumn(f"__l{level}", last_heading(level, naming, heading))
+    closed = either([(F.col(f"__l{k}.level") == k) & F.col(f"__l{k}.names") for k in range(1, 7)])
+    rows = rows.where(~F.coalesce(closed, F.lit(False))).drop(*[f"__l{k}" for k in range(1, 7)])
+    filled = table & (F.size("rows") > 0)
+    secret = filled & F.col("header") & F.exists(F.element_at("rows", 1), lambda c: mentions_credential(c, True))
+    clean = F.transform(F.filter("rows", lambda r: ~F.exists(r, lambda c: mentions_credential(c))), lambda r: F.transform(r, lambda c: redact_keys(c)))
+    # lines as rows; a heading or table is one line and ends what a line before it may take along
+    lines = F.when(heading | filled, F.array(F.lit(""))).otherwise(F.split(F.coalesce("text", F.lit("")), "\n"))
+    order = Window.partitionBy("page_id").orderBy("at")
+    rows = rows.withColumns({"__secret": F.coalesce(secret, F.lit(False)), "__part": F.sum((heading | filled).cast("int")).over(order)})
+    lined = rows.select("*", F.posexplode(lines).alias("__n", "__line"))
+    w = Window.partitionBy("page_id", "__part").orderBy("at", "__n")
+    full, names = F.col("__line").rlike(r"\S"), mentions_credential(F.col("__line"))
+    lined = lined.withColumns({"__full": full, "__names": names}).withColumn("__i", F.sum(F.col("__full").cast("int")).over(w))
+    short = F.col("__names") & (F.length("__line") < 80)
+    other = F.max(F.when(F.col("__full") & ~short, F.col("__i"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    # of short naming lines in a row the second is taken by the first, the fourth by the third
+    before = F.col("__i") - F.col("__full").cast("int") - F.coalesce(other, F.lit(0))
+    lined = lined.withColumn("__kept", ~(F.col("__names") | (F.col("__full") & (before % 2 == 1))))
+    whole = F.first(F.when(F.col("__n") == 0, F.struct("kind", "text", "level", "rows", "header", "links", "__secret")), ignorenulls=True)
+    kept = F.sort_array(F.collect_list(F.when(F.col("__kept"), F.struct("__n", redact_keys(F.col("__line")).alias("line")))))
+    back = lined.groupBy("page_id", "at").agg(whole.alias("b"), F.array_join(F.transform(kept, lambda x: x["line"]), "\n").alias("said")).select("page_id", "at", "b.*", "said")
+    removed = F.lit("[table removed: credentials]")
+    text = F.when(F.col("__secret"), removed).when(heading, redact_keys(F.col("text"))).when(filled, F.col("text")).otherwise(F.regexp_replace("said", r"^\s+|\s+$", ""))
+    links = F.when(F.col("__secret"), F.array().cast(T.ArrayType(LINK))).otherwise(F.col("links"))
+    done = back.select("page_id", "at", F.when(F.col("__secret"), "para").otherwise(F.col("kind")).alias("kind"), text.alias("text"), "level", F.when(filled & ~F.col("__secret"), clean).alias("rows"), F.col("header") & ~F.col("__secret"), links.alias("links"), filled.alias("__filled"))
+    done = done.toDF("page_id", "at", "kind", "text", "level", "rows", "header", "links", "__filled")
+    empty = F.when(F.col("kind") == "table", F.col("__filled") & (F.size("rows") == 0)).when(heading, F.lit(False)).otherwise((F.col("text") == "") & (F.coalesce(F.size("links"), F.lit(0)) <= 0))
+    return done.where(~empty).drop("__filled")
+
+
+def shown(kind: str = "kind", text: str = "text", rows: str = "rows", header: str = "header") -> Column:
+    """A block as text."""
+    line = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(r, lambda c: F.replace(c, F.lit("|"), F.lit("/"))), " | "), F.lit(" |"))
+    lines = F.transform(rows, line)
+    rule = F.concat(F.lit("|"), F.repeat(F.lit("---|"), F.size(F.element_at(rows, 1))))
+    lines = F.when(F.col(header), F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, F.lit(2), F.size(lines)))).otherwise(lines)
+    plain = F.coalesce(text, F.lit(""))
+    return F.when(F.col(kind) == "code", F.concat(F.lit("```\n"), plain, F.lit("\n```"))).when((F.col(kind) == "table") & (F.size(rows) > 0), F.array_join(lines, "\n")).otherwise(plain)
+
+
+def numbered(items: Column, words, opens) -> Column:
+    """Group numbers of an array's items from 0, in order: `opens(sum of the group so far, its items, words)` begins a new one."""
+    start = F.struct(F.lit(0).alias("group"), F.lit(0).cast("long").alias("sum"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("ids"))
+
+    def step(acc: Column, item: Column) -> Column:
+        new = (acc["n"] > 0) & opens(acc["sum"], acc["n"], words(item))
+        group = acc["group"] + new.cast("int")
+        return F.struct(group.alias("group"), (F.when(new, 0).otherwise(acc["sum"]) + words(item)).cast("long").alias("sum"), (F.when(new, 0).otherwise(acc["n"]) + 1).cast("int").alias("n"), F.concat(acc["ids"], F.array(group)).alias("ids"))
+
+    return F.aggregate(items, start, step)
+
+
+def chunk(rows: DataFrame) -> DataFrame:
+    """page_id, ordinal, heading, text, links of the chunks of block rows: sections under headings down to MAX_LEVEL,
+    split at block borders where they are long and merged forward where they are short."""
+    cut = (F.col("kind") == "heading") & (F.col("level") <= MAX_LEVEL)
+    order = Window.partitionBy("page_id").orderBy("at")
+    for level in range(1, MAX_LEVEL + 1):
+        rows = rows.withColumn(f"__l{level}", last_heading(level, F.struct("level", "text"), cut))
+    path = F.filter(F.array(*[F.when(F.col(f"__l{k}.level") == k, F.col(f"__l{k}.text")) for k in range(1, MAX_LEVEL + 1)]), lambda t: t.isNotNull())
+    text = shown()
+    body = F.when(~cut, F.struct("at", text.alias("text"), F.size(F.filter(F.split(text, r"\s+"), lambda x: x != "")).alias("n"), "links"))
+    placed = rows.select("page_id", "at", F.sum(cut.cast("int")).over(order).alias("section"), path.alias("path"), body.alias("body"))
+    sections = placed.groupBy("page_id", "section").agg(F.max("path").alias("path"), F.sort_array(F.collect_list("body")).alias("body"))
+    # a last heading with nothing below it is no section
+    sections = sections.withColumn("__last", F.max("section").over(Window.partitionBy("page_id"))).where((F.size("body") > 0) | (F.col("section") < F.col("__last")))
+    total = F.aggregate("body", F.lit(0), lambda a, b: a + b["n"])
+    parts = F.when(total > MAX_WORDS, numbered(F.col("body"), lambda b: b["n"], lambda size, n, more: size + more > TARGET_WORDS)["ids"]).otherwise(F.transform("body", lambda b: F.lit(0)))
+    split = sections.select("page_id", "section", "path", F.explode_outer(F.arrays_zip(F.col("body").alias("body"), parts.alias("part"))).alias("x"))
+    pieces = split.groupBy("page_id", "section", "path", F.coalesce("x.part", F.lit(0)).alias("part")).agg(F.sort_array(F.collect_list("x.body")).alias("body"))
+    words = F.aggregate("body", F.lit(0), lambda a, b: a + b["n"])
+    pages = pieces.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("section", "part", "path", "body", words.alias("n")))).alias("pieces"))
+    pages = pages.withColumn("g", numbered(F.col("pieces"), lambda p: p["n"], lambda size, n, more: size >= MIN_WORDS))
+    # what is left over at the end goes to the group before it
+    most = F.when(F.col("g.sum") < MIN_WORDS, F.greatest(F.col("g.group") - 1, F.lit(0))).otherwise(F.col("g.group"))
+    marked = pages.select("page_id", most.alias("most"), F.explode(F.arrays_zip(F.col("pieces").alias("piece"), F.col("g.ids").alias("group"))).alias("x"))
+    groups = marked.groupBy("page_id", F.least("x.group", "most").alias("group")).agg(F.sort_array(F.collect_list("x.piece")).alias("g"))
+    # how many headings all paths of a group begin with
+    agree = lambda k: F.size(F.array_distinct(F.transform("g", lambda p: F.get(p["path"], F.lit(k))))) == 1
+    reach = lambda k: F.forall("g", lambda p: F.size(p["path"]) > k)
+    shared, common = F.lit(0), F.lit(True)
+    for k in range(MAX_LEVEL):
+        common = common & agree(k) & reach(k)
+        shared = F.when(common, k + 1).otherwise(shared)
+    first, alone = F.element_at("g", 1), F.size("g") == 1
+    groups = groups.withColumn("shared", shared)
+    tops = F.array_distinct(F.transform(F.filter("g", lambda p: F.size(p["path"]) > 0), lambda p: F.element_at(p["path"], 1)))
+    name = F.when(alone, F.array_join(first["path"], " > ")).when(F.col("shared") > 0, F.array_join(F.slice(first["path"], F.lit(1), F.col("shared")), " > ")).otherwise(F.array_join(tops, " · "))
+    own = lambda p: F.when(F.size("g") > 1, F.array_join(F.slice(p["path"], F.col("shared") + 1, F.lit(MAX_LEVEL)), " > ")).otherwise(F.lit(""))
+    said = F.flatten(F.transform("g", lambda p: F.concat(F.array(own(p)), F.transform(p["body"], lambda b: b["text"]))))
+    links = F.flatten(F.transform("g", lambda p: F.flatten(F.transform(p["body"], lambda b: F.coalesce(b["links"], F.array().cast(T.ArrayType(LINK)))))))
+    made = groups.select("page_id", "group", name.alias("heading"), F.array_join(F.filter(said, lambda t: t.rlike(r"\S")), "\n\n").alias("text"), links.alias("links"))
+    once = F.transform(F.array_distinct(F.transform("links", lambda x: x["url"])), lambda u: F.element_at(F.filter("links", lambda x: x["url"] == u), 1))
+    made = made.where((F.col("text") != "") | (F.size("links") > 0)).withColumn("links", once)
+    return made.select("page_id", (F.row_number().over(Window.partitionBy("page_id").orderBy("group")) - 1).alias("ordinal"), "heading", "text", "links")
+
+
+def page_chunks(pages: DataFrame, html: str = "html") -> DataFrame:
+    """page_id and its chunks as rows: textify, scrub, chunk."""
+    return chunk(scrub(block_rows(pages, textify(html))))
 
 
 def file_blocks(name: str, body: str) -> list[dict]:
@@ -339,21 +352,6 @@ def leaf_paths(value, path: str = "$") -> dict[str, object]:
     return {path: None if value != value else value}
 
 
-@F.arrow_udf(T.ArrayType(BLOCK))
-def textify(html: pa.Array) -> pa.Array:
-    return pa.array([PageReader().read(h.as_py()) for h in html], _BLOCKS)
-
-
-@F.arrow_udf(T.ArrayType(BLOCK))
-def scrubbed(blocks: pa.Array) -> pa.Array:
-    return pa.array([scrub(b or []) for b in blocks.to_pylist()], _BLOCKS)
-
-
-@F.arrow_udf(T.ArrayType(CHUNK))
-def chunked(blocks: pa.Array) -> pa.Array:
-    return pa.array([chunk(b or []) for b in blocks.to_pylist()], _CHUNKS)
-
-
 @F.arrow_udf(T.ArrayType(BLOCK))
 def from_file(names: pa.Array, bodies: pa.Array) -> pa.Array:
     return pa.array([file_blocks(n or "", b or "") for n, b in zip(names.to_pylist(), bodies.to_pylist(), strict=True)], _BLOCKS)
@@ -368,9 +366,3 @@ def json_leaves(texts: pa.Array) -> pa.Array:
         except (TypeError, ValueError):
             rows.append(None)
     return pa.array(rows, pa.map_(pa.string(), pa.string()))
-
-
-def page_chunks(pages: DataFrame, html: str = "html") -> DataFrame:
-    """page_id and its chunks as rows: textify, scrub, chunk."""
-    made = pages.select("page_id", F.explode(chunked(scrubbed(textify(html)))).alias("c"))
-    return made.select("page_id", "c.*")
