@@ -1,5 +1,6 @@
 import json
 import math
+import random
 import sqlite3
 import struct
 
@@ -200,16 +201,79 @@ def test_detector_locks_switches_and_rejects_short_runs(spark, tmp_path):
     assert sorted((r["seq"], r["segment"], r["verdict"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == rows
 
 
-def test_loss_meter():
-    state = ingest.LossState()
-    t = 0.0
-    for _ in range(30):
-        t += 0.02
-        state.feed(t)
-    for gap in (0.1, 5.0, -1.0):
-        t += gap
-        state.feed(t)
-    assert (state.holes, state.missing, state.outages, state.backwards) == (1, 4, 1, 1) and state.period == pytest.approx(0.02)
+def plain_verdicts(kinds):
+    """The detector's verdicts by going through the messages one by one."""
+    locked, segment, held, out = None, 0, [], {}
+    for i, k in [*enumerate(kinds), (None, "end")]:
+        if held and (i is None or (k != kinds[held[-1]] and (k is not None or locked))):
+            if i is None and locked is None:
+                locked, segment = kinds[held[-1]], 1
+                out |= {h: (1, locked, "stored") for h in held}
+            else:
+                out |= {h: (segment, locked, "rejected" if locked else "unknown") for h in held}
+            held = []
+        if i is None:
+            break
+        if k is not None and k != locked:
+            held.append(i)
+            if len(held) == 20:
+                locked, segment = k, segment + 1
+                out |= {h: (segment, k, "stored") for h in held}
+                held = []
+        else:
+            out[i] = (segment, locked, "stored" if k else "rejected" if locked else "unknown")
+    return [(i, *out[i]) for i in range(len(kinds))]
+
+
+def test_detector_matches_a_walk_over_the_messages(spark):
+    rng = random.Random(9)
+    runs = [[k for _ in range(rng.randrange(1, 9)) for k in [rng.choice(["a", "b", None])] * rng.choice([1, 2, 5, 19, 20, 21, 40])] for _ in range(40)] + [[None] * 3, ["a"] * 3 + [None] + ["b"] * 2, ["a"] * 19 + [None] + ["a"]]
+    df = spark.createDataFrame([(r, i, k) for r, kinds in enumerate(runs) for i, k in enumerate(kinds)], "run_id long, seq long, schema string")
+    got = ingest.live_detect(df).orderBy("run_id", "seq").collect()
+    for r, kinds in enumerate(runs):
+        want = plain_verdicts(kinds)
+        assert [tuple(x)[1:] for x in got if x["run_id"] == r] == want, kinds
+        machine, out, at = {"locked": None, "segment": 0, "pending": None}, [], 0
+        while at < len(kinds):
+            step = rng.randrange(1, 30)
+            out += live.judged(machine, [{"seq": i, "schema": kinds[i]} for i in range(at, min(at + step, len(kinds)))])
+            at += step
+        assert sorted(out + live.judged(machine, [], end=True)) == want
+
+
+def plain_losses(times, outage=2.0):
+    """The loss meter, one gap after the other."""
+    recent, taken, period, holes, missing, outages, total, back = [], 0, None, 0, 0, 0, 0.0, 0
+    for a, b in zip(times, times[1:], strict=False):
+        g = b - a
+        if g < 0:
+            back += 1
+        elif g > outage:
+            outages, total = outages + 1, total + g
+        elif period is not None and g >= 2.5 * period:
+            holes, missing = holes + 1, missing + max(1, round(g / period) - 1)
+        else:
+            recent, taken = [*recent, g][-101:], taken + 1
+            if taken == 11 or (taken > 11 and taken % 10 == 0):
+                period = sorted(recent)[len(recent) // 2]
+    return period, missing, holes, outages, pytest.approx(total), back
+
+
+def test_loss_meter_matches_a_walk_over_the_gaps(spark):
+    rng, rows, want = random.Random(4), [], {}
+    for run in range(12):
+        t, times = 100.0, []
+        for _ in range(rng.choice([1, 5, 12, 300, 900])):
+            times.append(t)
+            t += rng.choice([0.02, 0.02, 0.021, 0.019, 0.04]) if rng.random() < 0.9 else rng.choice([0.1, 0.5, 5.0, -1.0, 0.0])
+        want[run] = plain_losses(times)
+        rows += [(run, i, x) for i, x in enumerate(times)] + [(run, 10_000, None)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "70")
+    try:
+        got = {r["run_id"]: tuple(r)[1:] for r in ingest.loss_meter(spark.createDataFrame(rows, "run_id long, seq long, pub_s double")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want
 
 
 def test_live_clock_keeps_publish_spacing_over_a_jump(spark):

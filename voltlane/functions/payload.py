@@ -41,6 +41,19 @@ def fits(value, kind) -> bool:
     return not isinstance(value, bool) and isinstance(value, int if kind is int else (int, float))
 
 
+@cache
+def by_keys() -> dict[frozenset, str]:
+    """The only schema that a payload with these top keys and motor fields can have."""
+    return {frozenset(shape(s)) | frozenset(("motor", k) for k in shape(s)["motor"]): s for s in SCHEMAS}
+
+
+def conforms(value, want) -> bool:
+    if type(want) is not dict:
+        kind = type(value)
+        return kind is int or (kind is float and want is float)
+    return type(value) is dict and value.keys() == want.keys() and all(conforms(value[k], w) for k, w in want.items())
+
+
 def compare(value, want, path: str = "") -> list[str]:
     """What is wrong with a value, in order: unexpected keys, missing keys, then key by key."""
     if not isinstance(want, dict):
@@ -58,12 +71,15 @@ def examine(raw: str | None) -> dict:
         payload = json.loads(raw)
     except (TypeError, ValueError):
         return {"schema": None, "repeat_key": None, "publish_ns": None, "reasons": ["not JSON"]}
+    stamp = payload.get("_t_publish_ns") if isinstance(payload, dict) else None
+    motor = payload.get("motor") if isinstance(payload, dict) else None
+    likely = by_keys().get(frozenset(payload) | frozenset(("motor", k) for k in motor)) if isinstance(motor, dict) else None
+    if likely and conforms(payload, shape(likely)):
+        body = json.dumps({k: v for k, v in payload.items() if k != "_t_publish_ns"}, sort_keys=True)
+        return {"schema": likely, "repeat_key": body, "publish_ns": stamp, "reasons": []}
     tried = {s: compare(payload, shape(s)) for s in SCHEMAS}
     best = min(tried, key=lambda s: (len(tried[s]), s))
-    stamp = payload.get("_t_publish_ns") if isinstance(payload, dict) else None
-    ok = not tried[best]
-    body = json.dumps({k: v for k, v in payload.items() if k != "_t_publish_ns"}, sort_keys=True) if ok else None
-    return {"schema": best if ok else None, "repeat_key": body, "publish_ns": stamp if fits(stamp, int) else None, "reasons": tried[best][:MAX_REASONS]}
+    return {"schema": None, "repeat_key": None, "publish_ns": stamp if fits(stamp, int) else None, "reasons": tried[best][:MAX_REASONS]}
 
 
 EXAMINED = T.StructType([T.StructField("schema", T.StringType()), T.StructField("repeat_key", T.StringType()), T.StructField("publish_ns", T.LongType()), T.StructField("reasons", T.ArrayType(T.StringType()))])

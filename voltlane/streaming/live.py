@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import asdict
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from voltlane.functions.scalar import haversine
-from voltlane.operators.ingest import DetectorState
+from voltlane.operators.ingest import LOCK_AFTER, SWITCH_AFTER
 from voltlane.operators.track import LAP_ROWS, LapState, from_json
 
 STATE = "body string"
@@ -66,21 +67,57 @@ def laps(fixes: DataFrame, lat: float, lon: float, radius_m: float, max_mps: flo
     return keyed(fixes.withColumn("margin", F.lit(float(margin_s))), LAP_ROWS.format(run=kind), step)
 
 
+def judged(machine: dict, messages: list[dict], end: bool = False) -> list[tuple]:
+    """(seq, segment, schema, verdict) of what the next messages settle, run of equal schema by run; `machine` goes on.
+
+    A run of another schema than the locked one is pending until it is long enough to lock, or ends."""
+    out: list[tuple] = []
+
+    def settle(seqs: list[int], verdict: str) -> None:
+        known = machine["locked"] is not None
+        out.extend((s, machine["segment"], machine["locked"], verdict if known or verdict == "stored" else "unknown") for s in seqs)
+
+    def lock() -> None:
+        machine["locked"], seqs = machine["pending"]
+        machine.update(segment=machine["segment"] + 1, pending=None)
+        settle(seqs, "stored")
+
+    for schema, group in groupby(messages, key=lambda r: r["schema"]):
+        seqs = [int(r["seq"]) for r in group]
+        if schema is None and machine["locked"] is None:
+            settle(seqs, "unknown")
+            continue
+        if machine["pending"] and machine["pending"][0] != schema:
+            settle(machine["pending"][1], "rejected")
+            machine["pending"] = None
+        if schema is None or schema == machine["locked"]:
+            settle(seqs, "rejected" if schema is None else "stored")
+            continue
+        machine["pending"] = [schema, (machine["pending"] or [schema, []])[1] + seqs]
+        if len(machine["pending"][1]) >= (LOCK_AFTER if machine["locked"] is None else SWITCH_AFTER):
+            lock()
+    if end and machine["pending"]:
+        if machine["locked"] is None:
+            lock()
+        else:
+            settle(machine["pending"][1], "rejected")
+            machine["pending"] = None
+    return out
+
+
 def detector(messages: DataFrame) -> DataFrame:
     """Verdicts of the live schema detector. messages: run_id, seq (null: end of stream), at, schema."""
-
-    def load(machine) -> DetectorState:
-        state = from_json(DetectorState, machine) if machine else DetectorState()
-        state.held = [tuple(h) for h in state.held]
-        return state
+    new = {"locked": None, "segment": 0, "pending": None}
 
     def step(machine, rows):
-        state = load(machine)
-        return (lambda out: (asdict(state), out))([o for r in rows for o in state.feed(int(r["seq"]), r["schema"])])
+        machine = machine or dict(new)
+        out = judged(machine, rows)
+        return machine, out
 
     def finish(machine):
-        state = load(machine)
-        return (lambda out: (asdict(state), out))(state.finish())
+        machine = machine or dict(new)
+        out = judged(machine, [], end=True)
+        return machine, out
 
     kind = messages.schema["run_id"].dataType.simpleString()
     return keyed(messages.withColumn("margin", F.lit(0.0)), f"run_id {kind}, seq long, segment long, schema string, verdict string", step, finish)
