@@ -8,12 +8,35 @@ from pyspark.sql import functions as F
 from voltlane.functions.geo import haversine_m
 
 
+def rows_within(rows: DataFrame, intervals: DataFrame, start: str = "start_seq", end: str = "end_seq", at: str = "seq", block: int = 512) -> DataFrame:
+    """Pairs of an interval and a row of its run with start <= at <= end.
+
+    Both sides meet by run and block of `block` seqs, so an interval reads its own stretch of the
+    run and not all of it. Columns of both sides stay; rows' run_id goes."""
+    blocks = F.sequence(F.floor(F.col(start) / block), F.floor(F.col(end) / block))
+    cut = intervals.where(F.col(start) <= F.col(end)).withColumn("__block", F.explode(blocks))
+    dealt = rows.withColumnRenamed("run_id", "__run").withColumn("__of", F.floor(F.col(at) / block))
+    met = cut.join(dealt, (F.col("__run") == F.col("run_id")) & (F.col("__of") == F.col("__block")) & F.col(at).between(F.col(start), F.col(end)))
+    return met.drop("__run", "__of", "__block")
+
+
+def disjoint(intervals: DataFrame, name: str) -> DataFrame:
+    """Half-open pieces (run_id, start_seq, end_seq, name) of intervals that may overlap: of those over a piece the one that starts last counts."""
+    ends = intervals.select("run_id", F.explode(F.array("start_seq", "end_seq")).alias("seq")).distinct()
+    pieces = ends.withColumn("__next", F.lead("seq").over(Window.partitionBy("run_id").orderBy("seq"))).where("__next is not null")
+    whole = intervals.where("end_seq > start_seq").select("run_id", F.col("start_seq").alias("__s"), (F.col("end_seq") - 1).alias("__e"), F.col(name).alias("__name"))
+    # an interval covers a piece if it covers the piece's first seq
+    held = rows_within(pieces, whole, "__s", "__e")
+    return held.groupBy("run_id", "seq", "__next").agg(F.max_by("__name", F.struct("__s", -F.col("__e"))).alias(name)).select("run_id", F.col("seq").alias("start_seq"), F.col("__next").alias("end_seq"), name)
+
+
 def interval_of(rows: DataFrame, intervals: DataFrame, name: str, at: str = "seq") -> DataFrame:
     """Each row with the `name` of the half-open interval [start_seq, end_seq) of its run that holds it, or null.
 
     Interval starts join the rows' stream as events; the last start up to a row is its
     candidate, whose end is then checked. One sort per run, no pairs. Where intervals
-    overlap the one that starts last is taken."""
+    overlap or lie within each other the one that starts last is taken."""
+    intervals = disjoint(intervals, name)
     starts = intervals.select("run_id", F.col("start_seq").alias(at), F.struct(F.col("start_seq").alias("s"), F.col("end_seq").alias("e"), F.col(name).alias("n")).alias("__open"))
     both = rows.withColumn("__row", F.lit(1)).unionByName(starts.withColumn("__row", F.lit(0)), allowMissingColumns=True)
     w = Window.partitionBy("run_id").orderBy(at, "__row", F.col("__open.e").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voltlane.functions import geo, power
+from voltlane.operators.intervals import rows_within
 
 
 @dataclass(frozen=True)
@@ -107,8 +108,8 @@ def range_metrics(snapshots: DataFrame, intervals: DataFrame, guards: Guards = G
     Steps inside an interval are those whose both ends are inside, so each side's step is
     computed once per run and summed where its earlier end is not before the interval."""
     keys = intervals.columns
-    rows = all_steps(snapshots, guards).select(F.col("run_id").alias("__run"), "seq", "t", "step_kwh", "step_m", "has_fix", "is_fix", "power_before", "fix_before", "fix_first")
-    inside = intervals.join(rows, (F.col("__run") == F.col("run_id")) & F.col("seq").between(F.col("start_seq"), F.col("end_seq")))
+    rows = all_steps(snapshots, guards).select("run_id", "seq", "t", "step_kwh", "step_m", "has_fix", "is_fix", "power_before", "fix_before", "fix_first")
+    inside = rows_within(rows, intervals)
     kwh = F.sum(F.when(F.col("power_before") >= F.col("start_seq"), F.col("step_kwh")).otherwise(0.0))
     metres = F.sum(F.when(F.col("fix_before") >= F.col("start_seq"), F.col("step_m")).otherwise(0.0))
     # a reading that the interval shares with the rows before it is one fix of the interval too

@@ -33,7 +33,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 200, weights: dict[str, f
     shuffle holds those alone. Ties go to the smaller doc_id."""
     weights = weights or {"text": 1.0}
     lists = {c: words_of.words(F.col(c)) for c in weights}
-    asked = queries.select("query_id", F.explode(F.array_distinct(words_of.words(F.col("q")))).alias("term")).persist()
+    asked = queries.select("query_id", F.explode(F.array_distinct(words_of.words(F.col("q")))).alias("term"))
     terms = asked.select("term").distinct()
     if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
         terms = F.broadcast(terms)

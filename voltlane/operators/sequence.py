@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voltlane.operators.intervals import rows_within
 from voltlane.operators.metrics import by_run
 
 
@@ -101,7 +102,8 @@ def lookback_bound(rows: DataFrame, margin_s: float = 2.0, column: str = "t") ->
 def first_at_or_after(rows: DataFrame, targets: DataFrame, within: int = 3000) -> DataFrame:
     """Forward as-of: for each target (run_id, target_id, target_t, around_seq) the earliest seq of the unbroken
     stretch ending at around_seq whose times are all >= target_t, at most `within` seqs back; else around_seq."""
-    near = targets.join(rows.select("run_id", F.col("seq").alias("__seq"), "t"), "run_id").where((F.col("__seq") <= F.col("around_seq")) & (F.col("__seq") > F.col("around_seq") - within))
+    reach = targets.withColumn("__from", F.col("around_seq") - within + 1)
+    near = rows_within(rows.select("run_id", F.col("seq").alias("__seq"), "t"), reach, "__from", "around_seq", "__seq").drop("__from")
     last_early = near.groupBy("run_id", "target_id", "target_t", "around_seq").agg(F.max(F.when(F.col("t") < F.col("target_t"), F.col("__seq"))).alias("__early"))
     back = near.join(last_early, ["run_id", "target_id", "target_t", "around_seq"]).where(F.col("__early").isNull() | (F.col("__seq") > F.col("__early")))
     found = back.groupBy("run_id", "target_id").agg(F.min("__seq").alias("found_seq"))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from voltlane.functions import geo, power
 from voltlane.functions.scalar import haversine
 from voltlane.operators import metrics
+from voltlane.operators.intervals import rows_within
 from voltlane.operators.metrics import Guards, by_run
 from voltlane.operators.sequence import first_at_or_after
 
@@ -118,8 +119,7 @@ def lap_metrics(snapshots: DataFrame, laps: DataFrame, turns: DataFrame | None =
     out = metrics.range_metrics(snapshots, laps, guards)
     if turns is None:
         return out.withColumn("turn_count", F.lit(0).cast("long"))
-    begin = turns.select(F.col("run_id").alias("__run"), F.col("start_seq").alias("__at"))
-    inside = laps.join(begin, (F.col("__run") == F.col("run_id")) & (F.col("__at") > F.col("start_seq")) & (F.col("__at") <= F.col("end_seq")))
+    inside = rows_within(turns.select("run_id", F.col("start_seq").alias("__at")), laps, at="__at").where("__at > start_seq")
     counts = inside.groupBy("run_id", "lap_number").agg(F.count("*").alias("turn_count"))
     return out.join(counts, ["run_id", "lap_number"], "left").withColumn("turn_count", F.coalesce("turn_count", F.lit(0).cast("long")))
 
@@ -246,13 +246,13 @@ def segment_metrics(snapshots: DataFrame, instances: DataFrame, gates: DataFrame
     at = named.join(starts, ["run_id", "__in"]).join(ends, ["run_id", "__out"]).drop("__in", "__out").where("end_seq >= start_seq").persist()
     # energy
     w = by_run()
-    steps = snapshots.where("p is not null").select("run_id", "seq", "t", "p", F.lag("seq").over(w).alias("q_seq"), F.lag("t").over(w).alias("q_t"), F.lag("p").over(w).alias("q_p")).withColumnRenamed("run_id", "__run")
-    inside = at.join(steps, (F.col("__run") == F.col("run_id")) & F.col("seq").between(F.col("start_seq") - 1, F.col("end_seq")))
+    steps = snapshots.where("p is not null").select("run_id", "seq", "t", "p", F.lag("seq").over(w).alias("q_seq"), F.lag("t").over(w).alias("q_t"), F.lag("p").over(w).alias("q_p"))
+    inside = rows_within(steps, at.withColumn("__from", F.col("start_seq") - 1), "__from")
     kwh = power.clipped_step_kwh(F.col("q_p"), F.col("p"), F.col("q_t"), F.col("t"), F.col("enter_t"), F.col("exit_t"), guards.max_gap_s)
     energy = inside.groupBy(*key).agg(F.when(F.count("*") >= 2, 1000 * F.sum(F.when(F.col("q_seq") >= F.col("start_seq") - 1, kwh).otherwise(0.0))).alias("energy_wh"))
     # distance
-    moves = metrics.distance_steps(snapshots, guards).select(F.col("run_id").alias("__run"), "seq", "step_m")
-    between = at.join(moves, (F.col("__run") == F.col("run_id")) & (F.col("seq") > F.col("enter_seq")) & (F.col("seq") < F.col("exit_seq")))
+    moves = metrics.distance_steps(snapshots, guards).select("run_id", "seq", "step_m")
+    between = rows_within(moves, at, "enter_seq", "exit_seq").where("seq > enter_seq and seq < exit_seq")
     middle = between.groupBy(*key).agg(F.sum("step_m").alias("middle_m"))
     chord = lambda c: F.when(F.col(c) <= guards.max_jump_m, F.col(c)).otherwise(0.0)
     out = at.join(energy, key, "left").join(middle, key, "left")

@@ -41,20 +41,21 @@ def holding_all(texts, asked):
     return met.groupBy(F.col("query_id").alias("item_id")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
 
 
-@query(f"""WITH d AS (SELECT doc_id, list_transform({WORDS('text')}, lambda w: {STEM('w')}) AS s FROM documents), q AS (SELECT item_id, list_transform(list_slice({WORDS('text')}, 1, 2), lambda w: {STEM('w')}) AS s FROM benchmark)
-SELECT item_id, count(*) AS n, min(doc_id) AS first_doc FROM d, q WHERE list_has_all(d.s, q.s) GROUP BY 1""")
+ALL_WORDS = f"""WITH d AS (SELECT doc_id, list_transform({WORDS('text')}, lambda w: {STEM('w')}) AS s FROM documents), q AS (SELECT item_id, list_transform({WORDS('text')}, lambda w: {STEM('w')}) AS s FROM benchmark)
+SELECT item_id, count(*) AS n, min(doc_id) AS first_doc FROM d, q WHERE len(q.s) > 0 AND list_has_all(d.s, q.s) GROUP BY 1"""
+
+
+@query(ALL_WORDS)
 def matches_filter(spark, sf_dir):
-    """Documents that hold the first two words of each question, stem for stem: the stems of the
-    questions are joined as terms, and a document matches if it has all of a question's."""
-    need = questions(spark, sf_dir).select("query_id", F.transform(F.slice(words_of.words(F.col("q")), 1, 2), words_of.stem).alias("s"))
-    return holding_all(docs(spark, sf_dir), need)
+    """Documents that hold all words of each question, stem for stem: the stems of the questions
+    are joined as terms, and a document matches if it has all of a question's."""
+    return holding_all(docs(spark, sf_dir), questions(spark, sf_dir).select("query_id", words_of.stems(F.col("q")).alias("s")))
 
 
-@query(f"""WITH d AS (SELECT doc_id, list_transform({WORDS('text')}, lambda w: {STEM('w')}) AS s FROM documents), q AS (SELECT item_id, list_transform({WORDS('text')}, lambda w: {STEM('w')}) AS s FROM benchmark)
-SELECT item_id, count(*) AS n, min(doc_id) AS first_doc FROM d, q WHERE len(q.s) > 0 AND list_has_all(d.s, q.s) GROUP BY 1""")
+@query(ALL_WORDS)
 def matches_filter_all(spark, sf_dir):
-    """Documents that hold all words of each question, stem for stem."""
-    return holding_all(docs(spark, sf_dir), questions(spark, sf_dir).select("query_id", words_of.stems(F.col("q")).alias("s")))
+    """The same under its older name."""
+    return matches_filter(spark, sf_dir)
 
 
 BM25 = f"""tok AS (SELECT doc_id, {WORDS('text')} AS w FROM documents), dl AS (SELECT doc_id, len(w)::DOUBLE AS dl FROM tok), tot AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS avgdl FROM dl),
@@ -104,7 +105,7 @@ SELECT query_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY q
 def hybrid_fuse(spark, sf_dir):
     """Keyword and meaning rankings of each question as one; a question's vector is the one with its id."""
     d, q, v = docs(spark, sf_dir), questions(spark, sf_dir), vectors(spark, sf_dir)
-    keyword = search.bm25(d, q, 200).persist()
+    keyword = search.bm25(d, q, 200)
     asked = q.join(v.withColumnRenamed("doc_id", "query_id"), "query_id").select("query_id", "v")
     coverage = search.coverage(keyword.where("place = 1").select("query_id", "doc_id"), q, d)
     fused = search.top(search.fuse(keyword, search.vector_top(v, asked, 50), coverage), 10)
@@ -113,10 +114,13 @@ def hybrid_fuse(spark, sf_dir):
 
 @query()
 def ranking_factors(spark, sf_dir):
-    """Title, path, recency, administration and subteam factors of every document for one question each."""
+    """Title, path, recency, administration and subteam factors of every document for one question each:
+    its first line is the title, and the questions are dealt by id."""
     now = F.lit("2026-11-01 00:00:00").cast("timestamp")
-    d = table(spark, sf_dir, "documents").select("doc_id", F.substring_index("text", " ", 6).alias("title"), F.array("lang", "source").alias("path"), F.col("text"))
-    stems = words_of.stems(F.substring_index("text", " ", 12))
+    asked = questions(spark, sf_dir)
+    d = table(spark, sf_dir, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("title"), F.array("lang", "source").alias("path"), F.col("text"))
+    d = d.join(asked.select("query_id", words_of.stems(F.col("q")).alias("stems")), F.pmod("doc_id", F.lit(max(asked.count(), 1))) == F.col("query_id"))
+    stems = F.col("stems")
     updated = F.date_format(F.timestamp_add("DAY", (-(F.col("doc_id") % 900)).cast("int"), now), "yyyy-MM-dd'T'HH:mm:ss")
     return d.select("doc_id", search.title_factor(stems, F.col("title")).alias("title"), search.path_factor(stems, F.col("path")).alias("path"), F.round(search.recency_factor(updated, now), 6).alias("recency"), search.admin_factor(F.col("text"), F.col("title"), F.col("path")).alias("admin"), search.subteam_factor(F.col("text"), F.col("title"), F.col("path")).alias("subteam"))
 
@@ -129,8 +133,8 @@ def mentions_credential(spark, sf_dir):
 @query()
 def credential_redaction(spark, sf_dir):
     """Texts with key-shaped strings replaced (the patterns look around, which RE2 cannot)."""
-    t = words_of.redact_keys(F.col("text"))
-    return docs(spark, sf_dir).select("doc_id", t.alias("text"), (t != F.col("text")).alias("changed"))
+    done = docs(spark, sf_dir).withColumn("clean", words_of.redact_keys(F.col("text")))
+    return done.select("doc_id", F.col("clean").alias("text"), (F.col("clean") != F.col("text")).alias("changed"))
 
 
 @query(r"""SELECT page_id, regexp_replace(lower(regexp_extract(url, '[^/]*$')), '[^a-z0-9]', '', 'g') AS norm, lower(regexp_replace(regexp_replace(trim(regexp_extract(url, '[^/]*$')), '^(copy of\s+)+', '', 'i'), '((\s*\(\d+\))+|\.(pdf|docx?|pptx?|xlsx?|txt|md))+$', '', 'i')) AS base FROM pages""")
@@ -187,32 +191,36 @@ def payloads(spark, sf_dir):
     return e.select(u.alias("run_id"), k.alias("seq"), F.col("event_id").cast("double").alias("ts"), F.when(k % 211 == 0, "not json").otherwise(body).alias("raw"))
 
 
-@query("SELECT user_id AS run_id, CASE WHEN count(*) FILTER (WHERE event_id % 101 = 0 OR event_id % 211 = 0) = 0 THEN CASE user_id % 3 WHEN 0 THEN 'telemetry.v1' WHEN 1 THEN 'telemetry.v2' ELSE 'telemetry.v1-dutycycle' END END AS schema, count(*) AS n_sampled, count(*) FILTER (WHERE event_id % 101 <> 0 AND event_id % 211 <> 0) AS n_fit FROM events GROUP BY 1, user_id HAVING count(*) <= 100")
-def schema_detect_strict(spark, sf_dir):
-    """Strict detection per stream (streams of up to a hundred messages, whose sample is the whole stream)."""
-    m = payloads(spark, sf_dir)
-    small = m.groupBy("run_id").agg(F.count("*").alias("n")).where("n <= 100")
-    return ingest.detect(m.join(small, "run_id", "left_semi"))
+STREAMS = """WITH p AS (SELECT user_id, event_id, row_number() OVER w - 1 AS i, count(*) OVER u AS n, min(event_id) OVER u AS lo, (max(event_id) OVER u - min(event_id) OVER u) / 49.0::DOUBLE AS step, lag(event_id) OVER w AS b
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id), u AS (PARTITION BY user_id)),
+ s AS (SELECT user_id, event_id % 101 <> 0 AND event_id % 211 <> 0 AS fits FROM p WHERE n <= 100 OR i < 50 OR b IS NULL OR floor((event_id - lo) / step) > floor((b - lo) / step))
+SELECT user_id AS run_id, CASE WHEN bool_and(fits) THEN CASE user_id % 3 WHEN 0 THEN 'telemetry.v1' WHEN 1 THEN 'telemetry.v2' ELSE 'telemetry.v1-dutycycle' END END AS schema, count(*) AS n_sampled, count(*) FILTER (WHERE fits) AS n_fit FROM s GROUP BY user_id"""
 
 
-@query()
-def schema_detect_all(spark, sf_dir):
+@query(STREAMS)
+def schema_detect_strict(spark, sf_dir):
     """Strict detection of every stream; of one with over a hundred messages, by its first fifty and fifty spread ones."""
     return ingest.detect(payloads(spark, sf_dir))
 
 
-@query("SELECT user_id AS run_id, count(*) AS seen, count(*) FILTER (WHERE event_id % 101 = 0 OR event_id % 211 = 0) AS rejected FROM events WHERE user_id % 3 = 1 GROUP BY 1")
-def ingest_counters(spark, sf_dir):
-    m = payloads(spark, sf_dir).where("run_id % 3 = 1")
-    return ingest.counters(m, "telemetry.v2").select("run_id", "seen", "rejected")
+@query(STREAMS)
+def schema_detect_all(spark, sf_dir):
+    """The same under its older name."""
+    return schema_detect_strict(spark, sf_dir)
 
 
 @query("SELECT user_id AS run_id, count(*) AS seen, count(*) FILTER (WHERE user_id % 3 <> 1 OR event_id % 101 = 0 OR event_id % 211 = 0) AS rejected FROM events GROUP BY 1")
-def ingest_counters_all(spark, sf_dir):
+def ingest_counters(spark, sf_dir):
     """Every stream against v2; messages of other shapes are rejects."""
     return ingest.counters(payloads(spark, sf_dir), "telemetry.v2").select("run_id", "seen", "rejected")
 
 
+@query("SELECT user_id AS run_id, count(*) AS seen, count(*) FILTER (WHERE user_id % 3 <> 1 OR event_id % 101 = 0 OR event_id % 211 = 0) AS rejected FROM events GROUP BY 1")
+def ingest_counters_all(spark, sf_dir):
+    """The same under its older name."""
+    return ingest_counters(spark, sf_dir)
+
+
 @query("""WITH e AS (SELECT user_id AS run_id, event_id AS seq, floor(value) AS v, event_id // 2 AS s FROM events WHERE event_id % 101 <> 0 AND event_id % 211 <> 0), l AS (SELECT *, lag(v) OVER w AS v0, lag(s) OVER w AS s0 FROM e WINDOW w AS (PARTITION BY run_id ORDER BY seq))
 SELECT run_id, count(*) AS n, round(sum(v), 2) AS volts, min(s) AS first_device_seq FROM l WHERE v0 IS NULL OR v <> v0 OR s <> s0 GROUP BY 1""")
 def ingest_snapshots(spark, sf_dir):

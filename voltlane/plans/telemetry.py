@@ -198,12 +198,36 @@ def laps_glitch_guard(spark, sf_dir):
     return track.lap_intervals(snapshots(spark, sf_dir), *LINE, max_mps=0.002)
 
 
-@query()
+def drive(spark, sf_dir):
+    """Events as drives past the gates: each run's k-th row is its k-th second, 5.6 m further north than the
+    one before, and after 25 rows back at the start, which is a dropout."""
+    k = F.row_number().over(by_run()).cast("long")
+    s = snapshots(spark, sf_dir).select("run_id", "event_type", "value", "p", k.alias("k"))
+    return s.select("run_id", F.col("k").alias("seq"), F.col("k").cast("double").alias("t"), F.col("k").cast("double").alias("fix_t"), "p", (42.0 + (F.col("k") % 25) * 0.00005).alias("lat"), F.lit(-76.0004).alias("lon"))
+
+
+DRIVE = f"""dr AS (SELECT run_id, k AS seq, k::DOUBLE AS t, p, 42.0 + (k % 25) * 0.00005::DOUBLE AS lat, -76.0004::DOUBLE AS lon FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS k FROM ev)),
+ dp AS (SELECT run_id, seq, t, lat, lon, lag(t) OVER w AS t0, lag(lat) OVER w AS lat0, lag(lon) OVER w AS lon0 FROM dr WINDOW w AS (PARTITION BY run_id ORDER BY seq)),
+ dc AS (SELECT *, {tangent_sql("lat0", "lon0", "lat", "lon")} AS d FROM dp WHERE t0 IS NOT NULL),
+ dv AS (SELECT run_id, seq, t, t0, d, ordinal, (lon - lon0) * cos(radians(g1)) * {_UP} AS wx, (lat - lat0) * {_UP} AS wy, (h2 - h1) * cos(radians(g1)) * {_UP} AS gx, (g2 - g1) * {_UP} AS gy, (h1 - lon0) * cos(radians(g1)) * {_UP} AS ox, (g1 - lat0) * {_UP} AS oy FROM dc, ga WHERE d <= 120),
+ df AS (SELECT *, (ox * gy - oy * gx) / (wx * gy - wy * gx) AS f, (ox * wy - oy * wx) / (wx * gy - wy * gx) AS u FROM dv WHERE abs(wx * gy - wy * gx) >= 1e-9),
+ cr AS (SELECT run_id, seq // 25 AS sweep, ordinal, seq, t0 + f * (t - t0) AS ct, f, d FROM df WHERE f BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1),
+ sg AS (SELECT * FROM (SELECT run_id, ordinal, seq AS enter_seq, ct AS enter_t, f AS enter_f, d AS enter_d, lead(seq) OVER w AS exit_seq, lead(ct) OVER w AS exit_t, lead(f) OVER w AS exit_f, lead(d) OVER w AS exit_d, lead(ordinal) OVER w AS nxt FROM cr WINDOW w AS (PARTITION BY run_id, sweep ORDER BY seq, f)) WHERE nxt = ordinal + 1),
+ st AS (SELECT run_id, seq, t, p, lag(seq) OVER w AS q_seq, lag(t) OVER w AS q_t, lag(p) OVER w AS q_p FROM dr WHERE p IS NOT NULL WINDOW w AS (PARTITION BY run_id ORDER BY seq)),
+ pt AS (SELECT s.run_id, s.ordinal, s.enter_seq, s.exit_seq, q_seq >= enter_seq - 1 AS counts, t - q_t AS dt, q_t, t, q_p, p, greatest(q_t, enter_t) AS a, least(t, exit_t) AS z FROM sg s JOIN st ON st.run_id = s.run_id AND st.seq BETWEEN s.enter_seq - 1 AND s.exit_seq),
+ en AS (SELECT run_id, ordinal, enter_seq, exit_seq, CASE WHEN count(*) >= 2 THEN 1000 * sum(CASE WHEN counts AND dt > 0 AND dt <= 86400 AND z > a THEN ((q_p + (p - q_p) * (a - q_t) / dt) + (q_p + (p - q_p) * (z - q_t) / dt)) / 2 * (z - a) / 3600 ELSE 0 END) END AS wh FROM pt GROUP BY ALL),
+ mi AS (SELECT s.run_id, s.ordinal, s.enter_seq, s.exit_seq, sum(dc.d) AS m FROM sg s JOIN dc ON dc.run_id = s.run_id AND dc.seq > s.enter_seq AND dc.seq < s.exit_seq GROUP BY ALL)"""
+
+
+@query(f"""WITH {EV}, {GATES}, {DRIVE}
+SELECT s.run_id, s.ordinal, s.enter_seq AS start_seq, s.exit_seq AS end_seq, round(enter_t, 4) AS enter_t, round(exit_t - enter_t, 4) AS duration_s, round(en.wh, 6) AS energy_wh, round((1 - enter_f) * enter_d + coalesce(mi.m, 0) + exit_f * exit_d, 3) AS distance_m
+FROM sg s LEFT JOIN en USING (run_id, ordinal, enter_seq, exit_seq) LEFT JOIN mi USING (run_id, ordinal, enter_seq, exit_seq)""")
 def segments_state_machine(spark, sf_dir):
-    """Finished segments of the ring with their totals."""
-    s = snapshots(spark, sf_dir)
-    g = gates(spark)
-    return track.segment_metrics(s, track.segment_instances(s.withColumn("fix_t", F.col("seq").cast("double")), g), g, GUARDS)
+    """Finished segments between successive gates, by the state machine, with their totals."""
+    s, g = drive(spark, sf_dir), gates(spark)
+    m = track.segment_metrics(s, track.segment_instances(s, g), g, GUARDS)
+    r = lambda c, n: F.round(c, n).alias(c)
+    return m.select("run_id", "ordinal", "start_seq", "end_seq", r("enter_t", 4), r("duration_s", 4), r("energy_wh", 6), r("distance_m", 3))
 
 
 SESSIONS = "ss AS (SELECT *, sum(CASE WHEN g IS NULL OR g > 43200 THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS session FROM (SELECT *, t - lag(t) OVER (PARTITION BY run_id ORDER BY seq) AS g FROM ev))"

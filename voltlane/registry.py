@@ -26,5 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# the plan modules register their queries when they are loaded
-from voltlane.plans import documents, relational, telemetry  # noqa: E402, F401
+def load() -> None:
+    """Loads the plan modules, which register their queries."""
+    from voltlane.plans import documents, relational, telemetry  # noqa: F401
