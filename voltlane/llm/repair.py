@@ -22,7 +22,7 @@ import os
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import public_tokenizers
@@ -49,6 +49,7 @@ SCHEMA = (
 
 # Latin-1 text without apostrophes splits into pre-tokens by these classes of the tokenizer's own pattern.
 LETTERS, NUMBERS, SPACES = "a-z\u00df-\u00f6\u00f8-\u00ff\u00aa\u00b5\u00ba", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", "\t-\r \u0085\u00a0"
+MARKS = ".,;:!?"
 PRETOKENS = re.compile(f"[{LETTERS}]+|[{NUMBERS}]|[^{LETTERS}{NUMBERS}{SPACES}]+")
 
 
@@ -87,31 +88,43 @@ class WordCoder:
 
     def part_code(self, part: str) -> int:
         """The code of a lower-case pre-token."""
-        k = self.parts.get(part)
-        if k is None:
-            # the model alone is quicker than the whole tokenizer, whose other steps are done here
-            letters = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.letters)
-            k = self.parts[part] = self.code([t.id for t in self.model.tokenize(letters)])
+        # the model alone is quicker than the whole tokenizer, whose other steps are done here
+        letters = part if part.isascii() and part.isprintable() else part.encode().decode("latin-1").translate(self.letters)
+        k = self.parts[part] = self.code([t.id for t in self.model.tokenize(letters)])
         return k
 
+    def joined(self, parts: Iterable[str]) -> int:
+        """The code of several pre-tokens in a row."""
+        flat, begin, known = self.flat, self.begin, self.parts.get
+        codes = [k if (k := known(p)) is not None else self.part_code(p) for p in parts]
+        for k in codes:
+            flat.extend(flat[begin[k] : begin[k + 1]])
+        begin.append(len(flat))
+        return len(begin) - 2
+
     def word_code(self, word: str) -> int:
         if word.isascii():
+            low = word.lower()
             if word.isalpha():
-                return self.part_code(word.lower())
+                k = self.parts.get(low)
+                return k if k is not None else self.part_code(low)
+            # most others are letters and marks
+            head = low.rstrip(MARKS)
+            if head.isalpha():
+                return self.joined((head, low[len(head) :]))
         else:
             try:
                 word.encode("latin-1")
             except UnicodeEncodeError:
                 return self.code(self.tokenizer.encode(word, add_special_tokens=False).ids)
+            low = word.lower()
         if "'" in word or "<|" in word:
             return self.code(self.tokenizer.encode(word, add_special_tokens=False).ids)
-        parts = PRETOKENS.findall(word.lower())
+        parts = PRETOKENS.findall(low)
         if len(parts) == 1:
-            return self.part_code(parts[0])
-        ids: list[int] = []
-        for k in map(self.part_code, parts):
-            ids += self.flat[self.begin[k] : self.begin[k + 1]]
-        return self.code(ids)
+            k = self.parts.get(parts[0])
+            return k if k is not None else self.part_code(parts[0])
+        return self.joined(parts)
 
     def codes_of(self, text: str) -> np.ndarray:
         """The codes of a text's words, in order."""
