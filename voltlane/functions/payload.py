@@ -41,6 +41,12 @@ def fits(value, kind) -> bool:
     return not isinstance(value, bool) and isinstance(value, int if kind is int else (int, float))
 
 
+def flat_columns(schema: str) -> set[str]:
+    """The columns of a schema's flat CSV: dotted leaves and the timestamp."""
+    top = shape(schema)
+    return {"timestamp"} | {k for k, v in top.items() if not isinstance(v, dict)} | {f"{g}.{k}" for g, v in top.items() if isinstance(v, dict) for k in v}
+
+
 @cache
 def by_keys() -> dict[frozenset, str]:
     """The only schema that a payload with these top keys and motor fields can have."""

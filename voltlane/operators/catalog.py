@@ -61,3 +61,29 @@ def evictions(entries: DataFrame, now_s: float, max_age_s: float, cap: float, gr
 def stream_ranges(streams: DataFrame) -> DataFrame:
     """Streams of split files as one: counts add up, first and last times span all files."""
     return streams.groupBy("recording_id", "stream").agg(F.sum("n").alias("n"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))
+
+
+def auto_category(recordings: DataFrame, locations: DataFrame) -> DataFrame:
+    """`recordings` (location_id, category, category_method, ...) with the default category of the place where each was
+    made, and `changed`. What was set by hand stays; an automatic category goes where the place gives none any more."""
+    wanted = locations.select("location_id", F.col("default_category").alias("__wanted"))
+    j = recordings.join(wanted, "location_id", "left")
+    manual = F.coalesce(F.col("category_method") == "manual", F.lit(False))
+    auto = F.coalesce(F.col("category_method") == "auto", F.lit(False))
+    category = F.when(manual, F.col("category")).when(F.col("__wanted").isNotNull(), F.col("__wanted")).when(~auto, F.col("category"))
+    method = F.when(manual, F.col("category_method")).when(F.col("__wanted").isNotNull(), F.lit("auto")).when(~auto, F.col("category_method"))
+    j = j.withColumns({"__c": category, "__m": method})
+    changed = ~(F.col("__c").eqNullSafe(F.col("category")) & F.col("__m").eqNullSafe(F.col("category_method")))
+    done = j.withColumns({"changed": changed, "category": F.col("__c"), "category_method": F.col("__m")})
+    return done.select(*recordings.columns, "changed")
+
+
+def gps_box(fixes: DataFrame) -> DataFrame:
+    """run_id and the box and number of its fixes; runs without a fix are left out, (0, 0) is none."""
+    real = fixes.where("lat is not null and lon is not null and not (lat = 0 and lon = 0)")
+    return real.groupBy("run_id").agg(F.min("lat").alias("min_lat"), F.max("lat").alias("max_lat"), F.min("lon").alias("min_lon"), F.max("lon").alias("max_lon"), F.count("*").alias("fixes"))
+
+
+def csv_time_range(rows: DataFrame) -> DataFrame:
+    """run_id, first and last time (s) and number of rows of flat CSV files; timestamps that are no whole numbers count as rows only."""
+    return rows.groupBy("run_id").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n"))

@@ -146,3 +146,59 @@ def grep(files: DataFrame, question: str, most: int = 10) -> DataFrame:
         lines = lines.where(F.contains(F.lower(F.col("line")), F.lit(terms[0])))
     around = F.array_join(F.slice("lines", F.greatest(F.col("at"), F.lit(1)), F.when(F.col("at") == 0, 2).otherwise(3)), "\n")
     return lines.select("path", (F.col("at") + 1).alias("line"), around.alias("excerpt")).orderBy("path", "line").limit(most)
+
+
+# Fixed rules: which files of a repository are read.
+README = r"(?i)^readme(\.[a-z0-9]+)?$"
+TEXT_ENDINGS = (".md", ".markdown", ".rst", ".txt", ".csv", ".tsv", ".json", ".yaml", ".yml", ".toml")
+CONFIG_ENDINGS = (".json", ".yaml", ".yml", ".toml")
+DOC_FOLDERS = ("docs", "doc", "documentation", "wiki", "guides", "manual")
+SKIPPED_FOLDERS = (
+    "node_modules", "vendor", "vendors", "third_party", "third-party", "thirdparty", "external", "build", "dist", "out", "target", ".venv", "venv", "env", "__pycache__", "site-packages", ".next", ".nuxt",
+    "coverage", ".tox", ".mypy_cache", ".pytest_cache", "bower_components", ".git", ".idea", ".vscode",
+)
+LOCK_FILES = ("package-lock.json", "yarn.lock", "pnpm-lock.yaml", "poetry.lock", "cargo.lock", "uv.lock", "pipfile.lock", "composer.lock", "gemfile.lock", "go.sum", "flake.lock", "npm-shrinkwrap.json")
+NOISE = r"(?i)(\.min\.\w+$|^(license|licence|copying|notice)(\.\w+)?$|^\.)"
+MANIFESTS = (
+    r"(?i)^(cmakelists\.txt|requirements([-_.].*)?\.txt|constraints\.txt|.*\.cmake|(cargo|pyproject|poetry|setup|tsconfig|jsconfig|package|composer|deno|bunfig|"
+    r"\.?eslintrc|\.?prettierrc|renovate|dependabot|codecov|mkdocs|netlify|vercel|docker-compose|compose|pnpm-workspace|turbo|nx|lerna|angular|firebase)([-_.].*)?\.(json|toml|ya?ml|cfg|txt))$"
+)
+MOST_BYTES = 200 * 1024
+# Fixed texts of two embedding models, and how many characters of a section they get.
+DOC_CHARS = 6000
+QWEN_TASK = "Given a question from a team member, retrieve the team documentation sections that answer it"
+
+
+def readable(path: Column, size: Column, most: int = MOST_BYTES) -> Column:
+    """Whether a repository file is read: a readme anywhere, or a text or data file outside vendored, built and hidden
+    folders; files of settings only below a folder of documents."""
+    parts = F.split(path, "/")
+    folders, name = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), F.lower), F.lower(F.element_at(parts, -1))
+    among = lambda names: F.array(*map(F.lit, names))
+    shut = F.arrays_overlap(folders, among(SKIPPED_FOLDERS)) | F.exists(folders, lambda f: F.startswith(f, F.lit(".")))
+    ending = F.regexp_extract(name, r"[^.](\.[^.]*)$", 1)
+    plain = F.when(ending.isin(*CONFIG_ENDINGS), F.arrays_overlap(folders, among(DOC_FOLDERS))).otherwise(ending.isin(*TEXT_ENDINGS))
+    fine = F.when(name.rlike(README), True).when(name.rlike(NOISE) | name.rlike(MANIFESTS), False).otherwise(plain)
+    return F.coalesce(~shut & ~name.isin(*LOCK_FILES) & (size > 0) & (size <= most) & fine, F.lit(False))
+
+
+def embedding_text(model: str, title: Column, path: Column, heading: Column, text: Column) -> Column:
+    """What a model embeds of a section: its place (two folders, title, heading) and text, in the model's form."""
+    two = F.slice(path, F.greatest(F.size(path) - 1, F.lit(1)), F.lit(2))
+    place = F.array_join(F.concat(two, F.array(title), F.when(heading != "", F.array(heading)).otherwise(F.array().cast("array<string>"))), " > ")
+    body = F.substring(F.regexp_replace(F.concat(place, F.lit("\n"), text), r"^\s+|\s+$", ""), 1, DOC_CHARS)
+    return F.substring(F.concat(F.lit("title: "), title, F.lit(" | text: "), body), 1, DOC_CHARS) if model.startswith("embeddinggemma") else body
+
+
+def embedding_question(model: str, question: Column) -> Column:
+    if model.startswith("embeddinggemma"):
+        return F.concat(F.lit("task: search result | query: "), question)
+    return F.concat(F.lit(f"Instruct: {QWEN_TASK}\nQuery: "), question) if model.startswith("qwen3-embedding") else question
+
+
+def message_rate(messages: DataFrame, time: str = "t", every_s: float = 1.0) -> DataFrame:
+    """run_id, at and per_s: messages a second since the run's mark before, a mark being the last message of a stretch of `every_s`."""
+    marks = messages.groupBy("run_id", F.floor(F.col(time) / every_s).alias("slot")).agg(F.max(time).alias("at"), F.count("*").alias("n"))
+    w = Window.partitionBy("run_id").orderBy("slot")
+    marks = marks.withColumn("since", F.col("at") - F.lag("at").over(w))
+    return marks.select("run_id", "at", F.when(F.col("since") >= every_s, F.col("n") / F.col("since")).alias("per_s"))

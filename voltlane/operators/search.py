@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voltlane.functions import text as words_of
+from voltlane.functions.scalar import base_name
 
 # Fixed values of the ranking.
 K1, B = 1.2, 0.75
@@ -16,6 +17,7 @@ KIND_FACTOR = {"page": 1.0, "work_log": 0.5, "meeting_notes": 0.6, "credentials_
 TITLE_BOOST, TITLE_EXACT_BOOST, PATH_BOOST, RECENCY_BOOST, HALF_LIFE_DAYS = 0.5, 0.25, 0.4, 0.3, 365
 EMPTY_FACTOR, ADMIN_FACTOR, OTHER_SUBTEAM_FACTOR = 0.3, 0.4, 0.6
 WEIGHT_FLOOR, COVERAGE_POWER = 0.2, 2.0
+SOURCES, PER_FOLDER, MOST_HITS = ("confluence", "drive", "github"), 2, 10
 ADMIN = r"(?i)\b(resumes?|cv|roster|procurement|professional development|finances?|alumni)\b"
 SUBTEAMS = {"electrical": "electrical", "elec": "electrical", "mechanical": "mechanical", "mech": "mechanical", "telemetry": "telemetry", "telem": "telemetry", "software": "software", "autonomy": "autonomy", "operations": "operations", "ops": "operations", "business": "business"}
 
@@ -157,6 +159,60 @@ def best_per_page(scores: DataFrame) -> DataFrame:
     return scores.groupBy("query_id", "page_id").agg(F.max(F.struct("score", (-F.col("doc_id")).alias("n"))).alias("m")).select("query_id", "page_id", (-F.col("m.n")).alias("doc_id"), "m.score")
 
 
+def empty_factor(query_stems: Column, title: Column, empty: Column, kind: Column) -> Column:
+    """Less for pages without text of their own, the less of the question their title has."""
+    return F.when(empty & (kind != "credentials_link_only"), EMPTY_FACTOR + (1 - EMPTY_FACTOR) * share(query_stems, title)).otherwise(1.0)
+
+
+def keyword_ranked(pages: DataFrame, sections: DataFrame, queries: DataFrame, now: Column, k: int = 200) -> DataFrame:
+    """query_id, doc_id, page_id, score, place: the best section of each page, with all factors.
+
+    pages: page_id, kind, title, breadcrumb (array), updated, empty; sections: doc_id, page_id, heading, text; queries: query_id, q."""
+    texts = sections.join(pages.select("page_id", "title"), "page_id").select("doc_id", "page_id", "title", "heading", "text")
+    found = bm25(texts, queries.select("query_id", "q"), k, WEIGHTS).drop("place")
+    j = found.join(sections.select("doc_id", "page_id"), "doc_id").join(pages, "page_id").join(queries, "query_id")
+    stems = words_of.stems(F.col("q"))
+    score = F.col("score") * kind_factor(F.col("kind")) * empty_factor(stems, F.col("title"), F.col("empty"), F.col("kind"))
+    best = best_per_page(j.select("query_id", "page_id", "doc_id", score.alias("score")))
+    j = best.join(pages, "page_id").join(queries, "query_id")
+    factors = title_factor(stems, F.col("title")) * path_factor(stems, F.col("breadcrumb")) * recency_factor(F.col("updated"), now) * admin_factor(F.col("q"), F.col("title"), F.col("breadcrumb")) * subteam_factor(F.col("q"), F.col("title"), F.col("breadcrumb"))
+    return top(j.select("query_id", "doc_id", "page_id", F.round(F.col("score") * factors, 6).alias("score")), k)
+
+
+def search(pages: DataFrame, sections: DataFrame, queries: DataFrame, now: Column, limit: int = 5, sources: list[str] | None = None, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None) -> DataFrame:
+    """The hits of each question, as a user gets them: query_id, place, page_id, doc_id, source, title, url, updated, heading, text, score.
+
+    Keyword ranking with all factors, fused with the nearest sections where vectors are given (doc_id, v; query_id, v).
+    Of copies of one file (`drive`, by base name) the best stays, of a repository's folder (`github`) the best PER_FOLDER."""
+    ranked = keyword_ranked(pages, sections, queries, now)
+    if vectors is not None and query_vectors is not None:
+        best = coverage(ranked.where("place = 1").select("query_id", "doc_id"), queries, sections)
+        near = vector_top(vectors, query_vectors, 50).join(sections.select("doc_id", "page_id"), "doc_id")
+        near = best_per_page(near).select("query_id", "doc_id", "score")
+        fused = fuse(ranked.select("query_id", "doc_id", "score"), near, best)
+        ranked = best_per_page(fused.join(sections.select("doc_id", "page_id"), "doc_id"))
+    ranked = top(ranked.select("query_id", "doc_id", "page_id", "score").join(pages.where(F.col("source").isin(*(sources or SOURCES))), "page_id"), 1000)
+    same = F.when(F.col("source") == "drive", base_name(F.col("title"))).when(F.col("source") == "github", F.array_join(F.slice("breadcrumb", 1, 3), " > ")).otherwise(F.col("page_id").cast("string"))
+    nth = F.row_number().over(Window.partitionBy("query_id", "source", same).orderBy("place"))
+    kept = ranked.withColumn("__n", nth).where(F.col("__n") <= F.when(F.col("source") == "github", PER_FOLDER).otherwise(1))
+    hits = top(kept.drop("place"), max(1, min(limit, MOST_HITS)))
+    return hits.join(sections.select("doc_id", "heading", "text"), "doc_id").select("query_id", "place", "page_id", "doc_id", "source", "title", "url", "updated", "heading", "text", F.round("score", 3).alias("score"))
+
+
+def linked_files(hits: DataFrame, links: DataFrame, pages: DataFrame, most: int = 3) -> DataFrame:
+    """Files that the hits' sections link to and that are no hits themselves, at most `most` a question: query_id, file_id, title, url, via.
+
+    hits: query_id, place, page_id, doc_id; links: doc_id, at, file_id, url, text."""
+    known = pages.where("source = 'drive'").select(F.col("page_id").alias("file_id"), F.col("title").alias("__title"), F.col("url").alias("__url"))
+    j = hits.select("query_id", "place", F.col("page_id").alias("via"), "doc_id").join(links, "doc_id")
+    j = j.join(hits.select("query_id", F.col("page_id").alias("file_id")), ["query_id", "file_id"], "left_anti")
+    once = j.groupBy("query_id", "file_id").agg(F.min(F.struct("place", "at", "via", "url", "text")).alias("m")).select("query_id", "file_id", "m.*")
+    w = Window.partitionBy("query_id").orderBy("place", "at", "file_id")
+    own = F.when((F.col("text") != "") & (F.col("text") != F.col("url")), F.col("text")).otherwise("linked file")
+    first = once.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most).join(known, "file_id", "left")
+    return first.select("query_id", "file_id", F.coalesce("__title", own).alias("title"), F.coalesce("__url", "url").alias("url"), "via")
+
+
 def fuse(keyword: DataFrame, vector: DataFrame, coverage: DataFrame) -> DataFrame:
     """Both rankings as one: query_id, doc_id, score.
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from voltlane.functions.scalar import local_time
 from voltlane.operators.intervals import interval_of
-from voltlane.sources.recordings import cdr_string
+from voltlane.sources.recordings import bag_messages, bag_streams, cdr_string, sql_csv
 
 ROW_LIMIT, CELL_LIMIT, TIMEOUT_S = 200, 2000, 20.0
 # What a query may be made of, as Spark's own parser and analyser name it. Everything else is refused:
@@ -131,6 +131,27 @@ def run(spark: SparkSession, sql: str, views: list[str], rows: int = ROW_LIMIT,
     return {"columns": df.columns, "rows": found[:rows], "truncated": len(found) > rows}
 
 
+def register_recording(spark: SparkSession, path: str) -> list[str]:
+    """The views of a recording's files: `topics` and `messages` (with the decoded `text`) of bags, `csv` of a CSV file."""
+    if path.lower().endswith(".csv"):
+        sql_csv(spark, path, "csv")
+        return ["csv"]
+    messages = decoded(bag_messages(spark, path))
+    messages.createOrReplaceTempView("messages")
+    bag_streams(messages).createOrReplaceTempView("topics")
+    return ["topics", "messages"]
+
+
+def query_recording(spark: SparkSession, path: str, sql: str, rows: int = ROW_LIMIT) -> dict:
+    """A guarded query over a recording's own views."""
+    return run(spark, sql, register_recording(spark, path), rows)
+
+
+def recording_schema(spark: SparkSession, path: str) -> dict[str, list[tuple[str, str]]]:
+    """Names and types of the columns of a recording's views."""
+    return {v: spark.table(v).dtypes for v in register_recording(spark, path)}
+
+
 def register_samples(spark: SparkSession, snapshots: DataFrame, laps: DataFrame, segments: DataFrame, name: str = "samples") -> DataFrame:
     """The view of all snapshots with lap, segment, time since the run's start and wall-clock time."""
     start = snapshots.groupBy("run_id").agg(F.min("t").alias("__start"))

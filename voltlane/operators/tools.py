@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voltlane.functions.scalar import day_start, normalized
+from voltlane.operators import metrics, track
 from voltlane.operators.catalog import listing
+from voltlane.operators.metrics import Guards
 
 
 def resolve_segment(segments: DataFrame, text: str, kind: str) -> DataFrame:
@@ -63,3 +65,15 @@ def moment(value: str | float | None, end: bool = False) -> Column | None:
         return F.lit(float(value))
     except ValueError:
         return day_start(F.date_add(F.to_date(F.lit(value)), 1 if end else 0))
+
+
+def list_track_segments(segments: DataFrame) -> DataFrame:
+    """The track's segments in driving order."""
+    return segments.select("ordinal", "kind", "name", "aliases", *[c for c in ("length_m",) if c in segments.columns]).orderBy("ordinal")
+
+
+def reclassify(snapshots: DataFrame, gates: DataFrame, line: tuple[float, float, float], guards: Guards = Guards()) -> dict[str, DataFrame]:
+    """All that is derived from raw snapshots, anew: run summary, laps and finished segments with their totals."""
+    laps = track.lap_intervals(snapshots, *line)
+    segments = track.segment_metrics(snapshots, track.segment_instances(snapshots, gates), gates, guards)
+    return {"run_summary": metrics.run_summary(snapshots, guards), "laps": track.lap_metrics(snapshots, laps, segments, guards), "segments": segments}

@@ -253,3 +253,19 @@ def ordered_strings(spark, sf_dir):
 def share_of_group(spark, sf_dir):
     d = table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("c"))
     return d.select("lang", "source", "n", F.round(F.col("c") / F.sum("c").over(Window.partitionBy("lang")), 6).alias("share"))
+
+
+@query()
+def search_documents(spark, sf_dir):
+    """The hits of each benchmark question: a document is a page, its lines in tens its sections; keyword and meaning fused."""
+    d = table(spark, sf_dir, "documents").where("doc_id is not null")
+    source = F.element_at(F.array(*map(F.lit, search.SOURCES)), (F.col("doc_id") % 3 + 1).cast("int"))
+    pages = d.select(F.col("doc_id").alias("page_id"), source.alias("source"), F.when(F.col("doc_id") % 7 == 0, "work_log").otherwise("page").alias("kind"), F.substring_index("text", "\n", 1).alias("title"), F.array("lang", "source").alias("breadcrumb"), F.lit("2026-10-01T00:00:00").alias("updated"), F.concat(F.lit("https://docs/"), "doc_id").alias("url"), (F.length(F.trim("text")) == 0).alias("empty"))
+    lines = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    parts = lines.groupBy(F.col("doc_id").alias("page_id"), F.floor(F.col("at") / 10).alias("ordinal")).agg(F.sort_array(F.collect_list(F.struct("at", "line"))).alias("l"))
+    sections = parts.select("page_id", (F.col("page_id") * 100_000 + F.col("ordinal")).alias("doc_id"), "ordinal", F.lit("").alias("heading"), F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("text"))
+    v = vectors(spark, sf_dir)
+    near = v.select((F.col("doc_id") * 100_000).alias("doc_id"), "v")
+    asked = questions(spark, sf_dir)
+    hits = search.search(pages, sections, asked, F.lit("2026-11-01 00:00:00").cast("timestamp"), 5, vectors=near, query_vectors=v.select(F.col("doc_id").alias("query_id"), "v").join(asked.select("query_id"), "query_id", "left_semi"))
+    return hits.select("query_id", "place", "page_id", "doc_id", "source", "score")

@@ -269,3 +269,14 @@ def assigned_run_ids(spark, sf_dir):
     n = F.row_number().over(Window.partitionBy("stem").orderBy("start_s", "r.o_orderkey"))
     named = o.withColumn("stem", stem).withColumn("n", n)
     return named.select("r.o_orderkey", F.when(F.col("n") == 1, F.col("stem")).otherwise(F.concat_ws("-", "stem", F.col("n").cast("string"))).alias("run_id"))
+
+
+@query("""WITH r AS (SELECT c_custkey, c_nationkey, CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment END AS category, CASE c_custkey % 3 WHEN 1 THEN 'manual' WHEN 2 THEN 'auto' END AS method FROM customer), l AS (SELECT n_nationkey, CASE WHEN n_regionkey > 1 THEN n_name END AS wanted FROM nation)
+SELECT c_custkey, CASE WHEN method = 'manual' THEN category WHEN wanted IS NOT NULL THEN wanted WHEN method IS DISTINCT FROM 'auto' THEN category END AS category, CASE WHEN method = 'manual' THEN method WHEN wanted IS NOT NULL THEN 'auto' WHEN method IS DISTINCT FROM 'auto' THEN method END AS category_method,
+ coalesce(method, '') <> 'manual' AND ((wanted IS NOT NULL AND (category IS DISTINCT FROM wanted OR method IS DISTINCT FROM 'auto')) OR (wanted IS NULL AND coalesce(method, '') = 'auto')) AS changed FROM r LEFT JOIN l ON n_nationkey = c_nationkey""")
+def auto_category(spark, sf_dir):
+    """Customers as recordings, nations as the places that give a category."""
+    k = F.col("c_custkey") % 3
+    r = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("location_id"), F.when(k > 0, F.col("c_mktsegment")).alias("category"), F.when(k == 1, "manual").when(k == 2, "auto").alias("category_method"))
+    places = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("location_id"), F.when(F.col("n_regionkey") > 1, F.col("n_name")).alias("default_category"))
+    return catalog.auto_category(r, places).select("c_custkey", "category", "category_method", "changed")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from voltlane.functions import geo, power
 from voltlane.functions.scalar import epoch_s
-from voltlane.operators import intervals, metrics, sequence, track
+from voltlane.operators import catalog, intervals, library, metrics, sequence, track
 from voltlane.operators.metrics import Guards, by_run
 from voltlane.registry import query, table
 
@@ -385,3 +385,19 @@ def nearest_in_radius(spark, sf_dir):
     places = table(spark, sf_dir, "nation").select(k.cast("long").alias("place_id"), (42.0 + (k % 5) * 0.00025).alias("p_lat"), (-76.0 - F.floor(k / 5) * 0.0002).alias("p_lon"), (8.0 + k).alias("radius_m"))
     points = snapshots(spark, sf_dir).select(F.col("seq").alias("point_id"), "lat", "lon")
     return intervals.nearest_within(points, places).select("point_id", "place_id", F.round("distance_m", 3).alias("distance_m"))
+
+
+@query(f"WITH {EV} SELECT run_id, round(min(lat), 6) AS min_lat, round(max(lat), 6) AS max_lat, round(min(lon), 6) AS min_lon, round(max(lon), 6) AS max_lon, count(*) AS fixes FROM ev WHERE seq % 5 <> 0 GROUP BY 1")
+def gps_box(spark, sf_dir):
+    """The box of each run's fixes; every fifth row has none."""
+    none = F.col("seq") % 5 == 0
+    s = snapshots(spark, sf_dir)
+    zero = F.when(F.col("seq") % 2 == 0, 0.0)
+    s = s.withColumns({"lat": F.when(none, zero).otherwise(F.col("lat")), "lon": F.when(none, zero).otherwise(F.col("lon"))})
+    return catalog.gps_box(s).select("run_id", *[F.round(c, 6).alias(c) for c in ("min_lat", "max_lat", "min_lon", "max_lon")], "fixes")
+
+
+@query(f"WITH {EV}, m AS (SELECT run_id, floor(t / 86400) AS slot, max(t) AS mark, count(*) AS n FROM ev GROUP BY 1, 2), l AS (SELECT *, mark - lag(mark) OVER (PARTITION BY run_id ORDER BY slot) AS since FROM m) SELECT run_id, round(mark, 3) AS mark, CASE WHEN since >= 86400 THEN round(n / since, 9) END AS per_s FROM l")
+def message_rate(spark, sf_dir):
+    """Messages a second, from day to day."""
+    return library.message_rate(snapshots(spark, sf_dir), "t", 86_400.0).select("run_id", F.round("at", 3).alias("mark"), F.round("per_s", 9).alias("per_s"))
