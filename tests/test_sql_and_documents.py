@@ -18,6 +18,7 @@ def test_guard_takes_one_query_over_the_views_only(spark, sf):
         "select 1", " WITH a as (select 1 x) select * from a;", "select 'drop table x; --' as s", "select `set` from v where id > 1 order by 1 limit 2", "select 1 -- drop\n", "select s, count(*), sum(id) over (partition by s) from v group by s, id having count(*) > 0",
         "select * from v join (select id from v union all select 1) w using (id) where exists (select 1 from v x where x.id = v.id) and id in (select id from v)", "select explode(a) from v", "select transform(a, x -> x + 1), upper(s), date_format(timestamp_seconds(id), 'yyyy') from v",
         "select local_time(cast(id as double)) from v", "select * from v pivot (sum(id) for s in ('1', '2'))", "select case when id > 1 then round(sqrt(id), 2) end, coalesce(s, 'x'), s like '1%' from v", "select * from values (1, 2) as t(a, b)", "select max_by(s, id), percentile(id, 0.5) from v",
+        "select lpad(s, 3, '0'), ceil(id / 2.0), floor(id), round(id, 1), to_date('2026-01-01') + interval 1 day, to_timestamp('2026-01-01'), regexp_extract(s, '(.)', 1), json_tuple('{}', 'a'), get_json_object('{}', '$.a') from v", "select row_number() over (order by id), sum(id) over (order by id rows between unbounded preceding and current row) from v",
     ):
         sqltool.guard(spark, ok, ["v"]).collect()
     path = f"{sf}/nation.parquet"
