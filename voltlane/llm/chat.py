@@ -18,7 +18,8 @@ always comes back; `round_trip` reports the last comparison.
 
 Null roles and texts are empty; turns with equal numbers go by role and text, null turn
 numbers first; a null conv_id is a conversation of its own; an empty table gives no rows;
-repeated rows are repeated turns. A conversation is one text with one digest, so its rows
+repeated rows are repeated turns; very long texts are escaped and compared whole; other
+columns are not returned. A conversation is one text with one digest, so its rows
 meet in one task; conversations are independent of each other.
 """
 

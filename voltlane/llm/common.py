@@ -165,3 +165,25 @@ def shingle_hash(h: np.ndarray, n: int) -> np.ndarray:
     for k in range(1, n):
         out = mix(out * np.uint64(_BASE) + h[k : len(h) - n + 1 + k])
     return out
+
+
+def by_key(batches, columns: tuple[str, ...], keys: int = 1) -> Iterator[list[np.ndarray]]:
+    """Lists of arrays that hold whole runs of equal keys; the rows are sorted by the first `keys` columns.
+
+    A run is put together once, when it ends, however many batches it comes in."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
+        if not len(rows[0]):
+            continue
+        same = np.ones(len(rows[0]), bool)
+        for x in rows[:keys]:
+            same &= x == x[-1]
+        last = int(same.argmax())
+        if last or (held and any(h[-1] != x[0] for h, x in zip(held[-1][:keys], rows, strict=False))):
+            held.append([x[:last] for x in rows])
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
+            held = []
+        held.append([x[last:] for x in rows])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]

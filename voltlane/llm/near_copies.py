@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voltlane.llm import simhash
-from voltlane.llm.common import SPACE, RollingHash, mix, runs, shingle_hash, small, text_blocks, utf8, written
+from voltlane.llm.common import SPACE, RollingHash, by_key, mix, runs, shingle_hash, small, text_blocks, utf8, written
 from voltlane.llm.simhash import components, first_rows
 
 SIZE = 5
@@ -146,23 +146,6 @@ def prefixes(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", "text").mapInArrow(deal, "key long, id long, n int, place int")
 
 
-def by_key(batches, columns: tuple[str, ...]):
-    """Lists of arrays that hold whole runs of equal keys; the rows are sorted by key."""
-    held: list[list[np.ndarray]] = []
-    for batch in batches:
-        rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
-        if not len(rows[0]):
-            continue
-        last = int(np.searchsorted(rows[0], rows[0][-1]))
-        if last or (held and held[-1][0][-1] != rows[0][0]):
-            held.append([x[:last] for x in rows])
-            yield [np.concatenate(x) for x in zip(*held, strict=True)]
-            held = []
-        held.append([x[last:] for x in rows])
-    if held:
-        yield [np.concatenate(x) for x in zip(*held, strict=True)]
-
-
 def met(nodes: DataFrame) -> DataFrame:
     """The rows of `prefixes` whose key several nodes have."""
     dealt = prefixes(nodes).repartition("key").sortWithinPartitions("key", "n", "id")

@@ -13,7 +13,8 @@ rules (pairs, flat), rule_lengths, sequence (symbols as little-endian unsigned 1
 32 bits if `wide`). Symbols below `base` are ids, the others rules in order.
 
 Null texts count as empty and hold the end id alone; rows with null doc_id come first;
-rows with equal doc_id go by text. An empty table gives no shards.
+rows with equal doc_id go by text. A very long text is a shard of its own or the last of
+one. An empty table gives no shards. Only doc_id and text are read, other columns are not.
 """
 
 from __future__ import annotations

@@ -8,8 +8,10 @@ its links, never all pairs. A crowded key is cut again the same way over its fre
 so the work stays near-linear and no link is lost.
 
 Null and empty texts have fingerprint zero, which links like any other. Texts with fewer
-words than a shingle give one shingle. Repeated rows fall into one class. An empty table
-gives an empty result.
+words than a shingle give one shingle. Repeated rows fall into one class; very long texts
+are hashed whole. An empty table gives an empty result. `classes` returns its own columns
+only, whatever else the table has; `dedup` keeps all columns, and decides by doc_id and
+fingerprint, so a repeated doc_id loses only what is linked elsewhere.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voltlane.llm.common import BROADCAST_IDS, text_blocks, written
+from voltlane.llm.common import BROADCAST_IDS, by_key, text_blocks, written
 
 BITS, MAX_DISTANCE = 64, 3
 SEED = 42
@@ -133,17 +135,8 @@ def links(reps: DataFrame) -> DataFrame:
     kind = np.dtype([("mask", np.int16), ("part", np.int64)])
 
     def meet(batches):
-        held = None
-        for batch in batches:
-            rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("mask", "part", "fp", "node")]
-            held = rows if held is None else [np.concatenate(p) for p in zip(held, rows, strict=True)]
-            if not len(held[0]):
-                continue
-            last = int(np.flatnonzero((held[0] == held[0][-1]) & (held[1] == held[1][-1]))[0])
-            yield from edges([x[:last] for x in held])
-            held = [x[last:] for x in held]
-        if held is not None:
-            yield from edges(held)
+        for rows in by_key(batches, ("mask", "part", "fp", "node"), keys=2):
+            yield from edges(rows)
 
     def edges(rows):
         mask, part, fp, node = rows

@@ -12,8 +12,13 @@ Only the last `longest piece` positions can begin a later edge. The search keeps
 pieces behind them and commits ids as soon as the surviving paths of all these positions
 run through one boundary. Characters in no piece become byte pieces.
 
-Null and empty texts have no ids. Decoding gives the text back but for the mark
-character itself, which the model cannot tell from a space.
+If no boundary is common yet, the window grows until one is; for a BPE model that takes a
+text whose paths never meet, which merges do not leave (tests hold it to four pieces' length).
+
+Null and empty texts have no ids; very long texts are streams, and equal texts give equal
+ids. Decoding gives the text back but for the mark character itself, which the model cannot
+tell from a space. An empty table gives no rows. Other columns are kept; one named like the
+result is replaced.
 """
 
 from __future__ import annotations
