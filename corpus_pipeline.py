@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a data frame; `run` writes it as Parquet
 in the shared folder and reads it again as the next stage's docs, so a lost executor costs
 one stage at most. All but the last stage return the columns of documents.
+
+Rows with null or empty texts fail the fixed rules and go in the first stage. A null doc_id
+is never dropped as a copy or as contaminated. A repeated doc_id keeps each of its different
+texts; equal rows become one in near dedup. Very long texts are read whole. Columns beyond
+those of documents pass through all stages but the last, which returns its own; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
