@@ -25,6 +25,8 @@ SUBTEAMS = {"electrical": "electrical", "elec": "electrical", "mechanical": "mec
 BROADCAST_TERMS = 200_000
 #: Query vectors that one pass broadcasts, at most.
 QUERY_BLOCK = 4096
+#: Vectors that are multiplied with a block of queries at a time: 16 MB of similarities.
+ROWS = 512
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 200, weights: dict[str, float] | None = None) -> DataFrame:
@@ -82,12 +84,15 @@ def vector_top(vectors: DataFrame, queries: DataFrame, k: int, block: int = QUER
                 doc = batch.column("doc_id").to_numpy(zero_copy_only=False)
                 if not len(doc):
                     continue
-                sims = np.round(unit(np.stack(batch.column("v").to_pylist()).astype(np.float64)) @ q.T, 6)
-                keep = min(k, len(doc))
-                order = np.lexsort((np.broadcast_to(doc[:, None], sims.shape), -sims), axis=0)[:keep]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.tile(q_ids, keep)), pa.array(doc[order].ravel()), pa.array(np.take_along_axis(sims, order, 0).ravel())], names=["query_id", "doc_id", "score"]
-                )
+                order = np.argsort(doc, kind="stable")
+                doc, matrix = doc[order], unit(np.stack(batch.column("v").to_pylist()).astype(np.float64))[order]
+                sims, ids = np.zeros((0, len(q_ids))), np.zeros((0, len(q_ids)), np.int64)
+                for at in range(0, len(doc), ROWS):  # the best so far and some more rows; equal ones stay in order of doc_id
+                    sims = np.concatenate([sims, np.round(matrix[at : at + ROWS] @ q.T, 6)])
+                    ids = np.concatenate([ids, np.broadcast_to(doc[at : at + ROWS, None], (len(doc[at : at + ROWS]), len(q_ids)))])
+                    best = np.argsort(-sims, axis=0, kind="stable")[:k]
+                    sims, ids = np.take_along_axis(sims, best, 0), np.take_along_axis(ids, best, 0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(q_ids, len(sims))), pa.array(ids.ravel()), pa.array(sims.ravel())], names=["query_id", "doc_id", "score"])
 
         return vectors.select("doc_id", "v").mapInArrow(multiply, "query_id long, doc_id long, score double")
 
