@@ -18,8 +18,6 @@ import sentencepiece
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
-#: Pre-tokens that a Python worker remembers at most; then it starts anew.
-MEMO = 400_000
 
 
 class Vocabulary:

@@ -23,6 +23,7 @@ result is replaced.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -34,8 +35,8 @@ from pyspark.sql import types as T
 from voltlane.llm.common import text_blocks
 from voltlane.llm.pieces import MARK, Vocabulary, default_model, vocabulary
 
-#: Pre-tokens and pairs that a Python worker remembers at most; then it starts anew.
-MEMO, PAIR_MEMO = 400_000, 800_000
+#: Pre-tokens and pairs that a Python worker remembers at most (about 100 MB); then it starts anew.
+MEMO, PAIR_MEMO = 200_000, 400_000
 
 
 class Encoder:
@@ -45,7 +46,7 @@ class Encoder:
         self.vocab, self.unigram = vocab, unigram
         self.tails = {p[i:] for p in vocab.ids for i in range(len(p))}
         self.apart: dict[int, bool] = {}
-        self.seen: dict[str, tuple[int, ...]] = {}
+        self.seen: dict[str, bytes] = {}  # ids as 32-bit integers, a quarter of a tuple's size
 
     def merged(self, text: str) -> list[str]:
         """Pieces of a short string by merging the best-scored neighbours, leftmost first."""
@@ -138,20 +139,23 @@ class Encoder:
             end = start
         return ids[::-1]
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of a whole text: each pre-token is one stream, remembered if it is short."""
-        out: list[int] = []
+    def packed(self, text: str) -> bytes:
+        """Ids of a whole text as 32-bit integers: each pre-token is one stream, remembered if it is short."""
+        out: list[bytes] = []
         seen = self.seen
         if len(seen) > MEMO:
             seen.clear()
         for p in self.vocab.pretokens(text):
             ids = seen.get(p)
             if ids is None:
-                ids = tuple(self.stream(p))
+                ids = array("i", self.stream(p)).tobytes()
                 if len(p) <= 64:
                     seen[p] = ids
-            out += ids
-        return out
+            out.append(ids)
+        return b"".join(out)
+
+    def encode(self, text: str) -> list[int]:
+        return array("i", self.packed(text)).tolist()
 
 
 class Decoder:
@@ -181,17 +185,16 @@ def encode(docs: DataFrame, out: str = "ids", model_path: str | None = None) ->
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def to_ids(texts: pa.Array) -> pa.Array:
-        return id_lists([coders(path)[0].encode(t) for block in text_blocks(texts) for t in block.to_pylist()])
+        return id_lists([coders(path)[0].packed(t) for block in text_blocks(texts) for t in block.to_pylist()])
 
     # the optimizer may not copy it into each use of the ids, which would encode again for every one
     return docs.withColumn(out, to_ids.asNondeterministic()("text"))
 
 
-def id_lists(rows: list[list[int]]) -> pa.Array:
+def id_lists(rows: list[bytes]) -> pa.Array:
     sizes = np.zeros(len(rows) + 1, np.int64)
-    np.cumsum([len(r) for r in rows], out=sizes[1:])
-    flat = np.fromiter((i for r in rows for i in r), np.int32, int(sizes[-1]))
-    return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat, pa.int32()))
+    np.cumsum([len(r) // 4 for r in rows], out=sizes[1:])
+    return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.frombuffer(b"".join(rows), np.int32), pa.int32()))
 
 
 def recode(docs: DataFrame, out: str = "coded", model_path: str | None = None) -> DataFrame:
@@ -206,8 +209,8 @@ def recode(docs: DataFrame, out: str = "coded", model_path: str | None = None) -
         encoder, decoder = coders(path)
         parts, back = [], []
         for block in text_blocks(texts):
-            rows = [encoder.encode(t) for t in block.to_pylist()]
-            back += map(decoder.decode, rows)
+            rows = [encoder.packed(t) for t in block.to_pylist()]
+            back += [decoder.decode(array("i", r)) for r in rows]
             parts.append(id_lists(rows))
         ids = pa.concat_arrays(parts) if parts else id_lists([])
         return pa.StructArray.from_arrays([ids, pa.array(back, pa.string())], names=["ids", "text"])
