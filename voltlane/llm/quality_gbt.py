@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voltlane.llm.common import in_training
-from voltlane.llm.quality_rules import STATS, labelled, sampled, text_stats
+from voltlane.llm.quality_rules import STATS, labelled, sampled, stat_columns
 
 #: Labelled training rows, at most (lowest hashes of doc_id first).
 SAMPLE_ROWS = 20_000
@@ -126,7 +126,7 @@ def classify(docs: DataFrame, labels: DataFrame, out: str = "score", trees: Tree
     trees = trees or train(docs, labels)
 
     @F.arrow_udf(T.DoubleType())
-    def score(stats: pa.Array) -> pa.Array:
-        return pa.array(trees.score(features({s: stats.field(s).to_numpy(zero_copy_only=False) for s in STATS})), pa.float64())
+    def score(texts: pa.Array) -> pa.Array:  # statistics and trees in one call, so that a task needs one Python worker
+        return pa.array(trees.score(features(stat_columns(texts))), pa.float64())
 
-    return docs.withColumn(out, text_stats("text")).withColumn(out, score(out))
+    return docs.withColumn(out, score("text"))

@@ -96,11 +96,15 @@ def block_stats(texts: pa.Array) -> dict[str, np.ndarray]:
     }
 
 
+def stat_columns(texts: pa.Array) -> dict[str, np.ndarray]:
+    parts = [block_stats(b) for b in text_blocks(texts)]
+    return {s: np.concatenate([p[s] for p in parts]) if parts else np.zeros(0, np.int64) for s in STATS}
+
+
 @F.arrow_udf(STAT_SCHEMA)
 def text_stats(texts: pa.Array) -> pa.Array:
-    parts = [block_stats(b) for b in text_blocks(texts)]
-    columns = [np.concatenate([p[s] for p in parts]) if parts else [] for s in STATS]
-    return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], fields=list(STAT_TYPE))
+    columns = stat_columns(texts)
+    return pa.StructArray.from_arrays([pa.array(columns[s], pa.int64()) for s in STATS], fields=list(STAT_TYPE))
 
 
 def features(s: pd.DataFrame | dict) -> np.ndarray:
@@ -203,13 +207,16 @@ def labelled(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
 
 
-def scorer(forest: IsolationForest | None):
-    @F.arrow_udf(T.DoubleType())
-    def anomaly(stats: pa.Array) -> pa.Array:
-        columns = {s: stats.field(s).to_numpy(zero_copy_only=False) for s in STATS}
-        return pa.array(forest.score(features(columns)) if forest else np.zeros(len(stats)), pa.float64())
+def judged(forest: IsolationForest | None):
+    """The statistics of each text and the forest's score in one call, so that a task needs one Python worker."""
+
+    @F.arrow_udf(T.StructType([*STAT_SCHEMA, T.StructField("anomaly", T.DoubleType())]))
+    def seen(texts: pa.Array) -> pa.Array:
+        columns = stat_columns(texts)
+        score = forest.score(features(columns)) if forest and len(texts) else np.zeros(len(texts))
+        return pa.StructArray.from_arrays([*(pa.array(columns[s], pa.int64()) for s in STATS), pa.array(score, pa.float64())], names=[*STATS, "anomaly"])
 
-    return anomaly
+    return seen.asNondeterministic()
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, max_clean_loss: float = 0.002) -> tuple[IsolationForest | None, float]:
@@ -224,7 +231,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, max_clean_l
         keep = ~base_failed(sample).to_numpy()
         return forest, calibrate(score[keep], bad[keep], max_clean_loss)
     # labels are joined to light rows of statistics, texts are not shuffled
-    seen = docs.select("doc_id", text_stats("text").alias("s")).where(~rule(F.col("s"))).select("doc_id", scorer(forest)("s").alias("score"))
+    seen = docs.select("doc_id", judged(forest)("text").alias("s")).where(~rule(F.col("s"))).select("doc_id", F.col("s.anomaly").alias("score"))
     bins = seen.join(known, "doc_id").groupBy(F.floor(F.col("score") * SCORE_BINS).alias("bin"), (F.col("quality") == 0).alias("bad")).count().toPandas()
     return forest, calibrate((bins["bin"].to_numpy(float) + 0.5) / SCORE_BINS, bins["bad"].to_numpy(bool), max_clean_loss, bins["count"].to_numpy(float))
 
@@ -242,7 +249,6 @@ def base_failed(s):
 def assess(docs: DataFrame, labels: DataFrame, out: str = "quality") -> DataFrame:
     """`docs` with a struct column `out`: the statistics, base_failed, the forest's score and kept."""
     forest, threshold = fit(docs, labels)
-    s = docs.withColumn(out, text_stats.asNondeterministic()("text"))
-    s = s.withColumn(out, F.col(out).withField("anomaly", scorer(forest)(out)))
+    s = docs.withColumn(out, judged(forest)("text"))
     failed = rule(F.col(out))
     return s.withColumn(out, F.col(out).withField("base_failed", failed).withField("kept", ~failed & (F.col(f"{out}.anomaly") < F.lit(float(threshold)))))
