@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltlane.llm import chat, decontam, langid, licenses, pii, quality_gbt, quality_rules, repair, simhash, sp_codec, token_count
+from voltlane.llm import chat, decontam, langid, licenses, phrases, pii, quality_gbt, quality_rules, repair, simhash, sp_codec, token_count
 from voltlane.llm.common import in_training, table
 from voltlane.llm.pieces import MARK
 
@@ -75,6 +75,10 @@ def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "__license.*")
 
 
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_sentencepiece": op2_sentencepiece,
@@ -87,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_quality_classifier": op10_quality_classifier,
     "op12_license_scan": op12_license_scan,
+    "op13_phrase_mining": op13_phrase_mining,
 }
 
 #: In SQL a turn is escaped if its rendering would not be read back: it holds a control string, escaped or not.
@@ -97,4 +102,17 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
  sum(length(role) + length(body) + 15)::BIGINT AS formatted_chars, true AS round_trip FROM t GROUP BY 1"""
 
-ORACLE_SQL: dict[str, str] = {"op4_chat_format": OP4_SQL}
+OP13_SQL = r"""WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents WHERE text IS NOT NULL),
+ w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+ grams AS (SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i : i + size - 1], ' '))) AS phrase FROM w, (VALUES (1), (2), (3)) s(size) WHERE len(w) >= size),
+ f AS (SELECT lang, size, phrase, count(*) AS n FROM grams GROUP BY ALL),
+ c AS (SELECT lang, size, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE size >= 2 AND n >= 10),
+ inner2 AS (SELECT lang, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS phrase, a FROM c WHERE size = 3),
+ gone AS (SELECT DISTINCT c.lang, c.phrase FROM c JOIN inner2 i ON i.lang = c.lang AND i.phrase = c.phrase WHERE c.size = 2 AND 100 * i.a >= 50 * c.a),
+ cuts AS (SELECT c.*, k, array_to_string(w[1 : k], ' ') AS x, array_to_string(w[k + 1 : size], ' ') AS y FROM c ANTI JOIN gone USING (lang, phrase), (VALUES (1), (2)) s(k) WHERE k < size),
+ scored AS (SELECT cuts.*, l.n AS l, r.n AS r, (1000000::HUGEINT * a * a) // (l.n::HUGEINT * r.n) AS score FROM cuts JOIN f l ON l.lang = cuts.lang AND l.phrase = x JOIN f r ON r.lang = cuts.lang AND r.phrase = y),
+ best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
+SELECT lang, rank, phrase, a, l, r, (SELECT sum(n)::BIGINT FROM f WHERE f.lang = ranked.lang AND size = 1) AS n, score::BIGINT AS score FROM ranked WHERE rank <= 2000"""
+
+ORACLE_SQL: dict[str, str] = {"op4_chat_format": OP4_SQL, "op13_phrase_mining": OP13_SQL}
