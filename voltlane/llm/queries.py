@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltlane.llm import chat, decontam, langid, licenses, phrases, pii, quality_gbt, quality_rules, repair, simhash, sp_codec, token_count
+from voltlane.llm import alignment, chat, decontam, langid, licenses, phrases, pii, quality_gbt, quality_rules, repair, simhash, sp_codec, token_count
 from voltlane.llm.common import in_training, table
 from voltlane.llm.pieces import MARK
 
@@ -70,6 +70,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out, F.col("__score").alias("score"), (F.col("__score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), "__license")
     return found.select("doc_id", "__license.*")
@@ -90,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_quality_rules": op9_quality_rules,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_token_alignment": op11_token_alignment,
     "op12_license_scan": op12_license_scan,
     "op13_phrase_mining": op13_phrase_mining,
 }
