@@ -48,7 +48,7 @@ def made(seed, n, words):
 
 @pytest.mark.parametrize(
     "seed, sampling",
-    [(1, {}), (2, {"sample_of": 1 << 20}), (3, {"sample_of": 40, "sample_min": 3, "chunk": 200}), (4, {"sample_of": 2, "sample_min": 1, "bits": 64, "chunk": 1000}), (5, {"sample_of": 3, "sample_min": 8, "bits": 1 << 12})],
+    [(1, {}), (2, {"sample_of": 1 << 20}), (3, {"sample_of": 40, "sample_min": 3, "chunk": 200, "window": 7}), (4, {"sample_of": 2, "sample_min": 1, "bits": 64, "chunk": 1000}), (5, {"sample_of": 3, "sample_min": 8, "bits": 1 << 12})],
 )
 def test_matches_brute_force(spark, seed, sampling):
     rows = made(seed, 60, 11)
@@ -99,3 +99,31 @@ def test_same_as_sql(spark, sf):
     cur = con.execute(queries.ORACLE_SQL["op13_phrase_mining"])
     names = [d[0] for d in cur.description]
     assert sorted(tuple(r[c] for c in names) for r in queries.op13_phrase_mining(spark, sf).collect()) == sorted(cur.fetchall())
+
+
+def test_a_full_task_hands_on_and_starts_anew(spark, monkeypatch):
+    rows = made(6, 40, 11)
+    monkeypatch.setattr(phrases, "HELD", 30)
+    texts = {lang or "und": [t for t, x in rows if x == lang] for lang in {x for _, x in rows}}
+    for lang, found in texts.items():
+        tally, total, batches = phrases.Tally(lang, 3, None, None, True), Counter(), 0
+        for text in found:
+            tokens = text.encode().lower().translate(phrases.PIECES).replace(b".", b" . ").split()
+            for k in range(0, len(tokens), 5):
+                if tally.full(5):
+                    batches += 1
+                    for b in tally.rows(at_once=4):
+                        total.update({(r["size"], r["phrase"]): 0 for r in b.to_pylist()})
+                        for r in b.to_pylist():
+                            total[r["size"], r["phrase"]] += r["n"]
+                tally.add(tokens[k : k + 7], 5)
+        for b in tally.rows():
+            for r in b.to_pylist():
+                total[r["size"], r["phrase"]] += r["n"]
+        want = Counter()
+        for text in found:
+            for piece in PIECE.split(low(text)):
+                w = WORD.findall(piece)
+                want.update((s, " ".join(w[i : i + s])) for s in (1, 2, 3) for i in range(len(w) - s + 1))
+                want[0, ""] += len(w)
+        assert batches > 1 and +total == +want

@@ -15,13 +15,13 @@ words at spaces and tabs. Phrases are runs of words within a piece; all counts a
 What is proposed goes to the tasks as a Bloom filter of fixed size (BLOOM_BITS). Its false
 positives have more phrases counted, never fewer, and each filter holds all of the one before,
 so what a pass counted is known from the filters alone. Tasks count phrases of blocks of
-texts by integer keys and hand on a row for each phrase and block; Spark sums these.
+texts by integer keys and hand on a row for each phrase; Spark sums these.
 
 Score of a cut of a phrase: floor(1000000 * a * a / (l * r)), in decimals of 38 digits, which
 hold counts up to 10^15; of a phrase's cuts the lowest counts, then the first. Phrases that
 lie within a longer candidate at least half as frequent go.
 
-Null texts are empty, a null language is `und`; a very long text is a block of its own;
+Null texts are empty, a null language is `und`; a very long text is counted window by window;
 repeated rows count as often as they stand there; ties go by count and phrase (as UTF-8);
 an empty table gives no rows. Only text, lang and doc_id (if there, for the sample) are read.
 """
@@ -45,8 +45,10 @@ from voltlane.llm.common import mix, written
 SAMPLE_OF, SAMPLE_MIN = 8, 2
 #: Bits of the filter of proposals (16 MB) and bits set for each.
 BLOOM_BITS, BLOOM_HASHES = 1 << 27, 3
-#: Bytes of text whose phrases a task counts at once.
-CHUNK = 12 << 20
+#: Bytes of text that a task cuts into words at once, and words whose phrases it counts at once.
+CHUNK, WINDOW = 4 << 20, 1 << 18
+#: Different phrases that a task holds before it hands them on.
+HELD = 4_000_000
 #: Marks and line ends that end a piece become dots, tabs spaces.
 PIECES = bytes(46 if b in b".,;:!?\n\v\f\r" else 32 if b == 9 else b for b in range(256))
 FOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -86,64 +88,143 @@ def holds(bloom: np.ndarray | None, h: np.ndarray) -> np.ndarray:
     return found
 
 
-def phrase_counts(texts: list[str], lang: str, most: int, now: np.ndarray | None, before: np.ndarray | None, everything: bool = False) -> Iterator[pa.RecordBatch]:
-    """Rows of COUNTS for one block of texts: what the filter `now` allows and `before` did not; `everything`: all phrases."""
-    number = _Words({b".": 0})
-    joined = b".".join(t.encode() for t in texts).lower().translate(PIECES).replace(b".", b" . ")
-    ids = np.fromiter(map(number.__getitem__, joined.split()), np.int64)
-    words = list(number)
-    names, hashes = pa.array(words, pa.binary()).cast(pa.string()), word_hashes(words, lang)
-
-    def rows(size: int, phrases: pa.Array, n: np.ndarray, known: np.ndarray) -> pa.RecordBatch:
-        k = len(n)
-        return pa.RecordBatch.from_arrays([pa.array([lang] * k, pa.string()), pa.array(np.full(k, size, np.int32)), phrases, pa.array(n.astype(np.int64)), pa.array(known)], names=["lang", "size", "phrase", "n", "known"])
-
-    counts = np.bincount(ids, minlength=len(words))[1:]
-    inside, new_to = holds(now, hashes) | everything, ~holds(before, hashes)
-    inside[0] = False
-    if before is None and len(words) > 1:
-        yield rows(0, pa.array([""]), counts.sum(keepdims=True), np.ones(1, bool))
-        yield rows(1, names[1:], counts, inside[1:])
-    # of each phrase of the length before: its words' names, hash, whether it is allowed and whether it was not before
-    spelled, gram, allowed, fresh = names, hashes, inside, new_to
-    at = ids  # which of them begins at a word
-    for size in range(2, most + 1):
-        fine = np.where(at >= 0, allowed[at], False)
-        where = np.flatnonzero(fine[:-1] & fine[1:])
-        if not len(where):
+class Tally:
+    """Counts of the words and phrases of one language in a task: what the filter `now` allows and `before` did not; `everything`: all.
+
+    A phrase is the numbers of its words, packed into one integer."""
+
+    def __init__(self, lang: str, most: int, now: np.ndarray | None, before: np.ndarray | None, everything: bool):
+        self.lang, self.most, self.now, self.before, self.everything = lang, most, now, before, everything
+        self.bits = np.int64(63 // most)
+        self.clear()
+
+    def clear(self) -> None:
+        self.number = _Words({b".": 0})
+        self.hashes, self.allowed, self.fresh = np.zeros(1, np.uint64), np.zeros(1, bool), np.zeros(1, bool)
+        self.words = np.zeros(1, np.int64)
+        self.phrases: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {size: [] for size in range(2, self.most + 1)}
+        self.held = 0
+
+    def full(self, window: int) -> bool:
+        return len(self.number) + window + self.most >= 1 << self.bits or self.held >= HELD
+
+    def learn(self, ids: np.ndarray) -> None:
+        """Hashes of the words that are new, and which of them the filters hold."""
+        old, words = len(self.hashes), list(self.number)
+        if len(words) > old:
+            h = word_hashes(words[old:], self.lang)
+            self.hashes = np.concatenate([self.hashes, h])
+            self.allowed = np.concatenate([self.allowed, holds(self.now, h) | self.everything])
+            self.fresh = np.concatenate([self.fresh, ~holds(self.before, h)])
+            self.words = np.concatenate([self.words, np.zeros(len(h), np.int64)])
+        self.words += np.bincount(ids, minlength=len(words))
+
+    def add(self, tokens: list[bytes], window: int) -> None:
+        """Counts what begins within the first `window` tokens; those after only end phrases."""
+        ids = np.fromiter(map(self.number.__getitem__, tokens), np.int64, len(tokens))
+        self.learn(ids[:window])
+        if self.most < 2:
             return
-        key = at[where] * len(words) + ids[where + size - 1]
-        unique, first, which, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-        head, tail, last = at[where[first]], at[where[first] + 1], ids[where[first] + size - 1]
-        count_now = fresh[head] | fresh[tail]  # else both parts were allowed before, and the phrase was counted then
-        spelled = pc.binary_join_element_wise(spelled.take(pa.array(head)), names.take(pa.array(last)), " ")
-        gram = longer(gram[head], hashes[last])
-        allowed, fresh = holds(now, gram) | everything, ~holds(before, gram)
-        yield rows(size, spelled.filter(pa.array(count_now)), n[count_now], allowed[count_now])
-        at = np.full(len(at) - 1, -1, np.int64)
-        at[where] = which
-
-
-def counted(docs: DataFrame, most: int, now=None, before=None, everything: bool = False, chunk: int = CHUNK) -> DataFrame:
-    """COUNTS over all texts, summed."""
+        # of each phrase of the length before: its packed words, its hash, whether it is allowed and whether it was not before
+        packed, gram, allowed, fresh = np.arange(len(self.hashes)), self.hashes, self.allowed, self.fresh
+        if len(packed) < len(self.number):  # words that only end phrases here
+            self.learn(ids[:0])
+            packed, gram, allowed, fresh = np.arange(len(self.hashes)), self.hashes, self.allowed, self.fresh
+        at = ids  # which of them begins at a word
+        for size in range(2, self.most + 1):
+            fine = np.where(at >= 0, allowed[at], False)
+            where = np.flatnonzero(fine[:-1] & fine[1:])
+            if not len(where):
+                return
+            unique, first, which = np.unique(packed[at[where]] << self.bits | ids[where + size - 1], return_index=True, return_inverse=True)
+            head, tail, last = at[where[first]], at[where[first] + 1], ids[where[first] + size - 1]
+            n = np.bincount(which[where < window], minlength=len(unique))
+            new = (fresh[head] | fresh[tail]) & (n > 0)  # else both parts were allowed before, and the phrase was counted then
+            self.phrases[size].append((unique[new], n[new]))
+            self.held += int(new.sum())
+            packed, gram = unique, longer(gram[head], self.hashes[last])
+            allowed, fresh = holds(self.now, gram) | self.everything, ~holds(self.before, gram)
+            at = np.full(len(at) - 1, -1, np.int64)
+            at[where] = which
+
+    def merge(self) -> None:
+        """Puts the counts of equal phrases together."""
+        self.held = 0
+        for size, parts in self.phrases.items():
+            if parts:
+                keys, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+                order = np.argsort(keys, kind="stable")
+                keys, n = keys[order], n[order]
+                begin = np.flatnonzero(np.diff(keys, prepend=-1))
+                self.phrases[size] = [(keys[begin], np.add.reduceat(n, begin) if len(begin) else n)]
+                self.held += len(begin)
+
+    def rows(self, at_once: int = 500_000) -> Iterator[pa.RecordBatch]:
+        """COUNTS of all that is held; then nothing is."""
+        names = pa.array(list(self.number), pa.binary()).cast(pa.string())
+
+        def batch(size: int, phrases: pa.Array, n: np.ndarray, known: np.ndarray) -> pa.RecordBatch:
+            k = len(n)
+            return pa.RecordBatch.from_arrays([pa.array([self.lang] * k, pa.string()), pa.array(np.full(k, size, np.int32)), phrases, pa.array(n), pa.array(known)], names=["lang", "size", "phrase", "n", "known"])
+
+        if self.before is None and len(names) > 1:
+            yield batch(0, pa.array([""]), self.words[1:].sum(keepdims=True), np.ones(1, bool))
+            some = np.flatnonzero(self.words[1:]) + 1
+            yield batch(1, names.take(pa.array(some)), self.words[some], self.allowed[some])
+        self.merge()
+        for size, parts in self.phrases.items():
+            for keys, counts in parts:
+                for k in range(0, len(keys), at_once):
+                    key, n = keys[k : k + at_once], counts[k : k + at_once]
+                    ids = [key >> self.bits * np.int64(size - 1 - j) & ((np.int64(1) << self.bits) - 1) for j in range(size)]
+                    spelled = pc.binary_join_element_wise(*[names.take(pa.array(i)) for i in ids], " ")
+                    known = holds(self.now, reduce(longer, (self.hashes[i] for i in ids))) | self.everything
+                    yield batch(size, spelled, n, known)
+        self.clear()
+
+
+def counted(docs: DataFrame, most: int, now=None, before=None, everything: bool = False, chunk: int = CHUNK, window: int = WINDOW) -> DataFrame:
+    """COUNTS over all texts, summed.
+
+    A task hands on each of its phrases once, so they are dealt out as they are: another sum before would find nothing to add."""
 
     def count(batches):
-        held: dict[str, list[str]] = defaultdict(list)
-        size = 0
+        texts: dict[str, list[str]] = defaultdict(list)
         allowed, earlier = now and now.value, before and before.value
+        tallies: dict[str, Tally] = {}
+        size = 0
+
+        def take() -> Iterator[pa.RecordBatch]:
+            for lang in list(texts):
+                joined = b".".join(t.encode() for t in texts.pop(lang)).lower().translate(PIECES)
+                tokens = joined.replace(b".", b" . ").split()
+                tally = tallies.setdefault(lang, Tally(lang, most, allowed, earlier, everything))
+                for k in range(0, len(tokens), window):
+                    if tally.full(window):
+                        tally.merge()
+                        if tally.held >= HELD // 2 or tally.full(window):
+                            yield from tally.rows()
+                    tally.add(tokens[k : k + window + most - 1], window)
+            if sum(t.held + len(t.number) for t in tallies.values()) >= HELD:
+                for t in tallies.values():
+                    t.merge()
+                if sum(t.held + len(t.number) for t in tallies.values()) >= HELD // 2:
+                    for t in tallies.values():
+                        yield from t.rows()
+
         for batch in batches:
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-                held[lang].append(text)
+                texts[lang].append(text)
                 size += len(text)
                 if size >= chunk:
-                    for name, texts in held.items():
-                        yield from phrase_counts(texts, name, most, allowed, earlier, everything)
-                    held.clear()
+                    yield from take()
                     size = 0
-        for name, texts in held.items():
-            yield from phrase_counts(texts, name, most, allowed, earlier, everything)
+        yield from take()
+        for t in tallies.values():
+            yield from t.rows()
 
-    return docs.mapInArrow(count, COUNTS).groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"), F.first("known").alias("known"))
+    keys = ["lang", "size", "phrase"]
+    return docs.mapInArrow(count, COUNTS).repartition(*keys).groupBy(*keys).agg(F.sum("n").alias("n"), F.first("known").alias("known"))
 
 
 def bloom_of(rows: DataFrame, bloom: np.ndarray | None, bits: int = BLOOM_BITS) -> np.ndarray:
@@ -174,19 +255,19 @@ def bloom_of(rows: DataFrame, bloom: np.ndarray | None, bits: int = BLOOM_BITS)
     return out
 
 
-def frequent_phrases(docs: DataFrame, least: int = 10, most: int = 3, sample_of: int = SAMPLE_OF, sample_min: int = SAMPLE_MIN, bits: int = BLOOM_BITS, chunk: int = CHUNK) -> tuple[DataFrame, int]:
+def frequent_phrases(docs: DataFrame, least: int = 10, most: int = 3, sample_of: int = SAMPLE_OF, sample_min: int = SAMPLE_MIN, bits: int = BLOOM_BITS, **sizes) -> tuple[DataFrame, int]:
     """lang, size, phrase, n of all phrases of up to `most` words that occur `least` times in their language, exactly, and the passes made.
 
-    Size 0 (phrase '') is the number of words of the language, whatever its size."""
+    Size 0 (phrase '') is the number of words of the language, whatever its size; `sizes`: chunk and window of a task."""
     spark = docs.sparkSession
     place = F.xxhash64(*[c for c in ("doc_id", "text") if c in docs.columns])
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), place.alias("__place"))
     whole = texts.select("text", "lang")
-    proposed = counted(texts.where(F.pmod("__place", F.lit(sample_of)) == 0).select("text", "lang"), most - 1, everything=True, chunk=chunk).where((F.col("n") >= sample_min) & (F.col("size") > 0))
+    proposed = counted(texts.where(F.pmod("__place", F.lit(sample_of)) == 0).select("text", "lang"), most - 1, everything=True, **sizes).where((F.col("n") >= sample_min) & (F.col("size") > 0))
     now, before, found = bloom_of(proposed, None, bits), None, []
     while True:
         shared = [None if b is None else spark.sparkContext.broadcast(b) for b in (now, before)]
-        rows = written(counted(whole, most, *shared, chunk=chunk).where((F.col("n") >= least) | (F.col("size") == 0)), "phrases")
+        rows = written(counted(whole, most, *shared, **sizes).where((F.col("n") >= least) | (F.col("size") == 0)), "phrases")
         found.append(rows)
         failures = rows.where(~F.col("known") & (F.col("size") < most))
         for b in filter(None, shared):
