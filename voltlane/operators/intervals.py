@@ -2,22 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voltlane.functions.geo import haversine_m
 
 
+#: Blocks of one level are so many times as wide as those of the level below; an interval touches FAN + 1 blocks of its level at most.
+FAN_BITS = 3
+LEVELS = 18
+
+
+def _level(start: Column, end: Column, block: int) -> Column:
+    """The lowest level on which the interval spans no more than FAN blocks."""
+    span = end - start
+    return reduce(lambda a, b: a + b, ((span >= (block << FAN_BITS * (k + 1))).cast("int") for k in range(LEVELS - 1) if block << FAN_BITS * (k + 1) < 1 << 63))
+
+
+def _block(at: Column, level: Column, block: int) -> Column:
+    """Which block of its level a seq lies in, exactly for all 64-bit seqs."""
+    return F.call_function("shiftright", at.cast("long"), F.lit(block.bit_length() - 1) + FAN_BITS * level)
+
+
 def rows_within(rows: DataFrame, intervals: DataFrame, start: str = "start_seq", end: str = "end_seq", at: str = "seq", block: int = 512) -> DataFrame:
     """Pairs of an interval and a row of its run with start <= at <= end.
 
-    Both sides meet by run and block of `block` seqs, so an interval reads its own stretch of the
-    run and not all of it. Columns of both sides stay; rows' run_id goes."""
-    blocks = F.sequence(F.floor(F.col(start) / block), F.floor(F.col(end) / block))
-    cut = intervals.where(F.col(start) <= F.col(end)).withColumn("__block", F.explode(blocks))
-    dealt = rows.withColumnRenamed("run_id", "__run").withColumn("__of", F.floor(F.col(at) / block))
-    met = cut.join(dealt, (F.col("__run") == F.col("run_id")) & (F.col("__of") == F.col("__block")) & F.col(at).between(F.col(start), F.col(end)))
-    return met.drop("__run", "__of", "__block")
+    Both sides meet by run, level and block of seqs. An interval goes to the level whose blocks
+    (`block` seqs, a power of two, and eight times more on each level above) suit its span, so it
+    is cut into nine blocks at most however sparse its seqs are, and reads its own stretch of the
+    run only. Rows are dealt to the levels that occur; short intervals have one. Columns of both
+    sides stay; rows' run_id goes."""
+    if block < 1 or block & (block - 1):
+        raise ValueError("block is a power of two")
+    cut = intervals.where(F.col(start) <= F.col(end)).withColumn("__level", _level(F.col(start).cast("long"), F.col(end).cast("long"), block))
+    levels = cut.agg(F.collect_set("__level").alias("__levels"))  # one row of at most LEVELS numbers
+    cut = cut.withColumn("__block", F.explode(F.sequence(_block(F.col(start), F.col("__level"), block), _block(F.col(end), F.col("__level"), block))))
+    dealt = rows.withColumnRenamed("run_id", "__run").join(F.broadcast(levels)).withColumn("__on", F.explode("__levels")).drop("__levels")
+    dealt = dealt.withColumn("__of", _block(F.col(at), F.col("__on"), block))
+    met = cut.join(dealt, (F.col("__run") == F.col("run_id")) & (F.col("__on") == F.col("__level")) & (F.col("__of") == F.col("__block")) & F.col(at).between(F.col(start), F.col(end)))
+    return met.drop("__run", "__of", "__block", "__on", "__level")
 
 
 def disjoint(intervals: DataFrame, name: str) -> DataFrame:
@@ -72,13 +97,15 @@ def nearest_within(points: DataFrame, places: DataFrame) -> DataFrame:
     """Each point (point_id, lat, lon) with the nearest place (place_id, p_lat, p_lon, radius_m) within that place's radius.
 
     Places are listed under every grid cell that their circle touches, points under
-    their own; they join on the cell. Ties go to the smallest place_id."""
-    size = 0.01  # degrees; about 1.1 km north to south
+    their own; they join on the cell. Columns of cells are counted around the earth, so circles
+    reach over the date line. Ties go to the smallest place_id."""
+    size, around = 0.01, 36_000  # degrees (about 1.1 km north to south), and cells of a whole circle
     north = F.col("radius_m") / 110_000
     east = north / F.greatest(F.cos(F.radians(F.abs("p_lat") + north)), F.lit(0.01))
     span = lambda c, r: F.sequence(F.floor((F.col(c) - r) / size), F.floor((F.col(c) + r) / size))
-    cells = places.withColumn("__y", F.explode(span("p_lat", north))).withColumn("__x", F.explode(span("p_lon", east)))
-    at = points.withColumns({"__y": F.floor(F.col("lat") / size), "__x": F.floor(F.col("lon") / size)})
+    turned = F.array_distinct(F.transform(span("p_lon", F.least(east, F.lit(180.0))), lambda x: F.pmod(x, F.lit(around))))
+    cells = places.withColumn("__y", F.explode(span("p_lat", north))).withColumn("__x", F.explode(turned))
+    at = points.withColumns({"__y": F.floor(F.col("lat") / size), "__x": F.pmod(F.floor(F.col("lon") / size), F.lit(around))})
     met = at.join(cells, ["__y", "__x"]).withColumn("distance_m", haversine_m(F.col("lat"), F.col("lon"), F.col("p_lat"), F.col("p_lon")))
     found = met.where("distance_m <= radius_m").groupBy("point_id").agg(F.min(F.struct("distance_m", "place_id")).alias("m"))
     return points.join(found, "point_id", "left").select(*points.columns, F.col("m.place_id").alias("place_id"), F.col("m.distance_m").alias("distance_m"))
