@@ -6,6 +6,7 @@ import random
 import re
 import subprocess
 import sys
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -224,3 +225,48 @@ def test_op9_threshold_comes_from_all_labels(spark):
     score, bad = forest.score(quality_rules.features(rows)), rows["quality"].to_numpy() == 0
     assert abs(cut - quality_rules.calibrate(np.floor(score * quality_rules.SCORE_BINS) / quality_rules.SCORE_BINS + 0.5 / quality_rules.SCORE_BINS, bad, 0.002)) < 2 / quality_rules.SCORE_BINS or cut == np.inf
     assert quality_rules.fit(repeated, labels.limit(0))[0] is None
+
+
+def test_op1_learns_a_language_with_one_short_text(spark):
+    english = "the lease of a house is not what they think it would be when another one is near"
+    polish = "zażółć gęślą jaźń, pchnąć w tę łódź jeża lub ośm skrzyń fig"
+    train = [(k, f"{english} {k}", "en") for k in range(40) if zlib.crc32(str(k).encode()) % 4 != 2]
+    one = next(k for k in range(100, 200) if zlib.crc32(str(k).encode()) % 4 != 2)
+    docs = spark.createDataFrame([*train, (one, polish, "pl")], "doc_id long, text string, lang string")
+    model = langid.train(docs)
+    assert model.langs == ["en", "pl"]
+    asked = spark.createDataFrame([(1, "pchnąć łódź", None), (2, "another house", None)], "doc_id long, text string, lang string")
+    assert [r.found.lang_pred for r in langid.identify(asked, "found", model).orderBy("doc_id").collect()] == ["pl", "en"]
+
+
+def test_op9_threshold_is_the_same_on_both_sides_of_the_broadcast(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    repeated = docs.unionByName(docs.limit(200))
+    cut = quality_rules.fit(docs, labels, rows=100)[1]
+    assert quality_rules.fit(repeated, labels, rows=100)[1] == cut
+    monkeypatch.setattr(quality_rules, "BROADCAST_IDS", 10)
+    assert quality_rules.fit(repeated, labels, rows=100)[1] == cut
+
+
+def test_op5_long_lines_are_counted_by_their_digest(spark):
+    line = "-" * 80
+    docs = spark.createDataFrame([(k, f"{line}\nword{k} {line} and {'=' * 70 * k}") for k in range(30)], "doc_id long, text string")
+    want = {r.doc_id: len(token_count.vocabulary(token_count.default_model()).model.encode(r.text)) for r in docs.collect()}
+    for limit in (token_count.BROADCAST_TOKENS, 3, 0):
+        assert {r.doc_id: r.n_tokens for r in token_count.count_tokens(docs, broadcast=limit).collect()} == want
+    counts, _ = token_count.frequent(token_count.pretokens(docs, token_count.default_model()), 5)
+    assert token_count.key(f"▁{line}") in counts
+
+
+def test_op4_many_turns_in_one_conversation(spark):
+    turns = spark.range(20_000).selectExpr("1L as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "concat('say ### ', id) as text")
+    row = chat.format_chats(turns).first()
+    assert row.round_trip and len(row.loss) == 10_000
+    assert "".join(row.formatted[s.start : s.end].replace("\\###", "###") for s in row.loss) == "".join(f"say ### {k}" for k in range(1, 20_000, 2))
+
+
+def test_op7_short_items_match_where_they_are_asked_for(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six"), (2, "zero")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "two three four")], "item_id long, text string")
+    assert decontam.find_overlaps(docs, items).count() == 0
+    assert [(r.doc_id, r.item_id) for r in decontam.find_overlaps(docs, items, min_item=3).collect()] == [(1, 7)]

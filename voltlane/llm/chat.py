@@ -19,7 +19,8 @@ always comes back; `round_trip` reports the last comparison.
 Null roles and texts are empty; turns with equal numbers go by role and text, null turn
 numbers first; a null conv_id is a conversation of its own; an empty table gives no rows;
 repeated rows are repeated turns; very long texts are escaped and compared whole; other
-columns are not returned. A conversation is one text with one digest, so its rows
+columns are not returned. Work is in proportion to a conversation's text, whatever its number of turns (spans are summed
+up in runs of RUN turns). A conversation is one text with one digest, so its rows
 meet in one task; conversations are independent of each other.
 """
 
@@ -34,6 +35,9 @@ CODES = {"%": "%25", ":": "%3A", "\n": "%0A", "#": "%23", "<": "%3C"}
 TO_ESCAPE = r"(?<!\\)(\\*+(?:###|</turn>))"
 TO_UNESCAPE = r"(?<!\\)\\(\\*+(?:###|</turn>))"
 ASSISTANT = "assistant"
+SPANS = "array<struct<start:bigint,end:bigint>>"
+#: Turns whose spans are put together at once; then such runs are.
+RUN = 128
 
 
 def escape(text: Column) -> Column:
@@ -75,6 +79,12 @@ def parse(formatted: Column) -> Column:
     return F.when(sound, F.transform(F.filter(parts, lambda p, i: i % 2 == 1), turn))
 
 
+def spans_of(parts: Column, spans) -> Column:
+    """struct<at, spans>: the parts' sizes summed up, and spans(what was before, part) of each part, one after the other."""
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPANS).alias("spans"))
+    return F.aggregate(parts, start, lambda acc, p: F.struct((acc["at"] + p["size"]).alias("at"), F.concat(acc["spans"], spans(acc, p).cast(SPANS)).alias("spans")))
+
+
 def format_chats(rows: DataFrame) -> DataFrame:
     """conv_id, formatted, loss (array of start and end, code points from 0), round_trip; one row per conversation.
 
@@ -93,23 +103,22 @@ def format_chats(rows: DataFrame) -> DataFrame:
     again = once.withColumn("turns", F.when(F.col("fine"), F.col("turns")).otherwise(all_escaped)).withColumn("formatted", whole)
     size = lambda t: F.length(render_turn(t["role"], t["body"]))
     head = lambda t: F.length(F.concat(F.lit(OPEN), role_code(t["role"]), F.lit(COLON)))
-    walk = F.aggregate(
-        F.transform("turns", lambda t: F.struct(size(t).cast("long").alias("size"), head(t).cast("long").alias("head"), F.length(t["body"]).cast("long").alias("body"), (t["role"] == ASSISTANT).alias("loss"))),
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans")),
-        lambda acc, t: F.struct(
-            (acc["at"] + t["size"]).alias("at"),
-            F.when(t["loss"], F.concat(acc["spans"], F.array(F.struct((acc["at"] + t["head"]).alias("start"), (acc["at"] + t["head"] + t["body"]).alias("end"))))).otherwise(acc["spans"]).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
+    sizes = F.transform("turns", lambda t: F.struct(size(t).cast("long").alias("size"), head(t).cast("long").alias("head"), F.length(t["body"]).cast("long").alias("body"), (t["role"] == ASSISTANT).alias("loss")))
+    runs = F.transform(F.sequence(F.lit(0), F.greatest((F.size("turns") - 1) / RUN, F.lit(0)).cast("int")), lambda k: F.slice(F.col("sizes"), k * RUN + 1, RUN))
+    # the spans of each run of turns from its own start, then all of them moved to where their run stands
+    own = F.transform(runs, lambda r: spans_of(r, lambda acc, t: F.when(t["loss"], F.array(F.struct((acc["at"] + t["head"]).alias("start"), (acc["at"] + t["head"] + t["body"]).alias("end")))).otherwise(F.array())))
+    moved = lambda acc, r: F.transform(r["spans"], lambda s: F.struct((s["start"] + acc["at"]).alias("start"), (s["end"] + acc["at"]).alias("end")))
+    walk = spans_of(F.transform(own, lambda r: F.struct(r["at"].alias("size"), r["spans"].alias("spans"))), moved)["spans"]
+    again = again.withColumn("sizes", sizes)
     return again.select("conv_id", "formatted", walk.alias("loss"), F.coalesce(parse(F.col("formatted")) == source, F.lit(False)).alias("round_trip"))
 
 
 def digests(chats: DataFrame) -> DataFrame:
     """Counts and digests of each conversation, read back from its formatted text and loss spans alone."""
     back = chats.withColumn("turns", parse(F.col("formatted")))
-    said = F.transform("loss", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))))
-    back = back.withColumn("loss_text", F.array_join(said, ""))
+    # the mask's spans are the bodies of the assistant's turns, which the parser has cut out already
+    said = F.filter("turns", lambda t: t["role"] == ASSISTANT)
+    back = back.withColumn("loss_text", F.array_join(F.transform(said, lambda t: t["text"]), ""))
     joined = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id",

@@ -3,9 +3,10 @@ folder, bounded text blocks and vectorised word hashing over UTF-8 buffers."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +32,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession, what: str) -> str:
     """A new folder below the cluster's shared checkpoint folder.
 
-    The setting of the session wins. Where it is unset, a cluster's session uses its
-    warehouse, which all machines share; only a session without a cluster makes a local one."""
+    The session's setting wins. Only a session without a cluster may go without one: it makes a local folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base and spark.sparkContext.master.startswith("local"):
         base = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{(base or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/voltlane/{what}-{uuid.uuid4().hex}"
+    if not base:
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return f"{base.rstrip('/')}/voltlane/{what}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
@@ -69,6 +71,20 @@ def in_training(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 != 2, F.lit(False))
 
 
+def lean(work: Callable) -> Callable:
+    """A mapInArrow function whose worker gives its memory back at the end of each task: Spark keeps workers for the
+    stages after, and what a worker holds is lost to them."""
+
+    def run(batches):
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return run
+
+
 def text_blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[pa.Array]:
     """Slices of a string array with at most `limit` bytes, or one longer text. Nulls become ''."""
     texts = texts.fill_null("")

@@ -12,7 +12,7 @@ No overlap of 12 words and 80 % is without a hit: with e words substituted, at l
 are four runs of three, which the second mask is. Items of fewer words than that are looked
 up by the run that their own length leaves.
 
-Items of fewer than MIN_ITEM words are no evidence, wherever they occur, and match nothing.
+Items of fewer than MIN_ITEM words (a parameter) are no evidence, wherever they occur, and match nothing.
 
 Words are runs of letters and digits, lower-cased. The benchmark goes to the executors in chunks of at
 most CHUNK_WORDS words; a larger benchmark takes several passes over the documents, so
@@ -35,7 +35,7 @@ from voltlane.llm.common import RollingHash, byte_class, mix, runs, text_blocks,
 #: Ones are hashed, zeros are ignored.
 SEEDS = ("1111", "111011101110111")
 MIN_WORDS, MIN_SHARE = 12, 0.8
-#: Items with fewer words match nothing.
+#: Items with fewer words match nothing, unless `find_overlaps` is told otherwise (min_item).
 MIN_ITEM = 5
 #: Words of benchmark items that one pass broadcasts, at most (one longer item is a chunk of its own).
 CHUNK_WORDS = 2_000_000
@@ -92,7 +92,7 @@ def longest(same: np.ndarray, least: int, share: float) -> tuple[int, int]:
 class BenchmarkIndex:
     """Sorted seed hashes of one chunk of items, with the place in the items that each stands for."""
 
-    def __init__(self, item_ids: list[int], texts: list[str], seeds: tuple[str, ...] = SEEDS, min_words: int = MIN_WORDS, min_share: float = MIN_SHARE):
+    def __init__(self, item_ids: list[int], texts: list[str], seeds: tuple[str, ...] = SEEDS, min_words: int = MIN_WORDS, min_share: float = MIN_SHARE, min_item: int = MIN_ITEM):
         self.ids = np.array(item_ids, np.int64)
         self.min_words, self.min_share = min_words, min_share
         blocks = [words_of(b) for b in text_blocks(pa.array(texts, pa.string()))]
@@ -101,7 +101,7 @@ class BenchmarkIndex:
         self.first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         item = np.repeat(np.arange(len(sizes)), sizes)
         self.sizes = sizes
-        self.short = [0] * len(seeds) + sorted({int(n) for n in sizes if MIN_ITEM <= n < min_words})
+        self.short = [0] * len(seeds) + sorted({int(n) for n in sizes if max(min_item, 1) <= n < min_words})
         self.seeds = [*seeds, *("1" * least_run(n, min_share) for n in self.short[len(seeds) :])]
         self.tables = []
         for k, seed in enumerate(self.seeds):

@@ -10,7 +10,9 @@ into a neighbouring text, so an answer depends on the text alone, whatever stand
 after it. Any number of languages is learned: a slot is one or more words of bits.
 
 The filter is fitted on a bounded sample of labelled rows: about DOCS_PER_LANG documents of
-each language, and their GRAMS_PER_LANG most frequent n-grams at most. Both are parameters.
+each language (a parameter). Of these it learns every n-gram, however rare, that is at least
+half as frequent in the language as where it is most frequent, so a language with a single
+short text is learned too; the filter grows with what it holds.
 
 Null texts and texts without a letter get `und` and score 0. Texts with letters but no
 known n-gram get the first learned language by name with score 0. Without training rows
@@ -33,8 +35,6 @@ from voltlane.llm.common import in_training, small, text_blocks, totals
 
 #: Training documents for each language, about: those whose hash is below the share that this makes of the language's rows.
 DOCS_PER_LANG = 3_000
-#: N-grams kept for each language at most, most frequent first; of equally frequent ones all or none.
-GRAMS_PER_LANG = 30_000
 GRAM = 4
 #: Bits of one word of a slot.
 WORD = 64
@@ -76,6 +76,8 @@ class LanguageFilter:
 
     @staticmethod
     def build(langs: list[str], grams_of: list[np.ndarray], bits: int = 20, hashes: int = 3) -> LanguageFilter:
+        # a language fills an eighth of its slots at most
+        bits = max(bits, int(8 * hashes * max(map(len, grams_of), default=0)).bit_length())
         width = next(w for w in (np.uint8, np.uint16, np.uint32, np.uint64) if np.dtype(w).itemsize * 8 >= min(len(langs), WORD))
         slots = np.zeros((-(-len(langs) // WORD), 1 << bits), width)
         fill = np.zeros(len(langs))
@@ -116,7 +118,7 @@ def lettered(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
-def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, grams_per_lang: int = GRAMS_PER_LANG) -> LanguageFilter | None:
+def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG) -> LanguageFilter | None:
     """The filter, from text and lang of a bounded sample of the training documents."""
     known = docs.where(in_training(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", F.col("lang").cast("string").alias("lang"))
     # the share of its rows that each language gives; equal texts of a language count once
@@ -139,11 +141,8 @@ def train(docs: DataFrame, docs_per_lang: int = DOCS_PER_LANG, grams_per_lang: i
     # a language has an n-gram if it is about as frequent there as where it is most frequent
     total = counted.groupBy("lang").agg(F.sum("n").alias("total"))
     share = counted.join(F.broadcast(total), "lang").withColumn("share", F.col("n") / F.col("total"))
-    own = share.withColumn("most", F.max("share").over(Window.partitionBy("gram"))).where((F.col("share") >= 0.5 * F.col("most")) & (F.col("n") >= 3))
-    # how frequent the last n-gram is that a language keeps
-    rank = Window.partitionBy("lang").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
-    least = own.groupBy("lang", "n").agg(F.count("*").alias("grams")).withColumn("upto", F.sum("grams").over(rank)).where(F.col("upto") <= grams_per_lang).groupBy("lang").agg(F.min("n").alias("least"))
-    rows = own.join(F.broadcast(least), "lang").where("n >= least").select("lang", "gram").toPandas()
+    own = share.withColumn("most", F.max("share").over(Window.partitionBy("gram"))).where(F.col("share") >= 0.5 * F.col("most"))
+    rows = own.select("lang", "gram").toPandas()
     if not len(rows):
         return None
     names = sorted(rows["lang"].unique())

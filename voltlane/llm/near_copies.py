@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voltlane.llm import simhash
-from voltlane.llm.common import SPACE, RollingHash, by_key, mix, runs, shingle_hash, small, text_blocks, utf8, written
+from voltlane.llm.common import SPACE, RollingHash, by_key, lean, mix, runs, shingle_hash, small, text_blocks, utf8, written
 from voltlane.llm.simhash import components, first_rows
 
 SIZE = 5
@@ -113,7 +113,7 @@ def common_shingles(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             for block in text_blocks(batch.column("text"), BLOCK):
                 yield pa.RecordBatch.from_arrays([pa.array(sets(block)[1].view(np.int64))], names=["key"])
 
-    found = sample.select("text").mapInArrow(deal, "key long").groupBy("key").count().where(F.col("count") >= COMMON)
+    found = sample.select("text").mapInArrow(lean(deal), "key long").groupBy("key").count().where(F.col("count") >= COMMON)
     top = found.orderBy(F.desc("count"), "key").limit(200_000).toArrow()
     key, n = top.column("key").to_numpy().view(np.uint64), top.column("count").to_numpy()
     order = np.argsort(key)
@@ -143,7 +143,7 @@ def prefixes(nodes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array((s >> np.uint64(16)).view(np.int64)), pa.array(ids[at + d]), pa.array(n[d].astype(np.int32)), pa.array(place.astype(np.int32))], names=["key", "id", "n", "place"])
                 at += len(block)
 
-    return nodes.select("id", "text").mapInArrow(deal, "key long, id long, n int, place int")
+    return nodes.select("id", "text").mapInArrow(lean(deal), "key long, id long, n int, place int")
 
 
 def met(nodes: DataFrame) -> DataFrame:
@@ -161,7 +161,7 @@ def met(nodes: DataFrame) -> DataFrame:
             if shared.any():
                 yield pa.RecordBatch.from_arrays([pa.array(x[shared]) for x in rows], names=["key", "id", "n", "place"])
 
-    return dealt.mapInArrow(meet, "key long, id long, n int, place int")
+    return dealt.mapInArrow(lean(meet), "key long, id long, n int, place int")
 
 
 def sketches(nodes: DataFrame) -> DataFrame:
@@ -179,7 +179,7 @@ def sketches(nodes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(at, len(block)), pa.array([r.tobytes() for r in packed], pa.binary())], names=["id", "sketch"])
                 at += len(block)
 
-    return nodes.select("id", "text").mapInArrow(deal, "id long, sketch binary")
+    return nodes.select("id", "text").mapInArrow(lean(deal), "id long, sketch binary")
 
 
 def allowed(n, place, sketch, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -258,7 +258,7 @@ def crossing(rows: DataFrame, groups: DataFrame, drawn: DataFrame, which: str) -
             if len(i):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["src", "dst"])
 
-    return dealt.mapInArrow(meet, "src long, dst long").distinct()
+    return dealt.mapInArrow(lean(meet), "src long, dst long").distinct()
 
 
 def similar(left: pa.Array, right: pa.Array) -> np.ndarray:
@@ -294,7 +294,7 @@ def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             good = pa.array(similar(batch.column("a"), batch.column("b")))
             yield batch.select(["src", "dst"]).filter(good)
 
-    return written(both.select("src", "dst", "a", "b").mapInArrow(judge, "src long, dst long"), "links")
+    return written(both.select("src", "dst", "a", "b").mapInArrow(lean(judge), "src long, dst long"), "links")
 
 
 def groups_of(nodes: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voltlane.llm.common import SPACE, RollingHash, byte_class, mix, runs, shingle_hash, text_blocks, totals, utf8, written
+from voltlane.llm.common import BROADCAST_IDS, SPACE, RollingHash, byte_class, mix, runs, shingle_hash, text_blocks, totals, utf8, written
 
 SYMBOLS = byte_class(b"#*$%&|<>")
 LINE = byte_class(b"\n")
@@ -34,7 +34,7 @@ HIGH = np.arange(256) >= 128
 #: Labelled rows that the forest is fitted on, at most (lowest hashes of doc_id first).
 SAMPLE_ROWS = 20_000
 #: Bins of the scores that the threshold is set by.
-SCORE_BINS = 10_000
+SCORE_BINS = 100_000
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower", "n_digits", "n_shouts", "n_distinct_words", "n_bytes", "n_one_char")
 STAT_TYPE = pa.struct([(s, pa.int64()) for s in STATS])
 STAT_SCHEMA = T.StructType([T.StructField(s, T.LongType()) for s in STATS])
@@ -226,13 +226,14 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, max_clean_l
     if not len(sample):
         return None, np.inf
     forest = IsolationForest().fit(features(sample))
-    if known.limit(rows + 1).count() <= rows:
-        score, bad, n = forest.score(features(sample)), sample["quality"].to_numpy() == 0, None
-        keep = ~base_failed(sample).to_numpy()
-        return forest, calibrate(score[keep], bad[keep], max_clean_loss)
-    # labels are joined to light rows of statistics, texts are not shuffled
-    seen = docs.select("doc_id", judged(forest)("text").alias("s")).where(~rule(F.col("s"))).select("doc_id", F.col("s.anomaly").alias("score"))
-    bins = seen.join(known, "doc_id").groupBy(F.floor(F.col("score") * SCORE_BINS).alias("bin"), (F.col("quality") == 0).alias("bad")).count().toPandas()
+    # one rule for any number of labels: scores of one row of each labelled doc_id, counted in bins
+    few = known.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    texts = docs.select("doc_id", "text")
+    texts = texts.join(F.broadcast(known), "doc_id") if few else texts  # else light rows of statistics are joined, not texts
+    seen = texts.select(*[c for c in texts.columns if c != "text"], F.struct(F.xxhash64("text"), F.length("text")).alias("which"), judged(forest)("text").alias("s"))
+    seen = seen if few else seen.join(known, "doc_id")
+    once = seen.groupBy("doc_id", "quality").agg(F.min_by(F.struct(rule(F.col("s")).alias("failed"), F.col("s.anomaly").alias("score")), "which").alias("m")).where("not m.failed")
+    bins = once.groupBy(F.floor(F.col("m.score") * SCORE_BINS).alias("bin"), (F.col("quality") == 0).alias("bad")).count().toPandas()
     return forest, calibrate((bins["bin"].to_numpy(float) + 0.5) / SCORE_BINS, bins["bad"].to_numpy(bool), max_clean_loss, bins["count"].to_numpy(float))
 
 

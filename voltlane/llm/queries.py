@@ -31,9 +31,9 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hard = "\\### Assistant: </turn> ok"
+    hard = r"r'\### Assistant: </turn> ok'"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    more = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
+    more = spark.sql(f"SELECT * FROM VALUES (-7L, 0L, 'user', {hard}), (-7L, 1L, 'assistant', {hard}) AS t(conv_id, turn, role, text)")
     return chat.digests(chat.format_chats(rows.unionByName(more)))
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voltlane.llm.common import BROADCAST_IDS, by_key, text_blocks, written
+from voltlane.llm.common import BROADCAST_IDS, by_key, lean, text_blocks, written
 
 BITS, MAX_DISTANCE = 64, 3
 SEED = 42
@@ -146,7 +146,7 @@ def links(reps: DataFrame) -> DataFrame:
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], names=["src", "dst"])
 
-    return dealt.mapInArrow(meet, "src long, dst long").distinct()
+    return dealt.mapInArrow(lean(meet), "src long, dst long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -3,8 +3,8 @@ document's pre-token frequencies, and summed; no ids are made for documents.
 
 1. Every task gathers the distinct pre-tokens of its texts, the shuffle makes them distinct
    in the corpus, and the library counts the pieces of each once. The result is a table.
-2. Counts of the most frequent pre-tokens, at most BROADCAST_TOKENS of at most SHORT
-   characters, go to all tasks, where each document sums count times frequency. So frequent
+2. Counts of the most frequent pre-tokens, at most BROADCAST_TOKENS, go to all tasks (those of
+   more than SHORT characters by their SHA-256, so a frequent long line costs no more), where each document sums count times frequency. So frequent
    pre-tokens never meet in one task, and few rows are shuffled: rows of (document,
    pre-token, frequency) exist for the rare rest alone, which is joined to the table.
 
@@ -16,6 +16,7 @@ named like the result is replaced.
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 from voltlane.llm.common import text_blocks, written
 from voltlane.llm.pieces import MARK, default_model, vocabulary
 
-#: Pre-tokens whose counts are broadcast, at most, and how long they may be: 13 MB of text at most.
+#: Pre-tokens whose counts are broadcast, at most, and how long they are as keys: 14 MB at most.
 BROADCAST_TOKENS, SHORT = 200_000, 64
 #: Distinct pre-tokens that a task gathers before it hands them on.
 GATHERED = 200_000
@@ -34,6 +35,11 @@ GATHERED = 200_000
 BANDS = 16
 
 
+def key(token: str) -> str:
+    """What a pre-token is known by: itself, or its digest if it is long."""
+    return token if len(token) <= SHORT else "sha256:" + hashlib.sha256(token.encode()).hexdigest()
+
+
 def piece_counts(path: str, new: list[str]) -> list[int]:
     """The number of pieces of each pre-token, from the library."""
     model = vocabulary(path).model
@@ -45,7 +51,7 @@ def piece_counts(path: str, new: list[str]) -> list[int]:
 
 
 def pretokens(docs: DataFrame, path: str) -> DataFrame:
-    """token, n (pieces) and band (of its frequency; higher: more frequent) of every distinct pre-token, as a table."""
+    """token (its key), n (pieces) and band (of its frequency; higher: more frequent) of every distinct pre-token, as a table."""
 
     def gather(batches):
         vocab, seen = vocabulary(path), Counter()
@@ -67,19 +73,19 @@ def pretokens(docs: DataFrame, path: str) -> DataFrame:
         return pa.array(piece_counts(path, tokens.to_pylist()), pa.int64())
 
     found = docs.select("text").mapInArrow(gather, "token string, freq long").groupBy("token").agg(F.sum("freq").alias("freq"))
-    return written(found.select("token", F.floor(F.log2("freq") * BANDS).cast("int").alias("band"), pieces("token").alias("n")), "pretokens")
+    short = F.when(F.length("token") <= SHORT, F.col("token")).otherwise(F.concat(F.lit("sha256:"), F.sha2("token", 256)))
+    return written(found.select(short.alias("token"), F.floor(F.log2("freq") * BANDS).cast("int").alias("band"), pieces("token").alias("n")), "pretokens")
 
 
 def frequent(table: DataFrame, limit: int = BROADCAST_TOKENS) -> tuple[dict[str, int], DataFrame | None]:
-    """Counts of the most frequent short pre-tokens, at most `limit`, and the table of the others (None: there are none)."""
-    short = F.length("token") <= SHORT
-    sizes = table.groupBy("band", short.alias("short")).count().collect()  # some rows for each doubling of the frequency
+    """Counts of the most frequent pre-tokens, at most `limit`, and the table of the others (None: there are none)."""
+    sizes = table.groupBy("band").count().collect()  # some rows for each doubling of the frequency
     least, held = 1 << 30, 0
-    for band, n in sorted(((r["band"], r["count"]) for r in sizes if r["short"]), reverse=True):
+    for band, n in sorted(((r["band"], r["count"]) for r in sizes), reverse=True):
         if held + n > limit:
             break
         least, held = band, held + n
-    common = short & (F.col("band") >= least)
+    common = F.col("band") >= least
     rows = table.where(common).select("token", "n").toArrow()
     counts = dict(zip(rows.column("token").to_pylist(), rows.column("n").to_pylist(), strict=True))
     return counts, None if held == sum(r["count"] for r in sizes) else table.where(~common)
@@ -98,7 +104,7 @@ def count_tokens(docs: DataFrame, out: str = "n_tokens", model_path: str | None
         sums, rest = [], []
         for block in text_blocks(texts):
             for text in block.to_pylist():
-                seen = Counter(vocab.pretokens(text))
+                seen = Counter(map(key, vocab.pretokens(text)))
                 sums.append(sum(have.get(p, 0) * k for p, k in seen.items()))
                 rest.append([{"token": p, "times": k} for p, k in seen.items() if p not in have])
         return pa.StructArray.from_arrays([pa.array(sums, pa.int64()), pa.array(rest, pa.list_(pa.struct([("token", pa.string()), ("times", pa.int64())])))], names=["n", "rest"])
