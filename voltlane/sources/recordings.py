@@ -53,6 +53,22 @@ def bag_streams(messages: DataFrame) -> DataFrame:
     return messages.groupBy("path", "topic", "type").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
+def bag_topics(spark: SparkSession, path: str) -> DataFrame:
+    """path, topic, type, n, first_ts, last_ts of every topic of bags, those without messages too (n is 0)."""
+
+    def read(batches):
+        for batch in batches:
+            for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                db = sqlite3.connect(":memory:")
+                db.deserialize(content.as_py())
+                rows = db.execute("select t.name, t.type, count(m.id), min(m.timestamp) / 1e9, max(m.timestamp) / 1e9 from topics t left join messages m on m.topic_id = t.id group by t.id").fetchall()
+                db.close()
+                topic, kind, n, first, last = zip(*rows, strict=True) if rows else [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), pa.array(topic, pa.string()), pa.array(kind, pa.string()), pa.array(n, pa.int64()), pa.array(first, pa.float64()), pa.array(last, pa.float64())], names=["path", "topic", "type", "n", "first_ts", "last_ts"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(read, "path string, topic string, type string, n long, first_ts double, last_ts double")
+
+
 def cdr_string(data: Column) -> Column:
     """The string of a CDR-encoded std_msgs/String, or null: endian flag in byte 2, length at 5, text at 9, one NUL off."""
     four = F.hex(F.substring(data, 5, 4))
