@@ -32,11 +32,13 @@ LONG_BLOB = r"(?<![A-Za-z0-9+_-])(?=[A-Za-z0-9+_-]*\d)(?=[A-Za-z0-9+_-]*[A-Za-z]
 URL = r"https?://[^\s\"'<>\]\)]+"
 REDACTED = "[redacted]"
 WORD = r"[a-z0-9][a-z0-9._+-]*"
+#: The same for letters and digits of all scripts.
+ANY_WORD = r"[\p{L}\p{N}\p{M}][\p{L}\p{N}\p{M}._+-]*"
 
 
-def words(text: Column) -> Column:
+def words(text: Column, pattern: str = WORD) -> Column:
     """Lower-case words of two letters or more, without marks at their ends and without stop words; in order."""
-    found = F.transform(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0)), lambda w: F.rtrim(w, F.lit("._+-")))
+    found = F.transform(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(pattern), F.lit(0)), lambda w: F.rtrim(w, F.lit("._+-")))
     return F.filter(found, lambda w: (F.length(w) >= 2) & ~w.isin(*sorted(set(STOPWORDS))))
 
 

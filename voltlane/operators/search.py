@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voltlane.functions import text as words_of
+from voltlane.functions.porter import stemmed
 from voltlane.functions.scalar import base_name
 
 # Fixed values of the ranking.
@@ -29,15 +30,20 @@ QUERY_BLOCK = 4096
 ROWS = 512
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int = 200, weights: dict[str, float] | None = None) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, k: int = 200, weights: dict[str, float] | None = None, porter: bool = False) -> DataFrame:
     """The k best documents of each query: query_id, doc_id, score, place.
 
     docs: doc_id and the weighted text columns; queries: query_id, q. Word frequencies are
     weighted sums over the columns. Only words that some query has become postings, so the
-    shuffle holds those alone. Ties go to the smaller doc_id."""
+    shuffle holds those alone. Ties go to the smaller doc_id.
+
+    `porter`: words of all scripts meet by Porter's stem, without accents; stems are made once per distinct word of the corpus."""
     weights = weights or {"text": 1.0}
-    lists = {c: words_of.words(F.col(c)) for c in weights}
-    asked = queries.select("query_id", F.explode(F.array_distinct(words_of.words(F.col("q")))).alias("term"))
+    pattern = words_of.ANY_WORD if porter else words_of.WORD
+    lists = {c: words_of.words(F.col(c), pattern) for c in weights}
+    asked = queries.select("query_id", F.explode(F.array_distinct(words_of.words(F.col("q"), pattern))).alias("term"))
+    if porter:
+        asked = stemmed(asked).distinct()
     terms = asked.select("term").distinct()
     if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
         terms = F.broadcast(terms)
@@ -46,7 +52,8 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 200, weights: dict[str, f
     sizes = tokens.select("doc_id", length.alias("dl"))
     totals = sizes.agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"))
     said = tokens.select("doc_id", length.alias("dl"), F.explode(F.concat(*[_weighted(c, w) for c, w in weights.items()])).alias("x"))
-    postings = said.select("doc_id", "dl", F.col("x.term").alias("term"), F.col("x.w").alias("w")).join(terms, "term").groupBy("term", "doc_id").agg(F.sum("w").alias("tf"), F.first("dl").alias("dl"))
+    said = said.select("doc_id", "dl", F.col("x.term").alias("term"), F.col("x.w").alias("w"))
+    postings = (stemmed(said) if porter else said).join(terms, "term").groupBy("term", "doc_id").agg(F.sum("w").alias("tf"), F.first("dl").alias("dl"))
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
     scored = asked.join(postings, "term").join(df, "term").join(F.broadcast(totals))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))

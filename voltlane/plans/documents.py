@@ -70,6 +70,13 @@ def bm25_topk(spark, sf_dir):
     return k.select(F.col("query_id").alias("item_id"), "doc_id", "score", "place")
 
 
+@query()
+def bm25_porter_topk(spark, sf_dir):
+    """The ten best documents of each question, words compared by Porter's stems (a test has the brute force)."""
+    k = search.bm25(docs(spark, sf_dir), questions(spark, sf_dir), 10, porter=True)
+    return k.select(F.col("query_id").alias("item_id"), "doc_id", "score", "place")
+
+
 VEC = "v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e, label FROM embeddings), qv AS (SELECT * FROM v WHERE vec_id % 20 = 0), sim AS (SELECT q.vec_id AS query_id, v.vec_id, v.label, round(list_dot_product(q.e, v.e) / sqrt(list_dot_product(q.e, q.e) * list_dot_product(v.e, v.e)), 6) AS score FROM qv q, v)"
 
 
