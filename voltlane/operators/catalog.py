@@ -87,3 +87,29 @@ def gps_box(fixes: DataFrame) -> DataFrame:
 def csv_time_range(rows: DataFrame) -> DataFrame:
     """run_id, first and last time (s) and number of rows of flat CSV files; timestamps that are no whole numbers count as rows only."""
     return rows.groupBy("run_id").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n"))
+
+
+def find_files(asks: DataFrame, recordings: DataFrame, files: DataFrame, cell_s: float = 86_400.0) -> DataFrame:
+    """Files that cover each asked run, or only a stretch of it: ask_id and the columns of `recordings` and `files`.
+
+    asks: ask_id, run_id, start_ts, end_ts (null: from the run's own recording). A recording is found if it is the run's
+    own or overlaps the stretch (both ends count), so footage of other sources at that time is found too. The two ways are
+    joins of their own, by run and by cells of `cell_s` seconds, and a recording that both find counts once."""
+    own = recordings.where("run_id is not null").select("run_id", F.col("recorded_start").alias("__start"), F.col("recorded_end").alias("__end"))
+    span = own.groupBy("run_id").agg(F.min("__start").alias("__start"), F.max("__end").alias("__end"))
+    wanted = asks.join(span, "run_id", "left").select("ask_id", "run_id", F.coalesce("start_ts", "__start").alias("lo"), F.coalesce("end_ts", "__end").alias("hi"))
+    cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell_s), F.floor(F.col(b) / cell_s)))
+    timed = wanted.where("lo <= hi").withColumn("__cell", cells("lo", "hi"))
+    dealt = recordings.where("recorded_start <= recorded_end").select("recording_id", "recorded_start", "recorded_end").withColumn("__cell", cells("recorded_start", "recorded_end"))
+    near = timed.join(dealt, "__cell").where("recorded_start <= hi and recorded_end >= lo").select("ask_id", "recording_id")
+    same = wanted.select("ask_id", "run_id").join(recordings.select("run_id", "recording_id"), "run_id").select("ask_id", "recording_id")
+    return near.unionByName(same).distinct().join(recordings, "recording_id").join(files, "recording_id")
+
+
+def describe_recording(recordings: DataFrame, streams: DataFrame, locations: DataFrame, recording_id: str) -> DataFrame:
+    """The recording's row with its `streams` in order of name and the name of its `location`; no row if there is none."""
+    one = recordings.where(F.col("recording_id") == recording_id).drop("metadata_json")
+    own = streams.where(F.col("recording_id") == recording_id).drop("recording_id")
+    listed = own.agg(F.sort_array(F.collect_list(F.struct("stream", *[c for c in own.columns if c != "stream"]))).alias("streams"))
+    named = locations.select("location_id", F.col("name").alias("location"))
+    return one.join(F.broadcast(listed)).join(named, "location_id", "left")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +32,52 @@ def reboots(rows: DataFrame, back_s: float = 1.0) -> DataFrame:
     return rows.withColumn("reboot", F.coalesce(fell, F.lit(False)))
 
 
+#: Why a session ended, the first that holds counts.
+CAUSES = ("bag", "gap", "reboot", "schema")
+
+
+def sessions(rows: DataFrame, gap_s: float = 60.0, back_s: float = 1.0, holdoff_s: float = 0.0) -> DataFrame:
+    """run_id, session, first_seq, last_seq, n and end_reason of a stream's sessions.
+
+    rows: run_id, seq, t (received), bag_id (null: no bag is being recorded), device_seq, device_t, schema (null: unknown).
+    A row begins a session if the bag is another one than before (bag), or if, outside a bag, it comes more than `gap_s`
+    after the row before (gap), the device's counter and clock went back (reboot), or its schema is another known one
+    than the last known one (schema). Reboots within `holdoff_s` of the last one that split are two publishers on one
+    topic and do not split. The last session of a run is open."""
+    w = by_run()
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    s = rows.withColumns({
+        "__first": F.row_number().over(w) == 1,
+        "__bag": ~F.col("bag_id").eqNullSafe(F.lag("bag_id").over(w)),
+        "__gap": F.coalesce(F.col("bag_id").isNull() & (F.col("t") - F.lag("t").over(w) > gap_s), F.lit(False)),
+        "__reboot": F.coalesce((F.col("device_seq") < F.lag("device_seq").over(w)) & (F.lag("device_t").over(w) - F.col("device_t") > back_s), F.lit(False)),
+        "__schema": F.coalesce(F.col("schema") != F.last("schema", ignorenulls=True).over(before), F.lit(False)),
+    })
+    if holdoff_s > 0:
+        s = s.join(held_off(s.where("__reboot").select("run_id", "seq", "t"), holdoff_s), ["run_id", "seq"], "left").withColumn("__reboot", F.col("__reboot") & F.coalesce("__splits", F.lit(False))).drop("__splits")
+    cause = reduce(lambda c, name: c.when(F.col(f"__{name}"), name), CAUSES[1:], F.when(F.col(f"__{CAUSES[0]}"), CAUSES[0]))
+    s = s.withColumn("__cause", F.when(~F.col("__first"), cause))
+    s = s.withColumn("session", F.count(F.when(F.col("__first") | F.col("__cause").isNotNull(), 1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    found = s.groupBy("run_id", "session").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.count("*").alias("n"), F.min_by("__cause", "seq").alias("__cause"))
+    ended = F.coalesce(F.lead("__cause").over(Window.partitionBy("run_id").orderBy("session")), F.lit("open"))
+    return found.withColumn("end_reason", ended).drop("__cause")
+
+
+def held_off(reboots: DataFrame, holdoff_s: float) -> DataFrame:
+    """run_id, seq, __splits of reboots: whether each is later than `holdoff_s` after the last that split. Only reboots are walked, run by run."""
+
+    def walk(rows):
+        rows = rows.sort_values("seq")
+        last, out = None, []
+        for t in rows["t"]:
+            out.append(last is None or t - last > holdoff_s)
+            last = t if out[-1] else last
+        return rows[["run_id", "seq"]].assign(__splits=out)
+
+    kind = reboots.schema["run_id"].dataType.simpleString()
+    return reboots.groupBy("run_id").applyInPandas(walk, f"run_id {kind}, seq long, __splits boolean")
+
+
 def last_known(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Each row with the last non-null value up to it of every named column, as <name>_last."""
     w = by_run().rowsBetween(Window.unboundedPreceding, 0)

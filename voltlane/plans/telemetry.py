@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from voltlane.functions import geo, power
 from voltlane.functions.scalar import epoch_s
-from voltlane.operators import catalog, intervals, library, metrics, sequence, track
+from voltlane.operators import catalog, intervals, jsontree, library, metrics, sequence, track
 from voltlane.operators.metrics import Guards, by_run
 from voltlane.registry import query, table
 
@@ -401,3 +401,66 @@ def gps_box(spark, sf_dir):
 def message_rate(spark, sf_dir):
     """Messages a second, from day to day."""
     return library.message_rate(snapshots(spark, sf_dir), "t", 86_400.0).select("run_id", F.round("at", 3).alias("mark"), F.round("per_s", 9).alias("per_s"))
+
+
+@query(f"""WITH {EV}, m AS (SELECT run_id, seq, t, CASE WHEN seq % 40 < 10 THEN seq // 40 END AS bag_id, seq % 17 AS dseq, t - CASE WHEN seq % 5 = 0 THEN 1e6 ELSE 0 END AS dt, CASE WHEN seq % 3 <> 0 THEN event_type END AS schema FROM ev),
+ b AS (SELECT *, row_number() OVER w = 1 AS first, bag_id IS DISTINCT FROM lag(bag_id) OVER w AS bag, coalesce(bag_id IS NULL AND t - lag(t) OVER w > 43200, false) AS gap, coalesce(dseq < lag(dseq) OVER w AND lag(dt) OVER w - dt > 1, false) AS reboot,
+  coalesce(schema <> last_value(schema IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS other FROM m WINDOW w AS (PARTITION BY run_id ORDER BY seq)),
+ c AS (SELECT *, CASE WHEN first THEN NULL WHEN bag THEN 'bag' WHEN gap THEN 'gap' WHEN reboot THEN 'reboot' WHEN other THEN 'schema' END AS cause FROM b),
+ n AS (SELECT *, count(CASE WHEN first OR cause IS NOT NULL THEN 1 END) OVER (PARTITION BY run_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session FROM c),
+ s AS (SELECT run_id, session, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS n, arg_min(cause, seq) FILTER (WHERE cause IS NOT NULL) AS cause FROM n GROUP BY 1, 2)
+SELECT run_id, session, first_seq, last_seq, n, coalesce(lead(cause) OVER (PARTITION BY run_id ORDER BY session), 'open') AS end_reason FROM s""")
+def sessions_by_cause(spark, sf_dir):
+    """Sessions of every stream with the reason that ended each; bags, counters and schemas follow from event_id and event_type."""
+    s = snapshots(spark, sf_dir)
+    k = F.col("seq")
+    rows = s.select("run_id", "seq", "t", F.when(k % 40 < 10, F.expr("seq div 40")).alias("bag_id"), (k % 17).alias("device_seq"), (F.col("t") - F.when(k % 5 == 0, 1e6).otherwise(0.0)).alias("device_t"), F.when(k % 3 != 0, F.col("event_type")).alias("schema"))
+    return sequence.sessions(rows, gap_s=SESSION_GAP_S)
+
+
+@query(f"""WITH {EV}, rec AS (SELECT run_id * 100000 + floor(t / 86400)::BIGINT % 100000 AS recording_id, CASE WHEN run_id % 3 <> 0 THEN run_id * 100000 + floor(t / 86400)::BIGINT % 100000 END AS run_id, min(t) AS recorded_start, max(t) AS recorded_end FROM ev GROUP BY run_id, floor(t / 86400)::BIGINT),
+ f AS (SELECT run_id * 100000 + floor(t / 86400)::BIGINT % 100000 AS recording_id, seq AS rel_path FROM ev),
+ a AS (SELECT recording_id AS ask_id, run_id, CASE WHEN recording_id % 40 = 0 THEN recorded_start + 600 END AS start_ts, CASE WHEN recording_id % 40 = 0 THEN recorded_end + 7200 END AS end_ts FROM rec WHERE recording_id % 20 = 0),
+ w AS (SELECT a.ask_id, a.run_id, coalesce(a.start_ts, o.recorded_start) AS lo, coalesce(a.end_ts, o.recorded_end) AS hi FROM a LEFT JOIN rec o ON o.run_id = a.run_id),
+ hit AS (SELECT DISTINCT ask_id, recording_id FROM w JOIN rec ON (lo <= hi AND recorded_start <= hi AND recorded_end >= lo) OR rec.run_id = w.run_id)
+SELECT ask_id, recording_id, rel_path FROM hit JOIN f USING (recording_id)""")
+def files_of_moments(spark, sf_dir):
+    """Files that cover a run or a stretch of it, for every recording whose id is divisible by 20, against all recordings (one for each run and day)."""
+    s = snapshots(spark, sf_dir)
+    day = F.floor(F.col("t") / 86_400).cast("long")
+    number = F.col("run_id") * 100_000 + day % 100_000
+    rec = s.groupBy("run_id", day.alias("day")).agg(F.min("t").alias("recorded_start"), F.max("t").alias("recorded_end")).withColumn("recording_id", F.col("run_id") * 100_000 + F.col("day") % 100_000)
+    rec = rec.select("recording_id", F.when(F.col("run_id") % 3 != 0, F.col("recording_id")).alias("run_id"), "recorded_start", "recorded_end")
+    part = F.col("recording_id") % 40 == 0
+    asks = rec.where("recording_id % 20 = 0").select(F.col("recording_id").alias("ask_id"), "run_id", F.when(part, F.col("recorded_start") + 600).alias("start_ts"), F.when(part, F.col("recorded_end") + 7200).alias("end_ts"))
+    return catalog.find_files(asks, rec, s.select(number.alias("recording_id"), F.col("seq").alias("rel_path"))).select("ask_id", "recording_id", "rel_path")
+
+
+DOC = """d AS (SELECT event_id, user_id, '{"type": "' || event_type || '", "p": ' || props || ', "list": [' || (event_id % 3) || ', null, {"deep": [true, "a b", ' || (event_id % 7) || '.5]}], "odd key": {}}' AS doc FROM events)"""
+
+
+def nested_events(spark, sf_dir):
+    """event_id, user_id and a nested JSON text of each event."""
+    k = F.col("event_id")
+    text = F.concat(F.lit('{"type": "'), "event_type", F.lit('", "p": '), "props", F.lit(', "list": ['), (k % 3).cast("string"), F.lit(', null, {"deep": [true, "a b", '), (k % 7).cast("string"), F.lit('.5]}], "odd key": {}}'))
+    return table(spark, sf_dir, "events").select("event_id", "user_id", text.alias("doc"))
+
+
+@query(f"""WITH {DOC} SELECT event_id, t.key, CASE t.type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'text' WHEN 'NULL' THEN 'null' WHEN 'DOUBLE' THEN 'real' WHEN 'BOOLEAN' THEN t.value::VARCHAR ELSE 'integer' END AS type,
+ CASE WHEN t.type NOT IN ('OBJECT', 'ARRAY', 'NULL') THEN t.value ->> '$' END AS atom, t.fullkey, t.path FROM d, json_tree(d.doc) t""")
+def json_nodes(spark, sf_dir):
+    """Every node of every event's JSON text."""
+    return jsontree.json_tree(nested_events(spark, sf_dir).select("event_id", "doc"), "doc")
+
+
+@query(f"""WITH {DOC} SELECT event_id, json_merge_patch(doc, '{{"p": null, "list": {{"k": [1]}}, "odd key": {{"n": ' || event_id || ', "gone": null}}}}')::VARCHAR AS doc FROM d""")
+def json_patched(spark, sf_dir):
+    d = nested_events(spark, sf_dir)
+    patch = F.concat(F.lit('{"p": null, "list": {"k": [1]}, "odd key": {"n": '), F.col("event_id").cast("string"), F.lit(', "gone": null}}'))
+    return d.select("event_id", jsontree.json_patch("doc", patch).alias("doc"))
+
+
+@query("SELECT user_id, to_json(list(event_type ORDER BY event_id))::VARCHAR AS types, '{' || string_agg(to_json(event_type || event_id) || ':' || (event_id % 9), ',' ORDER BY event_id) || '}' AS marks FROM events GROUP BY 1")
+def json_groups(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.concat("event_type", F.col("event_id").cast("string")).alias("name"), (F.col("event_id") % 9).alias("mark"))
+    return e.groupBy("user_id").agg(jsontree.group_array("event_type", "event_id").alias("types"), jsontree.group_object("name", "mark", "event_id").alias("marks"))
