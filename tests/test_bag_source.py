@@ -78,3 +78,9 @@ def test_other_files_are_named(spark, bags):
 def test_topics_without_messages(spark, bags):
     found = recordings.bag_topics(spark, str(bags / "[ac].db3")).collect()
     assert sorted((r.path.rsplit("/", 1)[1], r.topic, r.n) for r in found) == [("a.db3", "/silent", 0), ("a.db3", "/spi_data", 2500), ("a.db3", "gps", 2500), ("c.db3", "/silent", 0), ("c.db3", "/spi_data", 0), ("c.db3", "gps", 0)]
+
+
+def test_metadata_keys_are_joined_by_dots(spark, tmp_path):
+    (tmp_path / "metadata.yaml").write_text("info:\n  version: 5\n  duration:\n    nanoseconds: '77'\n  topics:\n    - name: /gps\n      type: x/Fix\n    - name: /spi\nother: \"z\"\n")
+    got = {(r.key, r.value) for r in recordings.metadata(spark, str(tmp_path / "metadata.yaml")).collect()}
+    assert got == {("info.version", "5"), ("info.duration.nanoseconds", "77"), ("info.topics.name", "/gps"), ("info.topics.type", "x/Fix"), ("info.topics.name", "/spi"), ("other", "z")}

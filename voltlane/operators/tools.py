@@ -40,9 +40,20 @@ def compare_instances(instances: DataFrame, run_id, ordinal: int, limit: int = 1
     return last.join(F.broadcast(best)).withColumns({"is_fastest": F.col("start_seq") == F.col("fastest"), "is_thriftiest": F.col("start_seq") == F.col("thriftiest")}).drop("fastest", "thriftiest")
 
 
+def one_view(main: DataFrame, live: DataFrame | None) -> DataFrame:
+    """Rows of the main and the live store as one table with `tier` (upload or live); a run that is in the live store is
+    answered from there alone. Columns that one of them lacks are null."""
+    if live is None:
+        return main.withColumn("tier", F.lit("upload"))
+    here = live.select(F.col("run_id").alias("__live")).distinct()
+    rest = main.join(here, F.col("run_id") == F.col("__live"), "left_anti").withColumn("tier", F.lit("upload"))
+    return live.withColumn("tier", F.lit("live")).unionByName(rest, allowMissingColumns=True)
+
+
 def compare_laps(laps: DataFrame, run_id, a: int, b: int, measures: tuple[str, ...] = ("energy_wh", "avg_speed", "duration_s", "distance_m", "efficiency_mi_per_kwh")) -> DataFrame:
-    """Two laps of a run side by side and b - a; null where either is missing."""
-    filled = laps.where(F.col("run_id") == run_id).withColumn("duration_s", F.coalesce("duration_s", F.col("end_ts") - F.col("start_ts")))
+    """Two laps of a run (None: of each run) side by side and b - a; null where either is missing."""
+    mine = laps if run_id is None else laps.where(F.col("run_id") == run_id)
+    filled = mine.withColumn("duration_s", F.coalesce("duration_s", F.col("end_ts") - F.col("start_ts")))
     one, two = (filled.where(F.col("lap_number") == n).select("run_id", *[F.col(m).alias(f"{m}_{s}") for m in (*measures, "turn_count")]) for n, s in ((a, "a"), (b, "b")))
     return one.join(two, "run_id").select("*", *[(F.col(f"{m}_b") - F.col(f"{m}_a")).alias(f"{m}_delta") for m in measures])
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from voltlane.functions import geo, power
 from voltlane.functions.scalar import epoch_s
-from voltlane.operators import catalog, intervals, jsontree, library, metrics, sequence, track
+from voltlane.operators import catalog, intervals, jsontree, library, metrics, sequence, tools, track
 from voltlane.operators.metrics import Guards, by_run
 from voltlane.registry import query, table
 
@@ -436,6 +436,33 @@ def files_of_moments(spark, sf_dir):
     return catalog.find_files(asks, rec, s.select(number.alias("recording_id"), F.col("seq").alias("rel_path"))).select("ask_id", "recording_id", "rel_path")
 
 
+@query(f"""WITH {EV}, {LAPS}, d AS (SELECT run_id, lap_number, end_ts - start_ts AS duration_s, end_seq - start_seq AS turn_count FROM lp)
+SELECT a.run_id, round(a.duration_s, 3) AS duration_a, round(b.duration_s, 3) AS duration_b, round(b.duration_s - a.duration_s, 3) AS duration_delta, a.turn_count AS rows_a, b.turn_count AS rows_b FROM d a JOIN d b ON a.run_id = b.run_id AND a.lap_number = 1 AND b.lap_number = 2""")
+def compare_first_laps(spark, sf_dir):
+    """The first two laps of every run side by side."""
+    d = laps(spark, sf_dir).withColumns({"duration_s": F.lit(None).cast("double"), "turn_count": F.col("end_seq") - F.col("start_seq")})
+    both = tools.compare_laps(d, None, 1, 2, ("duration_s",))
+    return both.select("run_id", F.round("duration_s_a", 3).alias("duration_a"), F.round("duration_s_b", 3).alias("duration_b"), F.round("duration_s_delta", 3).alias("duration_delta"), F.col("turn_count_a").alias("rows_a"), F.col("turn_count_b").alias("rows_b"))
+
+
+TIERS = """r AS (SELECT run_id, min(t) AS start_ts, 'p' || (run_id % 4) AS location, CASE WHEN run_id % 2 = 0 THEN 'testing' ELSE 'competition' END AS category, CASE WHEN run_id % 11 = 0 THEN 'recording' ELSE 'done' END AS status, CASE WHEN run_id % 6 = 0 THEN run_id + 1 END AS linked_run_id FROM ev GROUP BY 1),
+ u AS (SELECT *, CASE WHEN run_id % 3 = 0 THEN 'live' ELSE 'upload' END AS tier FROM r)"""
+
+
+@query(f"""WITH {EV}, {TIERS} SELECT run_id, tier, status, round(start_ts, 3) AS start_ts FROM u
+WHERE (tier <> 'live' OR linked_run_id IS NULL) AND category = 'testing' AND location = 'p2' ORDER BY status <> 'recording', start_ts DESC, run_id LIMIT 100""")
+def list_runs_of_both_tiers(spark, sf_dir):
+    """The newest hundred test runs of one place, of the live and the main store as one, without live twins of uploads."""
+    k = F.col("run_id")
+    r = snapshots(spark, sf_dir).groupBy("run_id").agg(F.min("t").alias("start_ts")).withColumns({
+        "location": F.concat(F.lit("P "), (k % 4).cast("string")), "category": F.when(k % 2 == 0, "testing").otherwise("competition"),
+        "status": F.when(k % 11 == 0, "recording").otherwise("done"), "linked_run_id": F.when(k % 6 == 0, k + 1),
+    })
+    # the main store has all runs, the live store every third again
+    runs = tools.one_view(r, r.where(k % 3 == 0))
+    return tools.list_runs(runs, location="p2", category="testing", limit=100).select("run_id", "tier", "status", F.round("start_ts", 3).alias("start_ts"))
+
+
 DOC = """d AS (SELECT event_id, user_id, '{"type": "' || event_type || '", "p": ' || props || ', "list": [' || (event_id % 3) || ', null, {"deep": [true, "a b", ' || (event_id % 7) || '.5]}], "odd key": {}}' AS doc FROM events)"""
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 import sqlite3
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SQLITE_MAGIC = b"SQLite format 3\x00"
@@ -153,7 +153,15 @@ def track(spark: SparkSession, path: str) -> DataFrame:
 
 
 def metadata(spark: SparkSession, path: str) -> DataFrame:
-    """path, key and value of `key: value` lines of metadata.yaml files (nested keys are joined by dots)."""
+    """path, at (line), key and value of `key: value` lines of metadata.yaml files; nested keys are joined by dots.
+
+    A line belongs to the nearest line above it that is indented less; `- ` before a key counts as indentation."""
+    part = lambda k: F.regexp_extract("line", r"^((?:\s|- )*)([\w.-]+):(?:\s+(.*))?$", k)
     lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", "\n")).alias("at", "line"))
-    m = lines.select("path", "at", F.regexp_extract("line", r"^(\s*)([\w.-]+):\s*(.*)$", 1).alias("pad"), F.regexp_extract("line", r"^(\s*)([\w.-]+):\s*(.*)$", 2).alias("key"), F.regexp_extract("line", r"^(\s*)([\w.-]+):\s*(.*)$", 3).alias("value"))
-    return m.where("key <> '' and value <> ''").select("path", "at", "key", F.regexp_replace("value", "^['\"]|['\"]$", "").alias("value"))
+    m = lines.select("path", "at", F.length(part(1)).alias("pad"), part(2).alias("key"), F.trim(part(3)).alias("value")).where("key <> ''")
+    # the keys above each line, nearest last: those of less indentation than all that follow
+    above = F.collect_list(F.struct("pad", "key")).over(Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    stack = F.struct(F.col("pad").alias("least"), F.array().cast("array<string>").alias("keys"))
+    climb = lambda acc, x: F.when(x["pad"] < acc["least"], F.struct(x["pad"].alias("least"), F.concat(F.array(x["key"]), acc["keys"]).alias("keys"))).otherwise(acc)
+    parents = F.aggregate(F.reverse(above), stack, climb, lambda acc: acc["keys"])
+    return m.withColumn("key", F.concat_ws(".", parents, F.col("key"))).where("value <> ''").select("path", "at", "key", F.regexp_replace("value", "^['\"]|['\"]$", "").alias("value"))
