@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pyarrow as pa
+
 import corpus_pipeline
 from voltlane.llm import near_copies, simhash
 
@@ -67,3 +70,20 @@ def test_simhash_dedup_keeps_unlinked_texts_of_a_repeated_id(spark):
     rows = [(1, one), (2, one), (2, two), (2, two), (3, three), (3, one), (4, two), (4, three), (None, one)]
     kept = sorted((r["doc_id"] or 0, r["text"]) for r in simhash.dedup(frame(spark, rows)).collect())
     assert kept == sorted([(0, one), (1, one), (2, two), (3, three)])
+
+
+def test_wide_sketches_rule_out_no_similar_pair(spark):
+    rng = np.random.default_rng(8)
+    texts = []
+    for n in (0, 1, 4, 30, 300, 3000, 12_000):
+        words = [f"w{k}" for k in rng.integers(0, 500, n)]
+        for change in (0.0, 0.01, 0.02, 0.2):
+            texts.append(" ".join(f"x{k}" if rng.random() < change else w for k, w in enumerate(words)))
+    nodes = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    sketch = {r.id: bytes(r.sketch) for r in near_copies.wide_sketches(nodes).collect()}
+    i, j = (x.tolist() for x in np.triu_indices(len(texts), 1))
+    pick = lambda values, at: pa.array([values[k] for k in at])
+    likely = near_copies.may_be_similar(pick(sketch, i), pick(sketch, j))
+    alike = near_copies.similar(pick(texts, i), pick(texts, j))
+    assert not (alike & ~likely).any() and alike.sum() > 10
+    assert (likely & ~alike).sum() < 20  # and few others pass

@@ -283,18 +283,64 @@ def similar(left: pa.Array, right: pa.Array) -> np.ndarray:
     return out
 
 
-def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (src, dst) whose texts are similar, as a table in the shared folder."""
-    pairs = small(pairs, "candidates")
-    side = lambda end, name: nodes.join(pairs, F.col("id") == F.col(end)).select("src", "dst", F.col("text").alias(name))
+def wide_sketches(nodes: DataFrame) -> DataFrame:
+    """id and sketch: the number of the text's shingles, and as `sketches` but with two bits for each shingle, or BITS.
+
+    A number of bits is a power of two, so a long sketch folds to the length of a shorter one."""
+
+    def deal(batches):
+        for batch in batches:
+            at = 0
+            for block in text_blocks(batch.column("text"), BLOCK):
+                d, s = sets(block)
+                first = np.searchsorted(d, np.arange(len(block) + 1))
+                drawn = []
+                for a, b in zip(first, first[1:], strict=False):
+                    bits = max(BITS.bit_length() - 1, int(2 * (b - a) - 1).bit_length())
+                    odd = np.bincount((s[a:b] >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) & 1
+                    drawn.append(int(b - a).to_bytes(8, "little") + np.packbits(odd.astype(np.uint8)).tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(at, len(block)), pa.array(drawn, pa.binary())], names=["id", "sketch"])
+                at += len(block)
+
+    return nodes.select("id", "text").mapInArrow(lean(deal), "id long, sketch binary")
+
+
+def may_be_similar(left: pa.Array, right: pa.Array) -> np.ndarray:
+    """False where the sets' sizes, or the bits in which their wide sketches differ, leave no similarity of SHARE."""
+    up, down = SHARE
+    out = np.zeros(len(left), bool)
+    for k, (x, y) in enumerate(zip(left, right, strict=True)):
+        x, y = sorted((x.as_py(), y.as_py()), key=len)
+        less, more = sorted(int.from_bytes(z[:8], "little") for z in (x, y))
+        if down * less < up * more:
+            continue  # one set is too small for the other
+        a, b = np.unpackbits(np.frombuffer(x, np.uint8, offset=8)), np.unpackbits(np.frombuffer(y, np.uint8, offset=8))
+        b = np.bitwise_xor.reduce(b.reshape(len(a), -1), axis=1)
+        out[k] = (up + down) * int((a != b).sum()) <= (down - up) * (less + more)
+    return out
+
+
+def kept_pairs(pairs: DataFrame, nodes: DataFrame, column: str, good) -> DataFrame:
+    """The pairs (src, dst) whose two values of `column` are `good`; both sides meet by pair, so a node in many pairs is no hot key."""
+    side = lambda end, name: nodes.join(pairs, F.col("id") == F.col(end)).select("src", "dst", F.col(column).alias(name))
     both = side("src", "a").join(side("dst", "b"), ["src", "dst"])
 
     def judge(batches):
         for batch in batches:
-            good = pa.array(similar(batch.column("a"), batch.column("b")))
-            yield batch.select(["src", "dst"]).filter(good)
+            yield batch.select(["src", "dst"]).filter(pa.array(good(batch.column("a"), batch.column("b"))))
+
+    return both.select("src", "dst", "a", "b").mapInArrow(lean(judge), "src long, dst long")
+
 
-    return written(both.select("src", "dst", "a", "b").mapInArrow(lean(judge), "src long, dst long"), "links")
+def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (src, dst) whose texts are similar, as a table in the shared folder.
+
+    Most pairs are ruled out by wide sketches, a twentieth of the texts' size; whole texts are moved for the rest only."""
+    pairs = small(pairs, "candidates")
+    ends = small(pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), "ends")
+    drawn = written(wide_sketches(nodes.join(ends, "id", "left_semi")), "wide-sketches")
+    likely = small(kept_pairs(pairs, drawn, "sketch", may_be_similar), "likely")
+    return written(kept_pairs(likely, nodes, "text", similar), "links")
 
 
 def groups_of(nodes: DataFrame) -> DataFrame:
