@@ -87,10 +87,27 @@ def overlap_fraction():
     return shared / F.least(F.col("a_end") - F.col("a_start"), F.col("b_end") - F.col("b_start"))
 
 
+def _back(a: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of `a` with what was found for their span (__s, __e)."""
+    return a.join(found, (F.col("a_start") == F.col("__s")) & (F.col("a_end") == F.col("__e"))).drop("__s", "__e")
+
+
 def best_overlap(a: DataFrame, b: DataFrame, cell: float, over: float = 0.5) -> DataFrame:
-    """For each a the b with the largest overlap fraction above `over`; ties go to the smallest b_id."""
-    pairs = overlap_pairs(a, b, cell).withColumn("fraction", overlap_fraction()).where(F.col("fraction") > over)
-    return pairs.groupBy("a_id").agg(F.max_by(F.struct("b_id", "fraction"), F.struct("fraction", -F.col("b_id"))).alias("m")).select("a_id", "m.b_id", "m.fraction")
+    """For each a the b with the largest overlap fraction above `over`; ties go to the smallest b_id.
+
+    Equal spans are one in the join, with their smallest b_id: pairs follow the different spans, not the rows."""
+    spans, firsts = a.select("a_start", "a_end").distinct(), b.groupBy("b_start", "b_end").agg(F.min("b_id").alias("b_id"))
+    pairs = overlap_pairs(spans, firsts, cell).withColumn("fraction", overlap_fraction()).where(F.col("fraction") > over)
+    best = lambda: F.max_by(F.struct("b_id", "fraction"), F.struct("fraction", -F.col("b_id")))
+    found = pairs.groupBy(F.col("a_start").alias("__s"), F.col("a_end").alias("__e")).agg(best().alias("m")).select("__s", "__e", "m.b_id", "m.fraction")
+    return _back(a, found).groupBy("a_id").agg(best().alias("m")).select("a_id", "m.b_id", "m.fraction")
+
+
+def overlap_counts(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
+    """a_id and n, with how many b it overlaps by more than a point; those with none are left out. Equal spans are one in the join."""
+    spans, many = a.select("a_start", "a_end").distinct(), b.groupBy("b_start", "b_end").agg(F.count("*").alias("__many"))
+    found = overlap_pairs(spans, many, cell).groupBy(F.col("a_start").alias("__s"), F.col("a_end").alias("__e")).agg(F.sum("__many").alias("__n"))
+    return _back(a, found).groupBy("a_id").agg(F.sum("__n").alias("n"))
 
 
 def nearest_within(points: DataFrame, places: DataFrame) -> DataFrame:

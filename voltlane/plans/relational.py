@@ -47,7 +47,7 @@ def interval_overlap_best_match(spark, sf_dir):
 def overlapping_recordings(spark, sf_dir):
     """Closed overlap: intervals that only touch count too (their ends are widened by a microsecond before the join)."""
     a, b = _spans(spark, sf_dir, "F", "a"), _spans(spark, sf_dir, "P", "b").withColumns({"b_start": F.col("b_start") - 5e-7, "b_end": F.col("b_end") + 5e-7})
-    return intervals.overlap_pairs(a, b, 86_400.0).groupBy("a_id").agg(F.count("*").alias("n"))
+    return intervals.overlap_counts(a, b, 86_400.0)
 
 
 @query("""SELECT o_orderkey, o_orderstatus, round(o_totalprice, 2) AS o_totalprice FROM orders WHERE contains(lower(o_orderpriority), 'urgent') AND o_orderdate >= TIMESTAMP '1995-01-01' AND o_orderdate < TIMESTAMP '1997-01-01' AND o_orderstatus = 'F' ORDER BY o_totalprice DESC, o_orderkey LIMIT 500""")
