@@ -20,3 +20,17 @@ def test_equal_spans_meet_once(spark, monkeypatch):
     assert {tuple(r) for r in intervals.best_overlap(a, b, 7.0).collect()} == {(k, 401, 0.8) for k in range(600)}
     assert {tuple(r) for r in intervals.overlap_counts(a, b, 7.0).collect()} == {(k, 600) for k in range(600)}
     assert met == [1, 1]
+
+
+def test_a_running_total_of_one_group_is_dealt_over_ranges(spark):
+    rng = random.Random(3)
+    rows = [(k, rng.choice(["a", "a", "a", None]), rng.randrange(40), None if k % 9 == 0 else rng.randrange(100)) for k in range(3000)]
+    done = catalog.running_total(spark.createDataFrame(rows, "k long, g string, t long, x long"), "x", [F.desc("t"), F.asc("k")], ["g"], "run", range_rows=400)
+    got = {r.k: r.run for r in done.collect()}
+    tasks = done.select(F.spark_partition_id().alias("p"), "g").where("g = 'a'").groupBy("p").count().collect()
+    want, sums = {}, {}
+    for k, g, _, x in sorted(rows, key=lambda r: (-r[2], r[0])):
+        if x is not None:
+            sums[g] = sums.get(g, 0) + x
+        want[k] = sums.get(g)
+    assert got == want and len(tasks) > 1

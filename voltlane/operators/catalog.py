@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Asked stretches, by cell, that are broadcast at most; more meet the recordings by a shuffle.
+BROADCAST_ASKS = 1_000_000
+#: Rows of one range of a running total, about.
+RANGE_ROWS = 250_000
+
+
 def listing(rows: DataFrame, *, name: str | None = None, name_columns: tuple[str, ...] = (), since=None, until=None, time: Column | None = None, equal: dict | None = None, order: list | None = None, limit: int | None = 50, offset: int = 0) -> DataFrame:
     """A filtered page. Falsy filters are left out; the time window is half open; limit is held to 1..500.
 
@@ -47,15 +56,31 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str], keep_old_if_null: tup
     return both.select(*key, *[value(c).alias(c) for c in old.columns if c not in key])
 
 
-def running_total(size: str, order: list, group: list[str]) -> Column:
-    return F.sum(size).over(Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+def running_total(rows: DataFrame, size: str, order: list[Column], group: list[str], name: str, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """`rows` with the sum of `size` over the rows of the group up to each, in `order`, which must leave no ties.
+
+    Rows are sorted into ranges of about `range_rows`; each range adds up its own rows to the total of the ranges before, so a group may be of any size."""
+    # kept, so that both reads below see the same ranges
+    n = 1 + rows.count() // range_rows
+    dealt = rows.repartitionByRange(n, *group, *order).withColumn("__range", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+    own = dealt.groupBy(*[F.col(g).alias(f"__g{k}") for k, g in enumerate(group)], F.col("__range").alias("__of")).agg(F.sum(size).alias("__own"))
+    keys = [f"__g{k}" for k in range(len(group))]
+    before = own.withColumn("__before", F.sum("__own").over(Window.partitionBy(*keys).orderBy("__of").rowsBetween(Window.unboundedPreceding, -1))).drop("__own")
+    met = dealt.join(before, reduce(lambda a, b: a & b, (F.col(g).eqNullSafe(F.col(k)) for g, k in zip(group, keys, strict=True)), F.col("__range") == F.col("__of")))
+    met = met.repartition(n, "__range")
+    inside = F.sum(size).over(Window.partitionBy("__range", *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    # null while no row of the group had a size, as a window over the whole group has it
+    total = F.when(inside.isNull(), F.col("__before")).otherwise(inside + F.coalesce("__before", F.lit(0)))
+    return met.withColumn(name, total).drop("__range", "__of", "__before", *keys)
 
 
 def evictions(entries: DataFrame, now_s: float, max_age_s: float, cap: float, group: list[str]) -> DataFrame:
     """Cache entries to drop: idle ones, and of the others the least recently used beyond the cap of their group."""
     idle = F.col("last_access") < now_s - max_age_s
-    held = F.sum(F.when(idle, 0).otherwise(F.col("size"))).over(Window.partitionBy(*group).orderBy(F.desc("last_access"), "entry_id").rowsBetween(Window.unboundedPreceding, 0))
-    return entries.withColumn("reason", F.when(idle, "idle").when(held > cap, "over cap")).where("reason is not null")
+    counted = entries.withColumn("__size", F.when(idle, 0).otherwise(F.col("size")))
+    held = running_total(counted, "__size", [F.desc("last_access"), F.asc("entry_id")], group, "__held")
+    return held.withColumn("reason", F.when(idle, "idle").when(F.col("__held") > cap, "over cap")).where("reason is not null").drop("__size", "__held")
+
 
 
 def stream_ranges(streams: DataFrame) -> DataFrame:
@@ -94,16 +119,33 @@ def find_files(asks: DataFrame, recordings: DataFrame, files: DataFrame, cell_s:
 
     asks: ask_id, run_id, start_ts, end_ts (null: from the run's own recording). A recording is found if it is the run's
     own or overlaps the stretch (both ends count), so footage of other sources at that time is found too. The two ways are
-    joins of their own, by run and by cells of `cell_s` seconds, and a recording that both find counts once."""
+    joins of their own, by run and by cells of `cell_s` seconds, and a recording that both find counts once.
+    recording_id is the key of `recordings`; an ask may have several stretches. The result holds each ask's own files of all
+    sources, so it grows with asks times recordings of their time; nothing of that size is shuffled."""
     own = recordings.where("run_id is not null").select("run_id", F.col("recorded_start").alias("__start"), F.col("recorded_end").alias("__end"))
     span = own.groupBy("run_id").agg(F.min("__start").alias("__start"), F.max("__end").alias("__end"))
-    wanted = asks.join(span, "run_id", "left").select("ask_id", "run_id", F.coalesce("start_ts", "__start").alias("lo"), F.coalesce("end_ts", "__end").alias("hi"))
-    cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / cell_s), F.floor(F.col(b) / cell_s)))
-    timed = wanted.where("lo <= hi").withColumn("__cell", cells("lo", "hi"))
-    dealt = recordings.where("recorded_start <= recorded_end").select("recording_id", "recorded_start", "recorded_end").withColumn("__cell", cells("recorded_start", "recorded_end"))
-    near = timed.join(dealt, "__cell").where("recorded_start <= hi and recorded_end >= lo").select("ask_id", "recording_id")
-    same = wanted.select("ask_id", "run_id").join(recordings.select("run_id", "recording_id"), "run_id").select("ask_id", "recording_id")
-    return near.unionByName(same).distinct().join(recordings, "recording_id").join(files, "recording_id")
+    wanted = asks.join(span, "run_id", "left").select("ask_id", F.col("run_id").alias("__run"), F.coalesce("start_ts", "__start").alias("lo"), F.coalesce("end_ts", "__end").alias("hi")).distinct()
+    # stretches of one ask: a recording comes with the first of them that it overlaps
+    mine = Window.partitionBy("ask_id").orderBy("lo", "hi", "__run")
+    stretch = F.collect_list(F.when(F.col("lo") <= F.col("hi"), F.struct("lo", "hi")))
+    wanted = wanted.withColumns({"__earlier": stretch.over(mine.rowsBetween(Window.unboundedPreceding, -1)), "__all": stretch.over(Window.partitionBy("ask_id"))})
+    meets = lambda lo, hi: (F.col("recorded_start") <= hi) & (F.col("recorded_end") >= lo)
+    none_of = lambda c: (F.size(c) == 0) | ~F.exists(c, lambda x: F.coalesce(meets(x["lo"], x["hi"]), F.lit(False)))
+    cell = lambda c: F.floor(F.col(c) / cell_s)
+    cells = lambda a, b: F.explode(F.sequence(cell(a), cell(b)))
+    # files go into the join with their recordings: pairs of an ask and a file are the result and are not dealt again
+    held = recordings.join(files, "recording_id")
+    timed = wanted.where("lo <= hi").select("ask_id", "lo", "hi", "__earlier", cells("lo", "hi").alias("__cell"))
+    if timed.limit(BROADCAST_ASKS + 1).count() <= BROADCAST_ASKS:
+        timed = F.broadcast(timed)
+    dealt = held.where("recorded_start <= recorded_end").withColumn("__cell", cells("recorded_start", "recorded_end"))
+    first = F.col("__cell") == F.floor(F.greatest("lo", "recorded_start") / cell_s)
+    near = dealt.join(timed, "__cell").where(meets(F.col("lo"), F.col("hi")) & first & none_of("__earlier"))
+    timeless = F.coalesce(F.col("recorded_start") > F.col("recorded_end"), F.lit(True))
+    same = recordings.where("run_id is not null").join(wanted.select("ask_id", "__run", "__all"), F.col("run_id") == F.col("__run")).where(timeless | none_of("__all"))
+    same = same.select("ask_id", "recording_id").distinct().join(held, "recording_id")
+    columns = ["recording_id", "ask_id", *[c for c in held.columns if c != "recording_id"]]
+    return near.select(*columns).unionByName(same.select(*columns))
 
 
 def describe_recording(recordings: DataFrame, streams: DataFrame, locations: DataFrame, recording_id: str) -> DataFrame:

@@ -204,7 +204,7 @@ def eviction_plan(spark, sf_dir):
 @query("""WITH r AS (SELECT source, doc_id, n_chars, sum(n_chars) OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id ROWS UNBOUNDED PRECEDING) AS run FROM documents) SELECT source, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM r WHERE run <= 60000 GROUP BY 1""")
 def running_budget(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
-    d = d.withColumn("run", catalog.running_total("n_chars", [F.desc("n_chars"), "doc_id"], ["source"])).where("run <= 60000")
+    d = catalog.running_total(d, "n_chars", [F.desc("n_chars"), F.asc("doc_id")], ["source"], "run").where("run <= 60000")
     return d.groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
 
 
