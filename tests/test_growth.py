@@ -7,6 +7,26 @@ from pyspark.sql import functions as F
 from voltlane.operators import catalog, intervals
 
 
+def test_files_of_an_ask_with_several_stretches_are_not_dealt_again(spark):
+    rng = random.Random(5)
+    rec = [(k, k if k % 3 else None, float(s := rng.randrange(0, 5000)), float(s + rng.randrange(0, 400) - 20)) for k in range(60)]
+    asks = [(a, rng.choice([None, 1, 2, 500]), *(float(x) if x is not None else None for x in rng.choice([(None, None), (100, 900), (4000, 300), (850, 2600)]))) for a in [1, 1, 1, 2, 2, 3, 4]]
+    files = [(k % 55, f"f{k}") for k in range(110)]
+    found = catalog.find_files(spark.createDataFrame(asks, "ask_id long, run_id long, start_ts double, end_ts double"), spark.createDataFrame(rec, "recording_id long, run_id long, recorded_start double, recorded_end double"), spark.createDataFrame(files, "recording_id long, rel_path string"), cell_s=100.0)
+    want = set()
+    for ask, run, lo, hi in asks:
+        own = [r for r in rec if r[1] == run and run is not None]
+        lo, hi = lo if lo is not None else (own[0][2] if own else None), hi if hi is not None else (own[0][3] if own else None)
+        for r in rec:
+            near = lo is not None and hi is not None and lo <= hi and r[2] <= r[3] and r[2] <= hi and r[3] >= lo
+            if near or r in own:
+                want |= {(ask, r[0], f) for k, f in files if k == r[0]}
+    got = [(r.ask_id, r.recording_id, r.rel_path) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    # the pairs are the result itself: nothing above them deals them by key
+    assert found._jdf.queryExecution().optimizedPlan().toString().startswith("Union")
+
+
 def test_equal_spans_meet_once(spark, monkeypatch):
     a = spark.range(600).select(F.col("id").alias("a_id"), F.lit(0.0).alias("a_start"), F.lit(10.0).alias("a_end"))
     b = spark.range(600).select((1000 - F.col("id")).alias("b_id"), F.lit(2.0).alias("b_start"), F.lit(12.0).alias("b_end"))
