@@ -181,9 +181,27 @@ def blocks_of(html: str | None) -> list[dict]:
     return out
 
 
+#: Texts and characters that a worker holds as Python objects at a time; what was read of them goes to Arrow before the next.
+TEXTS_AT_A_TIME, CHARS_AT_A_TIME = 256, 1 << 20
+
+
+def in_parts(make, kind: pa.DataType, *columns: pa.Array) -> pa.Array:
+    """The array of `make(*values)` of each row, built a part of the rows at a time."""
+    parts, row, chars = [], [], 0
+    for values in zip(*columns, strict=True):
+        texts = [v.as_py() for v in values]
+        row.append(make(*texts))
+        chars += sum(len(t or "") for t in texts)
+        if len(row) == TEXTS_AT_A_TIME or chars >= CHARS_AT_A_TIME:
+            parts.append(pa.array(row, kind))
+            row, chars = [], 0
+    parts.append(pa.array(row, kind))
+    return pa.concat_arrays(parts)
+
+
 @F.arrow_udf(T.ArrayType(BLOCK))
 def textify(html: pa.Array) -> pa.Array:
-    return pa.array([blocks_of(h.as_py()) for h in html], _BLOCKS)
+    return in_parts(blocks_of, _BLOCKS, html)
 
 
 def block_rows(pages: DataFrame, blocks: Column | str) -> DataFrame:
@@ -354,15 +372,16 @@ def leaf_paths(value, path: str = "$") -> dict[str, object]:
 
 @F.arrow_udf(T.ArrayType(BLOCK))
 def from_file(names: pa.Array, bodies: pa.Array) -> pa.Array:
-    return pa.array([file_blocks(n or "", b or "") for n, b in zip(names.to_pylist(), bodies.to_pylist(), strict=True)], _BLOCKS)
+    return in_parts(lambda n, b: file_blocks(n or "", b or ""), _BLOCKS, names, bodies)
+
+
+def json_pairs(text: str | None) -> list[tuple] | None:
+    try:
+        return [(k, None if v is None else json.dumps(v)) for k, v in leaf_paths(json.loads(text)).items()]
+    except (TypeError, ValueError):
+        return None
 
 
 @F.arrow_udf(T.MapType(T.StringType(), T.StringType()))
 def json_leaves(texts: pa.Array) -> pa.Array:
-    rows = []
-    for t in texts.to_pylist():
-        try:
-            rows.append([(k, None if v is None else json.dumps(v)) for k, v in leaf_paths(json.loads(t)).items()])
-        except (TypeError, ValueError):
-            rows.append(None)
-    return pa.array(rows, pa.map_(pa.string(), pa.string()))
+    return in_parts(json_pairs, pa.map_(pa.string(), pa.string()), texts)
