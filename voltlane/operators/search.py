@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voltlane.functions import text as words_of
-from voltlane.functions.porter import stemmed
+from voltlane.functions.porter import stemmed, stems_of
 from voltlane.functions.scalar import base_name
 
 # Fixed values of the ranking.
@@ -26,8 +27,8 @@ SUBTEAMS = {"electrical": "electrical", "elec": "electrical", "mechanical": "mec
 BROADCAST_TERMS = 200_000
 #: Query vectors that one pass broadcasts, at most.
 QUERY_BLOCK = 4096
-#: Vectors that are multiplied with a block of queries at a time: 16 MB of similarities.
-ROWS = 512
+#: Vectors that are multiplied with a block of queries at a time: 8 MB of similarities.
+ROWS = 256
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 200, weights: dict[str, float] | None = None, porter: bool = False) -> DataFrame:
@@ -76,7 +77,7 @@ def vector_top(vectors: DataFrame, queries: DataFrame, k: int, block: int = QUER
 
     vectors: doc_id, v; queries: query_id, v. Queries go out in blocks of at most `block`
     rows; every task multiplies its vectors with the block and hands on k candidates for
-    each query and batch, so what is shuffled does not hold all pairs. A zero vector has
+    each query, so what is shuffled does not hold all pairs. A zero vector has
     cosine 0. Ties go to the smaller doc_id."""
     spark, found = vectors.sparkSession, None
     held: list[tuple[int, list[float]]] = []
@@ -87,18 +88,21 @@ def vector_top(vectors: DataFrame, queries: DataFrame, k: int, block: int = QUER
 
         def multiply(batches):
             q_ids, q = sent.value
+            sims, ids = np.zeros((0, len(q_ids))), np.zeros((0, len(q_ids)), np.int64)
             for batch in batches:
-                doc = batch.column("doc_id").to_numpy(zero_copy_only=False)
-                if not len(doc):
-                    continue
-                order = np.argsort(doc, kind="stable")
-                doc, matrix = doc[order], unit(np.stack(batch.column("v").to_pylist()).astype(np.float64))[order]
-                sims, ids = np.zeros((0, len(q_ids))), np.zeros((0, len(q_ids)), np.int64)
-                for at in range(0, len(doc), ROWS):  # the best so far and some more rows; equal ones stay in order of doc_id
-                    sims = np.concatenate([sims, np.round(matrix[at : at + ROWS] @ q.T, 6)])
-                    ids = np.concatenate([ids, np.broadcast_to(doc[at : at + ROWS, None], (len(doc[at : at + ROWS]), len(q_ids)))])
-                    best = np.argsort(-sims, axis=0, kind="stable")[:k]
+                for at in range(0, len(batch), ROWS):  # the task's best so far and some more rows
+                    part = batch.slice(at, ROWS)
+                    doc, column = part.column("doc_id").to_numpy(zero_copy_only=False), part.column("v")
+                    if len(set(pc.list_value_length(column).to_pylist())) != 1:
+                        raise ValueError("vectors differ in length")
+                    matrix = unit(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(doc), -1))
+                    order = np.argsort(doc, kind="stable")
+                    near = np.round(matrix[order] @ q.T, 6)
+                    rows = np.argsort(-near, axis=0, kind="stable")[:k]
+                    sims, ids = np.concatenate([sims, np.take_along_axis(near, rows, 0)]), np.concatenate([ids, doc[order][rows]])
+                    best = np.lexsort((ids, -sims), axis=0)[:k]
                     sims, ids = np.take_along_axis(sims, best, 0), np.take_along_axis(ids, best, 0)
+            if len(sims):
                 yield pa.RecordBatch.from_arrays([pa.array(np.tile(q_ids, len(sims))), pa.array(ids.ravel()), pa.array(sims.ravel())], names=["query_id", "doc_id", "score"])
 
         return vectors.select("doc_id", "v").mapInArrow(multiply, "query_id long, doc_id long, score double")
