@@ -1,10 +1,12 @@
 """Work that follows the input: no task with a whole group, no pairs of equal rows, no step done twice."""
 
+import math
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from voltlane.operators import catalog, intervals
+from voltlane.operators import blocks, catalog, intervals, search
 
 
 def test_files_of_an_ask_with_several_stretches_are_not_dealt_again(spark):
@@ -54,3 +56,64 @@ def test_a_running_total_of_one_group_is_dealt_over_ranges(spark):
             sums[g] = sums.get(g, 0) + x
         want[k] = sums.get(g)
     assert got == want and len(tasks) > 1
+
+
+def test_workers_hold_a_part_of_the_texts_as_objects():
+    held = []
+
+    def make(html):
+        held.append(html)
+        return blocks.blocks_of(html)
+
+    pages = [f"<h1>t{k}</h1><p>{'x' * 300}</p>" if k % 7 else None for k in range(700)]
+    parts, built = [], pa.array
+
+    class Watched:
+        def __getattr__(self, name):
+            return getattr(pa, name)
+
+        @staticmethod
+        def array(row, kind):
+            parts.append(len(row))
+            return built(row, kind)
+
+    before, blocks.pa = blocks.pa, Watched()
+    try:
+        done = blocks.in_parts(make, blocks._BLOCKS, built(pages))
+    finally:
+        blocks.pa = before
+    assert done.to_pylist() == [blocks.blocks_of(p) for p in pages] and held == pages
+    assert max(parts) <= blocks.TEXTS_AT_A_TIME and sum(parts) == 700
+    assert blocks.in_parts(make, blocks._BLOCKS, built([], pa.string())).to_pylist() == []
+
+
+def test_a_task_hands_on_its_best_vectors_once(spark):
+    rows = [(k, [float(k % 7), 1.0]) for k in range(2000)]
+    v = spark.createDataFrame(rows, "doc_id long, v array<double>").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    handed, best = [], search.top
+
+    def counted(scores, k):
+        handed.append(scores.count())
+        return best(scores, k)
+
+    search.top = counted
+    try:
+        got = [r.doc_id for r in search.vector_top(v, spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, v array<double>"), 3).orderBy("place").collect()]
+    finally:
+        search.top = best
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == [6, 13, 20] and handed == [3]
+
+
+def test_texts_are_cut_to_words_once_and_pairs_stay_where_they_are(spark):
+    docs = spark.createDataFrame([(1, "red cars race"), (2, "blue cars"), (3, None), (3, "red red wine")], "doc_id long, text string")
+    asked = spark.createDataFrame([(7, "red car"), (8, "cars wine"), (9, "of the")], "query_id long, q string")
+    plan = search.bm25(docs, asked, 5)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning(query_id" in text and not any("hashpartitioning(query_id" in line and "doc_id" in line for line in text.splitlines())
+    n, avg, df = 4, (3 + 2 + 0 + 3) / 4, {"red": 2, "cars": 2, "wine": 1}
+    part = lambda w, tf, dl: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg))
+    got = {(r.query_id, r.doc_id): r.score for r in plan.collect()}
+    assert got.keys() == {(7, 1), (7, 3), (8, 1), (8, 2), (8, 3)}
+    assert abs(got[7, 1] - part("red", 1, 3)) < 1e-6 and abs(got[8, 2] - part("cars", 1, 2)) < 1e-6

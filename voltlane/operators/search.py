@@ -41,25 +41,35 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 200, weights: dict[str, f
     `porter`: words of all scripts meet by Porter's stem, without accents; stems are made once per distinct word of the corpus."""
     weights = weights or {"text": 1.0}
     pattern = words_of.ANY_WORD if porter else words_of.WORD
-    lists = {c: words_of.words(F.col(c), pattern) for c in weights}
     asked = queries.select("query_id", F.explode(F.array_distinct(words_of.words(F.col("q"), pattern))).alias("term"))
     if porter:
         asked = stemmed(asked).distinct()
-    terms = asked.select("term").distinct()
-    if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-        terms = F.broadcast(terms)
-    tokens = docs.select("doc_id", *[v.alias(c) for c, v in lists.items()])
+    # one row of each text has the term '' and counts the text itself; no word is empty
+    terms = asked.select("term").union(docs.sparkSession.range(1).select(F.lit("").alias("term"))).distinct()
+    few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    sent = F.broadcast if few else lambda df: df
+    # exploded from an array of one, a list of words is made once however often it is used
+    tokens = docs.select("doc_id", F.explode(F.array(F.struct(*[words_of.words(F.col(c), pattern).alias(c) for c in weights]))).alias("x")).select("doc_id", "x.*")
     length = sum((F.size(c) * w for c, w in weights.items()), F.lit(0.0))
-    sizes = tokens.select("doc_id", length.alias("dl"))
-    totals = sizes.agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"))
-    said = tokens.select("doc_id", length.alias("dl"), F.explode(F.concat(*[_weighted(c, w) for c, w in weights.items()])).alias("x"))
+    itself = F.array(F.struct(F.lit("").alias("term"), F.lit(1.0).alias("w")))
+    said = tokens.select("doc_id", length.alias("dl"), F.explode(F.concat(itself, *[_weighted(c, w) for c, w in weights.items()])).alias("x"))
     said = said.select("doc_id", "dl", F.col("x.term").alias("term"), F.col("x.w").alias("w"))
-    postings = (stemmed(said) if porter else said).join(terms, "term").groupBy("term", "doc_id").agg(F.sum("w").alias("tf"), F.first("dl").alias("dl"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    scored = asked.join(postings, "term").join(df, "term").join(F.broadcast(totals))
+    if porter:  # only words whose stem is asked go on
+        kept = stems_of(said).join(sent(terms), "term")
+        said = said.withColumnRenamed("term", "__word").join(sent(kept), "__word").drop("__word")
+    else:
+        said = said.join(sent(terms), "term")
+    # dealt by text alone, so that scores of a text are added up where its postings are
+    postings = said.repartition("doc_id").groupBy("doc_id", "term").agg(F.sum("w").alias("tf"), F.first("dl").alias("dl"), F.sum("dl").alias("__dl"))
+    # the row of '' tells all others, one for each asked word, how many texts there are; so the texts are read once
+    whole = Window.partitionBy(F.lit(0))
+    of_texts = lambda c: F.max(F.when(F.col("term") == "", F.col(c))).over(whole)
+    known = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("__n"), F.sum("__dl").alias("__dl"))
+    known = known.select("term", "df", of_texts("__n").alias("n"), (of_texts("__dl") / of_texts("__n")).alias("avgdl"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    score = scored.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+    weighed = asked.join(known, "term").select("query_id", "term", "avgdl", idf.alias("idf"))
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    score = postings.join(sent(weighed), "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
     return top(score, k)
 
 
