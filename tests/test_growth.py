@@ -117,3 +117,15 @@ def test_texts_are_cut_to_words_once_and_pairs_stay_where_they_are(spark):
     got = {(r.query_id, r.doc_id): r.score for r in plan.collect()}
     assert got.keys() == {(7, 1), (7, 3), (8, 1), (8, 2), (8, 3)}
     assert abs(got[7, 1] - part("red", 1, 3)) < 1e-6 and abs(got[8, 2] - part("cars", 1, 2)) < 1e-6
+
+
+def test_an_encoder_that_forgets_gives_the_same_ids():
+    from voltlane.llm import pieces, sp_codec
+
+    vocab = pieces.vocabulary(pieces.default_model())
+    small, large = sp_codec.Encoder(vocab, memo=2), sp_codec.Encoder(vocab)
+    texts = ["red cars race", "blue cars race again and again", "wine", "red cars"]
+    assert [small.encode(t) for t in texts] == [large.encode(t) for t in texts]
+    assert len(large.seen) > len(small.seen)
+    # the pipeline's workers remember fewer than the operator's own
+    assert sp_codec.coders(pieces.default_model())[0].memo > sp_codec.coders(pieces.default_model(), sp_codec.PIPELINE_MEMO)[0].memo

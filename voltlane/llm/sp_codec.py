@@ -35,15 +35,16 @@ from pyspark.sql import types as T
 from voltlane.llm.common import text_blocks
 from voltlane.llm.pieces import MARK, Vocabulary, default_model, vocabulary
 
-#: Pre-tokens and pairs that a Python worker remembers at most (about 100 MB); then it starts anew.
-MEMO, PAIR_MEMO = 200_000, 400_000
+#: Pre-tokens and pairs that a Python worker remembers at most (about 200 MB); then it starts anew.
+#: In a pipeline, whose other stages leave their own memory behind, it remembers fewer.
+MEMO, PIPELINE_MEMO, PAIR_MEMO = 600_000, 200_000, 400_000
 
 
 class Encoder:
     """Encodes streams of characters with one vocabulary; remembers pairs and short pre-tokens."""
 
-    def __init__(self, vocab: Vocabulary, unigram: bool = False):
-        self.vocab, self.unigram = vocab, unigram
+    def __init__(self, vocab: Vocabulary, unigram: bool = False, memo: int = MEMO):
+        self.vocab, self.unigram, self.memo = vocab, unigram, memo
         self.tails = {p[i:] for p in vocab.ids for i in range(len(p))}
         self.apart: dict[int, bool] = {}
         self.seen: dict[str, bytes] = {}  # ids as 32-bit integers, a quarter of a tuple's size
@@ -143,7 +144,7 @@ class Encoder:
         """Ids of a whole text as 32-bit integers: each pre-token is one stream, remembered if it is short."""
         out: list[bytes] = []
         seen = self.seen
-        if len(seen) > MEMO:
+        if len(seen) > self.memo:
             seen.clear()
         for p in self.vocab.pretokens(text):
             ids = seen.get(p)
@@ -170,13 +171,13 @@ class Decoder:
         return b"".join(map(self.parts.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 
-_coders: dict[str, tuple[Encoder, Decoder]] = {}
+_coders: dict[tuple[str, int], tuple[Encoder, Decoder]] = {}
 
 
-def coders(path: str) -> tuple[Encoder, Decoder]:
-    if path not in _coders:
-        _coders[path] = Encoder(vocabulary(path)), Decoder(vocabulary(path))
-    return _coders[path]
+def coders(path: str, memo: int = MEMO) -> tuple[Encoder, Decoder]:
+    if (path, memo) not in _coders:
+        _coders[path, memo] = Encoder(vocabulary(path), memo=memo), Decoder(vocabulary(path))
+    return _coders[path, memo]
 
 
 def encode(docs: DataFrame, out: str = "ids", model_path: str | None = None) -> DataFrame:
@@ -206,7 +207,7 @@ def recode(docs: DataFrame, out: str = "coded", model_path: str | None = None) -
 
     @F.arrow_udf(T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("text", T.StringType())]))
     def both(texts: pa.Array) -> pa.Array:
-        encoder, decoder = coders(path)
+        encoder, decoder = coders(path, PIPELINE_MEMO)
         parts, back = [], []
         for block in text_blocks(texts):
             rows = [encoder.packed(t) for t in block.to_pylist()]
