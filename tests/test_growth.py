@@ -129,3 +129,14 @@ def test_an_encoder_that_forgets_gives_the_same_ids():
     assert len(large.seen) > len(small.seen)
     # the pipeline's workers remember fewer than the operator's own
     assert sp_codec.coders(pieces.default_model())[0].memo > sp_codec.coders(pieces.default_model(), sp_codec.PIPELINE_MEMO)[0].memo
+
+
+def test_files_that_one_ask_time_finds_are_dealt_over_tasks(spark):
+    rec = spark.range(40).select(F.col("id").alias("recording_id"), F.col("id").alias("run_id"), F.lit(10.0).alias("recorded_start"), F.lit(20.0).alias("recorded_end"))
+    files = spark.range(4000).coalesce(1).select((F.col("id") % 40).alias("recording_id"), F.col("id").alias("rel_path"))
+    asks = spark.range(5).select(F.col("id").alias("ask_id"), F.col("id").alias("run_id"), F.lit(None).cast("double").alias("start_ts"), F.lit(None).cast("double").alias("end_ts"))
+    found = catalog.find_files(asks, rec, files)
+    tasks = [r["count"] for r in found.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(tasks) == 20_000 and len(tasks) > 4 and max(tasks) < 4000
+    # compiled as a whole: no function that Spark interprets row by row is in the pairs' join
+    assert "exists(" not in found._jdf.queryExecution().optimizedPlan().children().head().toString()

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 #: Asked stretches, by cell, that are broadcast at most; more meet the recordings by a shuffle.
@@ -114,6 +115,16 @@ def csv_time_range(rows: DataFrame) -> DataFrame:
     return rows.groupBy("run_id").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n"))
 
 
+def apart(spans: DataFrame) -> DataFrame:
+    """ask_id, lo, hi, __before: the spans of each ask with those that share a point made one, and the end of the one before."""
+    mine = Window.partitionBy("ask_id").orderBy("lo", "hi")
+    reach = F.max("hi").over(mine.rowsBetween(Window.unboundedPreceding, -1))
+    spans = spans.distinct().withColumn("__new", F.coalesce(F.col("lo") > reach, F.lit(True)).cast("int"))
+    spans = spans.withColumn("__island", F.sum("__new").over(mine.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = spans.groupBy("ask_id", "__island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("__island")
+    return spans.withColumn("__before", F.lag("hi").over(mine))
+
+
 def find_files(asks: DataFrame, recordings: DataFrame, files: DataFrame, cell_s: float = 86_400.0) -> DataFrame:
     """Files that cover each asked run, or only a stretch of it: ask_id and the columns of `recordings` and `files`.
 
@@ -125,22 +136,26 @@ def find_files(asks: DataFrame, recordings: DataFrame, files: DataFrame, cell_s:
     own = recordings.where("run_id is not null").select("run_id", F.col("recorded_start").alias("__start"), F.col("recorded_end").alias("__end"))
     span = own.groupBy("run_id").agg(F.min("__start").alias("__start"), F.max("__end").alias("__end"))
     wanted = asks.join(span, "run_id", "left").select("ask_id", F.col("run_id").alias("__run"), F.coalesce("start_ts", "__start").alias("lo"), F.coalesce("end_ts", "__end").alias("hi")).distinct()
-    # stretches of one ask: a recording comes with the first of them that it overlaps
-    mine = Window.partitionBy("ask_id").orderBy("lo", "hi", "__run")
-    stretch = F.collect_list(F.when(F.col("lo") <= F.col("hi"), F.struct("lo", "hi")))
-    wanted = wanted.withColumns({"__earlier": stretch.over(mine.rowsBetween(Window.unboundedPreceding, -1)), "__all": stretch.over(Window.partitionBy("ask_id"))})
+    stretches = F.collect_list(F.when(F.col("lo") <= F.col("hi"), F.struct("lo", "hi")))
+    wanted = wanted.withColumn("__all", stretches.over(Window.partitionBy("ask_id")))
     meets = lambda lo, hi: (F.col("recorded_start") <= hi) & (F.col("recorded_end") >= lo)
     none_of = lambda c: (F.size(c) == 0) | ~F.exists(c, lambda x: F.coalesce(meets(x["lo"], x["hi"]), F.lit(False)))
     cell = lambda c: F.floor(F.col(c) / cell_s)
     cells = lambda a, b: F.explode(F.sequence(cell(a), cell(b)))
+    timed = apart(wanted.where("lo <= hi").select("ask_id", "lo", "hi")).withColumn("__cell", cells("lo", "hi"))
     # files go into the join with their recordings: pairs of an ask and a file are the result and are not dealt again
     held = recordings.join(files, "recording_id")
-    timed = wanted.where("lo <= hi").select("ask_id", "lo", "hi", "__earlier", cells("lo", "hi").alias("__cell"))
+    dealt = held.where("recorded_start <= recorded_end").withColumn("__cell", cells("recorded_start", "recorded_end"))
     if timed.limit(BROADCAST_ASKS + 1).count() <= BROADCAST_ASKS:
+        dealt = dealt.join(F.broadcast(timed.select("__cell").distinct()), "__cell", "left_semi")
+        # the asks of a few cells may find nearly all; their files are few bytes, which would else be few tasks
+        plain = [f.name for f in dealt.schema if isinstance(f.dataType, T.AtomicType)]
+        dealt = dealt.repartition(4 * held.sparkSession.sparkContext.defaultParallelism, *plain)
         timed = F.broadcast(timed)
-    dealt = held.where("recorded_start <= recorded_end").withColumn("__cell", cells("recorded_start", "recorded_end"))
     first = F.col("__cell") == F.floor(F.greatest("lo", "recorded_start") / cell_s)
-    near = dealt.join(timed, "__cell").where(meets(F.col("lo"), F.col("hi")) & first & none_of("__earlier"))
+    # the stretches are apart, so a recording overlaps none before this one if it starts after the end of the last
+    fresh = F.col("__before").isNull() | (F.col("recorded_start") > F.col("__before"))
+    near = dealt.join(timed, "__cell").where(meets(F.col("lo"), F.col("hi")) & first & fresh)
     timeless = F.coalesce(F.col("recorded_start") > F.col("recorded_end"), F.lit(True))
     same = recordings.where("run_id is not null").join(wanted.select("ask_id", "__run", "__all"), F.col("run_id") == F.col("__run")).where(timeless | none_of("__all"))
     same = same.select("ask_id", "recording_id").distinct().join(held, "recording_id")
