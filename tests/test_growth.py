@@ -6,7 +6,7 @@ import random
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from voltlane.operators import blocks, catalog, intervals, search
+from voltlane.operators import blocks, catalog, intervals, search, sequence
 
 
 def test_files_of_an_ask_with_several_stretches_are_not_dealt_again(spark):
@@ -140,3 +140,29 @@ def test_files_that_one_ask_time_finds_are_dealt_over_tasks(spark):
     assert sum(tasks) == 20_000 and len(tasks) > 4 and max(tasks) < 4000
     # compiled as a whole: no function that Spark interprets row by row is in the pairs' join
     assert "exists(" not in found._jdf.queryExecution().optimizedPlan().children().head().toString()
+
+def test_forward_as_of_meets_a_hundred_rows_a_target(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(1, k, float(rng.randrange(-20, 21)) + k) for k in range(5000)]
+    rows += [(2, 7 * k - 900, rng.choice([None, 5.0, 60.0])) for k in range(1500) for _ in range(rng.choice([1, 1, 2]))]
+    rows += [(3, k, 1.0) for k in range(400)] + [(3, 5000, 1.0)]
+    asked = [(1, f"a{k}", (at := rng.randrange(0, 5000)) - rng.choice([0.0, 10.0, 70.0, 500.0, 4000.0]), at) for k in range(60)]
+    asked += [(2, f"b{k}", rng.choice([4.0, 5.5, 61.0]), rng.randrange(-1000, 9700)) for k in range(60)]
+    asked += [(3, "c", 0.0, 5000), (3, "d", 2.0, 5000), (3, "e", 0.0, 399), (4, "f", 0.0, 10), (1, "g", None, 30), (1, "h", 5.0, 9000), (3, "i", 0.0, 5100)]
+    met, pairs = [], intervals.rows_within
+
+    def counted(*of, **more):
+        met.append(pairs(*of, **more).count())
+        return pairs(*of, **more)
+
+    monkeypatch.setattr(sequence, "rows_within", counted)
+    for within in (3000, 100, 1):
+        want = {}
+        for run, name, t, around in asked:
+            reach = [(q, u) for r, q, u in rows if r == run and around - within < q <= around]
+            early = max((q for q, u in reach if u is not None and t is not None and u < t), default=None)
+            after = [q for q, _ in reach if early is None or q > early]
+            want[name] = min(after, default=around) if t is not None else around
+        done = sequence.first_at_or_after(spark.createDataFrame(rows, "run_id long, seq long, t double"), spark.createDataFrame(asked, "run_id long, target_id string, target_t double, around_seq long"), within)
+        assert {r.target_id: r.found_seq for r in done.collect()} == want
+    assert sum(met) < 100 * len(asked)

@@ -147,12 +147,38 @@ def lookback_bound(rows: DataFrame, margin_s: float = 2.0, column: str = "t") ->
     return rows.join(newest, "run_id").groupBy("run_id").agg(F.max(F.when(F.col(column) <= F.col("newest") - margin_s, F.col("seq"))).alias("until_seq"), F.max("seq").alias("last_seq"))
 
 
+#: Rows that a target is compared with one by one, as a power of two of seqs; further back the lowest times of such stretches decide.
+STRETCH_BITS = 6
+
+
 def first_at_or_after(rows: DataFrame, targets: DataFrame, within: int = 3000) -> DataFrame:
     """Forward as-of: for each target (run_id, target_id, target_t, around_seq) the earliest seq of the unbroken
-    stretch ending at around_seq whose times are all >= target_t, at most `within` seqs back; else around_seq."""
-    reach = targets.withColumn("__from", F.col("around_seq") - within + 1)
-    near = rows_within(rows.select("run_id", F.col("seq").alias("__seq"), "t"), reach, "__from", "around_seq", "__seq").drop("__from")
-    last_early = near.groupBy("run_id", "target_id", "target_t", "around_seq").agg(F.max(F.when(F.col("t") < F.col("target_t"), F.col("__seq"))).alias("__early"))
-    back = near.join(last_early, ["run_id", "target_id", "target_t", "around_seq"]).where(F.col("__early").isNull() | (F.col("__seq") > F.col("__early")))
-    found = back.groupBy("run_id", "target_id").agg(F.min("__seq").alias("found_seq"))
+    stretch ending at around_seq whose times are all >= target_t, at most `within` seqs back; else around_seq.
+
+    The last earlier row is mostly near, so a target meets the rows of its own stretch of seqs first. Those without
+    one there meet the lowest times of the stretches before, and then the rows of one or two stretches. So a target
+    costs some hundred rows at most, not `within`."""
+    stretch = lambda c: F.call_function("shiftright", F.col(c).cast("long"), F.lit(STRETCH_BITS))
+    key = ["run_id", "target_id", "target_t", "around_seq"]
+    # one row per seq with its lowest time and the seq after it
+    line = rows.groupBy("run_id", F.col("seq").alias("__seq")).agg(F.min("t").alias("__t"))
+    line = line.withColumns({"__next": F.lead("__seq").over(Window.partitionBy("run_id").orderBy("__seq")), "__stretch": stretch("__seq")})
+    asked = targets.select(*key).where("target_id is not null and target_t is not null and around_seq is not null").distinct()
+    asked = asked.withColumns({"__from": F.col("around_seq") - within + 1, "__own": stretch("around_seq")})
+    early = lambda more=F.lit(True): F.max(F.when((F.col("__t") < F.col("target_t")) & more, F.struct("__seq", "__next")))
+    inside = F.col("__seq").between(F.col("__from"), F.col("around_seq"))
+    # the targets' own stretches
+    own = asked.join(line.withColumnRenamed("__stretch", "__own"), ["run_id", "__own"], "left")
+    own = own.groupBy(*key, "__from", "__own").agg(early(inside).alias("__early"), F.min(F.when(inside, F.col("__seq"))).alias("__start"))
+    # those before: the last with an earlier time, and the first that the reach has rows of
+    rest = own.where("__early is null").select(*key, "__from", "__own").withColumns({"__a": stretch("__from"), "__z": F.col("__own") - 1})
+    stretches = line.groupBy("run_id", F.col("__stretch").alias("__at")).agg(F.min("__t").alias("__low"), F.max("__seq").alias("__high"))
+    met = rows_within(stretches, rest, "__a", "__z", "__at", block=8)
+    met = met.groupBy(*key, "__from").agg(F.max(F.when(F.col("__low") < F.col("target_t"), F.col("__at"))).alias("__last"), F.min(F.when(F.col("__high") >= F.col("__from"), F.col("__at"))).alias("__first"))
+    met = met.withColumn("__stretch", F.explode(F.array_distinct(F.array("__last", "__first"))))
+    far = met.join(line, ["run_id", "__stretch"]).where(inside).groupBy(*key).agg(early(F.col("__stretch") == F.col("__last")).alias("__far"), F.min(F.when(F.col("__stretch") == F.col("__first"), F.col("__seq"))).alias("__far_start"))
+    seen = own.join(far, key, "left").withColumn("__early", F.coalesce("__early", "__far"))
+    after = F.least(F.coalesce("__early.__next", "around_seq"), F.col("around_seq"))
+    seen = seen.withColumn("__found", F.when(F.col("__early").isNotNull(), after).otherwise(F.coalesce("__far_start", "__start")))
+    found = seen.groupBy("run_id", "target_id").agg(F.min("__found").alias("found_seq"))
     return targets.join(found, ["run_id", "target_id"], "left").withColumn("found_seq", F.coalesce("found_seq", "around_seq"))

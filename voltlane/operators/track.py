@@ -27,6 +27,8 @@ REANCHOR_AFTER = 3
 DROPOUT_S, DROPOUT_M = 5.0, 120.0
 #: Gates after the next one that a lost reading may skip to.
 SKIP = 1
+#: Seqs of the smallest blocks by which segments meet their rows; most segments have few rows.
+SEGMENT_BLOCK = 16
 
 
 @dataclass
@@ -247,12 +249,12 @@ def segment_metrics(snapshots: DataFrame, instances: DataFrame, gates: DataFrame
     # energy
     w = by_run()
     steps = snapshots.where("p is not null").select("run_id", "seq", "t", "p", F.lag("seq").over(w).alias("q_seq"), F.lag("t").over(w).alias("q_t"), F.lag("p").over(w).alias("q_p"))
-    inside = rows_within(steps, at.withColumn("__from", F.col("start_seq") - 1), "__from")
+    inside = rows_within(steps, at.withColumn("__from", F.col("start_seq") - 1), "__from", block=SEGMENT_BLOCK)
     kwh = power.clipped_step_kwh(F.col("q_p"), F.col("p"), F.col("q_t"), F.col("t"), F.col("enter_t"), F.col("exit_t"), guards.max_gap_s)
     energy = inside.groupBy(*key).agg(F.when(F.count("*") >= 2, 1000 * F.sum(F.when(F.col("q_seq") >= F.col("start_seq") - 1, kwh).otherwise(0.0))).alias("energy_wh"))
     # distance
     moves = metrics.distance_steps(snapshots, guards).select("run_id", "seq", "step_m")
-    between = rows_within(moves, at, "enter_seq", "exit_seq").where("seq > enter_seq and seq < exit_seq")
+    between = rows_within(moves, at, "enter_seq", "exit_seq", block=SEGMENT_BLOCK).where("seq > enter_seq and seq < exit_seq")
     middle = between.groupBy(*key).agg(F.sum("step_m").alias("middle_m"))
     chord = lambda c: F.when(F.col(c) <= guards.max_jump_m, F.col(c)).otherwise(0.0)
     out = at.join(energy, key, "left").join(middle, key, "left")
