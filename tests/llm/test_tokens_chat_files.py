@@ -3,7 +3,9 @@ import random
 import zlib
 
 import duckdb
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -170,3 +172,26 @@ def test_op4_sql_gives_the_same_rows(spark, sf):
     df = op4_chat_format(spark, sf)
     assert sorted(df.columns) == sorted(names)
     assert sorted(tuple(r) for r in df.select(*names).collect()) == sorted(cur.fetchall())
+
+
+def test_words_are_looked_up_once_a_batch_and_frequent_ones_are_kept():
+    coder = repair.WordCoder(public_tokenizers.path(repair.MODEL))
+    texts = ["the cat the cat  ", None, "", " \t\n", "x", "\x0b the Caf\u00e9, naïve\u00a0word \u2028 \r\n Zwölf rare1 rare2", "the \x1c cat caf\u00e9, " * 9]
+    asked, get = [], repair._Codes.__getitem__
+
+    class Counted(repair._Codes):
+        def __getitem__(self, word):
+            asked.append(word)
+            return get(self, word)
+
+    coder.codes = Counted(coder)
+    ids = lambda: [[i for c in codes.tolist() for i in coder.flat[coder.begin[c] : coder.begin[c + 1]]] for codes in coder.codes_of(pa.array(["", *texts])[1:])]
+    want = [coder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert ids() == want
+    assert len(asked) == len(set(asked)) == len({w for t in texts for w in (t or "").encode().split()})
+    for most in (1000, 3, 0):
+        codes = np.concatenate(coder.codes_of(pa.array(texts)))
+        coder.count(np.bincount(codes, minlength=len(coder.begin) - 1))
+        coder.forget(most)
+        assert len(coder.begin) - 1 <= most and b"rare1" not in coder.codes and (most < 3 or b"the" in coder.codes)
+        assert ids() == want
