@@ -17,7 +17,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltlane.llm import decontam, near_copies, pii, quality_rules, sp_codec
-from voltlane.llm.common import table, written
+from voltlane.llm.common import BATCH, table, written
+
+#: Bytes of one Arrow batch of a stage, where the session sets none. The JVM and a worker each hold a batch several times
+#: over, and all stages run in the same executors.
+BATCH_BYTES = "2m"
+
+
+def in_small_batches(stage):
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        key = "spark.sql.execution.arrow.maxBytesPerBatch"
+        if spark.conf.get(key, None) in (None, BATCH[key]):
+            spark.conf.set(key, BATCH_BYTES)
+        return stage(spark, docs, sf_dir)
+
+    return run
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,6 +62,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality rules", quality), ("near dedup", near_dedup), ("decontamination", benchmark_free), ("personal data", private), ("sentencepiece", tokens)]
+STAGES = [(name, in_small_batches(stage)) for name, stage in STAGES]
 
 #: SQL expresses neither the forest nor the token search; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None

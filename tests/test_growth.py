@@ -131,6 +131,43 @@ def test_an_encoder_that_forgets_gives_the_same_ids():
     assert sp_codec.coders(pieces.default_model())[0].memo > sp_codec.coders(pieces.default_model(), sp_codec.PIPELINE_MEMO)[0].memo
 
 
+def test_an_encoder_remembers_no_more_than_its_memo_within_one_text():
+    from voltlane.llm import pieces, sp_codec
+
+    vocab = pieces.vocabulary(pieces.default_model())
+    small, large = sp_codec.Encoder(vocab, memo=100, pair_memo=50), sp_codec.Encoder(vocab)
+    text = " ".join(f"again w{i}x{i * i}" for i in range(1000))
+    streamed = []
+    stream = small.stream
+    small.stream = lambda chars: streamed.append(chars) or stream(chars)
+    assert small.encode(text) == large.encode(text)
+    assert len(small.seen) + len(small.older) <= 100 and len(small.apart) <= 50
+    assert streamed.count(sp_codec.MARK + "again") == 1  # what is met again is not forgotten
+    # what a worker of the pipeline remembers
+    encoder = sp_codec.coders(pieces.default_model(), sp_codec.PIPELINE_MEMO, sp_codec.PIPELINE_PAIR_MEMO)[0]
+    assert encoder.memo + encoder.pair_memo <= 200_000
+
+
+def test_a_worker_of_the_pipeline_gets_two_megabytes_of_text_at_a_time(spark, tmp_path):
+    import corpus_pipeline
+    from voltlane.llm.common import BATCH, table
+
+    spark.range(40).select(F.col("id").alias("doc_id"), F.expr("repeat('0123456789', 20000)").alias("text")).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    for key in BATCH:
+        spark.conf.unset(key)
+    docs = table(spark, str(tmp_path), "documents").withColumns({"lang": F.lit("en"), "source": F.lit("web")})
+    corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    rows = [r.n for r in docs.mapInArrow(sizes, "n long").collect()]
+    for key in BATCH:
+        spark.conf.unset(key)
+    assert sum(rows) == 40 and max(rows) <= 12
+
+
 def test_files_that_one_ask_time_finds_are_dealt_over_tasks(spark):
     rec = spark.range(40).select(F.col("id").alias("recording_id"), F.col("id").alias("run_id"), F.lit(10.0).alias("recorded_start"), F.lit(20.0).alias("recorded_end"))
     files = spark.range(4000).coalesce(1).select((F.col("id") % 40).alias("recording_id"), F.col("id").alias("rel_path"))

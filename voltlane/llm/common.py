@@ -71,16 +71,21 @@ def in_training(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 != 2, F.lit(False))
 
 
+def give_back() -> None:
+    """Gives a worker's freed memory back to the machine: Spark keeps workers for the stages after, and what a worker
+    holds is lost to them."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def lean(work: Callable) -> Callable:
-    """A mapInArrow function whose worker gives its memory back at the end of each task: Spark keeps workers for the
-    stages after, and what a worker holds is lost to them."""
+    """A mapInArrow function whose worker gives its memory back at the end of each task."""
 
     def run(batches):
         yield from work(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+        give_back()
 
     return run
 

@@ -32,22 +32,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voltlane.llm.common import text_blocks
+from voltlane.llm.common import give_back, text_blocks
 from voltlane.llm.pieces import MARK, Vocabulary, default_model, vocabulary
 
-#: Pre-tokens and pairs that a Python worker remembers at most (about 200 MB); then it starts anew.
-#: In a pipeline, whose other stages leave their own memory behind, it remembers fewer.
-MEMO, PIPELINE_MEMO, PAIR_MEMO = 600_000, 200_000, 400_000
+#: Pre-tokens and pairs that a Python worker remembers at most (about 200 MB); then it forgets the pre-tokens that it
+#: met longest ago, or all pairs. In a pipeline, whose other stages leave their own memory behind, it remembers fewer.
+MEMO, PAIR_MEMO = 600_000, 400_000
+PIPELINE_MEMO, PIPELINE_PAIR_MEMO = 100_000, 100_000
 
 
 class Encoder:
     """Encodes streams of characters with one vocabulary; remembers pairs and short pre-tokens."""
 
-    def __init__(self, vocab: Vocabulary, unigram: bool = False, memo: int = MEMO):
-        self.vocab, self.unigram, self.memo = vocab, unigram, memo
-        self.tails = {p[i:] for p in vocab.ids for i in range(len(p))}
+    def __init__(self, vocab: Vocabulary, unigram: bool = False, memo: int = MEMO, pair_memo: int = PAIR_MEMO):
+        self.vocab, self.unigram, self.memo, self.pair_memo = vocab, unigram, memo, pair_memo
+        self.tails = {p[i:] for p in vocab.ids for i in range(1, len(p))} - vocab.ids.keys()  # pieces are found before
         self.apart: dict[int, bool] = {}
         self.seen: dict[str, bytes] = {}  # ids as 32-bit integers, a quarter of a tuple's size
+        self.older: dict[str, bytes] = {}  # those before; what is met again moves on to `seen`
 
     def merged(self, text: str) -> list[str]:
         """Pieces of a short string by merging the best-scored neighbours, leftmost first."""
@@ -68,7 +70,7 @@ class Encoder:
         key = a << 20 | b
         known = self.apart.get(key)
         if known is None:
-            if len(self.apart) > PAIR_MEMO:
+            if len(self.apart) >= self.pair_memo:
                 self.apart.clear()
             x, y = self.vocab.pieces[a], self.vocab.pieces[b]
             known = self.apart[key] = self.merged(x + y) == [x, y]
@@ -143,14 +145,17 @@ class Encoder:
     def packed(self, text: str) -> bytes:
         """Ids of a whole text as 32-bit integers: each pre-token is one stream, remembered if it is short."""
         out: list[bytes] = []
-        seen = self.seen
-        if len(seen) > self.memo:
-            seen.clear()
+        seen, older = self.seen, self.older
         for p in self.vocab.pretokens(text):
             ids = seen.get(p)
             if ids is None:
-                ids = array("i", self.stream(p)).tobytes()
+                ids = older.pop(p, None)
+                if ids is None:
+                    ids = array("i", self.stream(p)).tobytes()
                 if len(p) <= 64:
+                    if len(seen) >= self.memo // 2:
+                        older = self.older = seen
+                        seen = self.seen = {}
                     seen[p] = ids
             out.append(ids)
         return b"".join(out)
@@ -171,13 +176,13 @@ class Decoder:
         return b"".join(map(self.parts.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 
-_coders: dict[tuple[str, int], tuple[Encoder, Decoder]] = {}
+_coders: dict[tuple[str, int, int], tuple[Encoder, Decoder]] = {}
 
 
-def coders(path: str, memo: int = MEMO) -> tuple[Encoder, Decoder]:
-    if (path, memo) not in _coders:
-        _coders[path, memo] = Encoder(vocabulary(path), memo=memo), Decoder(vocabulary(path))
-    return _coders[path, memo]
+def coders(path: str, memo: int = MEMO, pair_memo: int = PAIR_MEMO) -> tuple[Encoder, Decoder]:
+    if (path, memo, pair_memo) not in _coders:
+        _coders[path, memo, pair_memo] = Encoder(vocabulary(path), memo=memo, pair_memo=pair_memo), Decoder(vocabulary(path))
+    return _coders[path, memo, pair_memo]
 
 
 def encode(docs: DataFrame, out: str = "ids", model_path: str | None = None) -> DataFrame:
@@ -207,14 +212,14 @@ def recode(docs: DataFrame, out: str = "coded", model_path: str | None = None) -
 
     @F.arrow_udf(T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("text", T.StringType())]))
     def both(texts: pa.Array) -> pa.Array:
-        encoder, decoder = coders(path, PIPELINE_MEMO)
-        parts, back = [], []
+        encoder, decoder = coders(path, PIPELINE_MEMO, PIPELINE_PAIR_MEMO)
+        parts = []
         for block in text_blocks(texts):
             rows = [encoder.packed(t) for t in block.to_pylist()]
-            back += [decoder.decode(array("i", r)) for r in rows]
-            parts.append(id_lists(rows))
-        ids = pa.concat_arrays(parts) if parts else id_lists([])
-        return pa.StructArray.from_arrays([ids, pa.array(back, pa.string())], names=["ids", "text"])
+            back = pa.array((decoder.decode(array("i", r)) for r in rows), pa.string(), size=len(rows))
+            parts.append(pa.StructArray.from_arrays([id_lists(rows), back], names=["ids", "text"]))
+        give_back()
+        return pa.concat_arrays(parts) if parts else pa.StructArray.from_arrays([id_lists([]), pa.array([], pa.string())], names=["ids", "text"])
 
     return docs.withColumn(out, both.asNondeterministic()("text"))
 
