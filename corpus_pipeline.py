@@ -57,7 +57,7 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of each text, and the text that they decode to."""
-    coded = sp_codec.recode(docs.select("doc_id", "lang", "source", "text"), "__coded")
+    coded = sp_codec.recode(docs.select("doc_id", "lang", "source", "text"), "__coded", memo=sp_codec.PIPELINE_MEMO, pair_memo=sp_codec.PIPELINE_PAIR_MEMO)
     return coded.select("doc_id", "lang", "source", "__coded.text", F.size("__coded.ids").cast("long").alias("n_pieces"), "__coded.ids")
 
 

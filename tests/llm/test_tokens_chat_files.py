@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 import zlib
 
 import duckdb
@@ -62,6 +63,52 @@ def test_streaming_search_commits_early_and_equals_a_whole_search(library):
     assert read <= 4 * coder.vocab.longest
 
 
+def test_short_pretokens_go_in_step_and_long_ones_as_streams(library, monkeypatch):
+    vocab = pieces.vocabulary(pieces.default_model())
+    texts = [t or "" for t in [*ODD, *noise()]]
+    streamed = []
+    stream = sp_codec.Encoder.stream
+    monkeypatch.setattr(sp_codec.Encoder, "stream", lambda self, chars: streamed.append(chars) or stream(self, chars))
+    for memo, bits, held in ((sp_codec.MEMO, sp_codec.PAIR_BITS, pieces.HELD), (20, 3, 7)):
+        monkeypatch.setattr(sp_codec, "PAIR_BITS", bits)
+        monkeypatch.setattr(sp_codec, "IN_STEP", held)
+        monkeypatch.setattr(pieces, "HELD", held)
+        coder = sp_codec.Encoder(vocab, memo=memo, pair_memo=memo)
+        for block in (texts, texts[:5], ["word one " * (1 + sp_codec.BLOCK_BYTES // 9)], []):
+            got = coder.packed_all(block)
+            assert [np.frombuffer(r, np.int32).tolist() for r in got] == [library.encode(t) for t in block]
+            assert len(coder.seen) + len(coder.older) <= memo and len(coder.apart) <= memo
+    assert streamed and all(len(s) >= 2 * vocab.longest for s in streamed)
+
+
+def test_suffixes_are_those_of_the_pieces():
+    vocab = pieces.vocabulary(pieces.default_model())
+    table, suffixes = pieces.Suffixes(vocab.ids), {p[i:] for p in vocab.ids for i in range(len(p))}
+
+    def walk(text):
+        node = 0
+        for code in table.encoded([text]).tolist()[::-1]:
+            step = table.base[node] + code
+            if table.behind[step] != node:
+                return None
+            node = step
+        return int(table.piece[node])
+
+    rng = random.Random(3)
+    others = ["".join(rng.choices([*"aeinrst▁é漢😀"], k=rng.randint(1, 6))) for _ in range(5000)]
+    assert all(walk(s) == vocab.ids.get(s, -1) if s in suffixes else walk(s) is None for s in [*suffixes, *others])
+
+
+def test_words_of_common_letters_are_the_same_pretokens():
+    cuts = pieces.vocabulary(pieces.default_model()).cuts
+    general = re.compile(cuts.pattern[cuts.pattern.index("\n|") :])
+    assert general.pattern != cuts.pattern
+    rng = random.Random(3)
+    for _ in range(5000):
+        t = "".join(rng.choices("abcdeiouéßżʰɐªºµÿ×÷²³½١Ⅷⅷ一漢ー_-'.,▁▁▁\n\n 09ǅ😀𝒜𐐀", k=rng.randint(1, 40)))
+        assert cuts.findall(t) == general.findall(t)
+
+
 def test_unigram_search_matches_brute_force():
     class Tiny:
         pieces = ["a", "b", "ab", "aba", "bb", "ba"]
