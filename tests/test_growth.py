@@ -203,3 +203,38 @@ def test_forward_as_of_meets_a_hundred_rows_a_target(spark, monkeypatch):
         done = sequence.first_at_or_after(spark.createDataFrame(rows, "run_id long, seq long, t double"), spark.createDataFrame(asked, "run_id long, target_id string, target_t double, around_seq long"), within)
         assert {r.target_id: r.found_seq for r in done.collect()} == want
     assert sum(met) < 100 * len(asked)
+
+
+def test_pairs_of_asks_and_files_are_written_in_a_fraction_of_a_byte(spark, tmp_path):
+    # a file meets more asks than a page of a column has rows (20,000), so a page of one file's asks holds none twice
+    rng = random.Random(81)
+    rec = [(k, k, float(s := rng.randrange(0, 20_000)), float(s + 60_000)) for k in range(64)]
+    asks = [(a * 7919, None, float(s := rng.randrange(0, 70_000)), float(s + rng.randrange(0, 10_000))) for a in range(30_000)]
+    recordings = spark.createDataFrame(rec, "recording_id long, run_id long, recorded_start double, recorded_end double")
+    files = recordings.select("recording_id", F.explode(F.array(F.col("recording_id"), F.col("recording_id") + 5000)).alias("rel_path"))
+    catalog.find_files(spark.createDataFrame(asks, "ask_id long, run_id long, start_ts double, end_ts double"), recordings, files).select("ask_id", "recording_id", "rel_path").write.parquet(str(tmp_path / "out"))
+    want = sum(2 for _, _, lo, hi in asks for r in rec if r[2] <= hi and r[3] >= lo)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.count() == got.distinct().count() == want
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("part-*")) < 0.5 * want
+
+
+def test_bundles_of_files_and_asks_find_each_pair_once(spark, monkeypatch):
+    rng = random.Random(9)
+    rec = [(k, k if k % 3 else None, *((None, None) if k % 17 == 0 else (float(s := rng.randrange(0, 900)), float(s + rng.randrange(-20, 250))))) for k in range(50)]
+    asks = [(a, rng.choice([None, a, 2, 500]), *rng.choice([(None, None), (float(s := rng.randrange(0, 900)), float(s + rng.randrange(-20, 300)))])) for a in [1, 1, 1, *range(2, 30)]]
+    files = [(rng.randrange(55), k, {"k": str(k)}) for k in range(150)]
+    run = lambda: catalog.find_files(spark.createDataFrame(asks, "ask_id long, run_id long, start_ts double, end_ts double"), spark.createDataFrame(rec, "recording_id long, run_id long, recorded_start double, recorded_end double"), spark.createDataFrame(files, "recording_id long, rel_path long, more map<string, string>"), cell_s=100.0)
+    want = set()
+    for ask, of, lo, hi in asks:
+        own = [r for r in rec if r[1] == of and of is not None]
+        lo, hi = lo if lo is not None else (own[0][2] if own else None), hi if hi is not None else (own[0][3] if own else None)
+        found = {r[0] for r in rec if r in own or None not in (lo, hi, r[2]) and lo <= hi and r[2] <= r[3] and r[2] <= hi and r[3] >= lo}
+        want |= {(ask, r, f) for r, f, _ in files if r in found}
+    for few, bundle in ((1000, 2), (1000, 64), (0, 4)):
+        monkeypatch.setattr(catalog, "BROADCAST_ASKS", few)
+        monkeypatch.setattr(catalog, "FILE_BUNDLE", bundle)
+        monkeypatch.setattr(catalog, "ASK_BUNDLE", bundle)
+        rows = run().collect()
+        got = [(r.ask_id, r.recording_id, r.rel_path) for r in rows]
+        assert len(got) == len(set(got)) and set(got) == want and all(r.more == {"k": str(r.rel_path)} for r in rows)

@@ -5,13 +5,17 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
 #: Asked stretches, by cell, that are broadcast at most; more meet the recordings by a shuffle.
 BROADCAST_ASKS = 1_000_000
+#: Files of one task that sorts them or finds their asks, about; a dictionary of a Parquet column holds some 130,000 values.
+TASK_FILES = 50_000
+#: Files and asks that meet as bundles, powers of two: their pairs are about a page of a Parquet column (20,000 rows).
+FILE_BUNDLE, ASK_BUNDLE = 64, 256
 #: Rows of one range of a running total, about.
 RANGE_ROWS = 250_000
 
@@ -125,6 +129,12 @@ def apart(spans: DataFrame) -> DataFrame:
     return spans.withColumn("__before", F.lag("hi").over(mine))
 
 
+def bundled(rows: DataFrame, size: int, n: int | None = None) -> GroupedData:
+    """`rows` as they stand in their partitions, in groups of up to `size` (a power of two) rows of one __cell, dealt over `n` tasks."""
+    rows = rows.withColumn("__bundle", F.expr(f"monotonically_increasing_id() div {size}"))
+    return (rows if n is None else rows.repartition(n, "__cell", "__bundle")).groupBy("__cell", "__bundle")
+
+
 def find_files(asks: DataFrame, recordings: DataFrame, files: DataFrame, cell_s: float = 86_400.0) -> DataFrame:
     """Files that cover each asked run, or only a stretch of it: ask_id and the columns of `recordings` and `files`.
 
@@ -133,7 +143,10 @@ def find_files(asks: DataFrame, recordings: DataFrame, files: DataFrame, cell_s:
     joins of their own, by run and by cells of `cell_s` seconds, and a recording that both find counts once.
     recording_id is the key of `recordings`; an ask may have several stretches. The result holds each ask's own files of all
     sources, so it grows with asks times recordings of their time; nothing of that size is shuffled."""
+    few = asks.limit(BROADCAST_ASKS + 1).count() <= BROADCAST_ASKS
     own = recordings.where("run_id is not null").select("run_id", F.col("recorded_start").alias("__start"), F.col("recorded_end").alias("__end"))
+    if few:
+        own = own.join(F.broadcast(asks.select("run_id").distinct()), "run_id", "left_semi")
     span = own.groupBy("run_id").agg(F.min("__start").alias("__start"), F.max("__end").alias("__end"))
     wanted = asks.join(span, "run_id", "left").select("ask_id", F.col("run_id").alias("__run"), F.coalesce("start_ts", "__start").alias("lo"), F.coalesce("end_ts", "__end").alias("hi")).distinct()
     stretches = F.collect_list(F.when(F.col("lo") <= F.col("hi"), F.struct("lo", "hi")))
@@ -143,23 +156,39 @@ def find_files(asks: DataFrame, recordings: DataFrame, files: DataFrame, cell_s:
     cell = lambda c: F.floor(F.col(c) / cell_s)
     cells = lambda a, b: F.explode(F.sequence(cell(a), cell(b)))
     timed = apart(wanted.where("lo <= hi").select("ask_id", "lo", "hi")).withColumn("__cell", cells("lo", "hi"))
+    near = recordings.where("recorded_start <= recorded_end").withColumn("__cell", cells("recorded_start", "recorded_end"))
+    sent = timed.limit(BROADCAST_ASKS + 1).count() <= BROADCAST_ASKS
+    if sent:
+        near = near.join(F.broadcast(timed.select("__cell").distinct()), "__cell", "left_semi")
     # files go into the join with their recordings: pairs of an ask and a file are the result and are not dealt again
-    held = recordings.join(files, "recording_id")
-    dealt = held.where("recorded_start <= recorded_end").withColumn("__cell", cells("recorded_start", "recorded_end"))
-    if timed.limit(BROADCAST_ASKS + 1).count() <= BROADCAST_ASKS:
-        dealt = dealt.join(F.broadcast(timed.select("__cell").distinct()), "__cell", "left_semi")
-        # the asks of a few cells may find nearly all; their files are few bytes, which would else be few tasks
-        plain = [f.name for f in dealt.schema if isinstance(f.dataType, T.AtomicType)]
-        dealt = dealt.repartition(4 * held.sparkSession.sparkContext.defaultParallelism, *plain)
-        timed = F.broadcast(timed)
+    held = [*recordings.columns, *[c for c in files.columns if c != "recording_id"]]
+    dealt = near.join(files, "recording_id")
+    sorts = 1 + files.count() // TASK_FILES
+    plain = [f.name for f in dealt.schema if isinstance(f.dataType, T.AtomicType)]
+    order = list(dict.fromkeys(["__cell", "recorded_start", "recorded_end", "recording_id", *plain]))
+    dealt = dealt.repartitionByRange(sorts, *order).sortWithinPartitions(*order)
+    # the asks of a few cells may find nearly all; their files are few bytes, which would else be few tasks
+    n = max(4 * files.sparkSession.sparkContext.defaultParallelism, sorts)
+    # bundles of files meet bundles of asks, both of one time: the rows of the result come in small rectangles, whose columns
+    # are runs and repeats, so that Parquet writes them in a fraction of a byte a row, however many asks a file meets
+    dealt = bundled(dealt, FILE_BUNDLE, n).agg(F.collect_list(F.struct(*held)).alias("__files"), F.min("recorded_start").alias("__from"), F.max("recorded_end").alias("__to"))
+    asked = bundled(timed.orderBy("__cell", "lo", "hi", "ask_id"), ASK_BUNDLE).agg(F.collect_list(F.struct("ask_id", "lo", "hi", "__before")).alias("__asks"), F.min("lo").alias("__lo"), F.max("hi").alias("__hi"))
+    dealt, asked = dealt.drop("__bundle"), asked.drop("__bundle").withColumnRenamed("__cell", "__at")
+    met = dealt.join(F.broadcast(asked) if sent else asked, (F.col("__cell") == F.col("__at")) & (F.col("__from") <= F.col("__hi")) & (F.col("__to") >= F.col("__lo")))
+    # this first explode is not compiled, as it holds a lambda, and so hands on file by file: compiled stages hold all rows of
+    # a row that they read, which would be all pairs of a bundle; the second one, over asks, is compiled
+    near_all = F.filter("__files", lambda f: (f["recorded_start"] <= F.col("__hi")) & (f["recorded_end"] >= F.col("__lo")))
+    met = met.select("__cell", "__asks", F.explode(near_all).alias("__f")).select("__cell", "__asks", "__f.*")
+    met = met.select("__cell", *held, F.explode("__asks").alias("__a")).select("__cell", *held, "__a.*")
     first = F.col("__cell") == F.floor(F.greatest("lo", "recorded_start") / cell_s)
     # the stretches are apart, so a recording overlaps none before this one if it starts after the end of the last
     fresh = F.col("__before").isNull() | (F.col("recorded_start") > F.col("__before"))
-    near = dealt.join(timed, "__cell").where(meets(F.col("lo"), F.col("hi")) & first & fresh)
+    near = met.where(meets(F.col("lo"), F.col("hi")) & first & fresh)
     timeless = F.coalesce(F.col("recorded_start") > F.col("recorded_end"), F.lit(True))
-    same = recordings.where("run_id is not null").join(wanted.select("ask_id", "__run", "__all"), F.col("run_id") == F.col("__run")).where(timeless | none_of("__all"))
-    same = same.select("ask_id", "recording_id").distinct().join(held, "recording_id")
-    columns = ["recording_id", "ask_id", *[c for c in held.columns if c != "recording_id"]]
+    runs = wanted.select("ask_id", "__run", "__all")
+    same = recordings.where("run_id is not null").join(F.broadcast(runs) if few else runs, F.col("run_id") == F.col("__run")).where(timeless | none_of("__all"))
+    same = same.dropDuplicates(["ask_id", "recording_id"]).join(files, "recording_id")
+    columns = ["recording_id", "ask_id", *[c for c in held if c != "recording_id"]]
     return near.select(*columns).unionByName(same.select(*columns))
 
 

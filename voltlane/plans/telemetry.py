@@ -7,6 +7,7 @@ place, the same arithmetic in Spark and in SQL.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -431,6 +432,8 @@ def files_of_moments(spark, sf_dir):
     number = F.col("run_id") * 100_000 + day % 100_000
     rec = s.groupBy("run_id", day.alias("day")).agg(F.min("t").alias("recorded_start"), F.max("t").alias("recorded_end")).withColumn("recording_id", F.col("run_id") * 100_000 + F.col("day") % 100_000)
     rec = rec.select("recording_id", F.when(F.col("run_id") % 3 != 0, F.col("recording_id")).alias("run_id"), "recorded_start", "recorded_end")
+    # read four times: kept, else each time deals all events by run and day
+    rec = rec.persist(StorageLevel.MEMORY_AND_DISK)
     part = F.col("recording_id") % 40 == 0
     asks = rec.where("recording_id % 20 = 0").select(F.col("recording_id").alias("ask_id"), "run_id", F.when(part, F.col("recorded_start") + 600).alias("start_ts"), F.when(part, F.col("recorded_end") + 7200).alias("end_ts"))
     return catalog.find_files(asks, rec, s.select(number.alias("recording_id"), F.col("seq").alias("rel_path"))).select("ask_id", "recording_id", "rel_path")
