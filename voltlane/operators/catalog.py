@@ -148,7 +148,8 @@ def find_files(asks: DataFrame, recordings: DataFrame, files: DataFrame, cell_s:
     if few:
         own = own.join(F.broadcast(asks.select("run_id").distinct()), "run_id", "left_semi")
     span = own.groupBy("run_id").agg(F.min("__start").alias("__start"), F.max("__end").alias("__end"))
-    wanted = asks.join(span, "run_id", "left").select("ask_id", F.col("run_id").alias("__run"), F.coalesce("start_ts", "__start").alias("lo"), F.coalesce("end_ts", "__end").alias("hi")).distinct()
+    # asks without a run are one key, which a shuffle would put into one task
+    wanted = asks.join(F.broadcast(span) if few else span, "run_id", "left").select("ask_id", F.col("run_id").alias("__run"), F.coalesce("start_ts", "__start").alias("lo"), F.coalesce("end_ts", "__end").alias("hi")).distinct()
     stretches = F.collect_list(F.when(F.col("lo") <= F.col("hi"), F.struct("lo", "hi")))
     wanted = wanted.withColumn("__all", stretches.over(Window.partitionBy("ask_id")))
     meets = lambda lo, hi: (F.col("recorded_start") <= hi) & (F.col("recorded_end") >= lo)
